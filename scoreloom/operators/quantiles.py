@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from scoreloom.functions.scalars import ColumnOrName, finite
 
 
+WHOLE = 20000
+
+
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: ColumnOrName, probs: dict[str, float],
                       accuracy: int = 10000, lower: bool = False) -> DataFrame:
     """One row per group with the linearly interpolated percentiles (``lower``: the element at floor(n·p)).
@@ -31,10 +34,12 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: ColumnOrName, pro
         F.percentile_approx("__v", F.array(*[F.lit(p) for p in marks]), accuracy).alias("__q"),
         F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     brackets = []
+    # Below WHOLE rows the bracket would be narrower than one rank; such a group is ordered as it is.
+    whole = F.col("__n") <= WHOLE
     for i, n in enumerate(names):
-        lo = F.col("__min") if marks[i] == 0.0 else F.col("__q")[i]
+        lo = F.col("__min") if marks[i] == 0.0 else F.when(whole, F.col("__min")).otherwise(F.col("__q")[i])
         j = len(names) + i
-        hi = F.col("__max") if marks[j] == 1.0 else F.col("__q")[j]
+        hi = F.col("__max") if marks[j] == 1.0 else F.when(whole, F.col("__max")).otherwise(F.col("__q")[j])
         brackets.append(F.struct(lo.alias("lo"), hi.alias("hi")))
     sketch = sketch.select(*[F.col(b).alias(f"__k_{b}") for b in by], "__n", F.array(*brackets).alias("__br"))
     on = F.lit(True)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_scalars", "q_logs"]
+MODULES = ["q_scalars", "q_logs", "q_aggregates", "q_calibration", "q_rules", "q_joins"]
 
 
 def load_all() -> None:

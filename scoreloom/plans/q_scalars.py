@@ -45,7 +45,7 @@ def parse_years(t):
 
 @query("decode_choice", """
     SELECT pid, CASE WHEN q_device <> 'MACHINERY' THEN q_device END AS code,
-           CASE WHEN q_device = 'MACHINERY' THEN q_device END AS unknown FROM screening""", px=["screening"])
+           CASE WHEN q_device = 'MACHINERY' THEN 'Machinery' END AS unknown FROM screening""", px=["screening"])
 def decode_choice(t):
     from scoreloom.operators.screening import decode_choice as op
     options = t.spark.createDataFrame(DEVICES, "code string, label string")
