@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.scalars import rms_db
 from scoreloom.operators.joins import attach
 from scoreloom.operators.quantiles import exact_percentiles
-from scoreloom.operators.scan import BLOCK_ROWS, prefix_scan, previous, running_sum
+from scoreloom.operators.scan import BLOCK_ROWS, prefix_scan, previous, running_count, running_sum
 
 
 def section_windows(bounds: DataFrame, ends: DataFrame, by: Sequence[str], whole: str = "whole") -> DataFrame:
@@ -102,9 +102,16 @@ def moving_mean_std(frames: DataFrame, by: Sequence[str], index: str, value: str
     # The first n-1 frames of a block also belong to the tail of the block before.
     tail = mine.where((F.col("__i") % block < n - 1) & (F.col("__b") > 0)).withColumns({"__b": F.col("__b") - 1, "__own": F.lit(False)})
     both = mine.unionByName(tail)
-    w = W.partitionBy(*by, "__b").orderBy("__i").rangeBetween(0, n - 1)
-    out = both.withColumns({"mean": F.avg("__x").over(w), "std": F.stddev_pop("__x").over(w), "__c": F.count("*").over(w)})
-    return out.where(F.col("__own") & (F.col("__c") == n)).select(*by, F.col("__i").alias(index), "mean", "std")
+    w = W.partitionBy(*by, "__b").orderBy("__i")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumns({"__s": F.sum("__x").over(upto), "__q": F.sum(F.col("__x") * F.col("__x")).over(upto)})
+    ahead = lambda c: F.lead(c, n - 1).over(w)
+    out = both.withColumns({"__ei": ahead("__i"), "__es": ahead("__s"), "__eq": ahead("__q")})
+    mean = (F.col("__es") - F.col("__s") + F.col("__x")) / n
+    square = (F.col("__eq") - F.col("__q") + F.col("__x") * F.col("__x")) / n
+    out = out.where(F.col("__own") & (F.col("__ei") == F.col("__i") + n - 1))
+    return out.select(*by, F.col("__i").alias(index), mean.alias("mean"),
+                      F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))
 
 
 def stem_presence(frames: DataFrame, by: Sequence[str], level: str = "rms_db") -> DataFrame:
@@ -213,23 +220,31 @@ def energy_boundaries(frames: DataFrame, by: Sequence[str], index: str, at: str,
     return picks.select(*by, F.inline(F.concat(head, rows)))
 
 
-def merge_boundaries(bounds: DataFrame, by: Sequence[str], min_sec: float, duration: str = "duration_sec") -> DataFrame:
+def merge_boundaries(bounds: DataFrame, by: Sequence[str], min_sec: float, duration: str = "duration_sec",
+                     width: float = 86400.0) -> DataFrame:
     """Greedy merge of boundaries closer than ``min_sec``; a last section shorter than that is dropped.
 
-    Each kept boundary depends on the kept one before it, so the list is folded per item. To keep that list short
-    for any item, boundaries are first thinned: of all boundaries inside one ``min_sec`` cell after the cell's first
-    only those can be kept that the fold would reach, and the fold never keeps two from one cell.
+    Every boundary at least ``min_sec`` after its predecessor is kept whatever came before, so the boundaries fall
+    into independent clusters of close neighbours; only a cluster is folded, never the boundaries of a whole item.
     """
-    cells = bounds.where((F.col("start_sec") > 0) & (F.col("start_sec") < F.col(duration)))
-    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("start_sec").cast("double"))).alias("__t"))
     items = bounds.groupBy(*by).agg(F.max(duration).alias("__d"))
-    fold = F.aggregate(F.coalesce("__t", F.array().cast("array<double>")), F.array(F.lit(0.0)), lambda acc, x: F.when(
+    inner = bounds.where((F.col("start_sec") > 0) & (F.col("start_sec") < F.col(duration))).select(
+        *by, F.col("start_sec").cast("double").alias("__t")).distinct()
+    rows = inner.unionByName(items.select(*by, F.lit(0.0).alias("__t")))
+    block = F.floor(F.col("__t") / width).cast("bigint")
+    rows = prefix_scan(rows, by, [F.asc("__t")], block, {"__p": previous("__t")})
+    starts = F.coalesce(F.col("__t") - F.col("__p.v") >= min_sec, F.lit(True)).cast("bigint")
+    rows = prefix_scan(rows.withColumn("__new", starts), by, [F.asc("__t")], block, {"__cluster": running_sum("__new")})
+    packed = rows.groupBy(*by, "__cluster").agg(F.array_sort(F.collect_list("__t")).alias("__a"))
+    fold = F.aggregate(F.slice("__a", 2, F.greatest(F.size("__a"), F.lit(1))), F.slice("__a", 1, 1), lambda acc, x: F.when(
         x - F.element_at(acc, -1) >= min_sec, F.array_append(acc, x)).otherwise(acc))
-    out = attach(items, packed, by).withColumn("__m", fold)
-    short_last = (F.size("__m") >= 2) & (F.col("__d") - F.element_at("__m", -1) < min_sec)
-    kept = F.when(short_last, F.slice("__m", 1, F.size("__m") - 1)).otherwise(F.col("__m"))
-    return out.select(*by, F.posexplode(kept).alias("__pos", "start_sec")).select(
-        *by, "start_sec", F.concat(F.lit("seg_"), F.col("__pos").cast("string")).alias("label"))
+    kept = packed.select(*by, F.explode(fold).alias("start_sec"))
+    last = attach(items, kept.groupBy(*by).agg(F.max("start_sec").alias("__last")), by)
+    kept = attach(kept, last, by).where(
+        (F.col("start_sec") < F.col("__last")) | (F.col("start_sec") == 0) | (F.col("__d") - F.col("__last") >= min_sec))
+    kept = prefix_scan(kept.select(*by, "start_sec"), by, [F.asc("start_sec")], F.floor(F.col("start_sec") / width).cast("bigint"),
+                       {"__n": running_count()})
+    return kept.select(*by, "start_sec", F.concat(F.lit("seg_"), (F.col("__n") - 1).cast("string")).alias("label"))
 
 
 def stereo_stats(samples: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_scalars", "q_logs", "q_aggregates", "q_calibration", "q_rules", "q_joins"]
+MODULES = ["q_scalars", "q_logs", "q_aggregates", "q_calibration", "q_rules", "q_joins", "q_series", "q_inference"]
 
 
 def load_all() -> None:
