@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["q_scalars", "q_logs", "q_aggregates", "q_calibration", "q_rules", "q_joins", "q_series", "q_inference"]
+MODULES = ["q_scalars", "q_logs", "q_aggregates", "q_calibration", "q_rules", "q_joins", "q_series", "q_inference", "q_exclusion", "q_sets",
+           "q_sampling", "q_quality"]
 
 
 def load_all() -> None:

@@ -120,14 +120,14 @@ def crossed_contrast(t):
 
 
 @query("crossed_components", f"""WITH {DIFF}, c AS (SELECT contrast, listener, song, count(*) AS k, sum(d) AS t, sum(d * d) AS q FROM d GROUP BY 1, 2, 3),
-    l AS (SELECT contrast, count(*) AS g, sum(t * t / n) AS T, sum(n * n) AS N, sum(c / n) AS k FROM (SELECT contrast, listener, sum(k) AS n,
+    l AS (SELECT contrast, count(*) AS g, sum(t * t / n) AS tt, sum(n * n) AS nn, sum(c / n) AS k FROM (SELECT contrast, listener, sum(k) AS n,
       sum(t) AS t, sum(k * k) AS c FROM c GROUP BY 1, 2) GROUP BY 1),
-    s AS (SELECT contrast, count(*) AS g, sum(t * t / n) AS T, sum(n * n) AS N, sum(c / n) AS k FROM (SELECT contrast, song, sum(k) AS n,
+    s AS (SELECT contrast, count(*) AS g, sum(t * t / n) AS tt, sum(n * n) AS nn, sum(c / n) AS k FROM (SELECT contrast, song, sum(k) AS n,
       sum(t) AS t, sum(k * k) AS c FROM c GROUP BY 1, 2) GROUP BY 1),
-    m AS (SELECT contrast, CAST(sum(k) AS DOUBLE) AS n, sum(t) AS t, sum(q) AS q FROM c GROUP BY 1),
-    e AS (SELECT m.contrast, n, m.t / n AS mu, n - l.N / n AS a1, s.k - l.N / n AS a2, l.N / n - s.k AS a3, l.k - s.N / n AS b1, n - s.N / n AS b2,
-      s.N / n - l.k AS b3, l.g - 1 AS c1, s.g - 1 AS c2, n - l.g - s.g + 1 AS c3, l.T - m.t * m.t / n AS r1, s.T - m.t * m.t / n AS r2,
-      q - l.T - s.T + m.t * m.t / n AS r3 FROM m JOIN l ON l.contrast = m.contrast JOIN s ON s.contrast = m.contrast),
+    m AS (SELECT contrast, CAST(sum(k) AS DOUBLE) AS n0, sum(t) AS t, sum(q) AS q FROM c GROUP BY 1),
+    e AS (SELECT m.contrast, n0 AS n, m.t / n0 AS mu, n0 - l.nn / n0 AS a1, s.k - l.nn / n0 AS a2, l.nn / n0 - s.k AS a3, l.k - s.nn / n0 AS b1, n0 - s.nn / n0 AS b2,
+      s.nn / n0 - l.k AS b3, l.g - 1 AS c1, s.g - 1 AS c2, n0 - l.g - s.g + 1 AS c3, l.tt - m.t * m.t / n0 AS r1, s.tt - m.t * m.t / n0 AS r2,
+      q - l.tt - s.tt + m.t * m.t / n0 AS r3 FROM m JOIN l ON l.contrast = m.contrast JOIN s ON s.contrast = m.contrast),
     f AS (SELECT *, a1 * (b2 * c3 - b3 * c2) - b1 * (a2 * c3 - a3 * c2) + c1 * (a2 * b3 - a3 * b2) AS det FROM e)
     SELECT contrast, CAST(n AS BIGINT) AS n, round(mu, 6) AS mu,
       round(sqrt(greatest(0, (r1 * (b2 * c3 - b3 * c2) - b1 * (r2 * c3 - r3 * c2) + c1 * (r2 * b3 - r3 * b2)) / det)), 5) AS sd_listener,
