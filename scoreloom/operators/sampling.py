@@ -194,15 +194,19 @@ def validate_prior(prior: DataFrame, ranges: dict[tuple[str, str], tuple[float,
     return j.select("action", "arg", F.explode(found).alias("violation"))
 
 
-def bootstrap_counts(songs: DataFrame, replicates: int, seed: int, song: str = "song", block: Column | None = None) -> DataFrame:
-    """(rep, song, count) of n draws with replacement per replicate; the same draws for every arm.
+def bootstrap_counts(songs: DataFrame, replicates: int, seed: int, song: str = "song", by: Sequence[str] = (),
+                     block: Column | None = None) -> DataFrame:
+    """(rep, song, count) of n draws with replacement per replicate; arms with the same songs get the same draws.
 
-    Draw d of replicate r is position floor(u·n) of the song order, so no random state is carried.
+    Draw d of replicate r is position floor(u·n) of the song order of its group, so no random state is carried.
     """
+    by = list(by)
     block = F.floor(F.col(song) / 100_000).cast("bigint") if block is None else block
-    ids = ordinal(songs.select(song).distinct(), [], [F.asc(song)], block, "__pos")
-    n = ids.agg(F.count("*").alias("__n"))
-    draws = ids.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).join(F.broadcast(n), F.lit(True))
+    ids = ordinal(songs.select(*by, song).distinct(), by, [F.asc(song)], block, "__pos")
+    n = ids.groupBy(*by).agg(F.count("*").alias("__n"))
+    draws = attach(ids, n, by) if by else ids.join(F.broadcast(n), F.lit(True))
+    draws = draws.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     at = F.floor(hash_uniform(F.lit(seed), "rep", "__pos") * F.col("__n")) + 1
-    picked = draws.select("rep", at.cast("bigint").alias("__pos")).groupBy("rep", "__pos").agg(F.count("*").alias("count"))
-    return picked.join(ids, "__pos").select("rep", song, "count")
+    picked = draws.select(*by, "rep", at.cast("bigint").alias("__at")).groupBy(*by, "rep", "__at").agg(F.count("*").alias("count"))
+    ids = ids.withColumnRenamed("__pos", "__at")
+    return picked.join(ids, [*by, "__at"]).select(*by, "rep", song, "count")

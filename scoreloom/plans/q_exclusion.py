@@ -6,7 +6,7 @@ from scoreloom.operators import exclusion as E
 from scoreloom.plans.q_aggregates import r6
 from scoreloom.plans.registry import query
 
-CFG = E.Screening(anchor="NF", required_screens=200, required_afc=30, screen_fail_frac=0.62)
+CFG = E.Screening(anchor="NF", required_screens=188, required_afc=30, screen_fail_frac=0.19)
 
 BASE = """mushra AS (SELECT *, (song * 7 + screen * 13 + listener) % 50 * 1.5::DOUBLE AS dur FROM ratings),
     sup AS (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier),
@@ -73,7 +73,7 @@ FEATS = """cnt AS (SELECT ids.listener, (SELECT bool_or(completed) FROM session
 
 
 def incomplete_sql(source: str) -> str:
-    return f"""NOT coalesce(completed, n_screens >= 200 AND n_afc >= CASE WHEN n_afc > 0 OR (SELECT avg((n_afc > 0)::INT) FROM {source}) >= 0.5
+    return f"""NOT coalesce(completed, n_screens >= 188 AND n_afc >= CASE WHEN n_afc > 0 OR (SELECT avg((n_afc > 0)::INT) FROM {source}) >= 0.5
                THEN 30 ELSE 0 END)"""
 
 
@@ -83,7 +83,7 @@ def exclude_incomplete(t):
     return E.exclude_incomplete(alive(d), d["session"], d["mushra"], d["afc"], CFG)
 
 
-@query("exclude_bad_screens", f"WITH {BASE}, {FEATS} SELECT listener FROM chk WHERE fail_frac > 0.62", ["ratings"])
+@query("exclude_bad_screens", f"WITH {BASE}, {FEATS} SELECT listener FROM chk WHERE fail_frac > 0.19", ["ratings"])
 def exclude_bad_screens(t):
     d = tables(t)
     return E.exclude_bad_screens(alive(d), d["mushra"], CFG)
@@ -121,7 +121,7 @@ CHAIN = f"""{BASE}, {FEATS}, f AS (SELECT ids.listener, v.eligible, coalesce(s.h
       tim.listener = ids.listener LEFT JOIN agr ON agr.listener = ids.listener LEFT JOIN mea ON mea.listener = ids.listener),
     g1 AS (SELECT *, CASE WHEN NOT eligible THEN '1a_ineligible' WHEN s1 THEN '1_stage1_hp_ap' END AS st FROM f),
     a1 AS (SELECT * FROM g1 WHERE st IS NULL),
-    g2 AS (SELECT * REPLACE (coalesce(st, CASE WHEN {incomplete_sql('a1')} THEN '2_incomplete' WHEN fail_frac > 0.62 THEN '3_screen_checks' END) AS st)
+    g2 AS (SELECT * REPLACE (coalesce(st, CASE WHEN {incomplete_sql('a1')} THEN '2_incomplete' WHEN fail_frac > 0.19 THEN '3_screen_checks' END) AS st)
       FROM g1),
     g4 AS (SELECT * REPLACE (coalesce(st, CASE WHEN total_sec < 0.5 * (SELECT quantile_cont(total_sec, 0.5) FROM g2 WHERE st IS NULL AND
       total_sec > 0) THEN '4_speeder' WHEN agreement < 0.25 THEN '5_afc_repeat' END) AS st) FROM g2),

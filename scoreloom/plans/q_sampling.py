@@ -157,8 +157,9 @@ def smooth_table(t):
     return r6(out.withColumns({"freq": F.col("freq").cast("bigint"), "bin": F.col("bin").cast("bigint")}), "prob", digits=9)
 
 
-@query("validate_prior", """SELECT 'click' AS action, 'k' AS arg, 'mass_not_one' AS violation FROM events GROUP BY ALL UNION ALL SELECT 'error', 'k', 'legal_range' FROM events
-    GROUP BY ALL UNION ALL SELECT 'signup', 'k', 'missing_histogram' FROM events GROUP BY ALL UNION ALL SELECT 'view', 'v', 'unexpected_histogram' FROM events GROUP BY ALL""")
+@query("validate_prior", """SELECT 'click' AS action, 'k' AS arg, 'mass_not_one' AS violation FROM (SELECT DISTINCT 1 FROM events) UNION ALL SELECT 'error', 'k', 'legal_range' FROM (SELECT DISTINCT 1 FROM events)
+    UNION ALL SELECT 'signup', 'k', 'missing_histogram' FROM (SELECT DISTINCT 1 FROM events) UNION ALL SELECT 'view', 'v', 'unexpected_histogram'
+    FROM (SELECT DISTINCT 1 FROM events)""")
 def validate_prior(t):
     p = prior(t).withColumn("prob", F.when(F.col("action") == "click", F.col("prob") * 1.01).otherwise(F.col("prob")))
     want = {("click", "k"): (0.0, 100.0), ("view", "k"): (0.0, 80.0), ("error", "k"): (0.0, 100.0), ("signup", "k"): (0.0, 1.0)}
