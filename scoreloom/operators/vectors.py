@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scoreloom.operators.joins import attach
 from scoreloom.operators.quantiles import exact_percentiles
 from scoreloom.operators.quality import require
+from scoreloom.session import materialize
 
 BLOCK = 512
 
@@ -119,12 +120,14 @@ def median_bandwidth(ref: DataFrame, ident: str, vector: str = "embedding", bins
 
 
 def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
-                vector: str = "embedding", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                vector: str = "embedding", block: int = BLOCK, cut: bool = True) -> tuple[DataFrame, DataFrame]:
     """(within, cross): Gaussian kernel sums per song pair of each arm, and per song against the whole reference.
 
-    Computed once; every bootstrap replicate reuses the sums with its resample counts.
+    Computed once: with ``cut`` the bandwidth and the sums are written to the shared folder, and every bootstrap
+    replicate reuses them with its resample counts.
     """
     by = list(by)
+    sigma = materialize(sigma, "sigma") if cut else sigma
     xs = x.select(*by, song, ident, vector).join(F.broadcast(sigma), F.lit(True))
     left, right = _self_cells(xs, by, [song, ident, vector, "sigma"], ident, block)
     keys = [*by, "__i", "__j"]
@@ -150,6 +153,7 @@ def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str
     st = x.schema[song].dataType.simpleString()
     schema = ", ".join(filter(None, [_types(x, by), f"song_a {st}, song_b {st}, k double"]))
     kxx = _cogroup(left, right, keys, within, schema).groupBy(*by, "song_a", "song_b").agg(F.sum("k").alias("k"))
+    kxx = materialize(kxx, "kernel") if cut else kxx
 
     left, right = _cross_cells(xs, ref, by, [song, vector, "sigma"], ident, vector, block)
 
@@ -166,7 +170,8 @@ def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str
     kxy = _cogroup(left, right, keys, cross, schema).groupBy(*by, song).agg(F.sum("k").alias("k"))
     sizes = x.groupBy(*by, song).agg(F.count("*").alias("n_vectors"))
     n_ref = ref.agg(F.count("*").alias("n_ref"))
-    return kxx, attach(sizes, kxy, [*by, song]).join(F.broadcast(n_ref), F.lit(True))
+    out = attach(sizes, kxy, [*by, song]).join(F.broadcast(n_ref), F.lit(True))
+    return kxx, materialize(out, "kernel-ref") if cut else out
 
 
 def pairwise_sq_dist(x: DataFrame, ref: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
@@ -196,6 +201,7 @@ def reference_term(ref: DataFrame, sigma: DataFrame, ident: str = "vec_id", vect
     one = ref.select(F.lit(0).alias("run"), F.lit(0).alias("song"), ident, vector)
     kxx, cross = song_kernel(one, ref, sigma, ("run",), "song", ident, vector, block)
     j = kxx.join(F.broadcast(cross.select("run", F.col("n_vectors").cast("double").alias("m"))), "run")
+    # One row: the reference is one arm with one song.
     return j.select(F.when(F.col("m") > 1, (F.col("k") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).otherwise(0.0).alias("syy"))
 
 
@@ -211,7 +217,7 @@ def mmd2_unbiased(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, by: Seque
 
 
 def bootstrap_mmd(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, counts: DataFrame, by: Sequence[str] = ("run",),
-                  song: str = "song") -> DataFrame:
+                  song: str = "song", cut: bool = True) -> DataFrame:
     """Squared MMD of every replicate from resample counts: sum of c_a c_b K_ab minus the resampled vectors."""
     kxx, cross = kernel
     by = list(by)
@@ -224,7 +230,8 @@ def bootstrap_mmd(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, counts: D
     n = F.col("n")
     sxx = F.when(n > 1, (F.col("__kxx") - n) / (n * (n - 1))).otherwise(0.0)
     out = xx.join(xy, [*by, "rep"]).join(F.broadcast(syy), F.lit(True))
-    return out.select(*by, "rep", (sxx + F.col("syy") - 2 * F.col("__kxy") / (n * F.col("m"))).alias("mmd2"))
+    out = out.select(*by, "rep", (sxx + F.col("syy") - 2 * F.col("__kxy") / (n * F.col("m"))).alias("mmd2"))
+    return materialize(out, "replicates") if cut else out
 
 
 def bootstrap_ci(replicates: DataFrame, by: Sequence[str] = ("run",), value: str = "mmd2") -> DataFrame:

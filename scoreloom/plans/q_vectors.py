@@ -9,6 +9,7 @@ from scoreloom.operators import vectors as V
 from scoreloom.plans.q_aggregates import r6
 from scoreloom.plans.q_sampling import sql_u
 from scoreloom.plans.registry import query
+from scoreloom.session import materialize
 
 EMB = """e AS (SELECT vec_id, label AS run, vec_id % 50 AS song, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
     ref AS (SELECT * FROM e WHERE run = 0)"""
@@ -28,7 +29,7 @@ def arms(t):
 
 
 def kernel(x, ref):
-    sigma = V.median_bandwidth(ref, "vec_id", block=32)
+    sigma = materialize(V.median_bandwidth(ref, "vec_id", block=32), "sigma")
     return V.song_kernel(x, ref, sigma, block=128), V.reference_term(ref, sigma)
 
 
