@@ -16,6 +16,11 @@ def _d(c: ColumnOrName | float) -> Column:
     return F.lit(float(c)) if isinstance(c, (int, float)) else col(c).cast("double")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is written (and computed) once; keeps nested formulas small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def wilson_ci(k: ColumnOrName, n: ColumnOrName, z: float = Z95) -> Column:
     """struct(lo, hi): Wilson 95 % interval; (0, 0) for n = 0."""
     k, n = _d(k), _d(n)
@@ -30,17 +35,16 @@ def wilson_ci(k: ColumnOrName, n: ColumnOrName, z: float = Z95) -> Column:
 
 def norm_cdf(x: ColumnOrName) -> Column:
     """Standard normal CDF by the power series of the error integral (full double precision for |x| < 8)."""
-    x = _d(x)
-    sq = x * x
-    state = F.struct(x.alias("term"), x.alias("sum"))
 
-    def grow(acc: Column, i: Column) -> Column:
-        term = acc["term"] * sq / (2 * i + 1)
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+    def series(v: Column) -> Column:
+        def grow(acc: Column, i: Column) -> Column:
+            return let(acc["term"] * v * v / (2 * i + 1), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(160)), state, grow, lambda acc: acc["sum"])
-    inner = 0.5 + total * F.exp(-sq / 2.0) / math.sqrt(2.0 * math.pi)
-    return F.when(x > 8, 1.0).when(x < -8, 0.0).when(x.isNotNull(), inner)
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(160)), F.struct(v.alias("term"), v.alias("sum")), grow, lambda acc: acc["sum"])
+        inner = 0.5 + total * F.exp(-v * v / 2.0) / math.sqrt(2.0 * math.pi)
+        return F.when(v > 8, 1.0).when(v < -8, 0.0).when(v.isNotNull(), inner)
+
+    return let(_d(x), series)
 
 
 def norm_sf(x: ColumnOrName) -> Column:
@@ -49,23 +53,26 @@ def norm_sf(x: ColumnOrName) -> Column:
 
 def t_cdf(t: ColumnOrName, df: ColumnOrName) -> Column:
     """Student-t CDF for integer degrees of freedom (finite trigonometric series)."""
-    t, df = _d(t), col(df).cast("int")
-    theta = F.atan(t / F.sqrt(df.cast("double")))
-    cos2 = F.pow(F.cos(theta), F.lit(2.0))
+    df = col(df).cast("int")
     odd = (df % 2) == 1
-    n_terms = F.when(odd, F.floor((df - 1) / 2)).otherwise(F.floor(df / 2)).cast("int")
-    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+    n_terms = F.floor(df / 2).cast("int")
 
-    def grow(acc: Column, j: Column) -> Column:
-        ratio = F.when(odd, (2.0 * j) / (2.0 * j + 1.0)).otherwise((2.0 * j - 1.0) / (2.0 * j))
-        term = acc["term"] * cos2 * ratio
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+    def at_angle(theta: Column) -> Column:
+        first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+
+        def grow(acc: Column, j: Column) -> Column:
+            ratio = F.when(odd, (2.0 * j) / (2.0 * j + 1.0)).otherwise((2.0 * j - 1.0) / (2.0 * j))
+            term = acc["term"] * F.cos(theta) * F.cos(theta) * ratio
+            return let(term, lambda v: F.struct(v.alias("term"), (acc["sum"] + v).alias("sum")))
+
+        steps = F.when(n_terms > 1, F.sequence(F.lit(1), n_terms - 1)).otherwise(F.array().cast("array<int>"))
+        series = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), grow, lambda acc: acc["sum"])
+        series = F.when(n_terms > 0, series).otherwise(F.lit(0.0))
+        return let(series, lambda s: 0.5 + 0.5 * F.when(odd, (theta + F.sin(theta) * s) * (2.0 / math.pi)).otherwise(F.sin(theta) * s))
 
-    steps = F.when(n_terms > 1, F.sequence(F.lit(1), n_terms - 1)).otherwise(F.array().cast("array<int>"))
-    series = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), grow, lambda acc: acc["sum"])
-    series = F.when(n_terms > 0, series).otherwise(F.lit(0.0))
-    inside = F.when(odd, (theta + F.sin(theta) * series) * (2.0 / math.pi)).otherwise(F.sin(theta) * series)
-    return F.when(t.isNull() | df.isNull(), F.lit(None).cast("double")).otherwise(0.5 + 0.5 * inside)
+    # A null t or df gives a null angle, and with it a null result.
+    theta = F.atan(_d(t) / F.sqrt(df.cast("double")))
+    return let(theta, lambda v: F.when(v.isNotNull(), at_angle(v)))
 
 
 def t_ppf(p: float, df: ColumnOrName, steps: int = 60) -> Column:
@@ -73,10 +80,8 @@ def t_ppf(p: float, df: ColumnOrName, steps: int = 60) -> Column:
     df = col(df)
 
     def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        low = t_cdf(mid, df) < p
-        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"),
-                        F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
+        return let((acc["lo"] + acc["hi"]) / 2, lambda mid: let(t_cdf(mid, df) < p, lambda low: F.struct(
+            F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))))
 
     start = F.struct(F.lit(-1000.0).alias("lo"), F.lit(1000.0).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)

@@ -253,16 +253,18 @@ def metric_vs_human(auto: DataFrame, human: DataFrame, item: str = "item") -> Da
 
     ``auto``: item, metric, score; ``human``: item, value. Metrics that miss a shared item are left out.
     """
-    h = human.join(auto.select(item).distinct(), item, "left_semi")
+    h = human.join(auto.select(item), item, "left_semi")
     j = auto.join(h, item)
     total = h.agg(F.count("*").alias("__all"))
     full = j.groupBy("metric").agg(F.count("*").alias("n")).join(F.broadcast(total), F.col("n") == F.col("__all")).select("metric", "n")
-    j = j.join(full.select("metric"), "metric", "left_semi")
-    r = rank_no_ties(j, ["metric"], "score", item, name="__ra")
-    r = rank_no_ties(r, ["metric"], "value", item, name="__rh")
-    out = r.groupBy("metric").agg(F.corr("__ra", "__rh").alias("spearman"),
-                                  F.when(F.stddev_pop("score") > 0, F.corr("score", "value")).alias("pearson"))
-    return attach(full, out, ["metric"])
+    # A complete metric covers exactly the shared items, so the human ranks are the same for all of them.
+    ranked = rank_no_ties(auto.join(full.select("metric"), "metric", "left_semi").join(h.select(item), item, "left_semi"),
+                          ["metric"], "score", item, name="__ra")
+    human_ranks = rank_no_ties(h, [], "value", item, name="__rh")
+    out = ranked.join(human_ranks, item).groupBy("metric").agg(
+        F.count("*").alias("n"), F.corr("__ra", "__rh").alias("spearman"),
+        F.when(F.stddev_pop("score") > 0, F.corr("score", "value")).alias("pearson"))
+    return out
 
 
 def rater_agreement(cells: DataFrame, rater: str, item: str, value: str, min_shared: int = 3) -> DataFrame:

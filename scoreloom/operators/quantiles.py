@@ -1,7 +1,7 @@
 """Exact order statistics for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a bounded sketch first gives
-a bracket around each wanted rank; rows outside the brackets are counted into markers during the map-side
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a bounded sketch of each large
+group first gives a bracket around each wanted rank; rows outside the brackets are counted into markers during the map-side
 aggregation, and only the few values inside a bracket are put in order. The result is exact: if a bracket ever
 missed its rank the query fails instead of answering wrongly.
 """
@@ -17,9 +17,17 @@ from pyspark.sql import functions as F
 from scoreloom.functions.scalars import ColumnOrName, finite
 
 
+# Groups up to this size are put in order as they are.
 WHOLE = 20000
 
 
+def _same(by: Sequence[str]):
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
+    return on
+
+
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: ColumnOrName, probs: dict[str, float],
                       accuracy: int = 10000, lower: bool = False) -> DataFrame:
     """One row per group with the linearly interpolated percentiles (``lower``: the element at floor(n·p)).
@@ -30,24 +38,23 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: ColumnOrName, pro
     base = df.select(*by, finite(value).alias("__v")).where(F.col("__v").isNotNull())
     eps = 4.0 / accuracy
     marks = [max(probs[n] - eps, 0.0) for n in names] + [min(probs[n] + eps, 1.0) for n in names]
-    sketch = base.groupBy(*by).agg(
-        F.percentile_approx("__v", F.array(*[F.lit(p) for p in marks]), accuracy).alias("__q"),
-        F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    sizes = base.groupBy(*by).agg(F.count("*").alias("__n"))
+    # Only groups above WHOLE rows are sketched; without any, AQE drops this branch.
+    large = sizes.where(F.col("__n") > WHOLE).select(*[F.col(b).alias(f"__k_{b}") for b in by])
+    sketch = base.join(large, _same(by), "left_semi").groupBy(*by).agg(
+        F.percentile_approx("__v", F.array(*[F.lit(p) for p in marks]), accuracy).alias("__q"))
     brackets = []
-    # Below WHOLE rows the bracket would be narrower than one rank; such a group is ordered as it is.
-    whole = F.col("__n") <= WHOLE
-    for i, n in enumerate(names):
-        lo = F.col("__min") if marks[i] == 0.0 else F.when(whole, F.col("__min")).otherwise(F.col("__q")[i])
+    for i in range(len(names)):
         j = len(names) + i
-        hi = F.col("__max") if marks[j] == 1.0 else F.when(whole, F.col("__max")).otherwise(F.col("__q")[j])
+        lo = F.lit(float("-inf")) if marks[i] == 0.0 else F.col("__q")[i]
+        hi = F.lit(float("inf")) if marks[j] == 1.0 else F.col("__q")[j]
         brackets.append(F.struct(lo.alias("lo"), hi.alias("hi")))
-    sketch = sketch.select(*[F.col(b).alias(f"__k_{b}") for b in by], "__n", F.array(*brackets).alias("__br"))
-    on = F.lit(True)
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
-    # With no group key the sketch is a single row.
-    joined = base.join(sketch if by else F.broadcast(sketch), on, "inner")
-    inside = F.exists("__br", lambda s: F.col("__v").between(s["lo"], s["hi"]))
+    sketch = sketch.select(*by, F.array(*brackets).alias("__br"))
+    key = [F.col(b).alias(f"__k_{b}") for b in by]
+    # With no group key both sides are single rows.
+    joined = base.join(sizes.select(*key, "__n") if by else F.broadcast(sizes), _same(by)).drop(*[f"__k_{b}" for b in by])
+    joined = joined.join(sketch.select(*key, "__br") if by else F.broadcast(sketch), _same(by), "left")
+    inside = F.coalesce(F.exists("__br", lambda s: F.col("__v").between(s["lo"], s["hi"])), F.lit(True))
     below = F.array_max(F.filter(F.transform("__br", lambda s: s["hi"]), lambda h: h < F.col("__v")))
     cell = joined.select(
         *by, F.when(inside, F.col("__v")).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("__x"),

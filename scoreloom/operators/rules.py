@@ -187,8 +187,15 @@ def _drop(key: str, by: float) -> Callable[[Scores, Scores], Column]:
     return lambda cur, prev: cur(key) - prev(key) < -by
 
 
-def _get(cur: str):
-    return lambda key: finite_or_null(F.try_element_at(F.col(cur), F.lit(key)))
+# Keys the rules look at, per score map; each is read from its map once, into a column of its own.
+_KEYS: dict[str, set[str]] = {}
+
+
+def _get(scores: str):
+    def read(key: str) -> Column:
+        _KEYS.setdefault(scores, set()).add(key)
+        return F.col(f"`__{scores}:{key}`")
+    return read
 
 
 def finite_or_null(c: Column) -> Column:
@@ -288,7 +295,8 @@ def advise(df: DataFrame, rules: Sequence[Rule], cur: str = "cur", prev: str = "
             args.alias("args"), target.alias("target"), F.lit(r.priority).alias("priority"))))
     fired = F.filter(F.array(*arms), lambda s: s.isNotNull())
     keep = [x for x in df.columns if x not in (cur, prev, "stems", "sections")]
-    return df.select(*keep, F.inline(fired))
+    flat = {f"__{m}:{k}": finite_or_null(F.try_element_at(F.col(m), F.lit(k))) for m in (cur, prev) for k in sorted(_KEYS.get(m, ()))}
+    return df.withColumns(flat).select(*keep, F.inline(fired))
 
 
 # --- rating screens and tiers --------------------------------------------------------------------

@@ -119,23 +119,16 @@ def median_bandwidth(ref: DataFrame, ident: str, vector: str = "embedding", bins
     return ranked.where((F.col("r") == lo) | (F.col("r") == hi)).agg((F.avg("d") + 1e-9).alias("sigma"))
 
 
-def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
-                vector: str = "embedding", block: int = BLOCK, cut: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(within, cross): Gaussian kernel sums per song pair of each arm, and per song against the whole reference.
-
-    Computed once: with ``cut`` the bandwidth and the sums are written to the shared folder, and every bootstrap
-    replicate reuses them with its resample counts.
-    """
+def within_kernel(x: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
+                  vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Gaussian kernel sums per song pair of each arm, self pairs included."""
     by = list(by)
-    sigma = materialize(sigma, "sigma") if cut else sigma
     xs = x.select(*by, song, ident, vector).join(F.broadcast(sigma), F.lit(True))
-    left, right = _self_cells(xs, by, [song, ident, vector, "sigma"], ident, block)
-    keys = [*by, "__i", "__j"]
+    left, right = _self_cells(xs, by, [song, vector, "sigma"], ident, block)
 
-    def within(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in [*by, "song_a", "song_b", "k"]})
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return empty
+            return pd.DataFrame({c: [] for c in [*by, "song_a", "song_b", "k"]})
         k = np.exp(-_sq_dist(_matrix(a[vector]), _matrix(b[vector])) / (2.0 * a["sigma"].iloc[0] ** 2))
         sa, ua = pd.factorize(a[song])
         sb, ub = pd.factorize(b[song])
@@ -152,12 +145,17 @@ def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str
 
     st = x.schema[song].dataType.simpleString()
     schema = ", ".join(filter(None, [_types(x, by), f"song_a {st}, song_b {st}, k double"]))
-    kxx = _cogroup(left, right, keys, within, schema).groupBy(*by, "song_a", "song_b").agg(F.sum("k").alias("k"))
-    kxx = materialize(kxx, "kernel") if cut else kxx
+    return _cogroup(left, right, [*by, "__i", "__j"], cell, schema).groupBy(*by, "song_a", "song_b").agg(F.sum("k").alias("k"))
+
 
+def cross_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
+                 vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Per song: kernel sum against the whole reference, its vectors and the size of the reference."""
+    by = list(by)
+    xs = x.select(*by, song, ident, vector).join(F.broadcast(sigma), F.lit(True))
     left, right = _cross_cells(xs, ref, by, [song, vector, "sigma"], ident, vector, block)
 
-    def cross(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in [*by, song, "k"]})
         k = np.exp(-_sq_dist(_matrix(a[vector]), _matrix(b["__rv"])) / (2.0 * a["sigma"].iloc[0] ** 2)).sum(1)
@@ -166,12 +164,21 @@ def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str
             g[c] = a[c].iloc[0]
         return g[[*by, song, "k"]]
 
+    st = x.schema[song].dataType.simpleString()
     schema = ", ".join(filter(None, [_types(x, by), f"{song} {st}, k double"]))
-    kxy = _cogroup(left, right, keys, cross, schema).groupBy(*by, song).agg(F.sum("k").alias("k"))
+    kxy = _cogroup(left, right, [*by, "__i", "__j"], cell, schema).groupBy(*by, song).agg(F.sum("k").alias("k"))
     sizes = x.groupBy(*by, song).agg(F.count("*").alias("n_vectors"))
     n_ref = ref.agg(F.count("*").alias("n_ref"))
-    out = attach(sizes, kxy, [*by, song]).join(F.broadcast(n_ref), F.lit(True))
-    return kxx, materialize(out, "kernel-ref") if cut else out
+    return attach(sizes, kxy, [*by, song]).join(F.broadcast(n_ref), F.lit(True))
+
+
+def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
+                vector: str = "embedding", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(within, cross) kernel sums, computed once and written to the shared folder: every bootstrap replicate reuses
+    them with its resample counts."""
+    args = (sigma, by, song, ident, vector, block)
+    return (materialize(within_kernel(x, *args), "kernel"),
+            materialize(cross_kernel(x, ref, *args), "kernel-ref"))
 
 
 def pairwise_sq_dist(x: DataFrame, ref: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
@@ -199,9 +206,9 @@ def pairwise_sq_dist(x: DataFrame, ref: DataFrame, by: Sequence[str] = ("run",),
 def reference_term(ref: DataFrame, sigma: DataFrame, ident: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row ``syy``: mean kernel over the different pairs of the reference."""
     one = ref.select(F.lit(0).alias("run"), F.lit(0).alias("song"), ident, vector)
-    kxx, cross = song_kernel(one, ref, sigma, ("run",), "song", ident, vector, block)
-    j = kxx.join(F.broadcast(cross.select("run", F.col("n_vectors").cast("double").alias("m"))), "run")
-    # One row: the reference is one arm with one song.
+    k = within_kernel(one, sigma, ("run",), "song", ident, vector, block).agg(F.sum("k").alias("k"))
+    # Both sides are single rows.
+    j = k.join(F.broadcast(ref.agg(F.count("*").cast("double").alias("m"))), F.lit(True))
     return j.select(F.when(F.col("m") > 1, (F.col("k") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).otherwise(0.0).alias("syy"))
 
 

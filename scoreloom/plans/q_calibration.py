@@ -112,3 +112,8 @@ def chunk_mean_score(t):
       round(quantile_cont(greatest(sb_std_measured, 0.316), 0.5), 6) FROM calib""", CAL)
 def floor_rate(t):
     return r6(C.floor_rate(floored(t)), "floor_rate", "median_std")
+
+
+@query("reward", "SELECT song, pq, sb, round(0.2 * z_pq + 0.8 * z_sb, 6) AS reward FROM zpool", Z)
+def reward(t):
+    return r6(t.zpool().select("song", "pq", "sb", C.reward("weighted", weight=0.2).alias("reward")), "reward")

@@ -259,3 +259,25 @@ def action_fingerprint(t):
 def state_lineage_id(t):
     out = A.state_lineage_id(t.replayed().where("accepted"), ["song"], "step", "action")
     return out.select("song", "step", F.substring("state_id", 1, 16).alias("state_id"))
+
+
+@query("db_to_gain", "SELECT event_id, round(pow(10, value / 200), 9) AS gain FROM events")
+def db_to_gain(t):
+    return t.events.select("event_id", F.round(S.db_to_gain(F.col("value") / 10), 9).alias("gain"))
+
+
+@query("gain_to_db", "SELECT event_id, round(20 * log10(value + 1e-12), 6) AS db FROM events")
+def gain_to_db(t):
+    return t.events.select("event_id", F.round(S.gain_to_db("value"), 6).alias("db"))
+
+
+@query("rms_db", "SELECT event_id, round(10 * log10(greatest(value * value, 1e-14)), 6) AS db FROM events")
+def rms_db(t):
+    return t.events.select("event_id", F.round(S.rms_db(F.col("value") * F.col("value")), 6).alias("db"))
+
+
+@query("top_label", """
+    SELECT vec_id, CASE list_position(embedding, list_max(embedding)) WHEN 1 THEN 'rock' WHEN 2 THEN 'pop'
+           ELSE CAST(list_position(embedding, list_max(embedding)) - 1 AS VARCHAR) END AS label FROM embeddings""")
+def top_label(t):
+    return t.embeddings.select("vec_id", S.top_label("embedding", ["rock", "pop"])["label"].alias("label"))

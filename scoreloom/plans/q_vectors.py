@@ -28,9 +28,13 @@ def arms(t):
     return v.where("run > 0"), v.where("run = 0")
 
 
+def bandwidth(ref):
+    return materialize(V.median_bandwidth(ref, "vec_id", block=64), "sigma")
+
+
 def kernel(x, ref):
-    sigma = materialize(V.median_bandwidth(ref, "vec_id", block=32), "sigma")
-    return V.song_kernel(x, ref, sigma, block=128), V.reference_term(ref, sigma)
+    sigma = bandwidth(ref)
+    return V.song_kernel(x, ref, sigma, block=128), V.reference_term(ref, sigma, block=128)
 
 
 @query("cosine", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
@@ -57,12 +61,14 @@ def median_bandwidth(t):
 
 @query("song_kernel", f"WITH {KER} SELECT run, song_a, song_b, round(k, 6) AS k FROM kxx")
 def song_kernel(t):
-    return r6(kernel(*arms(t))[0][0], "k")
+    x, ref = arms(t)
+    return r6(V.within_kernel(x, bandwidth(ref), block=128), "k")
 
 
 @query("song_kernel_cross", f"WITH {KER} SELECT run, song, round(k, 6) AS k, n AS n_vectors, m AS n_ref FROM kxy")
 def song_kernel_cross(t):
-    return r6(kernel(*arms(t))[0][1], "k")
+    x, ref = arms(t)
+    return r6(V.cross_kernel(x, ref, bandwidth(ref), block=128), "k")
 
 
 @query("mmd2_unbiased", f"""WITH {KER}, s AS (SELECT run, sum(k) AS k, sum(n) AS n, any_value(m) AS m FROM kxy GROUP BY 1), t AS (SELECT run, sum(k) AS kk FROM kxx GROUP BY 1)
@@ -145,3 +151,11 @@ def similar_cases(t):
         (F.col("p_retailprice") / 1000 - 0.9).alias("reward_delta"), size.alias("n_observations"))
     out = V.similar_cases(c, V.CaseQuery("rock", ["red", "gear"], {"a": 3.0, "b": -2.0}, "chorus"), 25, 0.01)
     return r6(out.select("case_id", "similarity", "score"), "score")
+
+
+@query("embedding_distance", f"""WITH {EMB} SELECT e.vec_id, round(1 - list_inner_product(e.v, c.v) / (sqrt(list_inner_product(e.v, e.v)) *
+    sqrt(list_inner_product(c.v, c.v)) + 1e-9), 6) AS distance FROM e JOIN e c ON c.vec_id = e.run""")
+def embedding_distance(t):
+    e = t.embeddings
+    head = e.select(F.col("vec_id").cast("int").alias("label"), F.col("embedding").alias("other"))
+    return e.join(head, "label").select("vec_id", F.round(S.embedding_distance("embedding", "other"), 6).alias("distance"))
