@@ -11,6 +11,7 @@ from scoreloom.functions import tables as TB
 from scoreloom.functions.scalars import clip_gain, finite, is_vocal
 from scoreloom.operators.joins import attach, pair_all_arms
 from scoreloom.operators.quantiles import exact_median, exact_percentiles
+from scoreloom.session import materialize
 
 
 def sdr_db(df: DataFrame, by: Sequence[str], ref: str, est: str, eps: float = 1e-12) -> DataFrame:
@@ -249,6 +250,7 @@ def z_delta(chains: DataFrame, inits: DataFrame, arms: Sequence[str], key: Seque
     each axis is recovered from the single-axis arms; cells whose fit or whose min-arm check fails are left out.
     """
     key = list(key)
+    chains, inits = materialize(chains, "chains"), materialize(inits, "inits")
     cells = pair_all_arms(inits, list(arms), key, "arm")
     fp = axis_fit(chains.where(F.col("arm") == "pq_only"), key, "pq").select(
         *key, F.col("mu").alias("mu_p"), F.col("sigma").alias("sg_p"), F.col("max_resid").alias("__rp"))
@@ -258,7 +260,7 @@ def z_delta(chains: DataFrame, inits: DataFrame, arms: Sequence[str], key: Seque
     low = chains.where((F.col("arm") == "min") & (F.col("step") < check_steps)).join(fits, key)
     z = F.least((F.col("pq") - F.col("mu_p")) / F.col("sg_p"), (F.col("sb") - F.col("mu_s")) / F.col("sg_s"))
     broken = low.where(F.abs(z - F.col("reward")) > check_tol).select(*key)
-    fits = fits.join(broken, key, "left_anti")
+    fits = materialize(fits.join(broken, key, "left_anti"), "fits")
     init = cells.where(F.col("arm") == "pq_only").select(*key, F.col("init_reward").alias("__ip")).join(
         cells.where(F.col("arm") == "sb_only").select(*key, F.col("init_reward").alias("__is")), key)
     base = fits.join(init, key).withColumns({

@@ -144,7 +144,7 @@ def exclude_bad_screens(alive: DataFrame, mushra: DataFrame, cfg: Screening = Sc
 
 
 def exclude_speeders(alive: DataFrame, times: DataFrame, cfg: Screening = Screening()) -> DataFrame:
-    f = attach(alive, times, KEY)
+    f = materialize(attach(alive, times, KEY), "times")
     return _with_median_time(f).where(F.col("total_sec") < cfg.speeder_factor * F.col("__med")).select("listener")
 
 
@@ -159,18 +159,21 @@ def exclude_unreliable(alive: DataFrame, afc: DataFrame, cfg: Screening = Screen
 
 
 def exclude_outliers(alive: DataFrame, mushra: DataFrame, cfg: Screening = Screening()) -> DataFrame:
-    f = listener_means(mushra.join(alive, KEY, "left_semi"))
+    f = materialize(listener_means(mushra.join(alive, KEY, "left_semi")), "means")
     return _with_fences(f, cfg).where(_outside()).select("listener")
 
 
 def _with_fences(f: DataFrame, cfg: Screening) -> DataFrame:
+    return f.join(F.broadcast(_fences(f, cfg)), F.lit(True), "left")
+
+
+def _fences(f: DataFrame, cfg: Screening) -> DataFrame:
     q = exact_percentiles(f, [], "mean_score", {"__q1": 0.25, "__q3": 0.75})
     n = f.agg(F.count("mean_score").alias("__n"))
     iqr = F.col("__q3") - F.col("__q1")
-    fences = q.join(F.broadcast(n), F.lit(True)).select(
+    return q.join(F.broadcast(n), F.lit(True)).select(
         F.when(F.col("__n") >= 4, F.col("__q1") - cfg.iqr_k * iqr).alias("__lo"),
         F.when(F.col("__n") >= 4, F.col("__q3") + cfg.iqr_k * iqr).alias("__hi"))
-    return f.join(F.broadcast(fences), F.lit(True), "left")
 
 
 def _outside() -> Column:
@@ -195,13 +198,16 @@ def assign_stages(features: DataFrame, cfg: Screening = Screening(), cut: bool =
     f = f.join(F.broadcast(on), F.lit(True), "left") if on is not None else f.withColumn("__on", F.lit(cfg.afc_block_expected))
     f = f.withColumn("stage", F.coalesce("stage", F.when(_incomplete(cfg, F.col("__on")), STAGES[2]).when(
         F.col("fail_frac") > cfg.screen_fail_frac, STAGES[3]))).drop("__on")
+    f = materialize(f, "stage3") if cut else f
     med = exact_percentiles(f.where(open_ & (F.col("total_sec") > 0)), [], "total_sec", {"__med": 0.5})
     f = f.join(F.broadcast(med), F.lit(True), "left")
     f = f.withColumn("stage", F.coalesce("stage", F.when(F.col("total_sec") < cfg.speeder_factor * F.col("__med"), STAGES[4]).when(
         F.col("agreement") < cfg.repeat_agree_min, STAGES[5]))).drop("__med")
-    fences = _with_fences(f.where(open_ & F.col("mean_score").isNotNull()), cfg).select("listener", "__lo", "__hi")
-    f = attach(f, fences, KEY)
-    return f.withColumn("stage", F.coalesce("stage", F.when(_outside(), STAGES[6]))).drop("__lo", "__hi")
+    f = materialize(f, "stage5") if cut else f
+    fences = _fences(f.where(open_ & F.col("mean_score").isNotNull()), cfg)
+    f = f.join(F.broadcast(fences), F.lit(True), "left")
+    f = f.withColumn("stage", F.coalesce("stage", F.when(_outside(), STAGES[6]))).drop("__lo", "__hi")
+    return materialize(f, "stages") if cut else f
 
 
 def exclusion_table(assigned: DataFrame) -> DataFrame:

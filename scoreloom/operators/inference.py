@@ -15,6 +15,7 @@ from scoreloom.operators.joins import attach, match_repeats, rater_pairs, subset
 from scoreloom.operators.logs import rank_no_ties
 from scoreloom.operators.quantiles import value_splits
 from scoreloom.operators.scan import prefix_scan, running_sum
+from scoreloom.session import materialize
 
 
 # --- paired arms ---------------------------------------------------------------------------------
@@ -50,8 +51,9 @@ def wilcoxon_signed_rank(df: DataFrame, by: Sequence[str], value: str) -> DataFr
     x = F.round(F.abs(d), 12)
     mags = df.where(d.isNotNull() & (x > 0)).groupBy(*by, x.alias("__v")).agg(
         F.count("*").alias("__c"), F.count_if(d > 0).alias("__p"))
+    mags = materialize(mags, "magnitudes")
     splits = value_splits(mags, by, "__v")
-    blocked = attach(mags, splits, by) if by else mags.crossJoin(F.broadcast(splits))
+    blocked = attach(mags, splits, by) if by else mags.join(F.broadcast(splits), F.lit(True))
     blocked = blocked.withColumn("__vb", F.size(F.filter("__splits", lambda s: s < F.col("__v")))).drop("__splits")
     ranked = prefix_scan(blocked, by, [F.asc("__v")], F.col("__vb"), {"__before": running_sum("__c", inclusive=False)})
     c = F.col("__c").cast("double")
@@ -253,13 +255,13 @@ def metric_vs_human(auto: DataFrame, human: DataFrame, item: str = "item") -> Da
 
     ``auto``: item, metric, score; ``human``: item, value. Metrics that miss a shared item are left out.
     """
-    h = human.join(auto.select(item), item, "left_semi")
+    h = materialize(human.join(auto.select(item), item, "left_semi"), "human")
     j = auto.join(h, item)
     total = h.agg(F.count("*").alias("__all"))
     full = j.groupBy("metric").agg(F.count("*").alias("n")).join(F.broadcast(total), F.col("n") == F.col("__all")).select("metric", "n")
     # A complete metric covers exactly the shared items, so the human ranks are the same for all of them.
-    ranked = rank_no_ties(auto.join(full.select("metric"), "metric", "left_semi").join(h.select(item), item, "left_semi"),
-                          ["metric"], "score", item, name="__ra")
+    complete = auto.join(full.select("metric"), "metric", "left_semi").join(h.select(item), item, "left_semi")
+    ranked = rank_no_ties(materialize(complete, "auto"), ["metric"], "score", item, name="__ra")
     human_ranks = rank_no_ties(h, [], "value", item, name="__rh")
     out = ranked.join(human_ranks, item).groupBy("metric").agg(
         F.count("*").alias("n"), F.corr("__ra", "__rh").alias("spearman"),

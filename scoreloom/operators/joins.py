@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ColumnOrName, col, file_stem
+from scoreloom.session import materialize
 
 
 def attach(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def arm_gap(a: DataFrame, b: DataFrame, key: Sequence[str], samples: int = 3) ->
         only = x.select(*key).distinct().join(y.select(*key), list(key), "left_anti")
         first = only.orderBy(*key).limit(samples).agg(
             F.array_sort(F.collect_list(F.struct(*key))).alias("sample"))
-        return only.agg(F.count("*").alias("n")).crossJoin(first).select(F.lit(name).alias("side"), "n", "sample")
+        return only.agg(F.count("*").alias("n")).join(F.broadcast(first), F.lit(True)).select(F.lit(name).alias("side"), "n", "sample")
     return side(a, b, "only_a").unionByName(side(b, a, "only_b"))
 
 
@@ -183,6 +184,7 @@ def nearest_event(starts: DataFrame, events: DataFrame, by: Sequence[str], start
     both = s.unionByName(e)
     block = F.floor(F.col("__t") / width).cast("bigint")
     fwd = prefix_scan(both, by, [F.asc("__t"), F.asc("__kind")], block, {"__prev": running_last("__ev")})
+    fwd = materialize(fwd, "neighbours")
     # Backwards an event at the very same time is already the forward neighbour.
     bwd = prefix_scan(fwd, by, [F.desc("__t"), F.desc("__kind")], block, {"__next": running_last("__ev")}, backwards=True)
     out = bwd.where(F.col("__kind") == 1)

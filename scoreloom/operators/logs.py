@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ColumnOrName, col, nan_to_null
 from scoreloom.operators.joins import attach
-from scoreloom.operators.scan import (ordinal, prefix_scan, previous, running_count, running_last, running_max,
-                                      running_sum, step_block)
+from scoreloom.operators.scan import (ordinal, prefix_scan, previous, running_last, running_max, running_sum,
+                                      step_block)
+from scoreloom.session import materialize
 
 BY = ("song",)
 STEP = "step"
@@ -330,10 +331,10 @@ def rank_no_ties(df: DataFrame, by: Sequence[str], value: str, tie: str, tie_row
     """0-based order rank without averaging; equal values are ranked by ``tie`` (a numeric id)."""
     from scoreloom.operators.quantiles import value_splits
     splits = value_splits(df, by, value)
-    ranked = attach(df, splits, by) if by else df.crossJoin(F.broadcast(splits))
+    ranked = attach(df, splits, by) if by else df.join(F.broadcast(splits), F.lit(True))
     block = F.size(F.filter("__splits", lambda s: s < F.col(value)))
     # Ties may hold most rows, so a value block is cut further by the value itself and the id range.
-    ranked = ranked.withColumn("__vb", block).drop("__splits")
+    ranked = materialize(ranked.withColumn("__vb", block).drop("__splits"), "rank-blocks")
     out = ordinal(ranked, by, [F.asc(value), F.asc(tie)],
                   [F.col("__vb"), F.col(value), F.floor(F.col(tie) / tie_rows)], name)
     return out.withColumn(name, F.col(name) - 1).drop("__vb")

@@ -18,7 +18,7 @@ from scoreloom.functions.scalars import ColumnOrName, finite
 
 
 # Groups up to this size are put in order as they are.
-WHOLE = 20000
+WHOLE = 100_000
 
 
 def _same(by: Sequence[str]):
@@ -29,7 +29,7 @@ def _same(by: Sequence[str]):
 
 
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: ColumnOrName, probs: dict[str, float],
-                      accuracy: int = 10000, lower: bool = False) -> DataFrame:
+                      accuracy: int = 100_000, lower: bool = False) -> DataFrame:
     """One row per group with the linearly interpolated percentiles (``lower``: the element at floor(n·p)).
 
     A group without finite values gives no row.

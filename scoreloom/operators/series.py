@@ -17,6 +17,7 @@ from scoreloom.functions.scalars import rms_db
 from scoreloom.operators.joins import attach
 from scoreloom.operators.quantiles import exact_percentiles
 from scoreloom.operators.scan import BLOCK_ROWS, prefix_scan, previous, running_count, running_sum
+from scoreloom.session import materialize
 
 
 def section_windows(bounds: DataFrame, ends: DataFrame, by: Sequence[str], whole: str = "whole") -> DataFrame:
@@ -144,7 +145,7 @@ def best_excerpt(frames: DataFrame, stems: Sequence[str], length: float, hop: fl
     wide = hi0 <= lo0
     per_song = per_song.withColumns({"__lo": F.when(wide, F.lit(0).cast("bigint")).otherwise(lo0), "__hi": F.when(wide, free).otherwise(hi0)})
     reason = F.coalesce(lacking, F.when(n <= w_fr + 2, "too_short").when(F.col("__hi") <= F.col("__lo"), "no_valid_window"))
-    per_song = per_song.withColumn("__reason", reason)
+    per_song = materialize(per_song.withColumn("__reason", reason), "excerpt-songs")
     # The p95 of a stem is taken over its whole series, before the series are cut to a common length.
     rel = stem_presence(seen.where(F.col("stem") != "mixture"), [song, "stem"])
     lens = per_song.where(F.col("__reason").isNull()).select(song, "n_frames", "__lo", "__hi")
@@ -206,6 +207,7 @@ def energy_boundaries(frames: DataFrame, by: Sequence[str], index: str, at: str,
     cand = attach(diff, counts, by).where(ok & F.col("__p").isNotNull()).select(
         *by, F.abs(F.col(value) - F.col("__p.v.x")).alias("__d"), F.col(index).alias("__i"), F.col(at).cast("double").alias("__t"))
     # The picks of a key form an array of at most n-1 times, so a round is one aggregate and one filter.
+    cand = materialize(cand, "level-changes")
     picks = counts.select(*by, F.array().cast("array<double>").alias("__picks"), ok.alias("__ok"))
     for _ in range(n_sections - 1):
         far = F.forall("__picks", lambda p: F.abs(F.col("__t") - p) >= min_gap)
@@ -213,6 +215,7 @@ def energy_boundaries(frames: DataFrame, by: Sequence[str], index: str, at: str,
             F.max_by("__t", F.struct("__d", "__i")).alias("__new"))
         picks = attach(picks, best, by).withColumn(
             "__picks", F.when(F.col("__new").isNull(), F.col("__picks")).otherwise(F.array_append("__picks", F.col("__new")))).drop("__new")
+        picks = materialize(picks, "picks")
     names = F.array(*[F.lit(x) for x in labels])
     rows = F.transform(F.array_sort("__picks"), lambda p, i: F.struct(
         p.alias("start_sec"), F.coalesce(F.get(names, i), F.concat(F.lit("section_"), (i + 1).cast("string"))).alias("label")))
@@ -234,11 +237,12 @@ def merge_boundaries(bounds: DataFrame, by: Sequence[str], min_sec: float, durat
     block = F.floor(F.col("__t") / width).cast("bigint")
     rows = prefix_scan(rows, by, [F.asc("__t")], block, {"__p": previous("__t")})
     starts = F.coalesce(F.col("__t") - F.col("__p.v") >= min_sec, F.lit(True)).cast("bigint")
-    rows = prefix_scan(rows.withColumn("__new", starts), by, [F.asc("__t")], block, {"__cluster": running_sum("__new")})
+    rows = materialize(rows.select(*by, "__t", starts.alias("__new")), "boundary-starts")
+    rows = prefix_scan(rows, by, [F.asc("__t")], block, {"__cluster": running_sum("__new")})
     packed = rows.groupBy(*by, "__cluster").agg(F.array_sort(F.collect_list("__t")).alias("__a"))
     fold = F.aggregate(F.slice("__a", 2, F.greatest(F.size("__a"), F.lit(1))), F.slice("__a", 1, 1), lambda acc, x: F.when(
         x - F.element_at(acc, -1) >= min_sec, F.array_append(acc, x)).otherwise(acc))
-    kept = packed.select(*by, F.explode(fold).alias("start_sec"))
+    kept = materialize(packed.select(*by, F.explode(fold).alias("start_sec")), "boundaries")
     last = attach(items, kept.groupBy(*by).agg(F.max("start_sec").alias("__last")), by)
     kept = attach(kept, last, by).where(
         (F.col("start_sec") < F.col("__last")) | (F.col("start_sec") == 0) | (F.col("__d") - F.col("__last") >= min_sec))

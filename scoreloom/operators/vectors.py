@@ -253,6 +253,7 @@ def bootstrap_diff(replicates: DataFrame, songs: DataFrame, a: object, b: object
     d = replicates.where(F.col(arm) == a).select("rep", F.col("mmd2").alias("__a")).join(
         replicates.where(F.col(arm) == b).select("rep", F.col("mmd2").alias("__b")), "rep")
     d = require(d.select(F.lit(f"{a} - {b}").alias("pair"), (F.col("__a") - F.col("__b")).alias("diff")), gap, "arms differ in songs")
+    d = materialize(d, "differences")
     out = bootstrap_ci(d, ["pair"], "diff")
     return out.withColumn("excludes_zero", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import epoch_us
 from scoreloom.operators.scan import ordinal, time_block
+from scoreloom.session import materialize
 
 CTES = {
     "ratings": """
@@ -83,11 +84,12 @@ class Tables:
             F.get_json_object("props", "$.k").cast("double").alias("sb"), F.col("value").alias("reward"),
             "ts", "event_id")
         steps = ordinal(ev, ["song"], [F.asc("ts"), F.asc("event_id")], time_block("ts", 86400))
-        return steps.withColumn("step", F.col("rn") - 1).drop("rn")
+        # A log with step numbers is a table of its own; every operator on it reads it more than once.
+        return materialize(steps.withColumn("step", F.col("rn") - 1).drop("rn"), "search-log")
 
     def replayed(self) -> DataFrame:
         from scoreloom.operators.logs import replay_acceptance
-        return replay_acceptance(self.search_log(), init=10.0)
+        return materialize(replay_acceptance(self.search_log(), init=10.0), "replayed")
 
     def pool(self) -> DataFrame:
         return self.read("lineitem").select(
@@ -132,7 +134,7 @@ class Tables:
         ev = self.read("events")
         sec = epoch_us("ts") / F.lit(1e6)
         start = ev.groupBy("user_id").agg(F.min(sec).alias("t0"))
-        return (ev.join(start, "user_id").select(
+        return materialize(ev.join(start, "user_id").select(
             F.col("user_id").alias("song"), F.col("event_type").alias("stem"), "ts", "event_id",
             (sec - F.col("t0")).alias("t_sec"), F.col("value").alias("level"),
-            (20 * F.log10("value")).alias("rms_db")))
+            (20 * F.log10("value")).alias("rms_db")), "frames")

@@ -7,6 +7,7 @@ from scoreloom.operators.scan import ordinal, time_block
 from scoreloom.plans.q_aggregates import r6
 from scoreloom.plans.q_joins import SECTIONS, sections
 from scoreloom.plans.registry import query
+from scoreloom.session import materialize
 
 FR, LOG = ["frames"], ["search_log"]
 
@@ -73,7 +74,7 @@ def stem_frames(t):
     e = t.events.select((F.col("user_id") % 10).alias("song"), F.when(F.col("event_type") == "purchase", "mixture")
                         .otherwise(F.col("event_type")).alias("stem"), "ts", "event_id", (20 * F.log10("value")).alias("rms_db"))
     f = ordinal(e, ["song", "stem"], [F.asc("ts"), F.asc("event_id")], time_block("ts", 86400))
-    return f.select("song", "stem", (F.col("rn") - 1).alias("frame_idx"), "rms_db")
+    return materialize(f.select("song", "stem", (F.col("rn") - 1).alias("frame_idx"), "rms_db"), "stem-frames")
 
 
 @query("best_excerpt", """WITH f AS (SELECT user_id % 10 AS song, CASE event_type WHEN 'purchase' THEN 'mixture' ELSE event_type END AS stem,

@@ -41,7 +41,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing a table to the shared folder and reading it back."""
+    """Cut the lineage by writing a table to the shared folder and reading it back.
+
+    Used where an operator reads an intermediate result several times (a scan and its carry, a statistic and the rows
+    it is compared with): without the cut, Spark would compute everything below once per use, and stacked operators
+    would multiply that. The table survives lost executors.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
