@@ -51,7 +51,7 @@ CTES = {
     "frames": """
         SELECT user_id AS song, event_type AS stem, ts, event_id,
                epoch_us(ts) / 1e6::DOUBLE - min(epoch_us(ts) / 1e6::DOUBLE) OVER (PARTITION BY user_id) AS t_sec,
-               value AS level, 20 * log10(value) AS rms_db FROM events""",
+               value AS level, CASE WHEN value > 0 THEN 20 * log10(value) END AS rms_db FROM events""",
 }
 
 

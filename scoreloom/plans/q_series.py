@@ -78,7 +78,7 @@ def stem_frames(t):
 
 
 @query("best_excerpt", """WITH f AS (SELECT user_id % 10 AS song, CASE event_type WHEN 'purchase' THEN 'mixture' ELSE event_type END AS stem,
-      20 * log10(value) AS db, row_number() OVER (PARTITION BY user_id % 10, event_type ORDER BY ts, event_id) - 1 AS i FROM events),
+      CASE WHEN value > 0 THEN 20 * log10(value) END AS db, row_number() OVER (PARTITION BY user_id % 10, event_type ORDER BY ts, event_id) - 1 AS i FROM events),
     c AS (SELECT song, min(n) AS n, max(n) FILTER (stem = 'mixture') AS mn, count(*) AS k FROM (SELECT song, stem, count(*) AS n FROM f
       GROUP BY 1, 2) GROUP BY 1),
     l AS (SELECT *, CAST(round_even(0.15 * n, 0) AS BIGINT) AS lo0, least(CAST(round_even(0.88 * n, 0) AS BIGINT) - 40, 120) AS hi0 FROM c),

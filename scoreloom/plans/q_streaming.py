@@ -23,14 +23,14 @@ def plain(c):
 
 
 @query("stream_telemetry", """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events)
-    SELECT w AS start, event_type AS which, count(*) AS requests, round(avg(value), 6) AS mean_sec, max(value) AS max_sec,
+    SELECT w AS start, event_type AS which, count(*) AS requests, round(avg(value), 9) AS mean_sec, max(value) AS max_sec,
       count(*) FILTER (CAST(json_extract(props, '$.k') AS INT) < 10) AS errors, round(count(*) / 21600, 9) AS rate
     FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM events), m WHERE w + INTERVAL 6 HOUR <= wm GROUP BY 1, 2""")
 def stream_telemetry(t):
     s = stream(t).select("ts", F.col("event_type").alias("which"), F.col("value").alias("sec"),
                          (F.get_json_object("props", "$.k").cast("int") >= 10).alias("ok"))
     out = S.run_append(M.stream_telemetry(s, "6 hours", "2 hours"), "telemetry")
-    return r6(out.select(plain("window.start"), "which", "requests", F.round("mean_sec", 6).alias("mean_sec"), "max_sec", "errors", "rate"), "rate", digits=9)
+    return r6(out.select(plain("window.start"), "which", "requests", F.round("mean_sec", 9).alias("mean_sec"), "max_sec", "errors", "rate"), "rate", digits=9)
 
 
 @query("stream_sliding_levels", """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events), x AS (SELECT user_id % 10 AS song, value * value AS e,
