@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scoreloom.functions.scalars import epoch_us
 from scoreloom.plans.q_aggregates import r6
 from scoreloom.plans.registry import query
 from scoreloom.session import scratch_path
@@ -10,16 +11,22 @@ from scoreloom.streaming import runner as S
 
 
 def stream(t, name="events"):
-    """The table file as a streaming source; session time zone is UTC, so plain timestamps keep their value."""
+    """The table file as a streaming source. Event time must be an instant; zone-less stamps are taken as UTC."""
     table = t.read(name)
     s = t.spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
     if name == "events":
-        s = s.withColumn("ts", F.col("ts").cast("timestamp"))
+        s = s.withColumn("ts", F.timestamp_micros(epoch_us("ts")))
     return s
 
 
 def plain(c):
-    return F.col(c).cast("timestamp_ntz").alias(c.split(".")[-1])
+    """The instant as a zone-less UTC stamp."""
+    local = F.col(c).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local).alias(c.split(".")[-1])
+
+
+def instant(text):
+    return F.timestamp_micros(epoch_us(F.lit(text).cast("timestamp_ntz")))
 
 
 @query("stream_telemetry", """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events)
@@ -104,10 +111,10 @@ def stream_verdict_match(t):
 @query("stream_heartbeats", """SELECT 'm' || user_id % 40 AS metric, max(ts) AS last_success, count(*) AS n, date_diff('second', max(ts), TIMESTAMP '2024-02-06 12:00:00') > 604800 AS stale
     FROM events WHERE event_type <> 'error' AND NOT (user_id % 40 < 8 AND ts > TIMESTAMP '2024-01-15') GROUP BY 1""")
 def stream_heartbeats(t):
-    quiet = (F.col("user_id") % 40 < 8) & (F.col("ts") > F.lit("2024-01-15").cast("timestamp"))
+    quiet = (F.col("user_id") % 40 < 8) & (F.col("ts") > instant("2024-01-15 00:00:00"))
     s = stream(t).where(~quiet).select(F.concat(F.lit("m"), (F.col("user_id") % 40).cast("string")).alias("metric"), "ts", (F.col("event_type") != "error").alias("ok"))
     out = S.run_complete(M.stream_heartbeats(s), "heartbeats")
-    out = M.stale_alarm(out, F.lit("2024-02-06 12:00:00").cast("timestamp"))
+    out = M.stale_alarm(out, instant("2024-02-06 12:00:00"))
     return out.select("metric", plain("last_success"), "n", "stale")
 
 

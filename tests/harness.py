@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -64,7 +65,8 @@ def main(argv: list[str]) -> int:
     sf = argv[0] if argv else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.sql.session.timeZone": os.environ.get("HARNESS_TZ", "UTC")})
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
     con = connect(sf_dir)
