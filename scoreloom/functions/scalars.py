@@ -210,8 +210,8 @@ def stereo_quality(corr: ColumnOrName) -> Column:
 
 def clip_gain(target: ColumnOrName, level: ColumnOrName, lo: float = -18.0, hi: float = 12.0,
               silence: float = -50.0) -> Column:
-    """Gain to the target inside ``[lo, hi]``; 0 for rows at or below the silence level."""
-    level = col(level)
+    """Gain to the target inside ``[lo, hi]``; 0 for rows at or below the silence level and levels that are not finite."""
+    level = finite(level)
     gain = F.greatest(F.lit(lo), F.least(F.lit(hi), col(target) - level))
     return F.when(level.isNull() | (level <= silence), F.lit(0.0)).otherwise(gain)
 

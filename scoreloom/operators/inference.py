@@ -17,6 +17,8 @@ from scoreloom.operators.quantiles import value_splits
 from scoreloom.operators.scan import prefix_scan, running_sum
 from scoreloom.session import materialize
 
+MIN_PAIRS = 8
+
 
 # --- paired arms ---------------------------------------------------------------------------------
 
@@ -94,7 +96,10 @@ def screen_differences(ratings: DataFrame, contrasts: Sequence[tuple], by: Seque
 
 def crossed_contrast(d: DataFrame, s_per: float, by: Sequence[str] = ("contrast",), listener: str = "listener",
                      song: str = "song", value: str = "d") -> DataFrame:
-    """Mean, listener / song / residual spreads, mixed and listener-only standard errors with normal p values."""
+    """Mean, listener / song / residual spreads, mixed and listener-only standard errors with normal p values.
+
+    Contrasts with fewer than ``MIN_PAIRS`` complete pairs are estimated as well and flagged ``too_few_pairs``.
+    """
     by = list(by)
     ml = d.groupBy(*by, listener).agg(F.avg(value).alias("__ml"))
     ms = d.groupBy(*by, song).agg(F.avg(value).alias("__ms"))
@@ -111,7 +116,8 @@ def crossed_contrast(d: DataFrame, s_per: float, by: Sequence[str] = ("contrast"
                            "se_listener": F.col("tau_l") / F.sqrt(F.col("L"))})
     out = out.withColumns({"p_one": F.when(F.col("se") > 0, norm_sf(F.abs("mu") / F.col("se"))),
                            "p_listener": F.when(F.col("se_listener") > 0, 2 * norm_sf(F.abs("__mml") / F.col("se_listener")))})
-    return out.select(*by, "n", "L", "S", "mu", "tau_l", "tau_s", "sigma", "se", "se_listener", "p_one", "p_listener")
+    return out.select(*by, "n", "L", "S", "mu", "tau_l", "tau_s", "sigma", "se", "se_listener", "p_one", "p_listener",
+                      (F.col("n") < MIN_PAIRS).alias("too_few_pairs"))
 
 
 def crossed_components(d: DataFrame, by: Sequence[str] = ("contrast",), listener: str = "listener", song: str = "song",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ColumnOrName, col, nan_to_null
 from scoreloom.operators.joins import attach
-from scoreloom.operators.scan import (ordinal, prefix_scan, previous, running_last, running_max, running_sum,
+from scoreloom.operators.scan import (ordinal, prefix_scan, previous, running_count, running_last, running_max, running_sum,
                                       step_block)
 from scoreloom.session import materialize
 
@@ -203,17 +203,18 @@ def stop_step(decisions: DataFrame, patience: int, max_iter: int, by: Sequence[s
 
 
 def recovery_rate(decisions: DataFrame, k: int, by: Sequence[str] = BY) -> DataFrame:
-    """Rollbacks followed within k rows by an accept of another scope.
+    """Rollbacks followed within k rows by an accept of another scope; steps may have gaps.
 
-    Every rollback asks for its k next steps by key, so the lookup is an equi join on (key, step): no windows
-    over whole logs and no pairs beyond k per rollback.
+    Rows are numbered first. Every rollback asks for its k next numbers, so the lookup is an equi join on (key, number):
+    no windows over whole logs and no pairs beyond k per rollback.
     """
-    back = decisions.where(F.col("decision") == "rollback").select(*by, F.col(STEP).alias("__at"),
+    decisions = _scan(decisions, by, __n=running_count())
+    back = decisions.where(F.col("decision") == "rollback").select(*by, F.col("__n").alias("__at"),
                                                                    F.coalesce("scope", F.lit("")).alias("__scope"))
-    asks = back.withColumn(STEP, F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + k)))
+    asks = back.withColumn("__n", F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + k)))
     accepts = decisions.where(F.col("decision") == "accept").select(
-        *by, STEP, F.coalesce("scope", F.lit("")).alias("__other"))
-    hits = (asks.join(accepts, [*by, STEP]).where(F.col("__other") != F.col("__scope"))
+        *by, "__n", F.coalesce("scope", F.lit("")).alias("__other"))
+    hits = (asks.join(accepts, [*by, "__n"]).where(F.col("__other") != F.col("__scope"))
             .groupBy(*by).agg(F.count_distinct("__at").alias("n_recovered")))
     totals = back.groupBy(*by).agg(F.count("*").alias("n_rollbacks"))
     out = attach(totals, hits, by).withColumn("n_recovered", F.coalesce("n_recovered", F.lit(0).cast("bigint")))

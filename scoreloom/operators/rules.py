@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import tables as TB
-from scoreloom.functions.scalars import finite
+from scoreloom.functions.scalars import finite, nan_to_null
 from scoreloom.operators.quantiles import exact_median
 
 
@@ -129,11 +129,14 @@ class Policy:
 
 
 def classify_candidate(df: DataFrame, prev: str = "prev", cand: str = "cand", policy: Policy = Policy()) -> DataFrame:
-    """Hard gates, then a per-axis regression check, then the reward difference."""
+    """Hard gates, then a per-axis regression check, then the reward difference.
+
+    A missing or NaN score passes every gate and axis check; a NaN reward is no improvement.
+    """
     p, c = F.col(prev), F.col(cand)
-    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    at = lambda m, k: nan_to_null(F.try_element_at(m, F.lit(k)))
     peak, lufs, corr = (at(c, k) for k in ("true_peak.true_peak_db", "lufs.integrated_lufs", "stereo.stereo_correlation"))
-    delta = map_reward(c, policy.weights, policy.calib) - map_reward(p, policy.weights, policy.calib)
+    delta = nan_to_null(map_reward(c, policy.weights, policy.calib) - map_reward(p, policy.weights, policy.calib))
     worst = F.coalesce(*[F.when(at(c, k) - at(p, k) < -3 * policy.epsilon, F.lit(k)) for k in policy.axes])
     gate = (F.when(peak > policy.true_peak_max_db, "true_peak")
             .when(F.abs(lufs - policy.target_lufs) > policy.lufs_tolerance, "loudness")

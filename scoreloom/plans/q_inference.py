@@ -113,7 +113,8 @@ def screen_differences(t):
 
 @query("crossed_contrast", f"""WITH {CROSS} SELECT contrast, n, L, S, round(mu, 6) AS mu, round(tau_l, 6) AS tau_l, round(tau_s, 6) AS tau_s,
     round(sigma, 6) AS sigma, round(se, 6) AS se, round(se_listener, 6) AS se_listener, round({sql_norm_sf('(abs(mu) / se)')}, 8) AS p_one,
-    round(2 * ({sql_norm_sf('(abs(mml) / se_listener)')}), 8) AS p_listener FROM cr""", ["ratings"])
+    round(2 * ({sql_norm_sf('(abs(mml) / se_listener)')}), 8) AS p_listener,
+    n < 8 AS too_few_pairs FROM cr""", ["ratings"])
 def crossed_contrast(t):
     out = r6(crossed(t), "mu", "tau_l", "tau_s", "sigma", "se", "se_listener")
     return r6(out, "p_one", "p_listener", digits=8)

@@ -186,12 +186,14 @@ def stereo_quality(t):
 
 
 @query("clip_gain", """
-    SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN lvl <= -50 THEN 0.0 ELSE
+    SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_linenumber >= 6 OR lvl <= -50 THEN 0.0 ELSE
            greatest(-18.0, least(12.0, -20.0 - lvl)) END AS gain
     FROM (SELECT *, CAST(-1.1 * l_quantity AS DOUBLE) AS lvl FROM lineitem)""")
 def clip_gain(t):
+    level = F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).when(F.col("l_linenumber") == 6, F.lit(float("inf"))).otherwise(
+        F.col("l_quantity") * -1.1)
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
-                             S.clip_gain(F.lit(-20.0), F.col("l_quantity") * -1.1).alias("gain"))
+                             S.clip_gain(F.lit(-20.0), level).alias("gain"))
 
 
 @query("apply_gains", """

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreloom.functions.scalars import nan_to_null
 from scoreloom.operators.joins import attach
 from scoreloom.operators.logs import dedupe_last, replay_acceptance
 
@@ -104,7 +105,7 @@ def best_step(init: float, by: str = "song") -> Callable[[DataFrame, DataFrame,
     def step(batch: DataFrame, state: DataFrame, _: int) -> tuple[DataFrame, None]:
         start = attach(batch, state.select(by, F.col("best").alias("__b")), [by]).withColumn("__init", F.coalesce("__b", F.lit(float(init))))
         log = replay_acceptance(start, "__init", [by])
-        got = log.groupBy(by).agg(F.max("reward").alias("__r"), F.count_if("accepted").alias("__n"),
+        got = log.groupBy(by).agg(F.max(nan_to_null("reward")).alias("__r"), F.count_if("accepted").alias("__n"),
                                   F.max(F.when(F.col("accepted"), F.col("step"))).alias("__a"), F.max("step").alias("__s"))
         both = got.join(state, by, "full_outer")
         zero = F.lit(0).cast("bigint")

@@ -279,3 +279,20 @@ def test_section_labels(spark, tmp_path):
     (tmp_path / "Band_Song_SECTIONS.lab").write_text("0.0\t10.0\tintro\nbroken\n10.0 20.0\n20.5 30 verse b\n")
     rows = B.read_section_labels(spark, str(tmp_path / "*.lab")).orderBy("start_sec").collect()
     assert [tuple(r) for r in rows] == [("Band_Song", 0.0, "intro"), ("Band_Song", 10.0, "section_1"), ("Band_Song", 20.5, "b")]
+
+
+def test_nan_scores_pass_gates_and_never_improve(spark):
+    nan = float("nan")
+    rows = [(1, {"audiobox.PQ": 7.0}, {"audiobox.PQ": 7.5, "true_peak.true_peak_db": nan, "lufs.integrated_lufs": nan}),
+            (2, {"audiobox.PQ": 7.0}, {"audiobox.PQ": nan}), (3, {"audiobox.PQ": 7.0}, {"audiobox.PQ": 7.5, "true_peak.true_peak_db": 0.0})]
+    df = spark.createDataFrame(rows, "id int, prev map<string,double>, cand map<string,double>")
+    from scoreloom.operators.rules import Policy, classify_candidate
+    got = {r.id: (r.decision, r.reason) for r in classify_candidate(df, policy=Policy(weights={"audiobox.PQ": 1.0}, calib={})).collect()}
+    assert got == {1: ("accept", "improved"), 2: ("rollback", "decreased"), 3: ("rollback", "gate:true_peak")}
+
+
+def test_recovery_counts_rows_not_step_numbers(spark):
+    from scoreloom.operators.logs import recovery_rate
+    rows = [(1, 0, "rollback", "a"), (1, 5, "accept", "b"), (2, 0, "rollback", "a"), (2, 5, "weak", "a"), (2, 9, "accept", "b")]
+    got = recovery_rate(spark.createDataFrame(rows, "song bigint, step bigint, decision string, scope string"), 1)
+    assert {r.song: r.n_recovered for r in got.collect()} == {1: 1, 2: 0}
