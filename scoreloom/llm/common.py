@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,23 +39,45 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, *LOWER)
 
 
-class _WordHash(dict):
-    """64-bit hash of a word; a bounded memo, since words repeat."""
+class _Rolling:
+    """Prefix sums of a polynomial hash over 2^64: the hash of any stretch of bytes is one subtraction and one product."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    BASE, INVERSE = 0xF1357AEA2E62A9C5, pow(0xF1357AEA2E62A9C5, -1, 1 << 64)
 
+    def __init__(self):
+        self.letter = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.up = self.down = np.ones(1, np.uint64)
 
-_HASHES = _WordHash()
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Sums before each byte and after the last."""
+        return self.prefix_of(self.letter[data])
+
+    def prefix_of(self, data: np.ndarray) -> np.ndarray:
+        """The same for 64-bit letter values."""
+        if len(self.up) <= len(data):
+            size = max(1 << 16, 2 * len(data))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]), dtype=np.uint64)
+                                  for b in (self.BASE, self.INVERSE))
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * self.up[:len(data)], out=out[1:])
+        return out
+
+    def stretches(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((prefix[end] - prefix[start]) * self.down[start])
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash per word of the text, A-Z in lower case (``bytes.split`` splits at exactly the white space above)."""
-    words = text.encode().lower().split() if text else ()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """One 64-bit hash per word of the text, A-Z in lower case."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    edge = np.diff(_SPACE[data].view(np.int8), prepend=1, append=1)  # -1 where a word starts, 1 behind its end
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return ROLLING.stretches(ROLLING.prefix(data), start, end)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +87,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+ROLLING = _Rolling()
+_ODD = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)  # a factor for each place in a run
+
+
 def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words; a shorter text is one run; no words, no runs."""
     n = len(words)
@@ -74,8 +99,8 @@ def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
     width = min(width, n)
     out = np.full(n - width + 1, width, np.uint64)
     for j in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[j:n - width + 1 + j])
-    return out
+        out += words[j:n - width + 1 + j] * _ODD[j]
+    return mix(out)
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -104,23 +129,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of ``links`` (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star steps; every step is two aggregations and two joins over the links, so no
-    component is ever held in one task or on the driver. Only the two figures that tell whether links changed come to
-    the driver.
+    component is ever held in one task or on the driver. It ends when every node points at a root that points nowhere.
     """
-    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    last = None
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
+        if pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        last = state
+    # now each u has one v: a second one would have been linked to the smaller by the small star
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -36,19 +36,22 @@ from scoreloom.llm.common import components, cut, gram_hashes, mix, texts, word_
 
 #: Classes that may be broadcast (8 bytes each); above it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Comparisons left across components, per member of an open group, up to which they are made all at once.
+ACROSS = 20
 _TOP = 1 << 64
 _ONE = np.uint64(1)
 
 
 def _set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(gram_hashes(word_hashes(text), width))
+    grams = np.sort(gram_hashes(word_hashes(text), width))
+    return grams[np.concatenate([[True], grams[1:] != grams[:-1]])] if len(grams) else grams
 
 
 def _sid(features: np.ndarray) -> int:
     """Hash of a whole set, independent of order."""
     if not len(features):
         return 0
-    total = mix(features + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+    total = (features * (features >> np.uint64(7) | _ONE)).sum(dtype=np.uint64)
     return int(mix(total + np.array([len(features)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
 
 
@@ -195,24 +198,35 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
         roots = components(links)
         at = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         spread = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        opened = cut(at.join(spread, "sig"), "open")
-        if opened.isEmpty():
+        opened = cut(at.join(spread, "sig").join(sizes, "sid").select("sig", "sid", "root", "lo", "n"), "open")
+        # pairs of each group that lie across components: all pairs less those within a component
+        parts = opened.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("within"))
+        rows, across = parts.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("within")) / 2).first()
+        if not rows:
             return member, links
-        pivots = opened.where("root <> lo").groupBy("sig").agg(F.min(F.struct("sid", "root")).alias("p"))
-        more = opened.join(pivots, "sig").where("root <> p.root").select(
-            F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        size = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+        one = opened.select("sig", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+        whole = across <= ACROSS * rows  # few pairs are left: compare them all; else a new pivot for each open group
+        if whole:
+            two = one.toDF("sig", "b", "rb", "nb")
+            more = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size)
+        else:
+            two = opened.where("root <> lo").groupBy("sig").agg(F.min(F.struct("sid", "root", "n")).alias("p")).select(
+                "sig", F.col("p.sid").alias("b"), F.col("p.root").alias("rb"), F.col("p.n").alias("nb"))
+            more = one.join(two, "sig").where((F.col("ra") != F.col("rb")) & size)
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = cut(more, "pairs")
         found = cut(_verified(more, sets, num, den), "found")
+        links = links.unionByName(found)
+        if whole:
+            return member, links
         tried = tried.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            continue
-        # what is left: exact comparison across the components of each open group, sizes permitting
-        one = opened.join(sizes, "sid").select("sig", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        two = one.select("sig", F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb"))
-        rest = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (
-            F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        return member, links.unionByName(cut(_verified(rest, sets, num, den), "found"))
+        if found.isEmpty():  # the pivots are alone in their groups; every further one would be compared in the same way
+            two = one.toDF("sig", "b", "rb", "nb")
+            rest = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size).select("a", "b")
+            rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
+            return member, links.unionByName(cut(_verified(rest, sets, num, den), "found"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
