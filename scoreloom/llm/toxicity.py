@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import ROLLING, mix
 
-PASSAGE = 8
+PASSAGE = 4
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>*#%&$-_/"
 
 
 @dataclass(frozen=True)
 class Fit:
-    per_class: int = 1000
+    per_class: int = 1500
     negatives: int = 2
-    max_chars: int = 6_000
+    max_chars: int = 12_000
     buckets: int = 1 << 16
     dim: int = 8
     steps: int = 150
@@ -78,23 +78,23 @@ def train(samples: list[tuple[str, int]], fit: Fit = Fit()) -> Model:
     table = rng.normal(0, 0.1, (fit.buckets, fit.dim))
     layer = rng.normal(0, 0.5, (2, fit.dim))
     bias = np.zeros(2)
-    samples = [(tokens(t), y) for t, y in samples]
-    samples = [(w, y) for w, y in samples if w]
-    if len({y for _, y in samples}) < 2:
-        return Model(table * 0, layer, np.array([0.01, 0.0]))
     vocab: dict[str, int] = {}
-    words = np.array([vocab.setdefault(w.strip(EDGES), len(vocab)) for ws, _ in samples for w in ws])
+    found = [(np.array([vocab.setdefault(w.strip(EDGES), len(vocab)) for w in tokens(t)], np.int64), label) for t, label in samples]
+    found = [(ids, label) for ids, label in found if len(ids)]
+    if len({label for _, label in found}) < 2:
+        return Model(table * 0, layer, np.array([0.01, 0.0]))
+    words = np.concatenate([ids for ids, _ in found])
     subs, sub_word = subwords(list(vocab), fit.buckets)
     sub_len = np.bincount(sub_word)
-    lengths = np.array([len(ws) for ws, _ in samples])
+    lengths = np.array([len(ids) for ids, _ in found])
     per_doc = -(-lengths // PASSAGE)
-    doc_of = np.repeat(np.arange(len(samples)), per_doc)
+    doc_of = np.repeat(np.arange(len(found)), per_doc)
     first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
     inside = np.arange(len(doc_of)) - first[doc_of]
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]])[doc_of] + inside * PASSAGE
     size = np.minimum(PASSAGE, lengths[doc_of] - inside * PASSAGE)
     passage_of = np.repeat(np.arange(len(doc_of)), size)
-    y = np.array([label for _, label in samples], float)
+    y = np.array([label for _, label in found], float)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh the same
     seen_t, seen_l, seen_b = np.full(table.shape, 1e-10), np.full(layer.shape, 1e-10), np.full(2, 1e-10)
     for step in range(fit.steps):
