@@ -34,26 +34,68 @@ def wilson_ci(k: ColumnOrName, n: ColumnOrName, z: float = Z95) -> Column:
 
 
 def norm_cdf(x: ColumnOrName) -> Column:
-    """Standard normal CDF by the power series of the error integral (full double precision for |x| < 8)."""
+    """Standard normal CDF."""
+    return norm_sf(-_d(x))
 
-    def series(v: Column) -> Column:
+
+def norm_sf(x: ColumnOrName) -> Column:
+    """1 - CDF with full relative precision: power series of the error integral inside (-3, 3), continued fraction beyond."""
+
+    def central(v: Column) -> Column:
         def grow(acc: Column, i: Column) -> Column:
             return let(acc["term"] * v * v / (2 * i + 1), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
 
-        total = F.aggregate(F.sequence(F.lit(1), F.lit(160)), F.struct(v.alias("term"), v.alias("sum")), grow, lambda acc: acc["sum"])
-        inner = 0.5 + total * F.exp(-v * v / 2.0) / math.sqrt(2.0 * math.pi)
-        return F.when(v > 8, 1.0).when(v < -8, 0.0).when(v.isNotNull(), inner)
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(v.alias("term"), v.alias("sum")), grow, lambda acc: acc["sum"])
+        return 0.5 - total * F.exp(-v * v / 2.0) / math.sqrt(2.0 * math.pi)
 
-    return let(_d(x), series)
+    def tail(v: Column) -> Column:
+        below = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), v, lambda acc, k: v + k / acc)
+        return F.exp(-v * v / 2.0) / math.sqrt(2.0 * math.pi) / below
 
+    return let(_d(x), lambda v: F.when(v >= 3, tail(v)).when(v <= -3, 1.0 - tail(-v)).when(v.isNotNull(), central(v)))
 
-def norm_sf(x: ColumnOrName) -> Column:
-    return norm_cdf(-_d(x))
+
+#: Largest degrees of freedom for the finite series; beyond it the continued fraction, whose length is fixed.
+SERIES_DF = 64
 
 
 def t_cdf(t: ColumnOrName, df: ColumnOrName) -> Column:
-    """Student-t CDF for integer degrees of freedom (finite trigonometric series)."""
-    df = col(df).cast("int")
+    """Student-t CDF for integer degrees of freedom at a cost that does not grow with them."""
+    t, df = _d(t), col(df)
+    return F.when(df <= SERIES_DF, _t_series(t, df)).otherwise(
+        let(_t_tail(F.abs(t), df.cast("double")), lambda p: F.when(t >= 0, 1.0 - p).otherwise(p)))
+
+
+def _t_tail(t: Column, df: Column) -> Column:
+    """P(T > t) for t >= 0 through the incomplete beta function I(a, 1/2), a = df / 2 (Lentz's continued fraction)."""
+    a = df / 2.0
+    x = df / (df + t * t)
+    series = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144)  # of gamma(a + 1/2) / gamma(a) / sqrt(a) in 1 / a
+    inverse_beta = F.sqrt(a / math.pi) * sum((F.lit(c) / F.pow(a, F.lit(float(i))) for i, c in enumerate(series)), F.lit(0.0))
+    front = F.exp(-a * F.log1p(t * t / df)) * (t / F.sqrt(df + t * t)) * inverse_beta
+    far = 0.5 * front * _beta_fraction(a, F.lit(0.5), x) / a
+    near = 0.5 * (1.0 - front * _beta_fraction(F.lit(0.5), a, 1.0 - x) / 0.5)
+    return F.when(x < (a + 1.0) / (a + 2.5), far).otherwise(near)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: int = 60) -> Column:
+    def grow(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a - 1.0 + 2.0 * m) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 1.0 + 2.0 * m))
+
+        def more(acc: Column, factor: Column) -> Column:
+            return let(F.struct((1.0 / (1.0 + factor * acc["d"])).alias("d"), (1.0 + factor / acc["c"]).alias("c")), lambda n: F.struct(
+                n["c"].alias("c"), n["d"].alias("d"), (acc["h"] * n["c"] * n["d"]).alias("h")))
+        return let(more(acc, even), lambda half: more(half, odd))
+
+    first = let(1.0 / (1.0 - (a + b) * x / (a + 1.0)), lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")))
+    steps = F.sequence(F.lit(1), F.lit(terms)).cast("array<double>")
+    return F.aggregate(steps, first, grow, lambda acc: acc["h"])
+
+
+def _t_series(t: Column, df: Column) -> Column:
+    """Finite trigonometric series."""
+    df = df.cast("int")
     odd = (df % 2) == 1
     n_terms = F.floor(df / 2).cast("int")
 

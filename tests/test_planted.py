@@ -296,3 +296,25 @@ def test_recovery_counts_rows_not_step_numbers(spark):
     rows = [(1, 0, "rollback", "a"), (1, 5, "accept", "b"), (2, 0, "rollback", "a"), (2, 5, "weak", "a"), (2, 9, "accept", "b")]
     got = recovery_rate(spark.createDataFrame(rows, "song bigint, step bigint, decision string, scope string"), 1)
     assert {r.song: r.n_recovered for r in got.collect()} == {1: 1, 2: 0}
+
+
+def test_normal_tail_keeps_relative_precision(spark):
+    from scoreloom.functions.stats import norm_cdf, norm_sf
+    want = {0.0: 0.5, 1.0: 0.15865525393145707, 3.0: 0.0013498980316300933, 6.0: 9.865876450376981e-10, 20.0: 2.7536241186062337e-89,
+            -4.0: 0.9999683287581669}
+    rows = spark.createDataFrame([(x,) for x in want], "x double").select("x", norm_sf("x").alias("sf"), norm_cdf(-F.col("x")).alias("cdf"))
+    for r in rows.collect():
+        assert abs(r.sf / want[r.x] - 1) < 1e-10 and r.cdf == r.sf
+
+
+def test_t_distribution_at_any_size(spark):
+    from scoreloom.functions.stats import t_cdf, t_ppf
+    rows = [(65, -2.0, 0.024841060053924287), (65, 6.0, 1 - 4.84181593794838e-08), (1000, -20.0, 2.0311442497623432e-75),
+            (10**9, -1.0, 0.15865525735315678), (10**9, -3.0, 0.0013498980726003122), (10**9, 0.1, 1 - 0.46017216272200084)]
+    df = spark.createDataFrame(rows, "df bigint, t double, want double").select("*", t_cdf("t", "df").alias("got"), t_ppf(0.975, "df").alias("q"))
+    for r in df.collect():
+        assert abs(r.got / r.want - 1) < 1e-9
+        assert r.df < 10**9 or abs(r.q - 1.959963987) < 1e-7
+    both = spark.range(60, 70).select(F.lit(-2.5).alias("t"), F.col("id").alias("df")).select("df", t_cdf("t", "df").alias("p")).orderBy("df").collect()
+    steps = [a.p - b.p for a, b in zip(both, both[1:])]
+    assert all(0 < y < x for x, y in zip(steps, steps[1:]))  # no jump where the formula changes
