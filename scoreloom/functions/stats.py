@@ -55,15 +55,21 @@ def norm_sf(x: ColumnOrName) -> Column:
     return let(_d(x), lambda v: F.when(v >= 3, tail(v)).when(v <= -3, 1.0 - tail(-v)).when(v.isNotNull(), central(v)))
 
 
-#: Largest degrees of freedom for the finite series; beyond it the continued fraction, whose length is fixed.
-SERIES_DF = 64
+#: Largest degrees of freedom for the finite series and for the continued fraction (which loses digits as they grow).
+SERIES_DF, FRACTION_DF = 64, 100_000
 
 
 def t_cdf(t: ColumnOrName, df: ColumnOrName) -> Column:
     """Student-t CDF for integer degrees of freedom at a cost that does not grow with them."""
     t, df = _d(t), col(df)
-    return F.when(df <= SERIES_DF, _t_series(t, df)).otherwise(
-        let(_t_tail(F.abs(t), df.cast("double")), lambda p: F.when(t >= 0, 1.0 - p).otherwise(p)))
+    tail = F.when(df <= FRACTION_DF, _t_tail(F.abs(t), df.cast("double"))).otherwise(norm_sf(_t_normal(F.abs(t), df.cast("double"))))
+    return F.when(df <= SERIES_DF, _t_series(t, df)).otherwise(let(tail, lambda p: F.when(t >= 0, 1.0 - p).otherwise(p)))
+
+
+def _t_normal(t: Column, df: Column) -> Column:
+    """Normal deviate with the tail of t; its error falls with the fourth power of the degrees of freedom."""
+    a = df - 0.5
+    return let(F.sqrt(a * F.log1p(t * t / df)), lambda u: u * (1.0 + (u * u + 3.0) / (48.0 * a * a)))
 
 
 def _t_tail(t: Column, df: Column) -> Column:

@@ -310,10 +310,10 @@ def test_normal_tail_keeps_relative_precision(spark):
 def test_t_distribution_at_any_size(spark):
     from scoreloom.functions.stats import t_cdf, t_ppf
     rows = [(65, -2.0, 0.024841060053924287), (65, 6.0, 1 - 4.84181593794838e-08), (1000, -20.0, 2.0311442497623432e-75),
-            (10**9, -1.0, 0.15865525735315678), (10**9, -3.0, 0.0013498980726003122), (10**9, 0.1, 1 - 0.46017216272200084)]
+            (10**9, -1.0, 0.15865525405186387), (10**9, -3.0, 0.0013498980648760), (10**6, -20.0, 2.8665435e-89)]
     df = spark.createDataFrame(rows, "df bigint, t double, want double").select("*", t_cdf("t", "df").alias("got"), t_ppf(0.975, "df").alias("q"))
     for r in df.collect():
-        assert abs(r.got / r.want - 1) < 1e-9
+        assert abs(r.got / r.want - 1) < (1e-9 if r.want > 1e-80 else 1e-6)
         assert r.df < 10**9 or abs(r.q - 1.959963987) < 1e-7
     both = spark.range(60, 70).select(F.lit(-2.5).alias("t"), F.col("id").alias("df")).select("df", t_cdf("t", "df").alias("p")).orderBy("df").collect()
     steps = [a.p - b.p for a, b in zip(both, both[1:])]
