@@ -14,9 +14,10 @@ A document's set holds its distinct shingles of ``width`` words (A-Z in lower ca
    An empty projection says nothing; for small ``n1`` it is replaced by the signatures of a second, salted
    partitioning (which loses nothing); with ``n1 >= 24`` about ten ranges agree even at the very threshold, and
    projections of fewer than two shingles are left out (the chance to lose a pair is below 1e-12).
-4. Members of a signature group are compared with its first member, exactly, on the sets. Groups whose members are not
-   yet in one component take a new pivot while that finds links; then all pairs of such a group across components are
-   compared. Nothing is capped; a group of near copies costs one comparison each.
+4. Members of a signature group are compared with its first member, the pivot, exactly, on the sets. Pairs of other
+   members can link without being connected through the pivot only if their differences to the pivot overlap; these
+   are found by a prefix filter on the differences and compared exactly. Nothing is capped; near copies with edits of
+   their own cost one comparison each.
 
 Nulls and empties: without words (or with null text) a document has ``n_shingles`` 0, its own id as component and no
 links. Rows with a null ``doc_id`` are returned with a null component. Rows that repeat a ``doc_id`` are one node.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ from scoreloom.llm.common import components, cut, gram_hashes, mix, texts, word_
 
 #: Classes that may be broadcast (8 bytes each); above it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Comparisons left across components, per member of an open group, up to which they are made all at once.
-ACROSS = 20
 _TOP = 1 << 64
 _ONE = np.uint64(1)
 
@@ -185,56 +184,60 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
         _signed(width, num, den), "sid bigint, features array<bigint>, sigs array<bigint>"), "signed")
     if not member.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = cut(sets.dropDuplicates(["sid"]), "signed")
-    sizes = sets.select("sid", F.size("features").alias("n"))
 
     order = W.partitionBy("sig").orderBy("sid")
     groups = sets.select("sid", F.explode("sigs").alias("sig")).select(
         "sig", "sid", F.first("sid").over(order).alias("pivot")).where("sid <> pivot")
     groups = cut(groups, "groups")
-    tried = cut(groups.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    links = cut(_verified(tried, sets, num, den), "found")
-    members = groups.select("sig", "sid").unionByName(groups.select("sig", F.col("pivot").alias("sid")).distinct())
-    while True:
-        roots = components(links)
-        at = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        spread = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        opened = cut(at.join(spread, "sig").join(sizes, "sid").select("sig", "sid", "root", "lo", "n"), "open")
-        # pairs of each group that lie across components: all pairs less those within a component
-        parts = opened.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("within"))
-        rows, across = parts.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("within")) / 2).first()
-        if not rows:
-            return member, links
-        size = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-        one = opened.select("sig", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        whole = across <= ACROSS * rows  # few pairs are left: compare them all; else a new pivot for each open group
-        if whole:
-            two = one.toDF("sig", "b", "rb", "nb")
-            more = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size)
-        else:
-            two = opened.where("root <> lo").groupBy("sig").agg(F.min(F.struct("sid", "root", "n")).alias("p")).select(
-                "sig", F.col("p.sid").alias("b"), F.col("p.root").alias("rb"), F.col("p.n").alias("nb"))
-            more = one.join(two, "sig").where((F.col("ra") != F.col("rb")) & size)
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = cut(more, "pairs")
-        found = cut(_verified(more, sets, num, den), "found")
-        links = links.unionByName(found)
-        if whole:
-            return member, links
-        tried = tried.unionByName(more)
-        if found.isEmpty():  # the pivots are alone in their groups; every further one would be compared in the same way
-            two = one.toDF("sig", "b", "rb", "nb")
-            rest = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size).select("a", "b")
-            rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-            return member, links.unionByName(cut(_verified(rest, sets, num, den), "found"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    a = sets.select(F.col("sid").alias("a"), F.col("features").alias("fa"))
-    b = sets.select(F.col("sid").alias("b"), F.col("features").alias("fb"))
-    both = F.size(F.array_intersect("fa", "fb"))
-    union = F.size("fa") + F.size("fb") - both
-    return pairs.join(b, "b").join(a, "a").where(both * den >= union * num).select("a", "b")
+    star = groups.select(F.col("pivot").alias("p"), F.col("sid").alias("m")).distinct()
+    near = cut(_differences(star, sets), "star")
+    links = near.where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
+    pairs = _other_pairs(near, components(links), num, den)
+    found = _differences(pairs, sets).where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
+    return member, links.unionByName(cut(found, "found"))
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, m, np, nm, diff, d) of pairs (p, m): sizes of both sets, their symmetric difference and its size."""
+    p = sets.select(F.col("sid").alias("p"), F.col("features").alias("fp"))
+    m = sets.select(F.col("sid").alias("m"), F.col("features").alias("fm"))
+    diff = F.concat(F.array_except("fp", "fm"), F.array_except("fm", "fp"))
+    rows = pairs.join(m, "m").join(p, "p").select("p", "m", F.size("fp").alias("np"), F.size("fm").alias("nm"), diff.alias("diff"))
+    return rows.withColumn("d", F.size("diff"))
+
+
+def _linked(d: str, sizes: Column, num: int, den: int) -> Column:
+    """intersection / union >= num / den, said of the symmetric difference and the sum of the sizes."""
+    return F.col(d) * (den + num) <= sizes * (den - num)
+
+
+def _other_pairs(near: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (p, m) of members of one signature group that may link and are not yet in one component.
+
+    All members were compared with the group's pivot, so each is its difference to the pivot. With D the differences and
+    c = (1 - t) / (1 + t), two members u, m link when ``|D_u| + |D_m| - 2 |D_u & D_m| <= c (|u| + |m|)``. If both link
+    with the pivot they are connected already. If u does not, they must share more than ``(1 - c) |D_m| / 2`` elements
+    of D_m: a prefix filter on the differences (rare elements first, with the usual bound from the positions) finds
+    these pairs; near copies with edits of their own share none and cost nothing.
+    """
+    s, r = den + num, den - num
+    at = near.join(roots.select(F.col("node").alias("m"), F.col("root").alias("rm")), "m", "left").join(
+        roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left").withColumns(
+        {"rm": F.coalesce("rm", "m"), "rp": F.coalesce("rp", "p")})
+    opened = at.groupBy("p").agg(F.min(F.least("rm", "rp")).alias("lo"), F.max(F.greatest("rm", "rp")).alias("hi")).where("lo <> hi").select("p")
+    each = cut(at.join(opened, "p").select("p", "m", "np", "nm", "d", "rm", F.explode("diff").alias("e")), "edits")
+    times = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("times"))
+    each = each.join(times, ["p", "e"]).withColumn("j", F.row_number().over(W.partitionBy("p", "m").orderBy("times", "e")) - 1)
+    each = cut(each.where("times > 1"), "edits")
+    apart = F.expr(f"{s} * d > {r} * (np + nm)")
+    probe = each.where(apart & (F.col("j") <= F.col("d") - F.greatest(F.lit(1), F.expr(f"ceil(({s} * d - {r} * (np + nm) + {s - r}) / {2 * s})"))))
+    probe = probe.select("p", "e", F.col("m").alias("u"), F.col("nm").alias("nu"), F.col("d").alias("du"), F.col("rm").alias("ru"), F.col("j").alias("ju"))
+    index = each.where(F.expr(f"j <= d - floor({s - r} * d / {2 * s}) - 1")).select("p", "e", "m", "nm", "d", "rm", "j")
+    need = F.expr(f"ceil(({s} * (du + d) - {r} * (nu + nm)) / {2 * s})")
+    can = F.least(F.col("du") - F.col("ju"), F.col("d") - F.col("j"))
+    size = F.least("nu", "nm") * den >= F.greatest("nu", "nm") * num
+    found = probe.join(index, ["p", "e"]).where((F.col("ru") != F.col("rm")) & size & (can >= need))
+    return found.select(F.least("u", "m").alias("p"), F.greatest("u", "m").alias("m")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

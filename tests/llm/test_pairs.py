@@ -61,6 +61,25 @@ def test_components_match_brute_force(make):
         assert got == brute_components(rows, width, num, den)
 
 
+def test_links_between_members_of_a_hot_group(make):
+    """Near copies around the threshold: many links miss the pivot, some run through shared edits only."""
+    for seed, width, num, den in ((1, 3, 9, 10), (2, 5, 4, 5)):
+        rnd = random.Random(seed)
+        base = [f"b{i}" for i in range(150)]
+        edits = [(rnd.randrange(150), f"e{i}") for i in range(12)]
+        rows = []
+        for doc in range(160):
+            words = list(base)
+            for at, word in rnd.sample(edits, rnd.randrange(0, 8)):
+                words[at] = word
+            for _ in range(rnd.randrange(0, 5)):
+                words[rnd.randrange(150)] = f"own{doc}-{rnd.random()}"
+            rows.append((doc, " ".join(words)))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(make(rows).repartition(5), width, num, den).collect()}
+        want = brute_components(rows, width, num, den)
+        assert got == want and len({c for _, c in want.values()}) > 3
+
+
 def test_similar_sets_share_a_signature():
     import numpy as np
     rnd = np.random.default_rng(5)
@@ -138,7 +157,7 @@ def test_compact_windows_match_definition():
     grams = shingles(text)
     for fn in range(3):
         from scoreloom.llm.passages import _FACTORS
-        ranks = [(int((g * _FACTORS[fn])) >> 8, i) for i, g in enumerate(grams)]
+        ranks = [(v >> 8, i) for i, v in enumerate((grams * _FACTORS[fn]).tolist())]
         want = set()
         for c, v in enumerate(ranks):
             low = max([i + 1 for i in range(c) if ranks[i] < v], default=0)
