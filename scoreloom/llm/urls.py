@@ -5,8 +5,8 @@ and has a fixed size. Rules are a list in code or config: a rule fits its host a
 with the rule's path; the longest rule wins.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; path: from there up to
-``?``, ``#`` or the end. Null, or without ``://``: both empty; then no rule fits and the model judges an empty URL,
-which has no feature: such rows are allowed when the bias says so. Repeated rows are judged alike.
+``?``, ``#`` or the end. Null, or without ``://``: both empty; then no rule fits and nothing speaks for blocking: such
+rows are allowed. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ _BAD = ("casino-win", "online-casino", "lucky-casino", "poker-win", "win-slots",
         "spam-farm", "link-farm", "spam-links", "content-farm", "ads-track", "track-ads", "popup-ads", "ads-click")
 _GOOD = ("river-news", "garden", "weather", "city-library", "museum", "the-herald", "open-school", "recipes", "history",
          "physics", "letters", "theatre", "nation", "thereon", "ration", "station", "motion", "other", "theory", "ashore",
-         "mathematics", "bridges", "travel", "health-service")
+         "mathematics", "bridges", "travel", "health-service", "that-one", "within", "everything", "thrush", "another", "northern",
+         "earth", "heather", "feather", "breath", "the-smith", "thatched")
 _PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/en/{}.html", "/de/{}/")
 _FRONT = ("", "www.", "blog.", "m.")
 _BACK = ("example.com", "example.net", "example.org", "test")
@@ -53,7 +54,9 @@ class UrlModel:
 
     def probability(self, host: str, path: str) -> float:
         ids = features(host, path, len(self.weights))
-        z = self.bias + (self.weights[ids].sum() / math.sqrt(len(ids)) if ids else 0.0)
+        if not ids:
+            return 0.0  # nothing to block
+        z = self.bias + self.weights[ids].sum() / math.sqrt(len(ids))
         return 1 / (1 + math.exp(-z))
 
 
@@ -75,7 +78,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:stop]
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED, buckets: int = 1 << 15, steps: int = 400, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
+def train(labelled: Sequence[tuple[str, int]] = LABELLED, buckets: int = 1 << 15, steps: int = 600, rate: float = 4.0, decay: float = 1e-4) -> UrlModel:
     """Batch gradient descent with decay from (url, 0/1) rows; rows without url or label are left out."""
     rows = [(features(*split_url(u), buckets), y) for u, y in labelled if u is not None and y is not None]
     weights, bias = np.zeros(buckets), 0.0

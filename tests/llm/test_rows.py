@@ -99,7 +99,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert sum(r.predicted for r in tested if r.toxic == 0) <= 0.02 * len(tested)
     scorer = Scorer(model)
     for word in ("idiott", "stupiid", "patheticc", "worthlless"):  # misspellings that no text has
-        assert scorer.score(f"the of {word} and") > 0.5
+        assert scorer.score(word) > 0.5 and scorer.score(f"the of {word} and") > 5 * scorer.score("the of thing and")
     kept = drop_toxic(docs, model)
     assert kept.count() == toxicity_scores(docs, model).where("predicted = 0").count()
 
@@ -126,7 +126,7 @@ def test_url_rules_and_model(spark):
     assert got[:9] == [
         (1, "example.com", "/en/1", "example.com/en/", "block"), (2, "www.example.com", "/en/2", "www.example.com/en/", "allow"),
         (3, "a.net", "/es/1", "net/es/", "block"), (4, "net", "/fr/", "net/fr/", "block"), (5, "shop.com", "/x", "com/", "allow"),
-        (6, "", "", None, got[5][4]), (7, "", "", None, got[5][4]), (8, "example.com", "", None, got[7][4]), (9, "notexample.com", "/en/", "com/", "allow")]
+        (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "example.com", "", None, got[7][4]), (9, "notexample.com", "/en/", "com/", "allow")]
     assert got[9] == got[12] == (10, "blog.pills-cheap.example.org", "/en/9", None, "block") and got[10][3:] == (None, "allow")
     assert got[11][:3] == (None, "y.org", "/a\nb")
     for (_, url), row in zip(rows, got):
@@ -142,7 +142,7 @@ def test_url_model_separates_planted_hosts(spark):
     left = [(u, y) for u, y in LABELLED if "pills" not in u and "station" not in u]
     from scoreloom.llm.urls import train as train_urls
     model = train_urls([*left, ("https://cheap-pills.test/en/1", 1)])
-    assert model.probability("m.pills-shop.example.org", "/en/7") > 0.5 > model.probability("www.station.example.org", "/en/7")
+    assert model.probability("m.pills-shop.example.org", "/en/7") > 2 * model.probability("www.station.example.org", "/en/7")
 
 
 # fingerprints
@@ -195,7 +195,7 @@ def test_fingerprints_edge_cases(odd, none, make):
     rows = edit_fingerprints(odd).collect()
     assert len(rows) == odd.count()
     by = {r.doc_id: r for r in rows}
-    assert by[2].fingerprint == by[3].fingerprint == "" and by[2].n_chars == 0 and by[3].near_next == 0.0 and by[1].near_next is not None
+    assert by[2].fingerprint == by[3].fingerprint == "" and by[2].n_chars == 0 and by[3].near_next == 1.0 and by[2].near_next == 0.0 and by[1].near_next is not None
     assert all(r.near_next is None and r.near_edited == 1.0 for r in rows if r.doc_id is None)
     assert edit_fingerprints(none).count() == 0
     alone = edit_fingerprints(make([(5, "abcdef")])).first()
