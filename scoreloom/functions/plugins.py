@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,23 +15,25 @@ _METRICS: dict[str, Callable] = {}
 def register_metric(name: str, fn: Callable[..., pd.Series], inputs: Sequence[str]) -> None:
     """Add a score plug-in: a function of pandas Series (features) to a Series of scores.
 
-    It runs on Arrow batches; when it fails on a batch the rows are scored one by one, and a row that still fails gets
-    a null score and a warning instead of failing the job.
+    It runs on Arrow batches. When it fails on a batch the batch is halved until the rows that fail are alone, so good
+    rows are scored in large parts; a row that fails gets a null score and a warning instead of failing the job.
     """
 
     @F.pandas_udf("score double, warning string")
     def scored(*cols: pd.Series) -> pd.DataFrame:
-        try:
-            out = pd.Series(fn(*cols), index=cols[0].index, dtype="float64")
-            return pd.DataFrame({"score": out, "warning": pd.Series([None] * len(out), index=out.index, dtype="object")})
-        except Exception:  # noqa: BLE001
-            rows = []
-            for i in range(len(cols[0])):
-                try:
-                    rows.append((float(fn(*[c.iloc[i:i + 1] for c in cols]).iloc[0]), None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((None, f"{type(e).__name__}: {e}"))
-            return pd.DataFrame(rows, columns=["score", "warning"])
+        n = len(cols[0])
+        score, warning = np.full(n, np.nan), np.full(n, None, object)
+        parts = [(0, n)] if n else []
+        while parts:
+            lo, hi = parts.pop()
+            try:
+                score[lo:hi] = fn(*[c.iloc[lo:hi] for c in cols])
+            except Exception as e:  # noqa: BLE001
+                if hi - lo > 1:
+                    parts += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+                else:
+                    warning[lo] = f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"score": score, "warning": warning})
 
     _METRICS[name] = (scored, tuple(inputs))
 
@@ -82,21 +85,14 @@ def register_sql(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
 
 
-def register_window_udtf(spark: SparkSession, name: str = "window_rows") -> None:
+def register_window_rows(spark: SparkSession, name: str = "window_rows") -> None:
     """``window_rows(duration, win, hop)``: the sliding windows of one series as rows, for SQL users.
 
-    The DataFrame form is ``sliding_windows``, which stays in the JVM.
+    A SQL table function; the DataFrame form is ``sliding_windows``.
     """
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="win_idx bigint, start_sec double, end_sec double")
-    class Windows:
-        def eval(self, duration: float, win: float, hop: float):
-            i = 0
-            while i * hop + win <= duration + 1e-6:
-                yield i, i * hop, i * hop + win
-                i += 1
-            if i == 0 and duration > 0.5:
-                yield 0, 0.0, duration
-
-    spark.udtf.register(name, Windows)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(duration DOUBLE, win DOUBLE, hop DOUBLE)
+        RETURNS TABLE (win_idx BIGINT, start_sec DOUBLE, end_sec DOUBLE)
+        RETURN SELECT w.i, w.a, w.b FROM (SELECT inline(CASE
+            WHEN duration + 1e-6D >= win THEN transform(sequence(0L, CAST(floor((duration + 1e-6D - win) / hop) AS BIGINT)),
+                i -> named_struct('i', i, 'a', i * hop, 'b', i * hop + win))
+            WHEN duration > 0.5D THEN array(named_struct('i', 0L, 'a', 0D, 'b', duration)) END)) w""")

@@ -59,7 +59,7 @@ def register_limits(t):
     SELECT song, w AS win_idx, w * 1.0::DOUBLE AS start_sec, w + 3.0::DOUBLE AS end_sec FROM (SELECT song, d, unnest(range(0, CAST(floor(d + 1e-6 - 3) AS BIGINT) + 1)) AS w FROM i
       WHERE d + 1e-6 >= 3) UNION ALL SELECT song, 0, 0.0, d FROM i WHERE d + 1e-6 < 3 AND d > 0.5""")
 def window_rows(t):
-    P.register_window_udtf(t.spark)
+    P.register_window_rows(t.spark)
     t.customer.select(F.col("c_custkey").alias("song"), (F.col("c_custkey") % 9 * 1.3).cast("double").alias("d")).createOrReplaceTempView("scoreloom_items")
     return t.spark.sql("SELECT song, w.* FROM scoreloom_items, LATERAL window_rows(d, 3.0D, 1.0D) w")
 

@@ -318,3 +318,19 @@ def test_t_distribution_at_any_size(spark):
     both = spark.range(60, 70).select(F.lit(-2.5).alias("t"), F.col("id").alias("df")).select("df", t_cdf("t", "df").alias("p")).orderBy("df").collect()
     steps = [a.p - b.p for a, b in zip(both, both[1:])]
     assert all(0 < y < x for x, y in zip(steps, steps[1:]))  # no jump where the formula changes
+
+
+def test_metric_scores_good_rows_in_large_parts(spark):
+    """One bad row among 4096: a call for each halving, not for each row."""
+    from scoreloom.functions import plugins as P
+    calls = spark.sparkContext.accumulator(0)
+
+    def fragile(v):
+        calls.add(1)
+        if (v == 77).any():
+            raise ValueError("77")
+        return v * 2
+    P.register_metric("fragile", fragile, ["v"])
+    rows = spark.range(4096).repartition(1).select(F.col("id").cast("double").alias("v")).select("v", P.metric("fragile").alias("m")).collect()
+    assert [r.v for r in rows if r.m.warning] == [77.0] and all(r.m.score == 2 * r.v for r in rows if not r.m.warning)
+    assert calls.value <= 2 * 13
