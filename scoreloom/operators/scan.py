@@ -86,14 +86,14 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], block
             carries.append(agg(total).over(before).alias(f"__c_{name}"))
         elif run.kind == "last":
             local[f"__l_{name}"] = F.last(value, ignorenulls=True).over(frame)
-            rank = F.struct(*[_rank_key(o) for o in order])
-            pick = F.min_by if _descending(order) else F.max_by
-            totals.append(pick(value, F.when(value.isNotNull(), rank)).alias(f"__t_{name}"))
+            totals.append(F.max_by(value, F.when(value.isNotNull(), F.col("__rn"))).alias(f"__t_{name}"))
             carries.append(F.last(total, ignorenulls=True).over(before).alias(f"__c_{name}"))
         else:
             raise ValueError(f"unknown run kind {run.kind!r}")
     keys = [*by, *names]
-    carry = tmp.groupBy(*keys).agg(*totals).select(*keys, *carries)
+    # The place of a row in its block tells which value is the last, whatever the order looks like.
+    numbered = tmp.withColumn("__rn", F.row_number().over(in_block)) if any(r.kind == "last" for r in runs.values()) else tmp
+    carry = numbered.groupBy(*keys).agg(*totals).select(*keys, *carries)
     # A null key or block still has to find its carry, hence the null-safe match.
     carry = carry.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[f"__c_{n}" for n in runs])
     on = None
@@ -115,19 +115,6 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], block
     return joined.select(*[c for c in df.columns if c not in runs], *out)
 
 
-def _descending(order: Sequence[Column]) -> bool:
-    return all("DESC" in str(o) for o in order)
-
-
-def _rank_key(order: Column) -> Column:
-    """The plain expression below a sort order."""
-    text = str(order)
-    name = text[text.index("'") + 1:text.rindex("'")]
-    for suffix in (" ASC NULLS FIRST", " ASC NULLS LAST", " DESC NULLS FIRST", " DESC NULLS LAST"):
-        name = name.removesuffix(suffix)
-    return F.col(name)
-
-
 def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], block: Column | Sequence[Column],
             name: str = "rn") -> DataFrame:
     """Exact 1-based row number per key without a per-key task."""
