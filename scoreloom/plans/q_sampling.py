@@ -157,9 +157,15 @@ def smooth_table(t):
     return r6(out.withColumns({"freq": F.col("freq").cast("bigint"), "bin": F.col("bin").cast("bigint")}), "prob", digits=9)
 
 
-@query("validate_prior", """SELECT 'click' AS action, 'k' AS arg, 'mass_not_one' AS violation FROM (SELECT DISTINCT 1 FROM events) UNION ALL SELECT 'error', 'k', 'legal_range' FROM (SELECT DISTINCT 1 FROM events)
-    UNION ALL SELECT 'signup', 'k', 'missing_histogram' FROM (SELECT DISTINCT 1 FROM events) UNION ALL SELECT 'view', 'v', 'unexpected_histogram'
-    FROM (SELECT DISTINCT 1 FROM events)""")
+@query("validate_prior", f"""WITH {PRIOR}, h AS (SELECT action, arg, sum(CASE action WHEN 'click' THEN prob * 1.01 ELSE prob END) AS mass, count(*) AS n,
+      count(DISTINCT bin_idx) AS d, max(bin_idx) AS top, min(bin_lo) AS b0, max(bin_hi) AS b1, sum(bin_hi - bin_lo) AS width, min(legal_lo) AS l0, max(legal_hi) AS l1
+      FROM prior GROUP BY action, arg),
+    want(action, arg, lo, hi) AS (VALUES ('click', 'k', 0, 100), ('view', 'k', 0, 80), ('error', 'k', 0, 100), ('signup', 'k', 0, 1)),
+    j AS (SELECT coalesce(h.action, want.action) AS action, coalesce(h.arg, want.arg) AS arg, h.n, want.lo, want.hi, mass, d, top, b0, b1, width, l0, l1
+      FROM h FULL JOIN want ON h.action = want.action AND h.arg = want.arg)
+    SELECT action, arg, 'missing_histogram' AS violation FROM j WHERE n IS NULL UNION ALL SELECT action, arg, 'unexpected_histogram' FROM j WHERE lo IS NULL
+    UNION ALL SELECT action, arg, 'mass_not_one' FROM j WHERE abs(mass - 1) > 1e-6 UNION ALL SELECT action, arg, 'legal_range' FROM j WHERE l0 <> lo OR l1 <> hi
+    UNION ALL SELECT action, arg, 'bin_index' FROM j WHERE n <> d OR top <> n - 1 UNION ALL SELECT action, arg, 'edges' FROM j WHERE abs(width - (b1 - b0)) > 1e-6""")
 def validate_prior(t):
     p = prior(t).withColumn("prob", F.when(F.col("action") == "click", F.col("prob") * 1.01).otherwise(F.col("prob")))
     want = {("click", "k"): (0.0, 100.0), ("view", "k"): (0.0, 80.0), ("error", "k"): (0.0, 100.0), ("signup", "k"): (0.0, 1.0)}
