@@ -30,9 +30,9 @@ def instant(text):
 
 
 @query("stream_telemetry", """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events)
-    SELECT w AS start, event_type AS which, count(*) AS requests, round(avg(value), 9) AS mean_sec, max(value) AS max_sec,
-      count(*) FILTER (CAST(json_extract(props, '$.k') AS INT) < 10) AS errors, round(count(*) / 21600, 9) AS rate
-    FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM events), m WHERE w + INTERVAL 6 HOUR <= wm GROUP BY 1, 2""")
+    SELECT w AS start, event_type AS which, count(*) FILTER (ok) AS requests, round(avg(value) FILTER (ok), 9) AS mean_sec, max(value) FILTER (ok) AS max_sec,
+      count(*) FILTER (NOT ok) AS errors, round(count(*) FILTER (ok) / 21600, 9) AS rate
+    FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w, CAST(json_extract(props, '$.k') AS INT) >= 10 AS ok FROM events), m WHERE w + INTERVAL 6 HOUR <= wm GROUP BY 1, 2""")
 def stream_telemetry(t):
     s = stream(t).select("ts", F.col("event_type").alias("which"), F.col("value").alias("sec"),
                          (F.get_json_object("props", "$.k").cast("int") >= 10).alias("ok"))

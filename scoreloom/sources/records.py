@@ -116,9 +116,9 @@ def typed_tables(current: DataFrame, manifest: DataFrame | None = None, trials:
         m = m.where(F.col("condition").isin(*conditions))
     mushra = m.select("listener", canon_key("song").alias("song"), "condition", "score", "screen", "dur")
     afc = of("afc").select(
-        F.col("pid").alias("listener"), canon_key(F.coalesce(g("song"), F.lit(""))).alias("song"), g("pair_index").alias("pair_index"),
+        F.col("pid").alias("listener"), canon_key(F.coalesce(g("song"), F.lit(""))).alias("song"), g("pair_index").try_cast("bigint").alias("pair_index"),
         g("choice").alias("choice"), F.coalesce(F.lower(g("is_repeat")) == "true", g("repeat_of").isNotNull()).alias("is_repeat"),
-        g("repeat_of").alias("repeat_of"), to_number(g("duration_sec")).alias("dur"))
+        g("repeat_of").try_cast("bigint").alias("repeat_of"), to_number(g("duration_sec")).alias("dur"))
     right = F.coalesce(F.lower(g("correct")) == "true", g("response") == g("truth"))
     abx = of("abx").select(F.col("pid").alias("listener"), g("trial_index").alias("trial"), right.alias("correct")).where(F.col("correct").isNotNull())
     stage1 = of("stage1").select(F.col("pid").alias("listener"), g("hp_correct").try_cast("int").alias("hp"), g("ap_correct").try_cast("int").alias("ap"))

@@ -18,11 +18,13 @@ from scoreloom.operators.logs import dedupe_last, replay_acceptance
 
 
 def stream_telemetry(events: DataFrame, width: str, late: str, ts: str = "ts", kind: str = "which") -> DataFrame:
-    """Per window and kind: requests, rate, mean / max latency, errors."""
+    """Per window and kind: requests served, their rate and mean / max latency, and errors; a failed call is an error only."""
     w = F.window(ts, width)
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    served = F.when(ok, nan_to_null("sec"))
     seconds = (F.unix_micros(F.col("window.end")) - F.unix_micros(F.col("window.start"))) / F.lit(1e6)
     out = events.withWatermark(ts, late).groupBy(w, kind).agg(
-        F.count("*").alias("requests"), F.avg("sec").alias("mean_sec"), F.max("sec").alias("max_sec"), F.count_if(~F.col("ok")).alias("errors"))
+        F.count_if(ok).alias("requests"), F.avg(served).alias("mean_sec"), F.max(served).alias("max_sec"), F.count_if(~ok).alias("errors"))
     return out.withColumn("rate", F.col("requests") / seconds)
 
 
