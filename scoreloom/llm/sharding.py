@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import cut, ranked
 
 BITS = 60
-STEP = 8
+STEP = 4
 LIMIT = 1 << 20
 
 
