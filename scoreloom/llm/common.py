@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -32,7 +33,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what follows survives lost executors and is computed once."""
     path = os.path.join(shared_dir(df.sparkSession), "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now, not when its periodic collection comes round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def lower_ascii(text: Column) -> Column:
@@ -132,6 +148,7 @@ def components(links: DataFrame) -> DataFrame:
     component is ever held in one task or on the driver. It ends when every node points at a root that points nowhere.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    last = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -140,8 +157,11 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        if last is not None:
+            discard(last)
         if pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
+        last = pairs
     # now each u has one v: a second one would have been linked to the smaller by the small star
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import components, cut, gram_hashes, mix, texts, word_hashes
+from scoreloom.llm.common import components, cut, discard, gram_hashes, mix, release, texts, word_hashes
 
 #: Classes that may be broadcast (8 bytes each); above it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -109,12 +109,12 @@ def _slim(width: int):
 
 
 def _sampled(width: int, part: int):
-    """(feature, sid) for the lowest part-th percent of the hash range; equal sets of a batch once."""
+    """(feature, doc_id) for the lowest part-th percent of the hash range; equal sets of a batch once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = np.uint64(_TOP * part // 100)
         for batch in batches:
-            seen, feats, sids, held = set(), [], [], 0
-            for (text,) in texts([batch], "text"):
+            seen, feats, docs, held = set(), [], [], 0
+            for doc, text in texts([batch], "doc_id", "text"):
                 s = _set(text, width)
                 sid = _sid(s)
                 if not len(s) or sid in seen:
@@ -122,18 +122,18 @@ def _sampled(width: int, part: int):
                 seen.add(sid)
                 low = s[:np.searchsorted(s, limit)]
                 feats.append(low.view(np.int64))
-                sids.append(np.full(len(low), sid, np.int64))
+                docs.append(np.full(len(low), doc, np.int64))
                 held += len(low)
                 if held > 200_000:
-                    yield _pairs(feats, sids)
-                    feats, sids, held = [], [], 0
+                    yield _pairs(feats, docs)
+                    feats, docs, held = [], [], 0
             if held:
-                yield _pairs(feats, sids)
+                yield _pairs(feats, docs)
     return run
 
 
-def _pairs(feats: list[np.ndarray], sids: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(feats)), pa.array(np.concatenate(sids))], ["feature", "sid"])
+def _pairs(feats: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(feats)), pa.array(np.concatenate(docs))], ["feature", "doc_id"])
 
 
 def _signed(width: int, num: int, den: int):
@@ -170,37 +170,56 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
     The links join every two classes that similarity connects; between classes already connected, not every link is
     listed.
     """
+    spark = docs.sparkSession
     plain = docs.select("doc_id", "text")
     member = cut(plain.mapInArrow(_slim(width), "doc_id bigint, n bigint, sid bigint"), "sets")
-    # shingles seen in one class only; their number bounds what a class can share
-    part = min(100, 150 * (den - num) // den)
-    seen = plain.select("text").mapInArrow(_sampled(width, part), "feature bigint, sid bigint")
-    lone = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("sid")).where("c = 1").groupBy("sid").agg(
-        F.count(F.lit(1)).alias("lone"))
-    first = member.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    left = first.join(lone, "sid", "left").where((F.coalesce("lone", F.lit(0)) * den <= F.col("n") * (den - num)))
-    left = cut(left.select("doc_id"), "left")
+    plain = plain.where("doc_id is not null")
+    left = cut(_with_shared_shingles(plain, member, width, num, den), "left")
+    release(spark)
     sets = cut(plain.join(_checked(left), "doc_id", "left_semi").select("text").mapInArrow(
         _signed(width, num, den), "sid bigint, features array<bigint>, sigs array<bigint>"), "signed")
     if not member.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = cut(sets.dropDuplicates(["sid"]), "signed")
-
-    order = W.partitionBy("sig").orderBy("sid")
-    groups = sets.select("sid", F.explode("sigs").alias("sig")).select(
-        "sig", "sid", F.first("sid").over(order).alias("pivot")).where("sid <> pivot")
-    groups = cut(groups, "groups")
-    star = groups.select(F.col("pivot").alias("p"), F.col("sid").alias("m")).distinct()
+    star = cut(_star(sets), "groups")
+    release(spark)
     near = cut(_differences(star, sets), "star")
+    release(spark)
     links = near.where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
-    pairs = _other_pairs(near, components(links), num, den)
+    edits = _edits(near, components(links))
+    pairs = cut(_other_pairs(edits, num, den), "pairs")
     found = _differences(pairs, sets).where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
-    return member, links.unionByName(cut(found, "found"))
+    links = cut(links.unionByName(found), "found")
+    discard(left, sets, star, near, edits, pairs)
+    release(spark)
+    return member, links
+
+
+def _with_shared_shingles(plain: DataFrame, member: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id of one document for each class that may have a partner (step 2)."""
+    part = min(100, 130 * (den - num) // den)
+    seen = plain.mapInArrow(_sampled(width, part), "feature bigint, doc_id bigint")
+    lone = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lone"))
+    known = member.where("n > 0 and doc_id is not null")
+    # a doc_id that repeats says nothing about one of its texts
+    once = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("sid").alias("sid")).where("c = 1")
+    lone = once.join(lone, "doc_id").groupBy("sid").agg(F.max("lone").alias("lone"))
+    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    left = first.join(lone, "sid", "left").where(F.coalesce("lone", F.lit(0)) * den <= F.col("n") * (den - num))
+    return left.select("doc_id")
+
+
+def _star(sets: DataFrame) -> DataFrame:
+    """Pairs (p, m) of each signature group's first member, the pivot, and its other members."""
+    groups = sets.select("sid", F.explode("sigs").alias("sig")).select(
+        F.first("sid").over(W.partitionBy("sig").orderBy("sid")).alias("p"), F.col("sid").alias("m"))
+    return groups.where("p <> m").distinct()
 
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(p, m, np, nm, diff, d) of pairs (p, m): sizes of both sets, their symmetric difference and its size."""
-    p = sets.select(F.col("sid").alias("p"), F.col("features").alias("fp"))
-    m = sets.select(F.col("sid").alias("m"), F.col("features").alias("fm"))
+    p = sets.join(_checked(pairs.select(F.col("p").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("p"), F.col("features").alias("fp"))
+    m = sets.join(_checked(pairs.select(F.col("m").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("m"), F.col("features").alias("fm"))
     diff = F.concat(F.array_except("fp", "fm"), F.array_except("fm", "fp"))
     rows = pairs.join(m, "m").join(p, "p").select("p", "m", F.size("fp").alias("np"), F.size("fm").alias("nm"), diff.alias("diff"))
     return rows.withColumn("d", F.size("diff"))
@@ -211,7 +230,21 @@ def _linked(d: str, sizes: Column, num: int, den: int) -> Column:
     return F.col(d) * (den + num) <= sizes * (den - num)
 
 
-def _other_pairs(near: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _edits(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Elements of the differences in groups that are not yet in one component, numbered from rare to frequent."""
+    at = near.join(roots.select(F.col("node").alias("m"), F.col("root").alias("rm")), "m", "left").join(
+        roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left").withColumns(
+        {"rm": F.coalesce("rm", "m"), "rp": F.coalesce("rp", "p")})
+    opened = at.groupBy("p").agg(F.min(F.least("rm", "rp")).alias("lo"), F.max(F.greatest("rm", "rp")).alias("hi")).where("lo <> hi").select("p")
+    each = cut(at.join(opened, "p").select("p", "m", "np", "nm", "d", "rm", F.explode("diff").alias("e")), "edits")
+    times = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("times"))
+    placed = each.join(times, ["p", "e"]).withColumn("j", F.row_number().over(W.partitionBy("p", "m").orderBy("times", "e")) - 1)
+    placed = cut(placed.where("times > 1"), "edits")
+    discard(each)
+    return placed
+
+
+def _other_pairs(each: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (p, m) of members of one signature group that may link and are not yet in one component.
 
     All members were compared with the group's pivot, so each is its difference to the pivot. With D the differences and
@@ -221,14 +254,6 @@ def _other_pairs(near: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
     these pairs; near copies with edits of their own share none and cost nothing.
     """
     s, r = den + num, den - num
-    at = near.join(roots.select(F.col("node").alias("m"), F.col("root").alias("rm")), "m", "left").join(
-        roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left").withColumns(
-        {"rm": F.coalesce("rm", "m"), "rp": F.coalesce("rp", "p")})
-    opened = at.groupBy("p").agg(F.min(F.least("rm", "rp")).alias("lo"), F.max(F.greatest("rm", "rp")).alias("hi")).where("lo <> hi").select("p")
-    each = cut(at.join(opened, "p").select("p", "m", "np", "nm", "d", "rm", F.explode("diff").alias("e")), "edits")
-    times = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("times"))
-    each = each.join(times, ["p", "e"]).withColumn("j", F.row_number().over(W.partitionBy("p", "m").orderBy("times", "e")) - 1)
-    each = cut(each.where("times > 1"), "edits")
     apart = F.expr(f"{s} * d > {r} * (np + nm)")
     probe = each.where(apart & (F.col("j") <= F.col("d") - F.greatest(F.lit(1), F.expr(f"ceil(({s} * d - {r} * (np + nm) + {s - r}) / {2 * s})"))))
     probe = probe.select("p", "e", F.col("m").alias("u"), F.col("nm").alias("nu"), F.col("d").alias("du"), F.col("rm").alias("ru"), F.col("j").alias("ju"))
