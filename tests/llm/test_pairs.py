@@ -199,3 +199,35 @@ def test_repeated_passages_edge_cases(odd, none):
     got = repeated_passages(odd.unionByName(odd.where("doc_id = 4").withColumn("doc_id", odd.doc_id + 100))).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == {(4, 0, 30_000), (104, 0, 30_000)}
     assert repeated_passages(none).count() == 0
+
+
+def exact_starts(a, b, n=50):
+    """First words of the runs of ``n`` words of ``a`` that ``b`` holds."""
+    have = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)}
+    return {i for i in range(len(a) - n + 1) if tuple(a[i:i + n]) in have}
+
+
+def mosaic(rnd, new, line, passage):
+    """Text of a repeated line, copies of a passage, edited copies, runs of one word and words of its own."""
+    out = []
+    for _ in range(rnd.randrange(2, 8)):
+        edited = passage[:]
+        edited[rnd.randrange(len(edited))] = "edit"
+        out += rnd.choice([line * rnd.randrange(1, 4), passage, new(rnd.randrange(1, 60)), ["x"] * rnd.randrange(5, 120), edited])
+    return out
+
+
+def test_all_places_of_a_passage():
+    rnd = random.Random(5)
+    new = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
+    for _ in range(150):
+        line, passage = new(rnd.randrange(3, 20)), new(rnd.randrange(50, 90))
+        a, b = (mosaic(rnd, new, line, passage) for _ in range(2))
+        found = common_passages(shingles(" ".join(a)), shingles(" ".join(b)))
+        for own, other, at in ((a, b, 0), (b, a, 2)):
+            covered = {i for f in found for i in range(f[at], f[at + 1] - LEAST + 2)}
+            assert exact_starts(own, other) <= covered
+    # a repeated line before the passage, and a second copy, which has a row of its own
+    passage = new(60)
+    found = common_passages(shingles(" ".join(new(5) + passage + new(9))), shingles(" ".join(passage[20:40] + new(7) + passage + new(8) + passage)))
+    assert {f[:4] for f in found} >= {(5, 60, 27, 82), (5, 60, 95, 150)}
