@@ -231,3 +231,17 @@ def test_all_places_of_a_passage():
     passage = new(60)
     found = common_passages(shingles(" ".join(new(5) + passage + new(9))), shingles(" ".join(passage[20:40] + new(7) + passage + new(8) + passage)))
     assert {f[:4] for f in found} >= {(5, 60, 27, 82), (5, 60, 95, 150)}
+
+def test_edited_passages_right_at_the_similarity():
+    rnd = random.Random(6)
+    new = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
+    words, fifty = new(90), new(50)
+    for a, b in ((words, words[:43] + new(5) + words[48:]), (words, words[:45] + new(9) + words[45:]), (fifty, fifty[:1] + new(1) + fifty[2:])):
+        (found,) = common_passages(shingles(" ".join(new(30) + a + new(40))), shingles(" ".join(new(7) + b + new(80))))
+        assert found[0] <= 32 and found[1] >= 30 + len(a) - 5 and found[4] >= 0.8
+    # a near copy within a longer stretch that is too unlike
+    loose = [w if i % 12 else "edit" for i, w in enumerate(new(120))]
+    other = [w if i % 12 else "other" for i, w in enumerate(loose)]
+    near = words[:45] + ["edit"] + words[46:]
+    found = common_passages(shingles(" ".join(loose + words + new(9))), shingles(" ".join(other + near + new(9))))
+    assert any(f[0] <= 120 and f[1] >= 120 + 85 for f in found)
