@@ -232,6 +232,7 @@ def test_all_places_of_a_passage():
     found = common_passages(shingles(" ".join(new(5) + passage + new(9))), shingles(" ".join(passage[20:40] + new(7) + passage + new(8) + passage)))
     assert {f[:4] for f in found} >= {(5, 60, 27, 82), (5, 60, 95, 150)}
 
+
 def test_edited_passages_right_at_the_similarity():
     rnd = random.Random(6)
     new = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
@@ -245,3 +246,25 @@ def test_edited_passages_right_at_the_similarity():
     near = words[:45] + ["edit"] + words[46:]
     found = common_passages(shingles(" ".join(loose + words + new(9))), shingles(" ".join(other + near + new(9))))
     assert any(f[0] <= 120 and f[1] >= 120 + 85 for f in found)
+
+
+def test_passages_of_frequent_lines(make):
+    """Frequent lines around a passage that a few share: each exact run of 50 words is covered, however rows are dealt."""
+    rnd = random.Random(7)
+    new = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
+    lines = [new(26) for _ in range(6)]
+    rows = []
+    for doc in range(120):
+        words = []
+        for _ in range(rnd.randrange(2, 6)):
+            words += rnd.choice(lines) + (new(rnd.randrange(1, 30)) if rnd.random() < 0.6 else [])
+        rows.append((doc, words))
+    texts = dict(rows)
+    whole = {i: {tuple(w[j:j + 50]) for j in range(len(w) - 49)} for i, w in rows}
+    for parts in (1, 7):
+        covered = {i: set() for i in texts}
+        for r in repeated_passages(make([(i, " ".join(w)) for i, w in rows]).repartition(parts)).collect():
+            covered[r.doc_id] |= set(range(r.start_word, r.end_word - 49))
+        for i, w in rows:
+            others = set().union(*(s for j, s in whole.items() if j != i))
+            assert {j for j in range(len(w) - 49) if tuple(w[j:j + 50]) in others} <= covered[i]
