@@ -85,7 +85,23 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> D
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the documents as one folder for each shard."""
-    to = assigned.select(F.col(key).alias("__key"), F.col("shard").alias("__shard")).distinct()
-    out = docs.join(to, F.col(key).eqNullSafe(F.col("__key"))).select(*docs.columns, F.col("__shard").alias("shard"))
+    """Write the documents as one folder for each shard.
+
+    Rows that repeat a key and a size may lie in several shards: both sides number them, and each row goes to the one shard of
+    its number. The numbered rows are written before they are joined, so that a retry sees the same numbers.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    to = assigned.select(F.col(key).alias("__key"), F.col("bytes").alias("__bytes"), F.col("shard").alias("__shard"))
+    spread = cut(to.groupBy("__key", "__bytes").agg(F.count_distinct("__shard").alias("__shards"), F.min("__shard").alias("__shard")), "spread")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (size == F.col("__bytes"))
+    one = docs.join(spread.where("__shards = 1"), same).select(*docs.columns, F.col("__shard").alias("__to"))
+    many = spread.where("__shards > 1").select("__key", "__bytes")
+    if not many.isEmpty():
+        rows = docs.join(many, same).select(*docs.columns, "__key", "__bytes")
+        rows = ranked(rows, ["__key", "__bytes"], [F.xxhash64("text")], "__n")
+        there = to.join(many.withColumnsRenamed({"__key": "__k", "__bytes": "__b"}), F.expr("__key <=> __k and __bytes = __b")).drop("__k", "__b")
+        there = ranked(there, ["__key", "__bytes"], [F.asc("__shard")], "__n").withColumnsRenamed({"__key": "__k", "__bytes": "__b", "__n": "__m"})
+        placed = rows.join(there, F.expr("__key <=> __k and __bytes = __b and __n = __m"))
+        one = one.unionByName(placed.select(*docs.columns, F.col("__shard").alias("__to")))
+    out = one.withColumnRenamed("__to", "shard")
     out.repartition("shard").write.partitionBy("shard").parquet(path)

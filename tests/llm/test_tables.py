@@ -95,6 +95,18 @@ def test_shards_edge_cases(odd, none, make):
     assert len(hot) == 210 and max(sums.values()) <= 1000 and all(sums[r.shard] == r.shard_bytes for r in hot)
 
 
+def test_written_shards_hold_each_row_once(make, tmp_path):
+    rows = [(5, f"{i:0100d}") for i in range(90)] + [(None, "y" * 100)] * 30 + [(7, "a" * 2000), (7, "b" * 20)] + [(i, "z" * 90) for i in range(10, 60)]
+    docs = make(rows).repartition(3)
+    write_shards(docs, assign_shards(docs, limit=1000), str(tmp_path / "s"))
+    got = docs.sparkSession.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((k or -1, t) for k, t in rows)
+    sums = {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + len(r.text)
+    assert {s for s, n in sums.items() if n > 1000} == {"own-7"} and sums["own-7"] == 2000
+
+
 NAMES = [n for n in llm.QUERIES if n != "op10_jaccard_join" or os.environ.get("SCORELOOM_ALL")]
 
 
