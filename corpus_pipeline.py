@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scoreloom.llm.common import cut
 from scoreloom.llm.decontaminate import drop_contaminated
 from scoreloom.llm.jaccard import keep_one_per_component
 from scoreloom.llm.mixing import mixed_documents
@@ -53,8 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed rows of all documents, the stages applied one after the other."""
+    """The packed rows of all documents; each stage reads what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

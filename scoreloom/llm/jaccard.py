@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 def keep_one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` without those that are near copies of a row with a smaller doc_id.
 
-    One row stays for each component; rows that repeat a kept doc_id are reduced to one. Rows without words or without a
+    One row stays for each component; of rows that repeat a kept doc_id the one with the smallest text hash stays. Rows without words or without a
     doc_id are linked with nothing and stay.
     """
     found = cut(jaccard_components(docs, width, num, den), "classes")
@@ -269,4 +269,6 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: i
     if repeated.isEmpty():
         return kept
     several = kept.join(_checked(repeated), "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(_checked(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(several.dropDuplicates(["doc_id"]))
+    least = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), least).alias("row"))
+    return kept.join(_checked(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))

@@ -1,6 +1,9 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from scoreloom.llm.jaccard import keep_one_per_component
 from scoreloom.llm.toxicity import fit_model, toxicity_scores
 from tests.llm.test_pairs import brute_components, shingle_set
 from tests.llm.test_rows import unpacked
@@ -44,3 +47,21 @@ def test_stages(spark, tmp_path):
             found = unpacked(docs.collect(), 2048)
             assert set(found) == set(rows)
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_stages_read_what_was_written(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    assert corpus_pipeline.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert "/llm/one-" in seen[1][0] and "/llm/two-" in seen[2][0]
+
+
+def test_repeated_id_keeps_the_smallest_text_hash(make):
+    rows = [(i, f"some words that only text {i} {j} has {i * 7 + j}") for i in range(20) for j in range(4)]
+    want = {r.doc_id: r.text for r in make(rows).selectExpr("doc_id", "text", "xxhash64(text) h").groupBy("doc_id").agg(F.min_by("text", "h").alias("text")).collect()}
+    kept = keep_one_per_component(make(rows).repartition(3)).select("doc_id", "text").collect()
+    assert len(kept) == 20 and {r.doc_id: r.text for r in kept} == want
