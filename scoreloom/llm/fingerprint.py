@@ -2,9 +2,11 @@
 
 A text is read as pieces: up to four characters between white space, counted from the start of each word. Four blank
 pieces stand before the text. A run of five pieces is an anchor when the smallest of its pieces' hashes stands first or
-last in it (a closed syncmer with one piece as inner substring): the choice depends on the run alone, so an edit changes
-only the anchors that overlap it, wherever the text is shifted to. The first run is always an anchor. The fingerprint
-holds the 128 smallest 32-bit anchor hashes; two fingerprints compare by the share of common hashes among the smallest
+last in it (a closed syncmer with one piece as inner substring): the choice depends on the run alone. So an edit changes
+the anchors that overlap the rest of its word, wherever whole words are shifted to; in text without blanks (CJK, base64,
+long tokens) an inserted character moves all later pieces of the word and changes all its later anchors. Where blanks
+stand at piece borders is not seen. The first run is always an anchor. The fingerprint holds the 128 smallest 32-bit
+anchor hashes, without their positions; two fingerprints compare by the share of common hashes among the smallest
 128 of both, which estimates the share of common anchors (exact where texts have fewer).
 
 Null text counts as empty. Empty texts have the empty fingerprint; it is like another empty one (1), unlike others (0).
