@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from scoreloom.llm.decontaminate import leaks
 from scoreloom.llm.fingerprint import edit_fingerprints
 from scoreloom.llm.jaccard import jaccard_components
+from scoreloom.llm.lexical import rank_documents
 from scoreloom.llm.mixing import mix_sources
+from scoreloom.llm.negatives import hard_negatives
 from scoreloom.llm.packing import pack_documents
 from scoreloom.llm.passages import repeated_passages
 from scoreloom.llm.secrets import scan_secrets
 from scoreloom.llm.sharding import assign_shards
+from scoreloom.llm.token_counts import count_tokens
 from scoreloom.llm.toxicity import fit_model, toxicity_scores
 from scoreloom.llm.urls import judge_urls
 
@@ -133,3 +136,45 @@ def op7(spark, sf_dir):
 @query("op8_repeated_passages")
 def op8(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, pos.other AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, pos.other ORDER BY p.score DESC, p.other))::INTEGER AS rank,
+  p.other AS negative_id, pos.score AS positive_score, p.score AS negative_score
+FROM p JOIN pos ON p.anchor_id = pos.anchor_id AND NOT p.same AND 50 * pos.score <= 100 * p.score AND 100 * p.score <= 95 * pos.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, pos.other ORDER BY p.score DESC, p.other) <= 3
+""")
+def op12(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+c AS (SELECT doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM c),
+f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, g GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM f JOIN i USING (t) JOIN w USING (t) JOIN c USING (doc_id), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20
+""")
+def op13(spark, sf_dir):
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
