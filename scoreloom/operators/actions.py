@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,24 @@ from pyspark.sql import functions as F
 def state_lineage_id(chain: DataFrame, by: Sequence[str], order: str, content: str) -> DataFrame:
     """Content hash of every state: sha-256 of (parent hash, action), along each accepted chain.
 
-    A hash chain is sequential by definition, so one chain is folded in one row. Its length is the number of
-    *accepted* steps (a new record each time), which grows far slower than the log itself.
+    A hash chain is sequential by definition. Spark brings a chain's rows together in order (sorting spills), and the fold
+    passes over them carrying the one hash of the state before, however long the chain is.
     """
-    # Only (step, action) of the accepted steps are gathered; everything else stays outside the group.
-    steps = chain.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
-                                                                        F.col(content).alias("c")))).alias("__s"))
-    start = F.array().cast("array<struct<o:bigint,h:string>>")
-
-    def link(acc, s):
-        parent = F.coalesce(F.try_element_at(acc, F.lit(-1))["h"], F.lit(""))
-        node = F.struct(s["o"].cast("bigint").alias("o"), F.sha2(F.concat_ws("|", parent, s["c"]), 256).alias("h"))
-        return F.concat(acc, F.array(node))
-
-    folded = steps.select(*by, F.explode(F.aggregate("__s", start, link)).alias("n"))
-    return folded.select(*by, F.col("n.o").alias(order), F.col("n.h").alias("state_id"))
+    rows = chain.select(*by, F.col(order).cast("bigint").alias(order), F.col(content).cast("string").alias("__c"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    placed = rows.repartition(*by).sortWithinPartitions(*by, order, "__c")
+    return placed.mapInArrow(lambda batches: _fold(batches, list(by)), f"{kinds}, state_id string")
+
+
+def _fold(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    last, state = None, ""
+    for batch in batches:
+        hashes = []
+        for *key, content in zip(*(batch.column(c).to_pylist() for c in (*by, "__c"))):
+            if key != last:
+                last, state = key, ""
+            text = state if content is None else f"{state}|{content}"
+            state = hashlib.sha256(text.encode()).hexdigest()
+            hashes.append(state)
+        kept = batch.drop_columns(["__c"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hashes, pa.string())], [*kept.schema.names, "state_id"])

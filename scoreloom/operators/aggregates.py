@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,22 +114,25 @@ def seed_mean(runs: DataFrame, expected: int, by: Sequence[str] = ("run", "song"
     return out.withColumn(metrics[0], guarded)
 
 
-def song_set_digest(df: DataFrame, ident: str, list_limit: int = 100_000) -> DataFrame:
-    """12 hex digits that name a set of ids.
+def song_set_digest(df: DataFrame, ident: str) -> DataFrame:
+    """12 hex digits that name a set of ids: of the sha-256 over the sorted ids, one a line.
 
-    Up to ``list_limit`` ids it is the sha-256 of the sorted list. A larger set is never gathered: its digest is
-    the sha-256 of mergeable order-free sums over the ids. Equal sets give equal digests either way.
+    A sha-256 is sequential by definition. The distinct ids are sorted by Spark (which spills) and one task feeds them to
+    the hash batch by batch, so memory does not grow with the set.
     """
     ids = df.select(F.col(ident).cast("string").alias("i")).where(F.col("i").isNotNull()).distinct()
-    h = F.sha2("i", 256)
-    word = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("bigint")
-    size = ids.agg(F.count("*").alias("n"), F.bit_xor(word(1)).alias("x"), F.bit_xor(word(16)).alias("y"),
-                   F.bit_xor(word(31)).alias("z"))
-    small = ids.join(F.broadcast(size.select("n")), F.col("n") <= list_limit).agg(
-        F.array_join(F.array_sort(F.collect_list("i")), "\n").alias("l"))
-    text = F.when(F.col("n") <= list_limit, F.col("l")).otherwise(F.concat_ws("|", "n", "x", "y", "z"))
-    return size.join(F.broadcast(small), F.lit(True)).select(
-        "n", F.substring(F.sha2(text, 256), 1, 12).alias("digest"))
+    out = ids.repartition(1).sortWithinPartitions("i").mapInArrow(_digest, "n bigint, digest string")
+    return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))  # a row for an empty set, too
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state, n = hashlib.sha256(), 0
+    for batch in batches:
+        for ident in batch.column("i").to_pylist():
+            state.update(("\n" if n else "").encode() + ident.encode())
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([state.hexdigest()[:12] if n else None], pa.string())], ["n", "digest"])
+
 
 
 def weighted_reward(scores: DataFrame, by: Sequence[str], weights: dict[str, float] | None = None,

@@ -1,7 +1,7 @@
 """Ordered exclusion of participants: every stage sees only the survivors of the stages before.
 
 Facts are reduced to one row per listener first. The stages then run on that table and need from the survivors only
-scalars (a share, a median, two quartiles), which stay in the plan: nothing is collected.
+scalars: a share, a median, two quartiles.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions.scalars import finite
 from scoreloom.operators.inference import repeat_agreement
-from scoreloom.operators.joins import attach
+from scoreloom.operators.joins import attach, match_repeats
 from scoreloom.operators.quantiles import exact_percentiles
 from scoreloom.operators.rules import screen_check
-from scoreloom.session import materialize
+from scoreloom.session import materialize, shared_exchange
 
 KEY = ["listener"]
 
@@ -52,8 +53,11 @@ def verdict_flags(verdicts: DataFrame) -> DataFrame:
 
 
 def stage1_flags(stage1: DataFrame, cfg: Screening) -> DataFrame:
-    bad = F.coalesce(F.col("hp") < cfg.hp_min, F.lit(False)) | F.coalesce(F.col("ap") < cfg.ap_min, F.lit(False))
-    return stage1.groupBy(*KEY).agg(F.bool_or(bad).alias("stage1_bad"))
+    return stage1.groupBy(*KEY).agg(F.bool_or(_stage1_bad(cfg)).alias("stage1_bad"))
+
+
+def _stage1_bad(cfg: Screening) -> Column:
+    return F.coalesce(finite("hp") < cfg.hp_min, F.lit(False)) | F.coalesce(finite("ap") < cfg.ap_min, F.lit(False))
 
 
 def completion_counts(session: DataFrame, mushra: DataFrame, afc: DataFrame) -> DataFrame:
@@ -69,34 +73,63 @@ def screen_fail_share(mushra: DataFrame, cfg: Screening) -> DataFrame:
     return checks.groupBy(*KEY).agg(F.avg(F.col("failed").cast("int")).alias("fail_frac"))
 
 
-def total_time(session: DataFrame, mushra: DataFrame, afc: DataFrame) -> DataFrame:
-    """Longest session total, else one duration per screen plus all trial durations.
+def total_time(session: DataFrame, mushra: DataFrame, afc: DataFrame, order: str = "seq") -> DataFrame:
+    """Longest finite session total, else the first known duration of each screen (by ``order``) plus all trial durations."""
+    first = mushra.groupBy(*KEY, "song", "screen").agg(_first_duration(order).alias("__d"))
+    rows = _stack(session.select("listener", finite("total_sec").alias("__s")), first.select("listener", "__d"),
+                  afc.select("listener", F.col("dur").alias("__a")))
+    return rows.groupBy(*KEY).agg(_total_seconds().alias("total_sec"))
 
-    All rows of one screen carry the duration of the screen.
-    """
-    s = session.groupBy(*KEY).agg(F.max("total_sec").alias("__s"))
-    m = mushra.groupBy(*KEY, "song", "screen").agg(F.max("dur").alias("__d")).groupBy(*KEY).agg(F.sum("__d").alias("__m"))
-    a = afc.groupBy(*KEY).agg(F.sum("dur").alias("__a"))
-    out = attach(attach(attach(all_listeners(session, mushra, afc), s, KEY), m, KEY), a, KEY)
+
+def _first_duration(order: str) -> Column:
+    """Duration on the first row that has one; rows of equal place count by duration."""
+    known = finite("dur")
+    return F.min(F.when(known.isNotNull(), F.struct(F.col(order), known.alias("d"))))["d"]
+
+
+def _total_seconds() -> Column:
     zero = F.lit(0.0)
-    return out.select("listener", F.coalesce("__s", F.coalesce("__m", zero) + F.coalesce("__a", zero)).alias("total_sec"))
+    return F.coalesce(F.max("__s"), F.coalesce(F.sum("__d"), zero) + F.coalesce(F.sum(finite("__a")), zero))
 
 
 def listener_means(mushra: DataFrame) -> DataFrame:
     return mushra.groupBy(*KEY).agg(F.avg("score").alias("mean_score"))
 
 
-def listener_features(mushra: DataFrame, afc: DataFrame, session: DataFrame, stage1: DataFrame, verdicts: DataFrame,
-                      cfg: Screening) -> DataFrame:
-    """Everything the stages look at, one row per listener."""
-    out = all_listeners(mushra, afc, session, stage1)
-    counts = completion_counts(session, mushra, afc)
-    for part in (verdict_flags(verdicts), stage1_flags(stage1, cfg), counts, screen_fail_share(mushra, cfg),
-                 total_time(session, mushra, afc), repeat_agreement(afc).select("listener", "agreement"), listener_means(mushra)):
-        out = attach(out, part, KEY)
+def _stack(*parts: DataFrame) -> DataFrame:
+    """All rows below each other; a column that a part does not have is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def listener_features(mushra: DataFrame, afc: DataFrame, session: DataFrame, stage1: DataFrame, verdicts: DataFrame,
+                      cfg: Screening, order: str = "seq") -> DataFrame:
+    """Everything the stages look at, one row per listener.
+
+    Ratings are reduced to one row per screen and repeats to their agreement; these and the rows of the other tables go
+    below each other and meet in one aggregation. A listener known from verdicts only is no participant.
+    """
+    screens = screen_check(mushra, cfg.anchor, extra={
+        "__d": _first_duration(order), "__score": F.sum("score"), "__scores": F.count("score")})
+    agree = match_repeats(afc).where(F.col("original_choice").isNotNull()).select(
+        "listener", (F.col("choice") == F.col("original_choice")).cast("int").alias("__agree"))
+    here = F.lit(True).alias("__here")
+    rows = _stack(
+        screens.select("listener", here, "song", F.col("failed").cast("int").alias("__failed"), F.lit(1).alias("__screen"),
+                       "__d", "__score", "__scores"),
+        afc.select("listener", here, F.lit(1).alias("__trial"), F.col("dur").alias("__a")), agree,
+        session.select("listener", here, "completed", finite("total_sec").alias("__s")),
+        stage1.select("listener", here, _stage1_bad(cfg).alias("__bad")), verdicts.select("listener", "eligible"))
+    facts = rows.groupBy(*KEY).agg(
+        F.max("__here").alias("__here"), F.bool_and("eligible").alias("eligible"), F.bool_or("__bad").alias("stage1_bad"),
+        F.max("completed").alias("completed"), F.sum("__screen").alias("n_screens"), F.sum("__trial").alias("n_afc"),
+        F.avg("__failed").alias("fail_frac"), _total_seconds().alias("total_sec"), F.avg("__agree").alias("agreement"),
+        (F.sum("__score") / F.sum("__scores")).alias("mean_score"))
+    return facts.where("__here").drop("__here")
+
+
 # --- stages: each returns the excluded listeners of ``alive`` --------------------------------------
 
 
@@ -144,7 +177,7 @@ def exclude_bad_screens(alive: DataFrame, mushra: DataFrame, cfg: Screening = Sc
 
 
 def exclude_speeders(alive: DataFrame, times: DataFrame, cfg: Screening = Screening()) -> DataFrame:
-    f = materialize(attach(alive, times, KEY), "times")
+    f = shared_exchange(attach(alive, times, KEY).select("listener", F.coalesce("total_sec", F.lit(0.0)).alias("total_sec")))
     return _with_median_time(f).where(F.col("total_sec") < cfg.speeder_factor * F.col("__med")).select("listener")
 
 
@@ -159,8 +192,8 @@ def exclude_unreliable(alive: DataFrame, afc: DataFrame, cfg: Screening = Screen
 
 
 def exclude_outliers(alive: DataFrame, mushra: DataFrame, cfg: Screening = Screening()) -> DataFrame:
-    f = materialize(listener_means(mushra.join(alive, KEY, "left_semi")), "means")
-    return _with_fences(f, cfg).where(_outside()).select("listener")
+    f = shared_exchange(listener_means(mushra.join(alive, KEY, "left_semi")))
+    return _with_fences(f, cfg).where(_outside(F.col("__lo"), F.col("__hi"))).select("listener")
 
 
 def _with_fences(f: DataFrame, cfg: Screening) -> DataFrame:
@@ -176,41 +209,42 @@ def _fences(f: DataFrame, cfg: Screening) -> DataFrame:
         F.when(F.col("__n") >= 4, F.col("__q3") + cfg.iqr_k * iqr).alias("__hi"))
 
 
-def _outside() -> Column:
-    return F.coalesce((F.col("mean_score") < F.col("__lo")) | (F.col("mean_score") > F.col("__hi")), F.lit(False))
+def _outside(lo: Column, hi: Column) -> Column:
+    return F.coalesce((F.col("mean_score") < lo) | (F.col("mean_score") > hi), F.lit(False))
 
 
 STAGES = ["1a_ineligible", "1_stage1_hp_ap", "2_incomplete", "3_screen_checks", "4_speeder", "5_afc_repeat", "6_iqr_outlier"]
 
 
-def assign_stages(features: DataFrame, cfg: Screening = Screening(), cut: bool = True) -> DataFrame:
-    """The stage that excludes each listener (null: kept).
+def assign_stages(features: DataFrame, cfg: Screening = Screening()) -> DataFrame:
+    """The criteria each listener fails as a bit mask, and the stage that excludes them (null: kept).
 
-    ``cut`` writes the listener table once to the shared folder, so the facts behind it are not scanned again for
-    every scalar.
+    Bit i stands for ``STAGES[i]``; every criterion is judged against the survivors of the stages before, for excluded
+    listeners too. The facts are reduced once to the table of listeners; the share, the median and the quartiles of the
+    survivors are one-row jobs on it (this starts jobs), and the mask is a single projection with these numbers.
     """
-    f = materialize(features, "listeners") if cut else features
-    stage = (F.when(_ineligible(cfg), STAGES[0]).when(_stage1(cfg), STAGES[1]))
-    f = f.withColumn("stage", stage)
-    open_ = F.col("stage").isNull()
-    # Stage 2 and 3: the share looks at the survivors of stage 1.
-    on = _with_block(f.where(open_), cfg).select("__on").limit(1) if cfg.afc_block_expected is None else None
-    f = f.join(F.broadcast(on), F.lit(True), "left") if on is not None else f.withColumn("__on", F.lit(cfg.afc_block_expected))
-    f = f.withColumn("stage", F.coalesce("stage", F.when(_incomplete(cfg, F.col("__on")), STAGES[2]).when(
-        F.col("fail_frac") > cfg.screen_fail_frac, STAGES[3]))).drop("__on")
-    f = materialize(f, "stage3") if cut else f
-    med = exact_percentiles(f.where(open_ & (F.col("total_sec") > 0)), [], "total_sec", {"__med": 0.5})
-    f = f.join(F.broadcast(med), F.lit(True), "left")
-    f = f.withColumn("stage", F.coalesce("stage", F.when(F.col("total_sec") < cfg.speeder_factor * F.col("__med"), STAGES[4]).when(
-        F.col("agreement") < cfg.repeat_agree_min, STAGES[5]))).drop("__med")
-    f = materialize(f, "stage5") if cut else f
-    fences = _fences(f.where(open_ & F.col("mean_score").isNotNull()), cfg)
-    f = f.join(F.broadcast(fences), F.lit(True), "left")
-    f = f.withColumn("stage", F.coalesce("stage", F.when(_outside(), STAGES[6]))).drop("__lo", "__hi")
-    return materialize(f, "stages") if cut else f
-
-
-def exclusion_table(assigned: DataFrame) -> DataFrame:
+    f = materialize(features, "listeners")
+    mask = _bit(0, _ineligible(cfg)) + _bit(1, _stage1(cfg))
+    on = cfg.afc_block_expected
+    if on is None:
+        share = f.where(mask == 0).agg(F.avg((F.coalesce("n_afc", F.lit(0)) > 0).cast("int"))).first()[0]
+        on = share is not None and share >= cfg.afc_block_min_share
+    mask += _bit(2, _incomplete(cfg, F.lit(on))) + _bit(3, F.col("fail_frac") > cfg.screen_fail_frac)
+    med = exact_percentiles(f.where((mask == 0) & (F.col("total_sec") > 0)), [], "total_sec", {"__med": 0.5}).first()
+    fast = F.col("total_sec") < cfg.speeder_factor * med["__med"] if med else F.lit(False)
+    mask += _bit(4, fast) + _bit(5, F.col("agreement") < cfg.repeat_agree_min)
+    fences = _fences(f.where((mask == 0) & F.col("mean_score").isNotNull()), cfg).first()
+    lo, hi = (fences["__lo"], fences["__hi"]) if fences else (None, None)
+    mask += _bit(6, _outside(F.lit(lo).cast("double"), F.lit(hi).cast("double")))
+    out = f.withColumn("mask", mask)
+    return out.withColumn("stage", F.coalesce(*[F.when(F.col("mask").bitwiseAND(1 << i) > 0, s) for i, s in enumerate(STAGES)]))
+
+
+def _bit(i: int, failed: Column) -> Column:
+    return F.when(failed, 1 << i).otherwise(0)
+
+
+def exclusion_counts(assigned: DataFrame) -> DataFrame:
     """Per stage in order: excluded and remaining listeners."""
     position = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
     one = assigned.agg(F.count("*").alias("__all"), *[F.count_if(position == i).alias(f"__x{i}") for i in range(1, len(STAGES) + 1)])
@@ -222,5 +256,18 @@ def exclusion_table(assigned: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*out)))
 
 
+def exclusion_table(assigned: DataFrame) -> DataFrame:
+    """The counts of :func:`exclusion_counts` with the ids: one row per excluded listener, a null id for a stage without any.
+
+    Ids are rows and not a list per stage, so a stage may exclude any number of listeners. ``also_failed`` counts the later
+    criteria that the listener fails as well.
+    """
+    counts = exclusion_counts(assigned)
+    gone = assigned.where(F.col("stage").isNotNull()).select(
+        F.col("stage").alias("__stage"), "listener", (F.bit_count("mask") - 1).alias("also_failed"))
+    return gone.join(F.broadcast(counts), F.col("__stage") == F.col("stage")).select(
+        *counts.columns, "listener", "also_failed").unionByName(counts.where("n_excluded = 0"), allowMissingColumns=True)
+
+
 def survivors(assigned: DataFrame) -> DataFrame:
     return assigned.where(F.col("stage").isNull()).select("listener")

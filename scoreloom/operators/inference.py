@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import finite
 from scoreloom.functions.stats import binom_tail_half, norm_sf, t_cdf, t_ppf
-from scoreloom.operators.joins import attach, match_repeats, rater_pairs, subset_pairs
+from scoreloom.operators.joins import attach, match_repeats, subset_pairs
 from scoreloom.operators.logs import rank_no_ties
-from scoreloom.operators.quantiles import value_splits
-from scoreloom.operators.scan import prefix_scan, running_sum
+from scoreloom.operators.raters import rater_pairs
+from scoreloom.operators.scan import prefix_scan, range_blocks, running_sum
 from scoreloom.session import materialize
 
 MIN_PAIRS = 8
@@ -46,18 +46,15 @@ def contrast_subsets(pairs: DataFrame, durations: DataFrame, by: Sequence[str],
 def wilcoxon_signed_rank(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Signed-rank test: zeros dropped, average ranks for ties, normal form with tie correction.
 
-    Equal magnitudes are counted first; only the distinct magnitudes are put in order, block by block.
+    Equal magnitudes are counted first; only the distinct magnitudes are put in order, range by range.
     """
     d = finite(value)
     # Equal decimal differences may differ in the last bits; 12 decimals decide what a tie is.
     x = F.round(F.abs(d), 12)
     mags = df.where(d.isNotNull() & (x > 0)).groupBy(*by, x.alias("__v")).agg(
         F.count("*").alias("__c"), F.count_if(d > 0).alias("__p"))
-    mags = materialize(mags, "magnitudes")
-    splits = value_splits(mags, by, "__v")
-    blocked = attach(mags, splits, by) if by else mags.join(F.broadcast(splits), F.lit(True))
-    blocked = blocked.withColumn("__vb", F.size(F.filter("__splits", lambda s: s < F.col("__v")))).drop("__splits")
-    ranked = prefix_scan(blocked, by, [F.asc("__v")], F.col("__vb"), {"__before": running_sum("__c", inclusive=False)})
+    order = [F.asc("__v")]
+    ranked = prefix_scan(range_blocks(mags, by, order), by, order, F.col("__range"), {"__before": running_sum("__c", inclusive=False)})
     c = F.col("__c").cast("double")
     rank = F.coalesce("__before", F.lit(0)) + (c + 1) / 2
     out = ranked.groupBy(*by).agg(F.sum("__c").alias("n"), F.sum(F.col("__p") * rank).alias("w_plus"),
@@ -276,16 +273,8 @@ def metric_vs_human(auto: DataFrame, human: DataFrame, item: str = "item") -> Da
 
 
 def rater_agreement(cells: DataFrame, rater: str, item: str, value: str, min_shared: int = 3) -> DataFrame:
-    """Tie-less rank correlation of every rater pair with enough shared items.
-
-    Each pair's shared items are its own small group; raters with too few items are removed before pairing.
-    """
-    busy = cells.groupBy(rater).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_shared).select(rater)
-    p = rater_pairs(cells.join(busy, rater, "left_semi"), rater, item, value)
-    w = W.partitionBy("rater_a", "rater_b")
-    p = p.withColumns({"__ra": F.row_number().over(w.orderBy("value_a", item)), "__rb": F.row_number().over(w.orderBy("value_b", item))})
-    out = p.groupBy("rater_a", "rater_b").agg(F.count("*").alias("n_shared"), F.corr("__ra", "__rb").alias("rho"))
-    return out.where(F.col("n_shared") >= min_shared)
+    """Tie-less rank correlation of every rater pair with enough shared items."""
+    return rater_pairs(cells, rater, item, value, min_shared).select("rater_a", "rater_b", "n_shared", "rho")
 
 
 def shapley(grid: DataFrame, elements: int) -> DataFrame:

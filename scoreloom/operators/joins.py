@@ -224,19 +224,6 @@ def rater_cells(ratings: DataFrame, rater: str, item: str, value: str, seq: Sequ
     return ratings.groupBy(rater, item).agg(F.max_by(value, F.struct(*seq)).alias(value))
 
 
-def rater_pairs(cells: DataFrame, rater: str, item: str, value: str) -> DataFrame:
-    """Unordered rater pairs on shared items, one row per (pair, item); cells must be unique per (rater, item)."""
-    a = cells.select(item, F.col(rater).alias("rater_a"), F.col(value).alias("value_a"))
-    b = cells.select(item, F.col(rater).alias("rater_b"), F.col(value).alias("value_b"))
-    return a.join(b, item).where(F.col("rater_a") < F.col("rater_b"))
-
-
-def rater_pair_counts(cells: DataFrame, rater: str, item: str, value: str) -> DataFrame:
-    """Per rater pair: shared items and mean absolute difference."""
-    return rater_pairs(cells, rater, item, value).groupBy("rater_a", "rater_b").agg(
-        F.count("*").alias("n_shared"), F.avg(F.abs(F.col("value_a") - F.col("value_b"))).alias("mean_abs_diff"))
-
-
 def subset_pairs(grid: DataFrame, elements: int) -> DataFrame:
     """Every (S, S + {e}) pair of a subset grid keyed by bitmask; the equi key is the smaller mask."""
     bits = F.explode(F.array(*[F.lit(i) for i in range(elements)]))

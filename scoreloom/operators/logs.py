@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ColumnOrName, col, nan_to_null
 from scoreloom.operators.joins import attach
-from scoreloom.operators.scan import (ordinal, prefix_scan, previous, running_count, running_last, running_max, running_sum,
+from scoreloom.operators.scan import (ordinal, prefix_scan, previous, range_blocks, running_count, running_last, running_max, running_sum,
                                       step_block)
 from scoreloom.session import materialize
 
@@ -327,15 +327,12 @@ def top_suggestions(advice: DataFrame, n: int, by: Sequence[str] = BY) -> DataFr
     return advice.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def rank_no_ties(df: DataFrame, by: Sequence[str], value: str, tie: str, tie_rows: int = 1_000_000,
-                 name: str = "rank") -> DataFrame:
-    """0-based order rank without averaging; equal values are ranked by ``tie`` (a numeric id)."""
-    from scoreloom.operators.quantiles import value_splits
-    splits = value_splits(df, by, value)
-    ranked = attach(df, splits, by) if by else df.join(F.broadcast(splits), F.lit(True))
-    block = F.size(F.filter("__splits", lambda s: s < F.col(value)))
-    # Ties may hold most rows, so a value block is cut further by the value itself and the id range.
-    ranked = materialize(ranked.withColumn("__vb", block).drop("__splits"), "rank-blocks")
-    out = ordinal(ranked, by, [F.asc(value), F.asc(tie)],
-                  [F.col("__vb"), F.col(value), F.floor(F.col(tie) / tie_rows)], name)
-    return out.withColumn(name, F.col(name) - 1).drop("__vb")
+def rank_no_ties(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
+    """0-based order rank without averaging; equal values are ranked by ``tie``.
+
+    Rows are numbered within ranges of (by, value, tie) and the counts of earlier ranges are added, so neither a hot key
+    nor a table without keys ends up in one task.
+    """
+    order = [F.asc(value), F.asc(tie)]
+    out = ordinal(range_blocks(df, by, order), by, order, F.col("__range"), name)
+    return out.withColumn(name, F.col(name) - 1).drop("__range")

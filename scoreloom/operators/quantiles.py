@@ -1,9 +1,10 @@
 """Exact order statistics for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a bounded sketch of each large
-group first gives a bracket around each wanted rank; rows outside the brackets are counted into markers during the map-side
-aggregation, and only the few values inside a bracket are put in order. The result is exact: if a bracket ever
-missed its rank the query fails instead of answering wrongly.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a bounded sketch of each group gives a
+bracket around each wanted rank; rows outside the brackets are counted into markers during the map-side aggregation, and
+only the few values inside a bracket are put in order. The way is the same for every group: a sketch of a small group holds
+all its values, so its bracket is one value, and a neighbour that the interpolation needs is the first or last value that
+its marker has counted.
 """
 
 from __future__ import annotations
@@ -17,10 +18,6 @@ from pyspark.sql import functions as F
 from scoreloom.functions.scalars import ColumnOrName, finite
 
 
-# Groups up to this size are put in order as they are.
-WHOLE = 100_000
-
-
 def _same(by: Sequence[str]):
     on = F.lit(True)
     for b in by:
@@ -32,56 +29,51 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: ColumnOrName, pro
                       accuracy: int = 100_000, lower: bool = False) -> DataFrame:
     """One row per group with the linearly interpolated percentiles (``lower``: the element at floor(n·p)).
 
-    A group without finite values gives no row.
+    A group without finite values gives no row. The sketch misses a rank by at most n / accuracy and the brackets reach
+    four times as far, so the wanted rank lies in its bracket; should a sketch break that promise, the query fails.
     """
     names = list(probs)
     base = df.select(*by, finite(value).alias("__v")).where(F.col("__v").isNotNull())
     eps = 4.0 / accuracy
     marks = [max(probs[n] - eps, 0.0) for n in names] + [min(probs[n] + eps, 1.0) for n in names]
-    sizes = base.groupBy(*by).agg(F.count("*").alias("__n"))
-    # Only groups above WHOLE rows are sketched; without any, AQE drops this branch.
-    large = sizes.where(F.col("__n") > WHOLE).select(*[F.col(b).alias(f"__k_{b}") for b in by])
-    sketch = base.join(large, _same(by), "left_semi").groupBy(*by).agg(
-        F.percentile_approx("__v", F.array(*[F.lit(p) for p in marks]), accuracy).alias("__q"))
-    brackets = []
-    for i in range(len(names)):
-        j = len(names) + i
-        lo = F.lit(float("-inf")) if marks[i] == 0.0 else F.col("__q")[i]
-        hi = F.lit(float("inf")) if marks[j] == 1.0 else F.col("__q")[j]
-        brackets.append(F.struct(lo.alias("lo"), hi.alias("hi")))
-    sketch = sketch.select(*by, F.array(*brackets).alias("__br"))
+    sketch = base.groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx(
+        "__v", F.array(*[F.lit(p) for p in marks]), accuracy).alias("__q"))
     key = [F.col(b).alias(f"__k_{b}") for b in by]
-    # With no group key both sides are single rows.
-    joined = base.join(sizes.select(*key, "__n") if by else F.broadcast(sizes), _same(by)).drop(*[f"__k_{b}" for b in by])
-    joined = joined.join(sketch.select(*key, "__br") if by else F.broadcast(sketch), _same(by), "left")
-    inside = F.coalesce(F.exists("__br", lambda s: F.col("__v").between(s["lo"], s["hi"])), F.lit(True))
-    below = F.array_max(F.filter(F.transform("__br", lambda s: s["hi"]), lambda h: h < F.col("__v")))
-    cell = joined.select(
-        *by, F.when(inside, F.col("__v")).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("__x"),
-        (~inside).cast("int").alias("__marker"), "__n")
-    counts = cell.groupBy(*by, "__x", "__marker").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    sketch = sketch.select(*key, "__n", *[
+        c for i in range(len(names)) for c in (F.col("__q")[i].alias(f"__lo{i}"), F.col("__q")[len(names) + i].alias(f"__hi{i}"))])
+    # With no group key the sketch is a single row.
+    joined = base.join(sketch if by else F.broadcast(sketch), _same(by)).drop(*[f"__k_{b}" for b in by])
+    v, inside, below = F.col("__v"), F.lit(False), F.lit(float("-inf"))
+    for i in range(len(names)):
+        inside = inside | v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
+        below = F.greatest(below, F.when(F.col(f"__hi{i}") < v, F.col(f"__hi{i}")))
+    cell = joined.select(*by, "__v", F.when(inside, v).otherwise(below).alias("__x"), (~inside).cast("int").alias("__marker"), "__n")
+    counts = cell.groupBy(*by, "__x", "__marker").agg(
+        F.count("*").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.first("__n").alias("__n"))
     w = W.partitionBy(*by).orderBy("__x", "__marker").rowsBetween(W.unboundedPreceding, 0) if by else \
         W.orderBy("__x", "__marker").rowsBetween(W.unboundedPreceding, 0)
     cum = counts.withColumn("__cum", F.sum("__c").over(w))
-    slot = F.struct(F.col("__x").alias("x"), F.col("__marker").alias("m"))
-    aggs = [F.first("__n").alias("__n")]
-    for n in names:
-        p = probs[n]
-        h = F.floor(F.col("__n") * p) if lower else (F.col("__n") - 1) * F.lit(p)
-        k = F.least(F.floor(h), F.col("__n") - 1)
-        aggs += [F.min(F.when(F.col("__cum") >= k + 1, slot)).alias(f"__a_{n}"),
-                 F.min(F.when(F.col("__cum") >= F.least(k + 2, F.col("__n")), slot)).alias(f"__z_{n}")]
-    picked = cum.groupBy(*by).agg(*aggs)
+    slot = F.struct("__cum", "__c", "__marker", "__least", "__most")
+    n, ranks = F.col("__n"), {}
+    for name in names:
+        h = F.floor(n * probs[name]) if lower else (n - 1) * F.lit(probs[name])
+        k = F.least(F.floor(h), n - 1)
+        ranks[name] = (k + 1, F.least(k + 2, n))
+    picked = cum.groupBy(*by).agg(F.first("__n").alias("__n"), *[
+        F.min(F.when(F.col("__cum") >= r, slot)).alias(f"__{i}_{name}") for name in names for i, r in enumerate(ranks[name])])
+
+    def at(name: str, i: int):
+        """Value of a rank: of its cell, or the first or last of the rows between two brackets."""
+        s, rank = F.col(f"__{i}_{name}"), ranks[name][i]
+        return F.when((s["__marker"] == 0) | (rank == s["__cum"] - s["__c"] + 1), s["__least"]).when(rank == s["__cum"], s["__most"]).otherwise(
+            F.raise_error(F.lit(f"percentile bracket missed the rank of {name}")).cast("double"))
+
     out = []
-    for n in names:
-        a, z = F.col(f"__a_{n}"), F.col(f"__z_{n}")
-        h = (F.col("__n") - 1) * F.lit(probs[n])
+    for name in names:
+        h = (n - 1) * F.lit(probs[name])
         frac = F.lit(0.0) if lower else h - F.floor(h)
-        missed = (a["m"] == 1) | ((frac > 0) & (z["m"] == 1))
-        value = F.when(frac > 0, a["x"] + (z["x"] - a["x"]) * frac).otherwise(a["x"])
-        out.append(F.when(missed, F.raise_error(F.lit(f"percentile bracket missed the rank of {n}")).cast("double"))
-                   .otherwise(value).alias(n))
-    return picked.where(F.col("__n").isNotNull()).select(*by, *out)
+        out.append(F.when(frac > 0, at(name, 0) + (at(name, 1) - at(name, 0)) * frac).otherwise(at(name, 0)).alias(name))
+    return picked.where(n.isNotNull()).select(*by, *out)
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: ColumnOrName, name: str = "median") -> DataFrame:
@@ -91,14 +83,3 @@ def exact_median(df: DataFrame, by: Sequence[str], value: ColumnOrName, name: st
 def upper_median(df: DataFrame, by: Sequence[str], value: ColumnOrName, name: str = "upper_median") -> DataFrame:
     """Element at index floor(n/2) of the sorted values, not interpolated."""
     return exact_percentiles(df, by, value, {name: 0.5}, lower=True)
-
-
-def value_splits(df: DataFrame, by: Sequence[str], value: ColumnOrName, n: int = 64) -> DataFrame:
-    """Per group the inner bounds that cut its values into about ``n`` equal parts (a fixed-size array)."""
-    return df.groupBy(*by).agg(F.percentile_approx(
-        value, F.array(*[F.lit(i / n) for i in range(1, n)]), 20 * n).alias("__splits"))
-
-
-def value_block(splits: str = "__splits", value: str = "__v"):
-    """Block number of a value against the bounds of its group."""
-    return F.size(F.filter(F.col(splits), lambda s: s < F.col(value)))

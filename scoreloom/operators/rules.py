@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import tables as TB
 from scoreloom.functions.scalars import finite, nan_to_null
-from scoreloom.operators.quantiles import exact_median
 
 
 def limits_frame(spark, mode: str = "research", extra: Sequence[tuple] = ()) -> DataFrame:
@@ -305,15 +304,19 @@ def advise(df: DataFrame, rules: Sequence[Rule], cur: str = "cur", prev: str = "
 # --- rating screens and tiers --------------------------------------------------------------------
 
 
-def screen_check(ratings: DataFrame, anchor: str, by: Sequence[str] = ("listener", "song", "screen"), tol: float = 1e-9) -> DataFrame:
-    """Per screen: is the anchor above the median of the others, or are the others all (nearly) equal?"""
+def screen_check(ratings: DataFrame, anchor: str, by: Sequence[str] = ("listener", "song", "screen"), tol: float = 1e-9,
+                 extra: dict[str, Column] | None = None) -> DataFrame:
+    """Per screen: is the anchor above the median of the others, or are the others all (nearly) equal?
+
+    One aggregation; ``extra`` aggregates ride along. The median holds the distinct scores of one screen, and a rating
+    scale has few.
+    """
     is_anchor = F.col("condition") == anchor
-    base = ratings.groupBy(*by).agg(
+    other = F.when(~is_anchor, F.col("score"))
+    out = ratings.groupBy(*by).agg(
         F.max(F.when(is_anchor, F.col("score"))).alias("anchor_score"), F.count_if(~is_anchor).alias("n_others"),
-        F.stddev_pop(F.when(~is_anchor, F.col("score"))).alias("std_others"))
-    med = exact_median(ratings.where(~is_anchor), by, "score", "median_others")
-    from scoreloom.operators.joins import attach
-    out = attach(base, med, by)
+        F.stddev_pop(other).alias("std_others"), F.median(finite(other)).alias("median_others"),
+        *[c.alias(n) for n, c in (extra or {}).items()])
     enough = F.col("n_others") >= 2
     fail = (enough & (F.col("anchor_score") > F.col("median_others"))) | (enough & (F.col("std_others") <= tol))
     return out.withColumn("failed", F.coalesce(fail, F.lit(False)))

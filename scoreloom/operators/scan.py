@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ColumnOrName, col, epoch_us
+from scoreloom.session import materialize
 
 BLOCK_ROWS = 65536
 
@@ -60,6 +61,17 @@ def time_block(ts: ColumnOrName, seconds: int = 3600) -> Column:
     return F.floor(epoch_us(ts) / (seconds * 1_000_000)).cast("bigint")
 
 
+def range_blocks(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "__range") -> DataFrame:
+    """Add a block number that follows (by, order): the ranges that Spark cuts from the data.
+
+    For orders without a natural block (a float, a text). A key's rows spread over as many ranges as they fill. The ranged
+    rows are written once, so that every later use and every retry sees the same ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(b) for b in by], *order)
+    return materialize(ranged.withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], block: Column | Sequence[Column],
                 runs: dict[str, Run], backwards: bool = False) -> DataFrame:
     """Add one column per run, computed over the rows of ``by`` in ``order``.

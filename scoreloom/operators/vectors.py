@@ -1,33 +1,35 @@
 """Distances between sets of embedding vectors.
 
-A kernel sum over all vector pairs is quadratic by definition. Vectors are hashed into blocks and a task handles one
-pair of blocks as a matrix product, so memory per task is fixed, a hot arm is spread over many tasks, and only sums per
-(song, song) leave a task: vector pairs are never rows.
+A kernel sum over all vector pairs is quadratic by definition. Vectors are hashed into strips of a few thousand; a task
+handles one pair of strips, tile by tile as matrix products, so memory per task is fixed, a hot arm spreads over many tasks,
+and a vector is copied once per strip of the other side, not once per tile. Only counts and sums per (song, song) leave a
+task: vector pairs are never rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.joins import attach
-from scoreloom.operators.quantiles import exact_percentiles
 from scoreloom.operators.quality import require
+from scoreloom.operators.quantiles import exact_percentiles
 from scoreloom.session import materialize
 
-BLOCK = 512
+STRIP = 4096
+TILE = 1024
 
 
-def with_blocks(x: DataFrame, by: Sequence[str], ident: str, block: int = BLOCK) -> DataFrame:
-    """Hash block of every vector and the number of blocks of its group (about ``block`` vectors each)."""
-    n = x.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__nb"))
+def with_strips(x: DataFrame, by: Sequence[str], ident: str | Sequence[str], strip: int = STRIP) -> DataFrame:
+    """Strip of every row and the number of strips of its group (about ``strip`` rows each)."""
+    n = x.groupBy(*by).agg(F.ceil(F.count("*") / strip).cast("int").alias("__nb"))
     out = attach(x, n, by) if by else x.join(F.broadcast(n), F.lit(True))
-    return out.withColumn("__blk", F.pmod(F.xxhash64(ident), F.col("__nb")).cast("int"))
+    names = [ident] if isinstance(ident, str) else list(ident)
+    return out.withColumn("__blk", F.pmod(F.xxhash64(*names), F.col("__nb")).cast("int"))
 
 
 def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,9 +41,16 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 1))
 
 
-def _self_cells(x: DataFrame, by: Sequence[str], cols: Sequence[str], ident: str, block: int):
-    """Both sides of the block pairs (i <= j) within each group."""
-    b = with_blocks(x, by, ident, block)
+def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Squared distances of two strips, a tile at a time."""
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            yield slice(i, i + TILE), slice(j, j + TILE), _sq_dist(a[i:i + TILE], b[j:j + TILE])
+
+
+def _self_cells(x: DataFrame, by: Sequence[str], cols: Sequence[str], ident: str, strip: int):
+    """Both sides of the strip pairs (i <= j) within each group."""
+    b = with_strips(x, by, ident, strip)
     keep = [*by, *cols]
     last = F.col("__nb") - 1
     left = b.select(*keep, F.col("__blk").alias("__i"), F.explode(F.sequence(F.col("__blk"), last)).alias("__j"))
@@ -49,20 +58,22 @@ def _self_cells(x: DataFrame, by: Sequence[str], cols: Sequence[str], ident: str
     return left, right
 
 
-def _cross_cells(x: DataFrame, ref: DataFrame, by: Sequence[str], cols: Sequence[str], ident: str, vector: str, block: int):
-    """Both sides of the block pairs between each group of x and the reference set."""
-    xb, rb = with_blocks(x, by, ident, block), with_blocks(ref, [], ident, block)
-    n_ref = rb.agg(F.max("__nb").alias("__nr"))
-    groups = xb.select(*by, "__nb").distinct()
-    left = xb.join(F.broadcast(n_ref), F.lit(True)).select(
-        *by, *cols, F.col("__blk").alias("__i"), F.explode(F.sequence(F.lit(0), F.col("__nr") - 1)).alias("__j"))
-    # The reference travels once per block of every arm; arms are a short list of names.
-    arms = groups.select(F.struct(*by, "__nb").alias("g")).agg(F.collect_list("g").alias("__g"))
-    right = rb.join(F.broadcast(arms), F.lit(True)).select(F.col(vector).alias("__rv"), F.col("__blk").alias("__j"), F.explode("__g").alias("g"))
-    right = right.select(*[F.col(f"g.{c}").alias(c) for c in by], "__rv", F.explode(F.sequence(F.lit(0), F.col("g.__nb") - 1)).alias("__i"), "__j")
+def _cross_cells(x: DataFrame, ref: DataFrame, cols: Sequence[str], ident: str, vector: str, strip: int):
+    """Both sides of the strip pairs between x and the reference; all arms of x share the strips."""
+    xb, rb = with_strips(x, [], ident, strip), with_strips(ref.select(ident, vector), [], ident, strip)
+    other = lambda df: df.agg(F.ceil(F.count("*") / strip).cast("int").alias("__n"))  # noqa: E731  one row
+    spread = lambda df, o: df.join(F.broadcast(o), F.lit(True)).where("__n > 0")
+    each = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = spread(xb, other(ref)).select(*cols, F.col("__blk").alias("__i"), each.alias("__j"))
+    right = spread(rb, other(x)).select(F.col(vector).alias("__rv"), each.alias("__i"), F.col("__blk").alias("__j"))
     return left, right
 
 
+def plain_strings(g: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as objects: joined frames hold them in pieces, which do not convert to one Arrow array."""
+    return g.astype({c: object for c, t in g.dtypes.items() if isinstance(t, pd.StringDtype)})
+
+
 def _cogroup(left: DataFrame, right: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
     # Both sides may stem from one frame; toDF gives them columns of their own.
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
@@ -73,140 +84,138 @@ def _types(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
-def median_bandwidth(ref: DataFrame, ident: str, vector: str = "embedding", bins: int = 4096, block: int = BLOCK) -> DataFrame:
-    """One row ``sigma``: exact median distance over all pairs of the reference plus 1e-9.
+def median_bandwidth(ref: DataFrame, ident: str, vector: str = "embedding", bins: int = 65536, strip: int = STRIP) -> DataFrame:
+    """One row ``sigma``: exact median distance over all pairs of the reference plus 1e-9 (null for fewer than two vectors).
 
-    First pass: a histogram of the distances; second pass: only the distances of the one or two bins that hold the
-    middle ranks. Both emit a bounded number of rows per block pair.
+    The pairs are never listed. A positive float orders like its bit pattern, so the pattern of a middle rank is found by
+    counting: every pass counts the distances below and in ``bins`` equal cells of the range that still holds the rank, and
+    the next range is one cell; four passes reach a single pattern. Each pass is a job that returns at most ``bins`` + 2
+    counts for each of the two ranks.
     """
-    top = ref.agg(F.max(F.sqrt(F.aggregate(F.transform(vector, lambda v: v.cast("double") * v), F.lit(0.0), lambda a, v: a + v))).alias("__r"))
-    x = ref.select(ident, vector).join(F.broadcast(top), F.lit(True)).withColumn("__w", (2.0 * F.col("__r") + 1e-9) / bins)
-    left, right = _self_cells(x, [], [ident, vector, "__w"], ident, block)
-
-    def distances(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, float]:
-        if a.empty or b.empty:
-            return np.zeros(0), 1.0
-        d = np.sqrt(_sq_dist(_matrix(a[vector]), _matrix(b[vector])))
-        if a["__i"].iloc[0] == a["__j"].iloc[0]:
-            d = d[a[ident].to_numpy()[:, None] < b[ident].to_numpy()[None, :]]
-        return d.ravel(), float(a["__w"].iloc[0])
-
+    spark = ref.sparkSession
+    n = ref.count()
+    pairs = n * (n - 1) // 2
+    if not pairs:
+        return spark.createDataFrame([(None,)], "sigma double")
+    left, right = _self_cells(ref.select(ident, vector), [], [ident, vector], ident, strip)
+    ranges = dict.fromkeys(((pairs - 1) // 2, pairs // 2), (0, 2**63))
+    while any(high - low > 1 for low, high in ranges.values()):
+        cells = sorted({(low, -(-(high - low) // bins)) for low, high in ranges.values()})
+
+        counted = _cogroup(left, right, ["__i", "__j"], _pattern_counts(cells, bins, ident, vector), "row bigint, at bigint, n bigint").groupBy("row", "at").agg(F.sum("n")).collect()
+        hist = np.zeros((len(cells), bins + 2), np.int64)
+        for row, at, c in counted:
+            hist[row, at + 1] = c
+        for rank, (low, high) in ranges.items():
+            step = -(-(high - low) // bins)
+            upto = np.cumsum(hist[cells.index((low, step))])
+            cell = min(max(int(np.searchsorted(upto, rank, "right")) - 1, 0), bins - 1)
+            ranges[rank] = (low + cell * step, min(high, low + (cell + 1) * step))
+    middle = [float(np.int64(low).view(np.float64)) for low, _ in ranges.values()]
+    return spark.createDataFrame([(sum(middle) / len(middle) + 1e-9,)], "sigma double")
+
+
+def _pattern_counts(cells: list[tuple[int, int]], bins: int, ident: str, vector: str) -> Callable:
+    """Counts of distances by bit pattern: for each (low, step) of ``cells`` in ``bins`` cells, -1 below and ``bins`` above them."""
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d, w = distances(a, b)
-        bin_, n = np.unique(np.minimum((d / w).astype(np.int64), bins - 1), return_counts=True)
-        return pd.DataFrame({"bin": bin_, "n": n.astype(np.int64)})
-
-    from pyspark.sql import Window as W
-    hist = _cogroup(left, right, ["__i", "__j"], count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
-    one = W.partitionBy(F.lit(0))  # at most ``bins`` rows
-    hist = hist.withColumns({"upto": F.sum("n").over(one.orderBy("bin")), "total": F.sum("n").over(one)})
-    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    mid = hist.where((F.col("upto") > lo) & (F.col("upto") - F.col("n") <= hi))
-    mid = mid.agg(F.min("bin").alias("__b0"), F.max("bin").alias("__b1"), F.min(F.col("upto") - F.col("n")).alias("__skip"), F.max("total").alias("__tot"))
-    left2 = left.join(F.broadcast(mid), F.lit(True))
-
-    def middle(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d, w = distances(a, b)
-        if not len(d):
-            return pd.DataFrame({"d": [], "skip": [], "total": []}).astype({"d": float, "skip": "int64", "total": "int64"})
-        at = np.minimum((d / w).astype(np.int64), bins - 1)
-        d = d[(at >= a["__b0"].iloc[0]) & (at <= a["__b1"].iloc[0])]
-        return pd.DataFrame({"d": d, "skip": np.full(len(d), a["__skip"].iloc[0]), "total": np.full(len(d), a["__tot"].iloc[0])})
-
-    near = _cogroup(left2, right, ["__i", "__j"], middle, "d double, skip bigint, total bigint")
-    ranked = near.withColumn("r", F.col("skip") + F.row_number().over(one.orderBy("d")) - 1)
-    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    return ranked.where((F.col("r") == lo) | (F.col("r") == hi)).agg((F.avg("d") + 1e-9).alias("sigma"))
+        found = np.zeros((len(cells), bins + 2), np.int64)
+        if len(a) and len(b):
+            a, b = a.sort_values(ident), b.sort_values(ident)
+            same = a["__i"].iloc[0] == a["__j"].iloc[0]
+            ids_a, ids_b = a[ident].to_numpy(), b[ident].to_numpy()
+            for i, j, d in _tiles(_matrix(a[vector]), _matrix(b[vector])):
+                d = np.sqrt(d)
+                bits = (d[ids_a[i][:, None] < ids_b[j][None, :]] if same else d.ravel()).view(np.int64)
+                for row, (low, step) in enumerate(cells):
+                    found[row] += np.bincount(np.clip((bits - low) // step, -1, bins) + 1, minlength=bins + 2)
+        row, at = np.nonzero(found)
+        return pd.DataFrame({"row": row, "at": at - 1, "n": found[row, at]})
+    return count
 
 
 def within_kernel(x: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
-                  vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+                  vector: str = "embedding", strip: int = STRIP) -> DataFrame:
     """Gaussian kernel sums per song pair of each arm, self pairs included."""
     by = list(by)
     xs = x.select(*by, song, ident, vector).join(F.broadcast(sigma), F.lit(True))
-    left, right = _self_cells(xs, by, [song, vector, "sigma"], ident, block)
+    left, right = _self_cells(xs, by, [song, vector, "sigma"], ident, strip)
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in [*by, "song_a", "song_b", "k"]})
-        k = np.exp(-_sq_dist(_matrix(a[vector]), _matrix(b[vector])) / (2.0 * a["sigma"].iloc[0] ** 2))
-        sa, ua = pd.factorize(a[song])
-        sb, ub = pd.factorize(b[song])
-        left_sum = np.zeros((len(ua), k.shape[1]))
-        np.add.at(left_sum, sa, k)
-        both = np.zeros((len(ub), len(ua)))
-        np.add.at(both, sb, left_sum.T)
+        sa, ua = pd.factorize(a[song], use_na_sentinel=False)
+        sb, ub = pd.factorize(b[song], use_na_sentinel=False)
+        scale, both = 2.0 * a["sigma"].iloc[0] ** 2, np.zeros((len(ub), len(ua)))
+        for i, j, d in _tiles(_matrix(a[vector]), _matrix(b[vector])):
+            left_sum = np.zeros((len(ua), d.shape[1]))
+            np.add.at(left_sum, sa[i], np.exp(-d / scale))
+            np.add.at(both, sb[j], left_sum.T)
         g = pd.DataFrame({"song_a": np.tile(ua, len(ub)), "song_b": np.repeat(ub, len(ua)), "k": both.ravel()})
         if a["__i"].iloc[0] != a["__j"].iloc[0]:
             g = pd.concat([g, g.rename(columns={"song_a": "song_b", "song_b": "song_a"})])
         for c in by:
             g[c] = a[c].iloc[0]
-        return g[[*by, "song_a", "song_b", "k"]]
+        return plain_strings(g[[*by, "song_a", "song_b", "k"]])
 
     st = x.schema[song].dataType.simpleString()
     schema = ", ".join(filter(None, [_types(x, by), f"song_a {st}, song_b {st}, k double"]))
     return _cogroup(left, right, [*by, "__i", "__j"], cell, schema).groupBy(*by, "song_a", "song_b").agg(F.sum("k").alias("k"))
 
 
-def cross_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
-                 vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Per song: kernel sum against the whole reference, its vectors and the size of the reference."""
-    by = list(by)
-    xs = x.select(*by, song, ident, vector).join(F.broadcast(sigma), F.lit(True))
-    left, right = _cross_cells(xs, ref, by, [song, vector, "sigma"], ident, vector, block)
+def _against_reference(x: DataFrame, ref: DataFrame, keys: Sequence[str], ident: str, vector: str, strip: int, stats: Callable,
+                       names: dict[str, str]) -> DataFrame:
+    """Per (keys): columns of ``names`` (name: type) that ``stats(tile)`` gives per row, merged by name within a strip pair."""
+    more = ["sigma"] if "sigma" in x.columns else []
+    left, right = _cross_cells(x.select(*keys, ident, vector, *more), ref, [*keys, vector, *more], ident, vector, strip)
+    merge = {n: {"lo": "min", "hi": "max"}.get(n, "sum") for n in names}
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in [*by, song, "k"]})
-        k = np.exp(-_sq_dist(_matrix(a[vector]), _matrix(b["__rv"])) / (2.0 * a["sigma"].iloc[0] ** 2)).sum(1)
-        g = pd.DataFrame({song: a[song], "k": k}).groupby(song, as_index=False)["k"].sum()
-        for c in by:
-            g[c] = a[c].iloc[0]
-        return g[[*by, song, "k"]]
+            return pd.DataFrame({c: [] for c in [*keys, *names]})
+        parts = []
+        for i, _, d in _tiles(_matrix(a[vector]), _matrix(b["__rv"])):
+            part = a[list(keys)].iloc[i].reset_index(drop=True)
+            parts.append(part.assign(**stats(d, a["sigma"].iloc[0] if more else None)))
+        return plain_strings(pd.concat(parts).groupby(list(keys), as_index=False, dropna=False).agg(merge)[[*keys, *names]])
 
-    st = x.schema[song].dataType.simpleString()
-    schema = ", ".join(filter(None, [_types(x, by), f"{song} {st}, k double"]))
-    kxy = _cogroup(left, right, [*by, "__i", "__j"], cell, schema).groupBy(*by, song).agg(F.sum("k").alias("k"))
-    sizes = x.groupBy(*by, song).agg(F.count("*").alias("n_vectors"))
+    schema = f"{_types(x, keys)}, " + ", ".join(f"{n} {t}" for n, t in names.items())
+    aggs = {"min": F.min, "max": F.max, "sum": F.sum}
+    return _cogroup(left, right, ["__i", "__j"], cell, schema).groupBy(*keys).agg(*[aggs[merge[n]](n).alias(n) for n in names])
+
+
+def cross_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
+                 vector: str = "embedding", strip: int = STRIP) -> DataFrame:
+    """Per song: kernel sum against the whole reference, its vectors and the size of the reference."""
+    keys = [*by, song]
+    xs = x.select(*keys, ident, vector).join(F.broadcast(sigma), F.lit(True))
+    kxy = _against_reference(xs, ref, keys, ident, vector, strip, lambda d, s: {"k": np.exp(-d / (2.0 * s * s)).sum(1)}, {"k": "double"})
+    sizes = x.groupBy(*keys).agg(F.count("*").alias("n_vectors"))
     n_ref = ref.agg(F.count("*").alias("n_ref"))
-    return attach(sizes, kxy, [*by, song]).join(F.broadcast(n_ref), F.lit(True))
+    return attach(sizes, kxy, keys).join(F.broadcast(n_ref), F.lit(True))
 
 
 def song_kernel(x: DataFrame, ref: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
-                vector: str = "embedding", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                vector: str = "embedding", strip: int = STRIP) -> tuple[DataFrame, DataFrame]:
     """(within, cross) kernel sums, computed once and written to the shared folder: every bootstrap replicate reuses
     them with its resample counts."""
-    args = (sigma, by, song, ident, vector, block)
+    args = (sigma, by, song, ident, vector, strip)
     return (materialize(within_kernel(x, *args), "kernel"),
             materialize(cross_kernel(x, ref, *args), "kernel-ref"))
 
 
 def pairwise_sq_dist(x: DataFrame, ref: DataFrame, by: Sequence[str] = ("run",), song: str = "song", ident: str = "vec_id",
-                     vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+                     vector: str = "embedding", strip: int = STRIP) -> DataFrame:
     """Squared distances of every vector to every reference vector, summed per song with the smallest and largest."""
-    by = list(by)
-    left, right = _cross_cells(x.select(*by, song, ident, vector), ref, by, [song, vector], ident, vector, block)
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in [*by, song, "s", "lo", "hi", "n"]})
-        d = _sq_dist(_matrix(a[vector]), _matrix(b["__rv"]))
-        g = pd.DataFrame({song: a[song], "s": d.sum(1), "lo": d.min(1), "hi": d.max(1), "n": d.shape[1]}).groupby(song, as_index=False).agg(
-            {"s": "sum", "lo": "min", "hi": "max", "n": "sum"})
-        for c in by:
-            g[c] = a[c].iloc[0]
-        return g[[*by, song, "s", "lo", "hi", "n"]]
-
-    st = x.schema[song].dataType.simpleString()
-    schema = f"{_types(x, by)}, {song} {st}, s double, lo double, hi double, n bigint"
-    return _cogroup(left, right, [*by, "__i", "__j"], cell, schema).groupBy(*by, song).agg(
-        F.sum("s").alias("sum_sq"), F.min("lo").alias("min_sq"), F.max("hi").alias("max_sq"), F.sum("n").alias("n_pairs"))
+    out = _against_reference(x, ref, [*by, song], ident, vector, strip,
+                             lambda d, _: {"s": d.sum(1), "lo": d.min(1), "hi": d.max(1), "n": d.shape[1]},
+                             {"s": "double", "lo": "double", "hi": "double", "n": "bigint"})
+    return out.withColumnsRenamed({"s": "sum_sq", "lo": "min_sq", "hi": "max_sq", "n": "n_pairs"})
 
 
-def reference_term(ref: DataFrame, sigma: DataFrame, ident: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def reference_term(ref: DataFrame, sigma: DataFrame, ident: str = "vec_id", vector: str = "embedding", strip: int = STRIP) -> DataFrame:
     """One row ``syy``: mean kernel over the different pairs of the reference."""
     one = ref.select(F.lit(0).alias("run"), F.lit(0).alias("song"), ident, vector)
-    k = within_kernel(one, sigma, ("run",), "song", ident, vector, block).agg(F.sum("k").alias("k"))
+    k = within_kernel(one, sigma, ("run",), "song", ident, vector, strip).agg(F.sum("k").alias("k"))
     # Both sides are single rows.
     j = k.join(F.broadcast(ref.agg(F.count("*").cast("double").alias("m"))), F.lit(True))
     return j.select(F.when(F.col("m") > 1, (F.col("k") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).otherwise(0.0).alias("syy"))
@@ -223,20 +232,57 @@ def mmd2_unbiased(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, by: Seque
     return out.select(*by, n.cast("bigint").alias("n_vectors"), (sxx + F.col("syy") - 2 * F.col("__kxy") / (n * F.col("m"))).alias("mmd2"))
 
 
-def bootstrap_mmd(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, counts: DataFrame, by: Sequence[str] = ("run",),
-                  song: str = "song", cut: bool = True) -> DataFrame:
-    """Squared MMD of every replicate from resample counts: sum of c_a c_b K_ab minus the resampled vectors."""
+def bootstrap_mmd(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, counts: DataFrame, reps: int, by: Sequence[str] = ("run",),
+                  song: str = "song", cut: bool = True, strip: int = 1024) -> DataFrame:
+    """Squared MMD of every replicate 1..``reps`` from resample counts: sum of c_a c_b K_ab minus the resampled vectors.
+
+    Counts become one row per song with an array over the replicates. The kernel is cut into song strip by song strip; a task
+    multiplies one such piece with the count matrices of its two strips and gives one number per replicate, so rows per
+    (song, song, replicate) never exist.
+    """
     kxx, cross = kernel
     by = list(by)
-    ca = counts.select(*by, F.col(song).alias("song_a"), "rep", F.col("count").alias("ca"))
-    cb = counts.select(*by, F.col(song).alias("song_b"), "rep", F.col("count").alias("cb"))
-    xx = kxx.join(ca, [*by, "song_a"]).join(cb, [*by, "song_b", "rep"]).groupBy(*by, "rep").agg(
-        F.sum(F.col("ca") * F.col("cb") * F.col("k")).alias("__kxx"))
-    xy = cross.join(counts, [*by, song]).groupBy(*by, "rep").agg(
-        F.sum(F.col("count") * F.col("k")).alias("__kxy"), F.sum(F.col("count") * F.col("n_vectors")).cast("double").alias("n"), F.max("n_ref").alias("m"))
+    packed = counts.groupBy(*by, song).agg(F.map_from_entries(F.collect_list(F.struct("rep", "count"))).alias("__m")).select(
+        *by, song, F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda r: F.coalesce(F.try_element_at("__m", r), F.lit(0)).cast("int")).alias("__c"))
+    own = materialize(with_strips(attach(cross, packed, [*by, song]), by, song, strip), "resamples")
+    place = own.select(*by, F.col(song).alias("__s"), "__blk", "__nb")
+    at = lambda side: place.select(*[F.col(c).alias(f"__{side}_{c}") for c in by], F.col("__s").alias(f"__{side}"), F.col("__blk").alias(f"__b{side}"))
+
+    def on(side):
+        test = F.col(f"song_{side}").eqNullSafe(F.col(f"__{side}"))
+        for c in by:
+            test = test & F.col(c).eqNullSafe(F.col(f"__{side}_{c}"))
+        return test
+
+    left = kxx.join(at("a"), on("a")).join(at("b"), on("b")).select(
+        *by, "song_a", "song_b", "k", F.col("__ba").alias("__i"), F.col("__bb").alias("__j"))
+    others = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
+    rows = own.where(F.col("__c").isNotNull()).select(*by, song, "__c", "__blk", others.alias("__o"))
+    right = rows.select(*by, song, "__c", F.col("__blk").alias("__i"), F.col("__o").alias("__j")).unionByName(
+        rows.where("__blk <> __o").select(*by, song, "__c", F.col("__o").alias("__i"), F.col("__blk").alias("__j")))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in [*by, "rep", "k"]})
+        c = _matrix(b["__c"])
+        songs = pd.Index(b[song])
+        i, j = songs.get_indexer(a["song_a"]), songs.get_indexer(a["song_b"])
+        known = (i >= 0) & (j >= 0)  # a song that no replicate drew counts nowhere
+        k = np.zeros((len(songs), len(songs)))
+        k[i[known], j[known]] = a["k"].to_numpy()[known]
+        g = pd.DataFrame({"rep": np.arange(1, reps + 1), "k": (c * (k @ c)).sum(0)})
+        for col in by:
+            g[col] = a[col].iloc[0]
+        return plain_strings(g[[*by, "rep", "k"]])
+
+    schema = ", ".join(filter(None, [_types(kxx, by), "rep int, k double"]))
+    xx = _cogroup(left, right, [*by, "__i", "__j"], product, schema).groupBy(*by, "rep").agg(F.sum("k").alias("__kxx"))
+    xy = own.where(F.col("__c").isNotNull()).select(*by, "k", "n_vectors", "n_ref", F.posexplode("__c").alias("__p", "__n")).groupBy(
+        *by, (F.col("__p") + 1).alias("rep")).agg(
+        F.sum(F.col("__n") * F.col("k")).alias("__kxy"), F.sum(F.col("__n") * F.col("n_vectors")).cast("double").alias("n"), F.max("n_ref").alias("m"))
     n = F.col("n")
     sxx = F.when(n > 1, (F.col("__kxx") - n) / (n * (n - 1))).otherwise(0.0)
-    out = xx.join(xy, [*by, "rep"]).join(F.broadcast(syy), F.lit(True))
+    out = attach(xy, xx, [*by, "rep"]).join(F.broadcast(syy), F.lit(True))
     out = out.select(*by, "rep", (sxx + F.col("syy") - 2 * F.col("__kxy") / (n * F.col("m"))).alias("mmd2"))
     return materialize(out, "replicates") if cut else out
 
@@ -315,49 +361,3 @@ def frechet_distance(x: DataFrame, ref: DataFrame, by: Sequence[str] = ("run",),
             yield out
 
     return rows.mapInPandas(close, f"{_types(x, by)}, frechet double")
-
-
-# --- case retrieval ------------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class CaseQuery:
-    genre: str | None = None
-    roles: Sequence[str] = ()
-    diagnosis: dict[str, float] | None = field(default=None)
-    section: str | None = None
-
-
-def _jaccard(a: Column, b: Column) -> Column:
-    a, b = F.array_distinct(a), F.array_distinct(F.coalesce(b, F.array().cast("array<string>")))
-    none_a, none_b = F.size(a) == 0, F.size(b) == 0
-    return F.when(none_a & none_b, 1.0).when(none_a | none_b, 0.0).otherwise(
-        F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
-def case_similarity(q: CaseQuery) -> Column:
-    """Similarity of a case row (genre, stem_roles, diagnosis, section_type) to the query."""
-    genre = F.when(F.coalesce(F.col("genre") == q.genre, F.lit(False)), 1.0).otherwise(0.3) if q.genre else F.lit(0.5)
-    roles = F.array(*[F.lit(r) for r in q.roles]).cast("array<string>")
-    section = F.lit(1.0) if q.section is None else F.when(
-        F.col("section_type").isNull() | (F.col("section_type") == q.section), 1.0).otherwise(0.5)
-    base = 0.45 * genre + 0.45 * _jaccard(roles, F.col("stem_roles")) + 0.10 * section
-    if q.diagnosis is None:
-        return base
-    zero = F.lit(0.0)
-    pairs = [(F.try_element_at("diagnosis", F.lit(k)), float(v)) for k, v in q.diagnosis.items()]
-    has = F.array_max(F.array(*[c.isNotNull() for c, _ in pairs]))
-    total = lambda f: sum((F.coalesce(f(c, v), zero) for c, v in pairs), zero)
-    dot = total(lambda c, v: c * v)
-    na = F.sqrt(total(lambda c, v: F.when(c.isNotNull(), v * v)))
-    nb = F.sqrt(total(lambda c, v: c * c))
-    cos = F.when((na < 1e-9) | (nb < 1e-9), 0.0).otherwise(dot / (na * nb))
-    return F.when(F.col("diagnosis").isNotNull() & has, 0.5 * base + 0.25 * (cos + 1.0)).otherwise(base)
-
-
-def similar_cases(cases: DataFrame, q: CaseQuery, k: int = 5, min_reward: float = 0.0, order: str = "case_id") -> DataFrame:
-    """Top-k cases by similarity plus a small bonus for proven ones; one pass and a top-k, no pairing."""
-    gain = F.coalesce("reward_delta", F.lit(0.0))
-    bonus = F.tanh(gain) * 0.1 + F.log1p(F.coalesce("n_observations", F.lit(1)).cast("double")) * 0.02
-    out = cases.where(gain >= min_reward).withColumn("__sim", case_similarity(q)).withColumn("score", F.col("__sim") + bonus)
-    return out.orderBy(F.desc("score"), F.asc(order)).limit(k).withColumn("similarity", F.round("__sim", 3)).drop("__sim")

@@ -8,33 +8,42 @@ from scoreloom.plans.registry import query
 
 CFG = E.Screening(anchor="NF", required_screens=188, required_afc=30, screen_fail_frac=0.19)
 
-BASE = """mushra AS (SELECT *, (song * 7 + screen * 13 + listener) % 50 * 1.5::DOUBLE AS dur FROM ratings),
+# Some listeners lack records of a kind: their rows go to ids that no other table knows.
+BASE = """mushra AS (SELECT l_suppkey AS listener, l_partkey % 22 AS song, l_returnflag || l_linestatus AS condition, 2 * l_quantity AS score,
+      l_orderkey % 9 AS screen, l_orderkey * 10 + l_linenumber AS seq,
+      CASE WHEN l_linenumber % 4 > 0 THEN (l_partkey % 22 * 7 + l_orderkey % 9 * 13 + l_suppkey) % 50 * 1.5::DOUBLE + l_linenumber END AS dur FROM lineitem),
     sup AS (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier),
     session AS (SELECT k AS listener, CASE WHEN k % 5 = 0 THEN true WHEN k % 31 = 0 THEN false END AS completed,
       CASE WHEN k % 3 = 0 THEN abs(bal) + 500 WHEN k % 3 = 1 AND k % 2 = 0 THEN 9000.0 END AS total_sec FROM sup
-      UNION ALL SELECT k, NULL, 100.0 FROM sup WHERE k % 4 = 0),
-    stage1 AS (SELECT k AS listener, CASE WHEN k % 17 = 3 THEN 3 ELSE 6 END AS hp, CASE WHEN k % 19 = 5 THEN 4 WHEN k % 23 > 0 THEN 5 END AS ap
-      FROM sup WHERE k % 13 > 0),
-    verdicts AS (SELECT k AS listener, k % 11 <> 4 AS eligible FROM sup WHERE k % 9 > 0),
-    afc AS (SELECT user_id % 120 AS listener, event_id AS pair_index, CAST(json_extract(props, '$.k') AS BIGINT) % 12 AS song,
+      UNION ALL SELECT k, NULL, CASE WHEN k % 4 = 0 THEN 100.0 END FROM sup),
+    stage1 AS (SELECT CASE WHEN k % 13 > 0 THEN k ELSE k + 1000000 END AS listener, CASE WHEN k % 17 = 3 THEN 3 ELSE 6 END AS hp,
+      CASE WHEN k % 19 = 5 THEN 4 WHEN k % 23 > 0 THEN 5 END AS ap FROM sup),
+    verdicts AS (SELECT CASE WHEN k % 9 > 0 THEN k ELSE k + 2000000 END AS listener, k % 11 <> 4 AS eligible FROM sup),
+    afc AS (SELECT user_id % 120 + CASE WHEN user_id % 120 % 3 = 0 THEN 1 ELSE 0 END AS listener, event_id AS pair_index,
+      CAST(json_extract(props, '$.k') AS BIGINT) % 12 AS song,
       CASE WHEN event_type IN ('click', 'view') THEN 'p' WHEN event_type <> 'error' THEN 'q' END AS choice, event_id % 9 = 0 AS is_repeat,
-      CAST(NULL AS BIGINT) AS repeat_of, value AS dur FROM events WHERE user_id % 120 % 3 > 0),
+      CAST(NULL AS BIGINT) AS repeat_of, value AS dur FROM events),
     ids AS (SELECT listener FROM mushra UNION SELECT listener FROM afc UNION SELECT listener FROM session UNION SELECT listener FROM stage1)"""
 
 
 def tables(t):
     k = F.col("s_suppkey")
     sup = t.supplier
-    mushra = t.ratings().withColumn("dur", (F.col("song") * 7 + F.col("screen") * 13 + F.col("listener")) % 50 * 1.5)
+    part, screen = F.col("l_partkey") % 22, F.col("l_orderkey") % 9
+    mushra = t.lineitem.select(
+        F.col("l_suppkey").alias("listener"), part.alias("song"), F.concat("l_returnflag", "l_linestatus").alias("condition"),
+        (2 * F.col("l_quantity")).alias("score"), screen.alias("screen"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.when(F.col("l_linenumber") % 4 > 0, (part * 7 + screen * 13 + F.col("l_suppkey")) % 50 * 1.5 + F.col("l_linenumber")).alias("dur"))
     s1 = sup.select(k.alias("listener"), F.when(k % 5 == 0, True).when(k % 31 == 0, False).alias("completed"),
                     F.when(k % 3 == 0, F.abs("s_acctbal") + 500).when((k % 3 == 1) & (k % 2 == 0), 9000.0).alias("total_sec"))
-    s2 = sup.where(k % 4 == 0).select(k.alias("listener"), F.lit(None).cast("boolean").alias("completed"), F.lit(100.0).alias("total_sec"))
-    stage1 = sup.where(k % 13 > 0).select(k.alias("listener"), F.when(k % 17 == 3, 3).otherwise(6).alias("hp"),
-                                          F.when(k % 19 == 5, 4).when(k % 23 > 0, 5).alias("ap"))
-    verdicts = sup.where(k % 9 > 0).select(k.alias("listener"), (k % 11 != 4).alias("eligible"))
-    e, u = t.events, F.col("user_id") % 120
-    afc = e.where(u % 3 > 0).select(
-        u.alias("listener"), F.col("event_id").alias("pair_index"), (F.get_json_object("props", "$.k").cast("bigint") % 12).alias("song"),
+    s2 = sup.select(k.alias("listener"), F.lit(None).cast("boolean").alias("completed"), F.when(k % 4 == 0, 100.0).alias("total_sec"))
+    stage1 = sup.select(F.when(k % 13 > 0, k).otherwise(k + 1000000).alias("listener"), F.when(k % 17 == 3, 3).otherwise(6).alias("hp"),
+                        F.when(k % 19 == 5, 4).when(k % 23 > 0, 5).alias("ap"))
+    verdicts = sup.select(F.when(k % 9 > 0, k).otherwise(k + 2000000).alias("listener"), (k % 11 != 4).alias("eligible"))
+    u = F.col("user_id") % 120
+    afc = t.events.select(
+        (u + F.when(u % 3 == 0, 1).otherwise(0)).alias("listener"), F.col("event_id").alias("pair_index"),
+        (F.get_json_object("props", "$.k").cast("bigint") % 12).alias("song"),
         F.when(F.col("event_type").isin("click", "view"), "p").when(F.col("event_type") != "error", "q").alias("choice"),
         (F.col("event_id") % 9 == 0).alias("is_repeat"), F.lit(None).cast("bigint").alias("repeat_of"), F.col("value").alias("dur"))
     return {"mushra": mushra, "afc": afc, "session": s1.unionByName(s2), "stage1": stage1, "verdicts": verdicts}
@@ -44,13 +53,13 @@ def alive(d):
     return E.all_listeners(d["mushra"], d["afc"], d["session"], d["stage1"])
 
 
-@query("exclude_ineligible", f"WITH {BASE} SELECT listener FROM verdicts WHERE NOT eligible", ["ratings"])
+@query("exclude_ineligible", f"WITH {BASE} SELECT listener FROM verdicts WHERE NOT eligible")
 def exclude_ineligible(t):
     d = tables(t)
     return E.exclude_ineligible(alive(d), d["verdicts"], CFG)
 
 
-@query("exclude_stage1", f"WITH {BASE} SELECT listener FROM stage1 WHERE hp < 5 OR ap < 5", ["ratings"])
+@query("exclude_stage1", f"WITH {BASE} SELECT listener FROM stage1 WHERE hp < 5 OR ap < 5")
 def exclude_stage1(t):
     d = tables(t)
     return E.exclude_stage1(alive(d), d["stage1"], CFG)
@@ -64,7 +73,8 @@ FEATS = """cnt AS (SELECT ids.listener, (SELECT bool_or(completed) FROM session
        quantile_cont(score, 0.5) FILTER (condition <> 'NF') AS med, stddev_pop(score) FILTER (condition <> 'NF') AS sd FROM mushra GROUP BY 1, 2, 3)
       GROUP BY 1),
     tim AS (SELECT ids.listener, coalesce((SELECT max(total_sec) FROM session s WHERE s.listener = ids.listener),
-      coalesce((SELECT sum(d) FROM (SELECT listener, song, screen, max(dur) AS d FROM mushra GROUP BY 1, 2, 3) x WHERE x.listener = ids.listener), 0) +
+      coalesce((SELECT sum(d) FROM (SELECT listener, song, screen, arg_min(dur, seq * 1000 + dur) AS d FROM mushra WHERE dur IS NOT NULL GROUP BY 1, 2, 3) x
+        WHERE x.listener = ids.listener), 0) +
       coalesce((SELECT sum(dur) FROM afc WHERE afc.listener = ids.listener), 0)) AS total_sec FROM ids),
     org AS (SELECT listener, song, min_by(choice, pair_index) AS o FROM afc WHERE NOT is_repeat AND choice IS NOT NULL GROUP BY 1, 2),
     agr AS (SELECT a.listener, avg((a.choice = o)::INT) AS agreement FROM afc a JOIN org ON org.listener = a.listener AND org.song = a.song
@@ -77,39 +87,40 @@ def incomplete_sql(source: str) -> str:
                THEN 30 ELSE 0 END)"""
 
 
-@query("exclude_incomplete", f"WITH {BASE}, {FEATS} SELECT listener FROM cnt WHERE {incomplete_sql('cnt')}", ["ratings"])
+@query("exclude_incomplete", f"WITH {BASE}, {FEATS} SELECT listener FROM cnt WHERE {incomplete_sql('cnt')}")
 def exclude_incomplete(t):
     d = tables(t)
     return E.exclude_incomplete(alive(d), d["session"], d["mushra"], d["afc"], CFG)
 
 
-@query("exclude_bad_screens", f"WITH {BASE}, {FEATS} SELECT listener FROM chk WHERE fail_frac > 0.19", ["ratings"])
+@query("exclude_bad_screens", f"WITH {BASE}, {FEATS} SELECT listener FROM chk WHERE fail_frac > 0.19")
 def exclude_bad_screens(t):
     d = tables(t)
     return E.exclude_bad_screens(alive(d), d["mushra"], CFG)
 
 
-@query("total_time", f"WITH {BASE}, {FEATS} SELECT listener, round(total_sec, 6) AS total_sec FROM tim", ["ratings"])
+@query("total_time", f"""WITH {BASE}, {FEATS} SELECT listener, round(total_sec, 6) AS total_sec FROM tim
+    WHERE listener IN (SELECT listener FROM mushra UNION SELECT listener FROM afc UNION SELECT listener FROM session)""")
 def total_time(t):
     d = tables(t)
     return r6(E.total_time(d["session"], d["mushra"], d["afc"]), "total_sec")
 
 
 @query("exclude_speeders", f"""WITH {BASE}, {FEATS} SELECT listener FROM tim WHERE total_sec < 0.5 * (SELECT quantile_cont(total_sec, 0.5) FROM tim
-    WHERE total_sec > 0)""", ["ratings"])
+    WHERE total_sec > 0)""")
 def exclude_speeders(t):
     d = tables(t)
     return E.exclude_speeders(alive(d), E.total_time(d["session"], d["mushra"], d["afc"]), CFG)
 
 
-@query("exclude_unreliable", f"WITH {BASE}, {FEATS} SELECT listener FROM agr WHERE agreement < 0.25", ["ratings"])
+@query("exclude_unreliable", f"WITH {BASE}, {FEATS} SELECT listener FROM agr WHERE agreement < 0.25")
 def exclude_unreliable(t):
     d = tables(t)
     return E.exclude_unreliable(alive(d), d["afc"], CFG)
 
 
 @query("exclude_outliers", f"""WITH {BASE}, {FEATS}, q AS (SELECT quantile_cont(mean_score, 0.25) AS a, quantile_cont(mean_score, 0.75) AS b FROM mea)
-    SELECT listener FROM mea, q WHERE mean_score < a - 1.5 * (b - a) OR mean_score > b + 1.5 * (b - a)""", ["ratings"])
+    SELECT listener FROM mea, q WHERE mean_score < a - 1.5 * (b - a) OR mean_score > b + 1.5 * (b - a)""")
 def exclude_outliers(t):
     d = tables(t)
     return E.exclude_outliers(alive(d), d["mushra"], CFG)
@@ -125,8 +136,9 @@ CHAIN = f"""{BASE}, {FEATS}, f AS (SELECT ids.listener, v.eligible, coalesce(s.h
       FROM g1),
     g4 AS (SELECT * REPLACE (coalesce(st, CASE WHEN total_sec < 0.5 * (SELECT quantile_cont(total_sec, 0.5) FROM g2 WHERE st IS NULL AND
       total_sec > 0) THEN '4_speeder' WHEN agreement < 0.25 THEN '5_afc_repeat' END) AS st) FROM g2),
-    q AS (SELECT quantile_cont(mean_score, 0.25) AS a, quantile_cont(mean_score, 0.75) AS b, count(mean_score) AS n FROM g4 WHERE st IS NULL),
-    fin AS (SELECT listener, coalesce(st, CASE WHEN n >= 4 AND (mean_score < a - 1.5 * (b - a) OR mean_score > b + 1.5 * (b - a)) THEN '6_iqr_outlier'
+    q AS (SELECT quantile_cont(mean_score, 0.25) AS a, quantile_cont(mean_score, 0.75) AS b, count(mean_score) AS n,
+      (SELECT quantile_cont(total_sec, 0.5) FROM g2 WHERE st IS NULL AND total_sec > 0) AS med FROM g4 WHERE st IS NULL),
+    fin AS (SELECT g4.*, q.*, {incomplete_sql('a1')} AS inc, coalesce(st, CASE WHEN n >= 4 AND (mean_score < a - 1.5 * (b - a) OR mean_score > b + 1.5 * (b - a)) THEN '6_iqr_outlier'
       END) AS stage FROM g4, q)"""
 
 
@@ -135,19 +147,29 @@ def assigned(t):
     return E.assign_stages(E.listener_features(d["mushra"], d["afc"], d["session"], d["stage1"], d["verdicts"], CFG), CFG)
 
 
-@query("assign_stages", f"WITH {CHAIN} SELECT listener, stage FROM fin", ["ratings"])
+@query("assign_stages", f"WITH {CHAIN} SELECT listener, stage FROM fin")
 def assign_stages(t):
     return assigned(t).select("listener", "stage")
 
 
-@query("exclusion_table", f"""WITH {CHAIN}, s AS (SELECT unnest({E.STAGES}) AS stage, unnest([1, 2, 3, 4, 5, 6, 7]) AS position),
-    c AS (SELECT s.position, s.stage, count(fin.stage) AS n_excluded FROM s LEFT JOIN fin ON fin.stage = s.stage GROUP BY 1, 2)
-    SELECT position, stage, n_excluded, CAST((SELECT count(*) FROM fin) - sum(n_excluded) OVER (ORDER BY position) AS BIGINT) AS n_remaining
-    FROM c""", ["ratings"])
+COUNTS = f"""s AS (SELECT unnest({E.STAGES}) AS stage, unnest([1, 2, 3, 4, 5, 6, 7]) AS position),
+    c AS (SELECT s.position, s.stage, count(fin.stage) AS n_excluded FROM s LEFT JOIN fin ON fin.stage = s.stage GROUP BY 1, 2),
+    cnts AS (SELECT position, stage, n_excluded, CAST((SELECT count(*) FROM fin) - sum(n_excluded) OVER (ORDER BY position) AS BIGINT) AS n_remaining FROM c)"""
+
+
+@query("exclusion_counts", f"WITH {CHAIN}, {COUNTS} SELECT * FROM cnts")
+def exclusion_counts(t):
+    return E.exclusion_counts(assigned(t))
+
+
+@query("exclusion_table", f"""WITH {CHAIN}, {COUNTS} SELECT cnts.*, fin.listener, CASE WHEN fin.listener IS NOT NULL THEN
+      ((NOT coalesce(eligible, true))::INT + s1::INT + inc::INT + coalesce(fail_frac > 0.19, false)::INT + coalesce(total_sec < 0.5 * med, false)::INT
+       + coalesce(agreement < 0.25, false)::INT + coalesce(n >= 4 AND (mean_score < a - 1.5 * (b - a) OR mean_score > b + 1.5 * (b - a)), false)::INT - 1) END AS also_failed
+    FROM cnts LEFT JOIN fin ON fin.stage = cnts.stage""")
 def exclusion_table(t):
     return E.exclusion_table(assigned(t))
 
 
-@query("survivors", f"WITH {CHAIN} SELECT listener FROM fin WHERE stage IS NULL", ["ratings"])
+@query("survivors", f"WITH {CHAIN} SELECT listener FROM fin WHERE stage IS NULL")
 def survivors(t):
     return E.survivors(assigned(t))

@@ -245,11 +245,11 @@ def metric_vs_human(t):
 
 
 @query("rater_agreement", f"""WITH {CELLS}, p AS (SELECT a.listener AS rater_a, b.listener AS rater_b, row_number() OVER (PARTITION BY a.listener, b.listener
-      ORDER BY a.score, a.song) AS ra, row_number() OVER (PARTITION BY a.listener, b.listener ORDER BY b.score, a.song) AS rb FROM cells a JOIN cells b
-      ON a.song = b.song AND a.listener < b.listener)
+      ORDER BY a.score, a.item) AS ra, row_number() OVER (PARTITION BY a.listener, b.listener ORDER BY b.score, a.item) AS rb FROM cells a JOIN cells b
+      ON a.item = b.item AND a.listener < b.listener)
     SELECT rater_a, rater_b, count(*) AS n_shared, round(corr(ra, rb), 6) AS rho FROM p GROUP BY 1, 2 HAVING count(*) >= 3""", ["ratings"])
 def rater_agreement(t):
-    return r6(I.rater_agreement(cells(t), "listener", "song", "score"), "rho")
+    return r6(I.rater_agreement(cells(t), "listener", "item", "score"), "rho")
 
 
 @query("shapley", f"""WITH {GRID} SELECT e AS element, round(sum(CASE bit_count(a.mask) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END / 6.0::DOUBLE *

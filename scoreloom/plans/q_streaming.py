@@ -29,15 +29,45 @@ def instant(text):
     return F.timestamp_micros(epoch_us(F.lit(text).cast("timestamp_ntz")))
 
 
-@query("stream_telemetry", """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events)
-    SELECT w AS start, event_type AS which, count(*) FILTER (ok) AS requests, round(avg(value) FILTER (ok), 9) AS mean_sec, max(value) FILTER (ok) AS max_sec,
-      count(*) FILTER (NOT ok) AS errors, round(count(*) FILTER (ok) / 21600, 9) AS rate
-    FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w, CAST(json_extract(props, '$.k') AS INT) >= 10 AS ok FROM events), m WHERE w + INTERVAL 6 HOUR <= wm GROUP BY 1, 2""")
+CALLS = """calls AS (SELECT ts, event_type AS which, value AS sec, k / 10.0::DOUBLE AS qwait, k >= 10 AS ok,
+      CASE WHEN k < 3 THEN 'Timeout: call ' || event_id WHEN k < 7 THEN 'Refused' WHEN k < 9 THEN '' END AS err
+      FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)),
+    kinds AS (SELECT *, CASE WHEN NOT ok THEN CASE coalesce(err, '') WHEN '' THEN 'unknown' ELSE regexp_extract(err, '^[A-Za-z]+') END END AS kind FROM calls)"""
+TOTALS = """count(*) FILTER (ok) AS requests, round(avg(sec) FILTER (ok), 9) AS mean_sec, max(sec) FILTER (ok) AS max_sec,
+      round(avg(qwait) FILTER (ok), 9) AS mean_qwait, max(qwait) FILTER (ok) AS max_qwait, count(*) FILTER (NOT ok) AS errors,
+      arg_max(coalesce(err, ''), epoch_us(ts)::VARCHAR || coalesce(err, '')) FILTER (NOT ok) AS last_error"""
+
+
+def calls(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    err = F.when(k < 3, F.concat(F.lit("Timeout: call "), F.col("event_id").cast("string"))).when(k < 7, "Refused").when(k < 9, "")
+    return stream(t).select("ts", F.col("event_type").alias("which"), F.col("value").alias("sec"), (k / 10.0).alias("qwait"), (k >= 10).alias("ok"), err.alias("err"))
+
+
+def shown(out):
+    """Rounded means and the map of error kinds as text."""
+    text = F.array_join(F.transform(F.map_entries("errors_by_kind"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumns({"mean_sec": F.round("mean_sec", 9), "mean_qwait": F.round("mean_qwait", 9), "errors_by_kind": text})
+
+
+@query("stream_telemetry", f"""WITH {CALLS}, m AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events),
+    w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM kinds, m WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= wm),
+    e AS (SELECT start, which, string_agg(kind || '=' || n, ',' ORDER BY kind) AS errors_by_kind FROM
+      (SELECT start, which, kind, count(*) AS n FROM w WHERE NOT ok GROUP BY ALL) GROUP BY 1, 2),
+    o AS (SELECT start, which, {TOTALS}, round(count(*) FILTER (ok) / 21600, 9) AS rate FROM w GROUP BY 1, 2)
+    SELECT o.*, coalesce(errors_by_kind, '') AS errors_by_kind FROM o LEFT JOIN e USING (start, which)""")
 def stream_telemetry(t):
-    s = stream(t).select("ts", F.col("event_type").alias("which"), F.col("value").alias("sec"),
-                         (F.get_json_object("props", "$.k").cast("int") >= 10).alias("ok"))
-    out = S.run_append(M.stream_telemetry(s, "6 hours", "2 hours"), "telemetry")
-    return r6(out.select(plain("window.start"), "which", "requests", F.round("mean_sec", 9).alias("mean_sec"), "max_sec", "errors", "rate"), "rate", digits=9)
+    out = S.run_append(M.stream_telemetry(calls(t), "6 hours", "2 hours"), "telemetry")
+    return r6(shown(out).withColumn("start", plain("window.start")).drop("window"), "rate", digits=9)
+
+
+@query("stream_telemetry_totals", f"""WITH {CALLS},
+    e AS (SELECT which, string_agg(kind || '=' || n, ',' ORDER BY kind) AS errors_by_kind FROM
+      (SELECT which, kind, count(*) AS n FROM kinds WHERE NOT ok GROUP BY ALL) GROUP BY 1),
+    o AS (SELECT which, {TOTALS} FROM kinds GROUP BY 1)
+    SELECT o.*, coalesce(errors_by_kind, '') AS errors_by_kind FROM o LEFT JOIN e USING (which)""")
+def stream_telemetry_totals(t):
+    return shown(M.telemetry_totals(S.run_complete(M.stream_telemetry_totals(calls(t)), "totals")))
 
 
 @query("stream_sliding_levels", """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events), x AS (SELECT user_id % 10 AS song, value * value AS e,
@@ -64,13 +94,9 @@ def stream_sessions(t):
     max(step) - coalesce(max(step) FILTER (accepted), -1) AS stall FROM replayed GROUP BY 1""", ["search_log", "replayed"])
 def stream_best(t):
     path = scratch_path(t.spark, "log")
-    # Four arrival files: the steps of a song come in order over the batches.
-    log = t.search_log().select("song", "step", "reward")
-    for i, (lo, hi) in enumerate([(0, 10), (10, 25), (25, 40), (40, 10 ** 9)]):
-        log.where((F.col("step") >= lo) & (F.col("step") < hi)).coalesce(1).write.mode("append").parquet(path)
-    s = t.spark.readStream.schema("song bigint, step bigint, reward double").option("maxFilesPerTrigger", 1).parquet(path)
-    spark, out = S.run_batches(s, "best", lambda p: M.with_state_table(f"{p}/state", M.BEST_SCHEMA, M.best_step(10.0)))
-    best = S.newest_version(spark, f"{out}/state", M.BEST_SCHEMA)
+    t.search_log().select("song", "step", "reward").write.parquet(path)
+    s = t.spark.readStream.schema("song bigint, step bigint, reward double").parquet(path)
+    best = S.run_updates(M.stream_best(s, 10.0), "best", ["song"])
     return best.select("song", "best", "n_accepted", "last_accepted", (F.col("last_step") - F.coalesce("last_accepted", F.lit(-1))).alias("stall"))
 
 
@@ -84,10 +110,8 @@ def stream_dedupe(t):
 @query("stream_latest", """SELECT user_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
     WHERE r = 1""")
 def stream_latest(t):
-    schema = "user_id bigint, event_type string, value double, ts timestamp, event_id bigint"
-    step = M.latest_step(["user_id", "event_type"], ["ts", "event_id"])
-    spark, out = S.run_batches(stream(t).drop("props"), "latest", lambda p: M.with_state_table(f"{p}/state", schema, step))
-    return S.newest_version(spark, f"{out}/state", schema).select("user_id", "event_type", "value", plain("ts"))
+    rows = M.stream_latest(stream(t).drop("props"), ["user_id", "event_type"], ["ts", "event_id"])
+    return S.run_updates(rows, "latest", ["user_id", "event_type"]).select("user_id", "event_type", "value", plain("ts"))
 
 
 @query("stream_condition_means", """SELECT l_returnflag || l_linestatus AS condition, round(avg(2 * l_quantity), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1""")
@@ -108,30 +132,37 @@ def stream_verdict_match(t):
     return out.select("event_id", plain("server_ts"), "provisional")
 
 
-@query("stream_heartbeats", """SELECT 'm' || user_id % 40 AS metric, max(ts) AS last_success, count(*) AS n, date_diff('second', max(ts), TIMESTAMP '2024-02-06 12:00:00') > 604800 AS stale
-    FROM events WHERE event_type <> 'error' AND NOT (user_id % 40 < 8 AND ts > TIMESTAMP '2024-01-15') GROUP BY 1""")
+@query("stream_last_success", """SELECT 'm' || user_id AS metric, max(ts) AS last_success, count(*) AS n,
+      date_diff('second', max(ts), TIMESTAMP '2024-02-06 12:00:00') > 604800 AS stale FROM events WHERE event_type <> 'error' GROUP BY 1""")
+def stream_last_success(t):
+    out = S.run_complete(M.stream_last_success(metrics(t)), "last-success")
+    return M.stale_alarm(out, instant("2024-02-06 12:00:00")).select("metric", plain("last_success"), "n", "stale")
+
+
+def metrics(t):
+    return stream(t).select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("metric"), "ts", (F.col("event_type") != "error").alias("ok"))
+
+
+@query("stream_heartbeats", """WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS wm FROM events),
+    s AS (SELECT user_id, ts, lead(ts) OVER w AS later, row_number() OVER w AS n FROM events WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT 'm' || user_id AS metric, ts AS last_success, n, ts + INTERVAL 2 DAY AS alarm_at FROM s, m
+    WHERE (later IS NULL OR later > ts + INTERVAL 2 DAY) AND ts + INTERVAL 2 DAY <= wm""")
 def stream_heartbeats(t):
-    quiet = (F.col("user_id") % 40 < 8) & (F.col("ts") > instant("2024-01-15 00:00:00"))
-    s = stream(t).where(~quiet).select(F.concat(F.lit("m"), (F.col("user_id") % 40).cast("string")).alias("metric"), "ts", (F.col("event_type") != "error").alias("ok"))
-    out = S.run_complete(M.stream_heartbeats(s), "heartbeats")
-    out = M.stale_alarm(out, instant("2024-02-06 12:00:00"))
-    return out.select("metric", plain("last_success"), "n", "stale")
+    out = S.run_append(M.stream_heartbeats(metrics(t), 2 * 86400, "1 hour"), "heartbeats")
+    return out.select("metric", plain("last_success"), "n", plain("alarm_at"))
 
 
 @query("stream_budget", """SELECT o_custkey AS run, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS spent FROM orders GROUP BY 1
     HAVING sum(CAST(round(o_totalprice * 100) AS BIGINT)) > 300000000""")
 def stream_budget(t):
     s = stream(t, "orders").select(F.col("o_custkey").alias("run"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("usd"))
-    spark, out = S.run_batches(s, "budget", lambda p: M.with_state_table(f"{p}/state", M.BUDGET_SCHEMA, M.budget_step(300000000), f"{p}/alarms"))
-    return spark.read.schema(M.BUDGET_SCHEMA).parquet(f"{out}/alarms").select("run", "spent")
+    return S.run_append(M.stream_budget(s, 300000000), "budget")
 
 
 @query("tail_events", "SELECT event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def tail_events(t):
     from scoreloom.sources.sinks import append_events
     path = scratch_path(t.spark, "tail")
-    for part in range(3):
-        append_events(t.events.where(F.col("event_id") % 3 == part).select(F.col("event_type").alias("kind"), "value").coalesce(1), path)
-    s = M.tail_events(t.spark, path, "kind string, value double", files_per_batch=1)
-    rows = S.run_append(s, "tailed")
+    append_events(t.events.select(F.col("event_type").alias("kind"), "value"), path)
+    rows = S.run_append(M.tail_events(t.spark, path, "kind string, value double"), "tailed")
     return r6(rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)

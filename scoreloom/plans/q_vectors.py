@@ -6,6 +6,7 @@ from scoreloom.functions import scalars as S
 from scoreloom.operators import joins as J
 from scoreloom.operators import sampling as M
 from scoreloom.operators import vectors as V
+from scoreloom.operators.cases import similar_cases as similar_cases_of
 from scoreloom.plans.q_aggregates import r6
 from scoreloom.plans.q_sampling import sql_u
 from scoreloom.plans.registry import query
@@ -29,12 +30,12 @@ def arms(t):
 
 
 def bandwidth(ref):
-    return materialize(V.median_bandwidth(ref, "vec_id", block=64), "sigma")
+    return materialize(V.median_bandwidth(ref, "vec_id", strip=1024), "sigma")
 
 
 def kernel(x, ref):
     sigma = bandwidth(ref)
-    return V.song_kernel(x, ref, sigma, block=128), V.reference_term(ref, sigma, block=128)
+    return V.song_kernel(x, ref, sigma, strip=1024), V.reference_term(ref, sigma, strip=1024)
 
 
 @query("cosine", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
@@ -51,24 +52,24 @@ def cosine(t):
     count(*) AS n_pairs FROM e a, ref b WHERE a.run > 0 GROUP BY 1, 2""")
 def pairwise_sq_dist(t):
     x, ref = arms(t)
-    return r6(V.pairwise_sq_dist(x, ref, block=128), "sum_sq", "min_sq", "max_sq")
+    return r6(V.pairwise_sq_dist(x, ref, strip=1024), "sum_sq", "min_sq", "max_sq")
 
 
 @query("median_bandwidth", f"WITH {EMB}, {SIG} SELECT round(sigma, 9) AS sigma FROM sg")
 def median_bandwidth(t):
-    return r6(V.median_bandwidth(arms(t)[1], "vec_id", block=32), "sigma", digits=9)
+    return r6(V.median_bandwidth(arms(t)[1], "vec_id", strip=64), "sigma", digits=9)
 
 
 @query("song_kernel", f"WITH {KER} SELECT run, song_a, song_b, round(k, 6) AS k FROM kxx")
 def song_kernel(t):
     x, ref = arms(t)
-    return r6(V.within_kernel(x, bandwidth(ref), block=128), "k")
+    return r6(V.within_kernel(x, bandwidth(ref), strip=1024), "k")
 
 
 @query("song_kernel_cross", f"WITH {KER} SELECT run, song, round(k, 6) AS k, n AS n_vectors, m AS n_ref FROM kxy")
 def song_kernel_cross(t):
     x, ref = arms(t)
-    return r6(V.cross_kernel(x, ref, bandwidth(ref), block=128), "k")
+    return r6(V.cross_kernel(x, ref, bandwidth(ref), strip=1024), "k")
 
 
 @query("mmd2_unbiased", f"""WITH {KER}, s AS (SELECT run, sum(k) AS k, sum(n) AS n, any_value(m) AS m FROM kxy GROUP BY 1), t AS (SELECT run, sum(k) AS kk FROM kxx GROUP BY 1)
@@ -78,8 +79,9 @@ def mmd2(t):
     return r6(V.mmd2_unbiased(k, syy), "mmd2", digits=7)
 
 
+REPS = 500
 BOOT = f"""o AS (SELECT run, song, row_number() OVER (PARTITION BY run ORDER BY song) AS pos, count(*) OVER (PARTITION BY run) AS ns FROM (SELECT DISTINCT run, song FROM x)),
-    dr AS (SELECT run, r AS rep, CAST(floor({sql_u(5, 'r', 'pos')} * ns) AS BIGINT) + 1 AS pos FROM o, range(1, 61) z(r)),
+    dr AS (SELECT run, r AS rep, CAST(floor({sql_u(5, 'r', 'pos')} * ns) AS BIGINT) + 1 AS pos FROM o, range(1, 501) z(r)),
     ct AS (SELECT dr.run, dr.rep, o.song, count(*) AS c FROM dr JOIN o ON o.run = dr.run AND o.pos = dr.pos GROUP BY 1, 2, 3),
     bx AS (SELECT kxx.run, a.rep, sum(a.c * b.c * k) AS kk FROM kxx JOIN ct a ON a.run = kxx.run AND a.song = song_a JOIN ct b ON b.run = kxx.run AND b.song = song_b
       AND a.rep = b.rep GROUP BY 1, 2),
@@ -89,7 +91,7 @@ BOOT = f"""o AS (SELECT run, song, row_number() OVER (PARTITION BY run ORDER BY
 
 def replicates(x, ref):
     k, syy = kernel(x, ref)
-    return V.bootstrap_mmd(k, syy, M.bootstrap_counts(x, 60, 5, by=["run"]))
+    return V.bootstrap_mmd(k, syy, M.bootstrap_counts(x, REPS, 5, by=["run"]), REPS)
 
 
 @query("bootstrap_mmd", f"WITH {KER}, {BOOT} SELECT run, CAST(rep AS INT) AS rep, round(mmd2, 7) AS mmd2 FROM bt")
@@ -135,22 +137,38 @@ CASE = """c AS (SELECT p_partkey AS case_id, CASE p_type WHEN 'STANDARD' THEN 'r
       AS gain, p_size AS obs FROM part WHERE p_retailprice / 1000 - 0.9 >= 0.01)"""
 
 
-@query("similar_cases", f"""WITH {CASE}, s AS (SELECT *, 0.45 * CASE genre WHEN 'rock' THEN 1 ELSE 0.3 END + 0.45 * len(list_intersect(list_distinct(roles), ['red', 'gear'])) /
-      len(list_distinct(list_concat(roles, ['red', 'gear']))) + 0.1 * CASE WHEN section IS NULL OR section = 'chorus' THEN 1 ELSE 0.5 END AS base,
-      coalesce(da, 0) * 3 + coalesce(db, 0) * -2 AS dot, sqrt(9 + CASE WHEN db IS NULL THEN 0 ELSE 4 END) AS na, sqrt(coalesce(da * da, 0) + coalesce(db * db, 0)) AS nb FROM c),
-    f AS (SELECT *, CASE WHEN da IS NULL THEN base ELSE 0.5 * base + 0.25 * (CASE WHEN nb < 1e-9 THEN 0 ELSE dot / (na * nb) END + 1) END AS sim FROM s)
-    SELECT case_id, round(sim, 3) AS similarity, round(sim + tanh(gain) * 0.1 + ln(1 + obs) * 0.02, 6) AS score FROM f
-    ORDER BY sim + tanh(gain) * 0.1 + ln(1 + obs) * 0.02 DESC, case_id LIMIT 25""")
+ASK = """q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN 'rock' WHEN 1 THEN 'jazz' WHEN 2 THEN 'pop' END AS g,
+      CASE s_suppkey % 5 WHEN 0 THEN ['red', 'gear'] WHEN 1 THEN ['blue'] WHEN 2 THEN []::VARCHAR[] ELSE ['gear', 'small', 'bolt'] END AS r,
+      CASE s_suppkey % 3 WHEN 0 THEN 'chorus' WHEN 1 THEN 'verse' END AS sec, CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal / 1000 END AS qa,
+      CASE WHEN s_suppkey % 6 > 0 AND s_suppkey % 4 > 0 THEN -2.0::DOUBLE END AS qb FROM supplier)"""
+
+
+@query("similar_cases", f"""WITH {CASE}, {ASK}, j AS (SELECT *, len(list_intersect(list_distinct(roles), r)) AS i, len(list_distinct(list_concat(roles, r))) AS u FROM q, c),
+    s AS (SELECT *, 0.45 * CASE WHEN g IS NULL THEN 0.5 WHEN g = genre THEN 1 ELSE 0.3 END + 0.45 * i / u
+      + 0.1 * CASE WHEN sec IS NULL OR section IS NULL OR section = sec THEN 1 ELSE 0.5 END AS base,
+      coalesce(qa * da, 0) + coalesce(qb * db, 0) AS dot, sqrt(CASE WHEN da IS NULL THEN 0 ELSE coalesce(qa * qa, 0) END + CASE WHEN db IS NULL THEN 0 ELSE coalesce(qb * qb, 0) END) AS na,
+      sqrt(CASE WHEN qa IS NULL THEN 0 ELSE coalesce(da * da, 0) END + CASE WHEN qb IS NULL THEN 0 ELSE coalesce(db * db, 0) END) AS nb,
+      qa * da IS NOT NULL OR qb * db IS NOT NULL AS known FROM j),
+    f AS (SELECT *, CASE WHEN known THEN 0.5 * base + 0.25 * (CASE WHEN na < 1e-9 OR nb < 1e-9 THEN 0 ELSE dot / (na * nb) END + 1) ELSE base END AS sim FROM s),
+    o AS (SELECT *, round(sim + tanh(gain) * 0.1 + ln(1 + obs) * 0.02, 9) AS score FROM f)
+    SELECT query_id, row_number() OVER w::INTEGER AS place, case_id, round(sim, 3) AS similarity, round(score, 6) AS score FROM o
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, case_id) QUALIFY row_number() OVER w <= 25""")
 def similar_cases(t):
-    size = F.col("p_size")
-    diag = F.when(size % 4 > 0, F.map_filter(F.create_map(
-        F.lit("a"), size - F.lit(25.0), F.lit("b"), F.when(size % 5 > 0, F.col("p_retailprice") - 950)), lambda k, v: v.isNotNull()))
+    def points(a, b):
+        return F.map_filter(F.create_map(F.lit("a"), a, F.lit("b"), b), lambda k, v: v.isNotNull())
+    size, k = F.col("p_size"), F.col("s_suppkey")
     c = t.part.select(
         F.col("p_partkey").alias("case_id"), F.when(F.col("p_type") == "STANDARD", "rock").when(F.col("p_type") == "PROMO", "jazz").otherwise("pop").alias("genre"),
-        F.split("p_name", " ").alias("stem_roles"), F.when(size % 3 == 0, "chorus").when(size % 3 == 1, "verse").alias("section_type"), diag.alias("diagnosis"),
+        F.split("p_name", " ").alias("stem_roles"), F.when(size % 3 == 0, "chorus").when(size % 3 == 1, "verse").alias("section_type"),
+        F.when(size % 4 > 0, points(size - F.lit(25.0), F.when(size % 5 > 0, F.col("p_retailprice") - 950))).alias("diagnosis"),
         (F.col("p_retailprice") / 1000 - 0.9).alias("reward_delta"), size.alias("n_observations"))
-    out = V.similar_cases(c, V.CaseQuery("rock", ["red", "gear"], {"a": 3.0, "b": -2.0}, "chorus"), 25, 0.01)
-    return r6(out.select("case_id", "similarity", "score"), "score")
+    words = lambda *w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
+    q = t.supplier.select(
+        k.alias("query_id"), F.when(k % 4 == 0, "rock").when(k % 4 == 1, "jazz").when(k % 4 == 2, "pop").alias("genre"),
+        F.when(k % 5 == 0, words("red", "gear")).when(k % 5 == 1, words("blue")).when(k % 5 == 2, words()).otherwise(words("gear", "small", "bolt")).alias("roles"),
+        F.when(k % 3 == 0, "chorus").when(k % 3 == 1, "verse").alias("section"),
+        F.when(k % 6 > 0, points(F.col("s_acctbal") / 1000, F.when(k % 4 > 0, -2.0))).alias("diagnosis"))
+    return r6(similar_cases_of(q, c, 25, 0.01), "score")
 
 
 @query("embedding_distance", f"""WITH {EMB} SELECT e.vec_id, round(1 - list_inner_product(e.v, c.v) / (sqrt(list_inner_product(e.v, e.v)) *

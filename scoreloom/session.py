@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "scoreloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,9 +28,11 @@ def build_session(app: str = "scoreloom", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; a machine-local one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -45,8 +48,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used where an operator reads an intermediate result several times (a scan and its carry, a statistic and the rows
     it is compared with): without the cut, Spark would compute everything below once per use, and stacked operators
-    would multiply that. The table survives lost executors.
+    would multiply that. The table survives lost executors and is deleted when the driver's session ends.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_exchange(df: DataFrame) -> DataFrame:
+    """Let several subplans on ``df`` (the last aggregate or shuffle of a branch) find the very same exchange.
+
+    Spark computes an exchange once if plans need it unchanged, but column pruning would cut it differently for each use.
+    The filter keeps every row and reads every column, so all uses keep all columns. Nothing is written.
+    """
+    return df.where(F.hash(*df.columns) >= F.lit(-2**31))

@@ -1,6 +1,8 @@
 """Planted truth in the native layouts."""
 
 import json
+import math
+import random
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from scoreloom.operators import aggregates as A
 from scoreloom.operators import exclusion as E
 from scoreloom.operators import inference as I
 from scoreloom.operators import quality as K
+from scoreloom.operators import raters as RT
 from scoreloom.operators import sampling as M
 from scoreloom.operators import screening as SC
 from scoreloom.operators import series as X
@@ -51,7 +54,7 @@ def test_exclusion_catches_planted_listeners(spark):
                 score = 30.0 if cond == "random_dry" else 60.0 + c + (n % 5)
                 score = 95.0 if p == "c1" and cond == "random_dry" else score
                 score = score + (35.0 if p == "o1" and cond != "random_dry" else 0.0)
-                mushra.append((p, f"s{s}", s, cond, score, 1.0))
+                mushra.append((p, f"s{s}", s, cond, score, c, 1.0 if c else None))
         for i in range(6):
             rep = i >= 4
             choice = ("b" if p == "r1" else "a") if rep else "a"
@@ -60,14 +63,25 @@ def test_exclusion_catches_planted_listeners(spark):
             session.append((p, True, 10.0 if p == "f1" else 600.0 + n))
         stage1.append((p, 3 if p == "s1" else 6, 6))
         verdicts.append((p, p != "a1"))
-    t = (spark.createDataFrame(mushra, "listener string, song string, screen int, condition string, score double, dur double"),
+    t = (spark.createDataFrame(mushra, "listener string, song string, screen int, condition string, score double, seq int, dur double"),
          spark.createDataFrame(afc, "listener string, song string, pair_index int, choice string, is_repeat boolean, repeat_of int, dur double"),
          spark.createDataFrame(session, "listener string, completed boolean, total_sec double"),
          spark.createDataFrame(stage1, "listener string, hp int, ap int"), spark.createDataFrame(verdicts, "listener string, eligible boolean"))
     out = E.assign_stages(E.listener_features(*t, cfg), cfg)
     assert {r["listener"]: r["stage"] for r in out.where("stage is not null").collect()} == bad
-    table = {r["stage"]: (r["n_excluded"], r["n_remaining"]) for r in E.exclusion_table(out).collect()}
-    assert table["6_iqr_outlier"] == (1, 20) and table["1a_ineligible"] == (1, 26)
+    table = {r["stage"]: (r["n_excluded"], r["n_remaining"], r["listener"]) for r in E.exclusion_table(out).collect()}
+    assert table["6_iqr_outlier"] == (1, 20, "o1") and table["1a_ineligible"] == (1, 26, "a1")
+    assert [r["n_excluded"] for r in E.exclusion_counts(out).collect()] == [1] * 7
+    none = E.exclusion_table(E.assign_stages(E.listener_features(*t, cfg).where("listener like 'g%'"), cfg)).collect()
+    assert [(r["n_excluded"], r["n_remaining"], r["listener"]) for r in sorted(none)] == [(0, 20, None)] * 7
+
+
+def test_first_known_duration_counts(spark):
+    mushra = spark.createDataFrame([("a", "s", 0, 1, None), ("a", "s", 0, 2, 5.0), ("a", "s", 0, 3, 9.0), ("a", "t", 0, 1, None)],
+                                   "listener string, song string, screen int, seq int, dur double")
+    afc = spark.createDataFrame([("a", 2.0), ("b", float("nan")), ("b", None)], "listener string, dur double")
+    session = spark.createDataFrame([("c", float("nan")), ("c", 4.0), ("c", 6.0), ("a", None)], "listener string, total_sec double")
+    assert {r.listener: r.total_sec for r in E.total_time(session, mushra, afc).collect()} == {"a": 7.0, "b": 0.0, "c": 6.0}
 
 
 def answers(**over):
@@ -120,10 +134,10 @@ def test_samples_nest_and_draws_are_shared(spark):
     assert c.groupBy("run", "rep").agg(F.sum("count").alias("n")).where("n <> 300").count() == 0
 
 
-def test_song_digest_of_large_sets_is_order_free(spark):
+def test_song_digest_is_order_free(spark):
     ids = spark.range(50).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("i"))
-    a, b = (A.song_set_digest(x, "i", list_limit=10).first()["digest"] for x in (ids, ids.orderBy(F.desc("i"))))
-    assert a == b != A.song_set_digest(ids.limit(49), "i", list_limit=10).first()["digest"]
+    a, b = (A.song_set_digest(x, "i").first()["digest"] for x in (ids, ids.orderBy(F.desc("i"))))
+    assert a == b != A.song_set_digest(ids.limit(49), "i").first()["digest"]
 
 
 # --- vectors -------------------------------------------------------------------------------------
@@ -142,23 +156,127 @@ def test_kernel_distances_against_numpy(spark):
     d2 = lambda a, b: np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1), 0)
     iu = np.triu_indices(41, 1)
     sigma = np.median(np.sqrt(d2(m["ref"], m["ref"])[iu])) + 1e-9
-    s = V.median_bandwidth(ref, "vec_id", bins=64, block=10)
+    s = V.median_bandwidth(ref, "vec_id", bins=64, strip=10)
     assert abs(s.first()["sigma"] - sigma) < 1e-9
     k = lambda a, b: np.exp(-d2(a, b) / (2 * sigma ** 2))
     term = lambda a: (k(a, a).sum() - len(a)) / (len(a) * (len(a) - 1))
-    kern, syy = V.song_kernel(x, ref, s, block=8), V.reference_term(ref, s, block=8)
+    kern, syy = V.song_kernel(x, ref, s, strip=8), V.reference_term(ref, s, strip=8)
     got = {r["run"]: r["mmd2"] for r in V.mmd2_unbiased(kern, syy).collect()}
     for run in ("same", "moved"):
         want = term(m[run]) + term(m["ref"]) - 2 * k(m[run], m["ref"]).mean()
         assert abs(got[run] - want) < 1e-9
     assert abs(got["same"]) < 0.05 < got["moved"]
     counts = M.bootstrap_counts(x, 5, 3, by=["run"])
-    reps = {(r["run"], r["rep"]): r["mmd2"] for r in V.bootstrap_mmd(kern, syy, counts).collect()}
+    reps = {(r["run"], r["rep"]): r["mmd2"] for r in V.bootstrap_mmd(kern, syy, counts, 5, strip=2).collect()}
     picks = counts.where("run = 'same' and rep = 2").collect()
     rows = np.vstack([m["same"][[i for i in range(37) if i % 6 == r["song"]]] for r in picks for _ in range(r["count"])])
     assert abs(reps[("same", 2)] - (term(rows) + term(m["ref"]) - 2 * k(rows, m["ref"]).mean())) < 1e-9
 
 
+def test_median_bandwidth_of_few_vectors(spark):
+    schema = "run string, song bigint, vec_id bigint, embedding array<double>"
+    few = lambda *v: spark.createDataFrame([("r", 0, i, list(x)) for i, x in enumerate(v)], schema)
+    assert V.median_bandwidth(few(), "vec_id").first()["sigma"] is None
+    assert V.median_bandwidth(few([1.0]), "vec_id").first()["sigma"] is None
+    assert abs(V.median_bandwidth(few([0.0], [3.0]), "vec_id").first()["sigma"] - 3.0 - 1e-9) < 1e-12
+    assert abs(V.median_bandwidth(few([0.0], [0.0], [0.0], [7.0]), "vec_id", strip=2).first()["sigma"] - 3.5 - 1e-9) < 1e-12
+
+
+@pytest.mark.parametrize("strip_cells", [10**6, 30])
+def test_rater_pairs_against_plain_python(spark, strip_cells):
+    rnd = random.Random(8)
+    cells = [(f"r{r}", f"i{i}", float(rnd.randrange(4))) for r in range(9) for i in range(12) if rnd.random() < 0.5 or i == 0]
+    cells += [("r1", "x", None), ("lone", "y", 1.0)]
+    df = spark.createDataFrame(cells, "rater string, item string, value double")
+    got = {(r.rater_a, r.rater_b): r for r in RT.rater_pairs(df, "rater", "item", "value", strip_cells=strip_cells).collect()}
+    by = {}
+    for r, i, v in cells:
+        if v is not None:
+            by.setdefault(r, {})[i] = v
+    names = sorted(by)
+    want = {(a, b): sorted(set(by[a]) & set(by[b])) for a in names for b in names if a < b and set(by[a]) & set(by[b])}
+    assert {tuple(sorted(k)) for k in got} == set(want)
+    for (a, b), r in got.items():
+        items = want[tuple(sorted((a, b)))]
+        assert r.n_shared == len(items)
+        assert abs(r.mean_abs_diff - sum(abs(by[a][i] - by[b][i]) for i in items) / len(items)) < 1e-9
+        ra, rb = ([sorted(items, key=lambda i, x=x: (by[x][i], i)).index(i) for i in items] for x in (a, b))
+        assert r.rho is None if len(items) == 1 else abs(r.rho - np.corrcoef(ra, rb)[0, 1]) < 1e-9
+
+
+def test_similar_cases_against_plain_python(spark):
+    from scoreloom.operators.cases import similar_cases
+    rnd = random.Random(9)
+    pick = lambda *x: rnd.choice(x)
+    diag = lambda: pick(None, {}, {"a": 1.0}, {"a": -1.0, "b": 2.0}, {"b": 0.0})
+    roles = lambda: pick(None, [], ["x"], ["x", "y"], ["y", "z", "z"])
+    cases = [(i, pick("rock", "jazz", None), roles(), pick("verse", "chorus", None), diag(), pick(None, 0.0, 0.5, -1.0), pick(None, 1, 9)) for i in range(150)]
+    queries = [(i, pick("rock", "", None, "folk"), roles(), diag(), pick("verse", None)) for i in range(40)]
+
+    def similarity(q, c):
+        genre = 0.5 if not q[1] else 1.0 if q[1] == c[1] else 0.3
+        a, b = set(q[2] or []), set(c[2] or [])
+        base = 0.45 * genre + 0.45 * (len(a & b) / len(a | b) if a | b else 1.0) + 0.1 * (1.0 if q[4] is None or c[3] in (None, q[4]) else 0.5)
+        keys = set(q[3] or {}) & set(c[4] or {})
+        if not keys:
+            return base
+        dot, na = sum(q[3][k] * c[4][k] for k in keys), math.sqrt(sum(q[3][k] ** 2 for k in keys))
+        nb = math.sqrt(sum(c[4][k] ** 2 for k in keys))
+        return 0.5 * base + 0.25 * ((0.0 if na < 1e-9 or nb < 1e-9 else dot / (na * nb)) + 1)
+
+    want = set()
+    for q in queries:
+        scored = [(round(similarity(q, c) + math.tanh(c[5] or 0) * 0.1 + math.log1p(1 if c[6] is None else c[6]) * 0.02, 9), c[0])
+                  for c in cases if (c[5] or 0) >= 0]
+        want |= {(q[0], i + 1, case) for i, (_, case) in enumerate(sorted(scored, key=lambda r: (-r[0], r[1]))[:7])}
+    qs = spark.createDataFrame(queries, "query_id bigint, genre string, roles array<string>, diagnosis map<string,double>, section string")
+    cs = spark.createDataFrame(cases, "case_id bigint, genre string, stem_roles array<string>, section_type string, diagnosis map<string,double>, "
+                                      "reward_delta double, n_observations bigint")
+    for block in (2000, 7):
+        got = similar_cases(qs, cs.repartition(5), 7, block=block)
+        assert {(r.query_id, r.place, r.case_id) for r in got.collect()} == want
+    assert similar_cases(qs.where("query_id < 0"), cs).count() == 0 and similar_cases(qs, cs.where("case_id < 0")).count() == 0
+
+
+def test_ranks_without_a_single_partition(spark):
+    from scoreloom.operators.logs import rank_no_ties
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(40)) / 7).alias("v"), "id")
+    for by in ([], ["k"]):
+        out = rank_no_ties(df, by, "v", "id")
+        rows = sorted(out.collect(), key=lambda r: (*[r[b] for b in by], r["v"], r["id"]))
+        seen = {}
+        for r in rows:
+            key = tuple(r[b] for b in by)
+            assert r["rank"] == seen.get(key, 0)
+            seen[key] = r["rank"] + 1
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    out = rank_no_ties(orders, [], "o_totalprice", "o_orderkey")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    single = [line for line in plan.splitlines() if "SinglePartition" in line]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the one window without a key runs over the counts of the ranges
+    assert len(single) <= 2 and out.groupBy("__range").count().count() <= parts if "__range" in out.columns else len(single) <= 2
+
+
+def test_lineage_chain_and_digest(spark):
+    import hashlib
+    from scoreloom.operators.actions import state_lineage_id
+    from scoreloom.operators.aggregates import song_set_digest
+    rows = [(s, i, f"a{(s or 0) * i % 5}" if i % 7 else None) for s in (1, 2, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "song bigint, step int, action string").repartition(7)
+    got = {(r.song, r.step): r.state_id for r in state_lineage_id(df, ["song"], "step", "action").collect()}
+    for s in (1, 2, None):
+        state = ""
+        for _, i, action in (r for r in rows if r[0] == s):
+            state = hashlib.sha256((state if action is None else f"{state}|{action}").encode()).hexdigest()
+            assert got[(s, i)] == state
+    ids = [f"song {i * 37 % 1000}" for i in range(1500)] + [None]
+    out = song_set_digest(spark.createDataFrame([(i,) for i in ids], "song string"), "song").first()
+    assert out.n == 1000 and out.digest == hashlib.sha256("\n".join(sorted({i for i in ids if i})).encode()).hexdigest()[:12]
+    assert song_set_digest(spark.createDataFrame([], "song string"), "song").first().n == 0
+
+
 def test_frechet_against_numpy(spark):
     rng = np.random.default_rng(1)
     m = {"ref": rng.normal(size=(60, 4)), "a": rng.normal(size=(50, 4)) * 1.5 + 1.0}
