@@ -69,9 +69,9 @@ def _cross_cells(x: DataFrame, ref: DataFrame, cols: Sequence[str], ident: str,
     return left, right
 
 
-def plain_strings(g: pd.DataFrame) -> pd.DataFrame:
-    """Text columns as objects: joined frames hold them in pieces, which do not convert to one Arrow array."""
-    return g.astype({c: object for c, t in g.dtypes.items() if isinstance(t, pd.StringDtype)})
+def nothing(*columns: str) -> pd.DataFrame:
+    """No rows; columns of objects fit any type."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
 
 def _cogroup(left: DataFrame, right: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
@@ -142,7 +142,7 @@ def within_kernel(x: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",),
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in [*by, "song_a", "song_b", "k"]})
+            return nothing(*by, "song_a", "song_b", "k")
         sa, ua = pd.factorize(a[song], use_na_sentinel=False)
         sb, ub = pd.factorize(b[song], use_na_sentinel=False)
         scale, both = 2.0 * a["sigma"].iloc[0] ** 2, np.zeros((len(ub), len(ua)))
@@ -155,7 +155,7 @@ def within_kernel(x: DataFrame, sigma: DataFrame, by: Sequence[str] = ("run",),
             g = pd.concat([g, g.rename(columns={"song_a": "song_b", "song_b": "song_a"})])
         for c in by:
             g[c] = a[c].iloc[0]
-        return plain_strings(g[[*by, "song_a", "song_b", "k"]])
+        return g[[*by, "song_a", "song_b", "k"]]
 
     st = x.schema[song].dataType.simpleString()
     schema = ", ".join(filter(None, [_types(x, by), f"song_a {st}, song_b {st}, k double"]))
@@ -171,12 +171,12 @@ def _against_reference(x: DataFrame, ref: DataFrame, keys: Sequence[str], ident:
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in [*keys, *names]})
+            return nothing(*keys, *names)
         parts = []
         for i, _, d in _tiles(_matrix(a[vector]), _matrix(b["__rv"])):
             part = a[list(keys)].iloc[i].reset_index(drop=True)
             parts.append(part.assign(**stats(d, a["sigma"].iloc[0] if more else None)))
-        return plain_strings(pd.concat(parts).groupby(list(keys), as_index=False, dropna=False).agg(merge)[[*keys, *names]])
+        return pd.concat(parts).groupby(list(keys), as_index=False, dropna=False).agg(merge)[[*keys, *names]]
 
     schema = f"{_types(x, keys)}, " + ", ".join(f"{n} {t}" for n, t in names.items())
     aggs = {"min": F.min, "max": F.max, "sum": F.sum}
@@ -263,7 +263,7 @@ def bootstrap_mmd(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, counts: D
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in [*by, "rep", "k"]})
+            return nothing(*by, "rep", "k")
         c = _matrix(b["__c"])
         songs = pd.Index(b[song])
         i, j = songs.get_indexer(a["song_a"]), songs.get_indexer(a["song_b"])
@@ -273,7 +273,7 @@ def bootstrap_mmd(kernel: tuple[DataFrame, DataFrame], syy: DataFrame, counts: D
         g = pd.DataFrame({"rep": np.arange(1, reps + 1), "k": (c * (k @ c)).sum(0)})
         for col in by:
             g[col] = a[col].iloc[0]
-        return plain_strings(g[[*by, "rep", "k"]])
+        return g[[*by, "rep", "k"]]
 
     schema = ", ".join(filter(None, [_types(kxx, by), "rep int, k double"]))
     xx = _cogroup(left, right, [*by, "__i", "__j"], product, schema).groupBy(*by, "rep").agg(F.sum("k").alias("__kxx"))
