@@ -1,9 +1,12 @@
-"""Distribution functions and intervals as Column expressions (Spark SQL has no erf, t or binomial CDF)."""
-
-from __future__ import annotations
+"""Distribution functions and intervals as Columns (Spark SQL has no erf, t or binomial CDF)."""
 
+# No lazy annotations here: Spark reads the types of the functions over Arrow batches.
 import math
+from collections.abc import Callable
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,112 +58,141 @@ def norm_sf(x: ColumnOrName) -> Column:
     return let(_d(x), lambda v: F.when(v >= 3, tail(v)).when(v <= -3, 1.0 - tail(-v)).when(v.isNotNull(), central(v)))
 
 
-#: Largest degrees of freedom for the finite series and for the continued fraction (which loses digits as they grow).
-SERIES_DF, FRACTION_DF = 64, 100_000
+# --- Student's t and the binomial: Arrow batches, for result rows (one per contrast) ---------------
+
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+_PANELS = 64
+
+
+def _gamma_ratio(a: np.ndarray) -> np.ndarray:
+    """gamma(a + 1/2) / gamma(a), by its series at a + 20 and the recurrence down to a."""
+    b = a + 20.0
+    series = 1 - 1 / (8 * b) + 1 / (128 * b**2) + 5 / (1024 * b**3) - 21 / (32768 * b**4) - 399 / (262144 * b**5) + 869 / (4194304 * b**6)
+    out = np.sqrt(b) * series
+    for i in range(20):
+        out = out * ((a + i) / (a + i + 0.5))
+    return out
+
+
+def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(T > t) for t >= 0, with full relative precision for any degrees of freedom.
+
+    With u = sqrt(df) tan(x) the density becomes a power of the cosine, integrated from atan(t / sqrt(df)) to pi / 2 over
+    panels that double in width, starting from the scale on which it falls.
+    """
+    x0 = np.arctan2(t, np.sqrt(df))
+    gap = np.maximum(np.arctan2(np.sqrt(df), t), 1e-300)  # pi / 2 - x0 without cancellation
+    first = np.minimum(gap, 0.25 / (np.sqrt(df) * (1.0 + np.minimum(t, 40.0))))
+    ends = np.minimum(first[:, None] * (2.0 ** np.arange(_PANELS + 1) - 1.0), gap[:, None])
+    ends[:, -1] = gap
+    half, mid = np.diff(ends, axis=1) / 2, (ends[:, 1:] + ends[:, :-1]) / 2
+    y = mid[:, :, None] + half[:, :, None] * _NODES  # distance from x0
+    # log cos(x0 + y), from the side that keeps its digits
+    x = x0[:, None, None] + y
+    rest = gap[:, None, None] - y
+    log_cos = np.where(x < 0.7, 0.5 * np.log1p(-np.minimum(np.sin(x) ** 2, 0.9)), np.log(np.maximum(np.sin(rest), 1e-300)))
+    power = np.exp((df[:, None, None] - 1.0) * log_cos)
+    return (power @ _WEIGHTS * half).sum(1) * _gamma_ratio(df / 2.0) / math.sqrt(math.pi)
+
+
+def _t_density(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return np.exp(-(df + 1) / 2 * np.log1p(t * t / df)) * _gamma_ratio(df / 2.0) / np.sqrt(math.pi * df)
+
+
+def _t_quantile(p: float, df: np.ndarray) -> np.ndarray:
+    """Newton on log P(T > e^u) from the normal quantile: that function is concave and falls, so every step after the first comes
+    from above and none overshoots."""
+    if p == 0.5:
+        return np.zeros(len(df))
+    q = 1.0 - p if p > 0.5 else p
+    u = np.full(len(df), math.log(-NormalDist().inv_cdf(q)))
+    for _ in range(60):
+        t = np.exp(u)
+        tail = t_tail(t, df)
+        step = (np.log(tail) - math.log(q)) * tail / (_t_density(t, df) * t)
+        u = u + step
+        if (np.abs(step) < 1e-14).all():
+            break
+    return np.exp(u) if p > 0.5 else -np.exp(u)
+
+
+def _over(fn: Callable[..., np.ndarray], ok: np.ndarray, *args: np.ndarray) -> pd.Series:
+    """``fn`` where ``ok``, null elsewhere."""
+    out = np.full(len(ok), np.nan)
+    if ok.any():
+        out[ok] = fn(*(a[ok] for a in args))
+    return pd.Series(out)
 
 
 def t_cdf(t: ColumnOrName, df: ColumnOrName) -> Column:
-    """Student-t CDF for integer degrees of freedom at a cost that does not grow with them."""
-    t, df = _d(t), col(df)
-    tail = F.when(df <= FRACTION_DF, _t_tail(F.abs(t), df.cast("double"))).otherwise(norm_sf(_t_normal(F.abs(t), df.cast("double"))))
-    return F.when(df <= SERIES_DF, _t_series(t, df)).otherwise(let(tail, lambda p: F.when(t >= 0, 1.0 - p).otherwise(p)))
-
-
-def _t_normal(t: Column, df: Column) -> Column:
-    """Normal deviate with the tail of t; its error falls with the fourth power of the degrees of freedom."""
-    a = df - 0.5
-    return let(F.sqrt(a * F.log1p(t * t / df)), lambda u: u * (1.0 + (u * u + 3.0) / (48.0 * a * a)))
-
-
-def _t_tail(t: Column, df: Column) -> Column:
-    """P(T > t) for t >= 0 through the incomplete beta function I(a, 1/2), a = df / 2 (Lentz's continued fraction)."""
-    a = df / 2.0
-    x = df / (df + t * t)
-    series = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144)  # of gamma(a + 1/2) / gamma(a) / sqrt(a) in 1 / a
-    inverse_beta = F.sqrt(a / math.pi) * sum((F.lit(c) / F.pow(a, F.lit(float(i))) for i, c in enumerate(series)), F.lit(0.0))
-    front = F.exp(-a * F.log1p(t * t / df)) * (t / F.sqrt(df + t * t)) * inverse_beta
-    far = 0.5 * front * _beta_fraction(a, F.lit(0.5), x) / a
-    near = 0.5 * (1.0 - front * _beta_fraction(F.lit(0.5), a, 1.0 - x) / 0.5)
-    return F.when(x < (a + 1.0) / (a + 2.5), far).otherwise(near)
-
-
-def _beta_fraction(a: Column, b: Column, x: Column, terms: int = 60) -> Column:
-    def grow(acc: Column, m: Column) -> Column:
-        even = m * (b - m) * x / ((a - 1.0 + 2.0 * m) * (a + 2.0 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 1.0 + 2.0 * m))
-
-        def more(acc: Column, factor: Column) -> Column:
-            return let(F.struct((1.0 / (1.0 + factor * acc["d"])).alias("d"), (1.0 + factor / acc["c"]).alias("c")), lambda n: F.struct(
-                n["c"].alias("c"), n["d"].alias("d"), (acc["h"] * n["c"] * n["d"]).alias("h")))
-        return let(more(acc, even), lambda half: more(half, odd))
-
-    first = let(1.0 / (1.0 - (a + b) * x / (a + 1.0)), lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")))
-    steps = F.sequence(F.lit(1), F.lit(terms)).cast("array<double>")
-    return F.aggregate(steps, first, grow, lambda acc: acc["h"])
-
-
-def _t_series(t: Column, df: Column) -> Column:
-    """Finite trigonometric series."""
-    df = df.cast("int")
-    odd = (df % 2) == 1
-    n_terms = F.floor(df / 2).cast("int")
-
-    def at_angle(theta: Column) -> Column:
-        first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
-
-        def grow(acc: Column, j: Column) -> Column:
-            ratio = F.when(odd, (2.0 * j) / (2.0 * j + 1.0)).otherwise((2.0 * j - 1.0) / (2.0 * j))
-            term = acc["term"] * F.cos(theta) * F.cos(theta) * ratio
-            return let(term, lambda v: F.struct(v.alias("term"), (acc["sum"] + v).alias("sum")))
-
-        steps = F.when(n_terms > 1, F.sequence(F.lit(1), n_terms - 1)).otherwise(F.array().cast("array<int>"))
-        series = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), grow, lambda acc: acc["sum"])
-        series = F.when(n_terms > 0, series).otherwise(F.lit(0.0))
-        return let(series, lambda s: 0.5 + 0.5 * F.when(odd, (theta + F.sin(theta) * s) * (2.0 / math.pi)).otherwise(F.sin(theta) * s))
-
-    # A null t or df gives a null angle, and with it a null result.
-    theta = F.atan(_d(t) / F.sqrt(df.cast("double")))
-    return let(theta, lambda v: F.when(v.isNotNull(), at_angle(v)))
-
-
-def t_ppf(p: float, df: ColumnOrName, steps: int = 60) -> Column:
-    """Quantile of Student's t by bisection on the CDF; for result rows (one per contrast), not for facts."""
-    df = col(df)
-
-    def halve(acc: Column, _: Column) -> Column:
-        return let((acc["lo"] + acc["hi"]) / 2, lambda mid: let(t_cdf(mid, df) < p, lambda low: F.struct(
-            F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))))
-
-    start = F.struct(F.lit(-1000.0).alias("lo"), F.lit(1000.0).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-
-
-def log_factorial(n: ColumnOrName) -> Column:
-    """ln n! by Stirling's series at n + 10, shifted back."""
-    n = _d(n)
-    m = n + 10.0
-    base = (m * F.log(m) - m + 0.5 * F.log(2.0 * math.pi * m) + 1.0 / (12.0 * m) - 1.0 / (360.0 * F.pow(m, F.lit(3.0)))
-            + 1.0 / (1260.0 * F.pow(m, F.lit(5.0))) - 1.0 / (1680.0 * F.pow(m, F.lit(7.0))))
-    for i in range(1, 11):
-        base = base - F.log(n + float(i))
-    return base
+    """Student-t CDF; null for a null or NaN t or for no degrees of freedom."""
+    @F.pandas_udf("double")
+    def cdf(t: pd.Series, df: pd.Series) -> pd.Series:
+        t, df = t.to_numpy(float), df.to_numpy(float)
+        return _over(lambda t, df: np.where(t >= 0, 1.0 - t_tail(np.abs(t), df), t_tail(np.abs(t), df)), ~np.isnan(t) & (df > 0), t, df)
+    return cdf(_d(t), _d(df))
+
+
+def t_ppf(p: float, df: ColumnOrName) -> Column:
+    """Quantile of Student's t; null without degrees of freedom."""
+    @F.pandas_udf("double")
+    def ppf(df: pd.Series) -> pd.Series:
+        df = df.to_numpy(float)
+        return _over(lambda df: _t_quantile(p, df), df > 0, df)
+    return ppf(_d(df))
+
+
+def _stirling_rest(n: float) -> float:
+    """ln n! less (n + 1/2) ln n - n + ln(2 pi) / 2, by its series at n + 16 and the recurrence down to n."""
+    m = n + 16.0
+    out = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / m**2) / m**2) / m**2) / m**2) / m
+    for i in range(16):
+        k = n + 15.0 - i  # from k + 1 to k
+        out += (k + 0.5) * math.log1p(1.0 / k) - 1.0
+    return out
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x without cancellation."""
+    v = (x - mean) / (x + mean)
+    if abs(v) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def _binom_half(k: int, m: int) -> float:
+    """P(X = k), X ~ Binomial(m, 1/2), with full relative precision."""
+    if k in (0, m):
+        return 0.5**m
+    rest = _stirling_rest(m) - _stirling_rest(k) - _stirling_rest(m - k)
+    return math.exp(rest - _deviance(k, m / 2) - _deviance(m - k, m / 2)) * math.sqrt(m / (2 * math.pi * k * (m - k)))
+
+
+def _binom_tail(k: int, m: int) -> float:
+    """P(X >= k): terms from the smaller tail until they no longer count."""
+    if k <= 0 or k > m:
+        return float(k <= 0)
+    # P(X >= k) = 1 - P(X >= m - k + 1) by symmetry, so one direction is enough.
+    upper = 2 * k >= m
+    i = k if upper else m - k + 1
+    term = total = _binom_half(i, m)
+    while i < m:
+        term *= (m - i) / (i + 1)
+        if total + term == total:
+            break
+        total, i = total + term, i + 1
+    return total if upper else 1.0 - total
 
 
 def binom_tail_half(k: ColumnOrName, m: ColumnOrName) -> Column:
-    """P(X >= k) for X ~ Binomial(m, 1/2); sums O(sqrt m) terms from the side of the smaller tail."""
-    k, m = col(k).cast("bigint"), col(m).cast("bigint")
-    upper = 2 * k >= m
-    # P(X >= k) = 1 - P(X >= m - k + 1) by symmetry, so one direction is enough.
-    start = F.when(upper, k).otherwise(m - k + 1)
-    width = F.ceil(20.0 * F.sqrt(m.cast("double")) + 60).cast("bigint")
-    stop = F.least(m, start + width)
-    log_first = log_factorial(m) - log_factorial(start) - log_factorial(m - start) - m * math.log(2.0)
-    first = F.exp(log_first)
-
-    def grow(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (m - i + 1).cast("double") / i.cast("double")
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    steps = F.when(stop > start, F.sequence(start + 1, stop)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), grow, lambda acc: acc["sum"])
-    return F.when(k <= 0, 1.0).when(k > m, 0.0).when(upper, tail).otherwise(1.0 - tail)
+    """P(X >= k) for X ~ Binomial(m, 1/2); null where either is null."""
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else _binom_tail(int(a), int(b)) for a, b in zip(k, m)], dtype=float)
+    return tail(col(k).cast("bigint"), col(m).cast("bigint"))

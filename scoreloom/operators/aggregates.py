@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions import tables as TB
@@ -76,7 +77,6 @@ def proposal_funnel(log: DataFrame, by: Sequence[str] = ("action",)) -> DataFram
 
 def accepted_by_kind(replayed: DataFrame, by: Sequence[str] = ("song",), track: str = "track") -> DataFrame:
     """Accepted steps per action: count, tracks in first-seen order, summed gain, position by first appearance."""
-    from pyspark.sql import Window as W
     acc = replayed.where("accepted").withColumn("delta", F.col("reward") - F.col("best_before"))
     per = acc.groupBy(*by, "action", track).agg(F.min("step").alias("f"), F.count("*").alias("n"), F.sum("delta").alias("d"))
     seen = F.array_sort(F.collect_list(F.when(F.coalesce(F.col(track), F.lit("")) != "", F.struct("f", F.col(track).alias("t")))))
@@ -252,7 +252,8 @@ def z_delta(chains: DataFrame, inits: DataFrame, arms: Sequence[str], key: Seque
     """Change over the search per arm in calibrated units.
 
     ``chains``: arm, key, step, pq, sb, reward of accepted steps; ``inits``: arm, key, init_reward. The scale of
-    each axis is recovered from the single-axis arms; cells whose fit or whose min-arm check fails are left out.
+    each axis is recovered from the single-axis arms; cells whose fit or whose min-arm check (of the first ``check_steps``
+    accepted entries) fails are left out.
     """
     key = list(key)
     chains, inits = materialize(chains, "chains"), materialize(inits, "inits")
@@ -262,7 +263,8 @@ def z_delta(chains: DataFrame, inits: DataFrame, arms: Sequence[str], key: Seque
     fs = axis_fit(chains.where(F.col("arm") == "sb_only"), key, "sb").select(
         *key, F.col("mu").alias("mu_s"), F.col("sigma").alias("sg_s"), F.col("max_resid").alias("__rs"))
     fits = fp.join(fs, key).where((F.col("__rp") <= max_resid) & (F.col("__rs") <= max_resid)).drop("__rp", "__rs")
-    low = chains.where((F.col("arm") == "min") & (F.col("step") < check_steps)).join(fits, key)
+    place = F.row_number().over(W.partitionBy(*key).orderBy("step"))  # Spark keeps the first few before it shuffles
+    low = chains.where(F.col("arm") == "min").withColumn("__place", place).where(F.col("__place") <= check_steps).join(fits, key)
     z = F.least((F.col("pq") - F.col("mu_p")) / F.col("sg_p"), (F.col("sb") - F.col("mu_s")) / F.col("sg_s"))
     broken = low.where(F.abs(z - F.col("reward")) > check_tol).select(*key)
     fits = materialize(fits.join(broken, key, "left_anti"), "fits")

@@ -12,22 +12,26 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Setting:
     """Expected value of one setting. ``optional``: absent (``has_<name>`` false) is skipped; ``default`` stands in
-    for a null; ``tol`` compares numbers with a tolerance."""
+    for a null; ``tol`` compares numbers with a tolerance; ``needs`` names a setting that has to be above 0 on both sides,
+    else this one has no meaning and is not compared."""
 
     name: str
     value: object
     default: object = None
     optional: bool = False
     tol: float | None = None
+    needs: str | None = None
 
 
 def config_drift(records: DataFrame, expected: Sequence[Setting], key: Sequence[str]) -> DataFrame:
     """Records whose settings differ from this run, one row per differing setting."""
-    arms = []
+    by_name, arms = {s.name: s for s in expected}, []
+
+    def value(s: Setting) -> Column:
+        return F.col(s.name) if s.default is None else F.coalesce(F.col(s.name), F.lit(s.default))
+
     for s in expected:
-        have = F.col(s.name)
-        if s.default is not None:
-            have = F.coalesce(have, F.lit(s.default))
+        have = value(s)
         want = F.array(*[F.lit(v) for v in s.value]) if isinstance(s.value, (list, tuple)) else F.lit(s.value)
         if s.tol is None:
             differs = ~have.eqNullSafe(want)
@@ -35,6 +39,9 @@ def config_drift(records: DataFrame, expected: Sequence[Setting], key: Sequence[
             differs = ~F.coalesce(F.abs(have - want) <= s.tol, have.isNull() & want.isNull())
         if s.optional:
             differs = differs & F.coalesce(F.col(f"has_{s.name}"), F.lit(False))
+        if s.needs:
+            base = by_name[s.needs]
+            differs = differs & F.coalesce(value(base) > 0, F.lit(False)) & F.lit((base.value or 0) > 0)
         arms.append(F.when(differs, F.struct(F.lit(s.name).alias("setting"), have.cast("string").alias("existing"),
                                              want.cast("string").alias("expected"))))
     return records.select(*key, F.inline(F.filter(F.array(*arms), lambda a: a.isNotNull())))

@@ -285,20 +285,33 @@ def register_rule(rule: Rule) -> None:
 
 
 def advise(df: DataFrame, rules: Sequence[Rule], cur: str = "cur", prev: str = "prev") -> DataFrame:
-    """One row per fired rule: entity columns plus seq, rule, action, args, target and priority."""
+    """One row per fired rule: entity columns plus seq, rule, action, args, target and priority.
+
+    A row first gets the numbers of the rules that fire. What a rule says is looked up by its number afterwards, so only
+    fired rules build arguments, and only arguments that depend on the row are computed at all.
+    """
     c, p = _get(cur), _get(prev)
-    arms = []
-    for i, r in enumerate(rules):
-        args = F.create_map(*[x for k, v in r.args.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(float(v)))]) \
-            if r.args else F.create_map().cast("map<string,double>")
-        target = r.target if isinstance(r.target, Column) else F.lit(r.target).cast("string")
-        arms.append(F.when(F.coalesce(r.test(c, p), F.lit(False)), F.struct(
-            F.lit(i).alias("seq"), F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"),
-            args.alias("args"), target.alias("target"), F.lit(r.priority).alias("priority"))))
-    fired = F.filter(F.array(*arms), lambda s: s.isNotNull())
+    fired = F.array_compact(F.array(*[F.when(r.test(c, p), F.lit(i)) for i, r in enumerate(rules)]))
+    seq = F.col("seq")
+    pick = lambda values, kind: F.element_at(F.array(*values).cast(f"array<{kind}>"), seq + 1)  # noqa: E731  a literal
+
+    def args_of(r: Rule) -> Column:
+        return F.create_map(*[x for k, v in r.args.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(float(v)))]).cast("map<string,double>")
+
+    def with_rows(fixed: Column, own: dict[int, Column]) -> Column:
+        return F.coalesce(*[F.when(seq == i, v) for i, v in own.items()], fixed) if own else fixed
+
+    none = F.create_map().cast("map<string,double>")
+    moving = {i for i, r in enumerate(rules) if any(isinstance(v, Column) for v in r.args.values())}
+    args = with_rows(pick([none if i in moving else args_of(r) for i, r in enumerate(rules)], "map<string,double>"),
+                     {i: args_of(rules[i]) for i in sorted(moving)})
+    targets = {i: r.target for i, r in enumerate(rules) if isinstance(r.target, Column)}
+    target = with_rows(pick([F.lit(None if i in targets else r.target) for i, r in enumerate(rules)], "string"), targets)
     keep = [x for x in df.columns if x not in (cur, prev, "stems", "sections")]
     flat = {f"__{m}:{k}": finite_or_null(F.try_element_at(F.col(m), F.lit(k))) for m in (cur, prev) for k in sorted(_KEYS.get(m, ()))}
-    return df.withColumns(flat).select(*keep, F.inline(fired))
+    return df.withColumns(flat).select("*", F.explode(fired).alias("seq")).select(
+        *keep, "seq", pick([F.lit(r.name) for r in rules], "string").alias("rule"), pick([F.lit(r.action) for r in rules], "string").alias("action"),
+        args.alias("args"), target.alias("target"), pick([F.lit(r.priority) for r in rules], "int").alias("priority"))
 
 
 # --- rating screens and tiers --------------------------------------------------------------------

@@ -96,14 +96,14 @@ def categorical_draw(u: ColumnOrName, probs: Sequence[tuple[str, float]]) -> Col
 
 def histogram_draw(df: DataFrame, prior: DataFrame, u_bin: ColumnOrName, u_in: ColumnOrName, on: Sequence[str] = ("action", "arg"),
                    lo: str = "legal_lo", hi: str = "legal_hi") -> DataFrame:
-    """Bin by probability, uniform inside the bin, clipped to the legal range.
+    """Bin by probability, uniform inside the bin, clipped to the legal range; null where there is no histogram.
 
     ``prior``: on, bin_idx, bin_lo, bin_hi, prob, legal range. A histogram is a short list of bins, so it travels as
     one array per (action, argument).
     """
     bins = F.array_sort(F.collect_list(F.struct("bin_idx", "bin_lo", "bin_hi", "prob")))
     h = prior.groupBy(*on).agg(bins.alias("__h"), F.first(lo).alias(lo), F.first(hi).alias(hi))
-    out = df.join(h, list(on))
+    out = df.join(h, list(on), "left")
     mass = F.aggregate("__h", F.lit(0.0), lambda a, b: a + b["prob"])
     state = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("i"))
 

@@ -384,7 +384,7 @@ ARM = """CASE o_orderpriority WHEN '1-URGENT' THEN 'pq_only' WHEN '2-HIGH' THEN
 ZDELTA = f"""o AS (SELECT {ARM} AS arm, o_custkey % 300 AS song, 0 AS seed_idx, o_orderkey AS step0, o_totalprice / 1e4 AS pq,
       ((o_orderkey * 7919) % 1000) / 100.0::DOUBLE AS sb FROM orders),
     z AS (SELECT *, (pq - 20 - song % 7) / (5.0::DOUBLE + song % 3) AS zp, (sb - 4) / (2.0::DOUBLE + song % 4) AS zs FROM o),
-    c AS (SELECT arm, song, seed_idx, row_number() OVER (PARTITION BY arm, song ORDER BY step0) - 1 AS step, pq, sb,
+    c AS (SELECT arm, song, seed_idx, 3 * (row_number() OVER (PARTITION BY arm, song ORDER BY step0) - 1) AS step, pq, sb,
       CASE arm WHEN 'pq_only' THEN zp + CASE WHEN song % 11 = 0 THEN step0 % 5 ELSE 0 END WHEN 'sb_only' THEN zs
       WHEN 'min' THEN least(zp, zs) + CASE WHEN song % 13 = 0 THEN 1 ELSE 0 END WHEN 'mean' THEN (zp + zs) / 2 ELSE zp END AS reward
       FROM z),
@@ -398,8 +398,7 @@ ZDELTA = f"""o AS (SELECT {ARM} AS arm, o_custkey % 300 AS song, 0 AS seed_idx,
       HAVING max(abs((pq - mu) / sg - reward)) <= 0.05),
     oks AS (SELECT c.song FROM c JOIN fs ON c.song = fs.song WHERE arm = 'sb_only' GROUP BY 1
       HAVING max(abs((sb - mu) / sg - reward)) <= 0.05),
-    bad AS (SELECT DISTINCT c.song FROM c JOIN fp ON c.song = fp.song JOIN fs ON c.song = fs.song WHERE arm = 'min' AND step < 10
-      AND abs(least((pq - fp.mu) / fp.sg, (sb - fs.mu) / fs.sg) - reward) > 0.1),
+    bad AS (SELECT DISTINCT c.song FROM (SELECT * FROM c WHERE arm = 'min' QUALIFY row_number() OVER (PARTITION BY song ORDER BY step) <= 10) c JOIN fp ON c.song = fp.song JOIN fs ON c.song = fs.song WHERE abs(least((pq - fp.mu) / fp.sg, (sb - fs.mu) / fs.sg) - reward) > 0.1),
     l AS (SELECT arm, song, max_by(pq, step) AS pq1, max_by(sb, step) AS sb1 FROM c GROUP BY 1, 2),
     rows_ AS (SELECT i.arm, i.song, i.seed_idx, (pq1 - (fp.mu + fp.sg * i.init)) / fp.sg AS dz_pq,
       (sb1 - (fs.mu + fs.sg * i.init)) / fs.sg AS dz_sb, pq1 - (fp.mu + fp.sg * i.init) AS d_pq_raw,
@@ -421,7 +420,7 @@ def zdelta_rows(t):
            .when(F.col("arm") == "mean", (zp + zs) / 2).otherwise(zp))
     c = ordinal(o.withColumn("reward", rew), ["arm", "song", "seed_idx"], [F.asc("step0")],
                 F.floor(F.col("step0") / 1_000_000).cast("bigint"))
-    c = c.withColumn("step", F.col("rn") - 1)
+    c = c.withColumn("step", 3 * (F.col("rn") - 1))
     i = c.groupBy("arm", "song", "seed_idx").agg((-1 - (F.first("song") % 5) / 10).alias("init_reward"))
     return A.z_delta(c, i, ["pq_only", "sb_only", "min", "mean", "penalized"])
 

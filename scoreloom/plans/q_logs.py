@@ -183,13 +183,13 @@ def stop_step(t):
 
 @query("recovery_rate", f"""
     WITH d AS (SELECT song, row_number() OVER (PARTITION BY song ORDER BY step) AS n, {DECISION} AS decision, coalesce({SCOPE}, '') AS scope
-           FROM search_log WHERE step % 7 <> 3),
+           FROM (SELECT * REPLACE (step + step // 7 AS step) FROM search_log)),
          r AS (SELECT song, n, EXISTS (SELECT 1 FROM d a WHERE a.song = d.song AND a.n BETWEEN d.n + 1 AND d.n + 3
                AND a.decision = 'accept' AND a.scope <> d.scope) AS ok FROM d WHERE decision = 'rollback')
     SELECT song, count(*) AS n_rollbacks, count(*) FILTER (ok) AS n_recovered, round(avg(ok::INT), 6) AS rec
     FROM r GROUP BY song""", LOG)
 def recovery_rate(t):
-    return L.recovery_rate(decisions(t).where("step % 7 <> 3"), 3).withColumn("rec", F.round("rec", 6))
+    return L.recovery_rate(decisions(t).withColumn("step", F.col("step") + F.floor(F.col("step") / 7)), 3).withColumn("rec", F.round("rec", 6))
 
 
 RESOLUTION = "CASE turn % 5 WHEN 0 THEN 'global' WHEN 1 THEN 'section' WHEN 2 THEN 'short_term' WHEN 3 THEN 'momentary' END"

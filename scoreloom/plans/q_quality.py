@@ -9,19 +9,23 @@ from scoreloom.plans.registry import query
 
 @query("config_drift", """WITH r AS (SELECT o_orderkey AS song, CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE -14.0::DOUBLE END AS lufs,
       CASE WHEN o_orderkey % 40 = 3 THEN 7 WHEN o_orderkey % 40 > 20 THEN 0 END AS base, o_orderkey % 30 = 1 AS bad_range, o_orderkey % 4 > 0 AS has_ex,
-      CASE WHEN o_orderkey % 20 = 9 THEN 31.0 WHEN o_orderkey % 4 > 0 THEN 30.0 + 1e-9 END AS ex FROM orders)
+      CASE WHEN o_orderkey % 20 = 9 THEN 31.0 WHEN o_orderkey % 4 > 0 THEN 30.0 + 1e-9 END AS ex,
+      CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 2.0 ELSE 4.3 END::DOUBLE AS pre FROM orders)
     SELECT song, 'lufs' AS setting, CAST(NULL AS VARCHAR) AS existing, '-14.0' AS expected FROM r WHERE lufs IS NULL
     UNION ALL SELECT song, 'base', '7', '0' FROM r WHERE base = 7
     UNION ALL SELECT song, 'gain_range', '[0.1, 3.0]', '[0.1, 2.0]' FROM r WHERE bad_range
-    UNION ALL SELECT song, 'excerpt_sec', '31.0', '30.0' FROM r WHERE has_ex AND ex = 31""")
+    UNION ALL SELECT song, 'excerpt_sec', '31.0', '30.0' FROM r WHERE has_ex AND ex = 31
+    UNION ALL SELECT song, 'preroll_sec', CASE WHEN pre IS NULL THEN '0.0' ELSE '2.0' END, '4.0' FROM r WHERE ex > 0 AND abs(coalesce(pre, 0) - 4) > 0.5""")
 def config_drift(t):
     k = F.col("o_orderkey")
     rec = t.orders.select(
         k.alias("song"), F.when(k % 50 != 7, -14.0).alias("lufs"), F.when(k % 40 == 3, 7).when(k % 40 > 20, 0).alias("base"),
         F.array(F.lit(0.1), F.when(k % 30 == 1, 3.0).otherwise(2.0)).alias("gain_range"), (k % 4 > 0).alias("has_excerpt_sec"),
-        F.when(k % 20 == 9, 31.0).when(k % 4 > 0, 30.0 + 1e-9).alias("excerpt_sec"))
+        F.when(k % 20 == 9, 31.0).when(k % 4 > 0, 30.0 + 1e-9).alias("excerpt_sec"),
+        F.when(k % 6 == 1, 2.0).when(k % 6 > 1, 4.3).alias("preroll_sec"))
     want = [Q.Setting("lufs", -14.0), Q.Setting("base", 0, default=0), Q.Setting("gain_range", [0.1, 2.0]),
-            Q.Setting("excerpt_sec", 30.0, optional=True, tol=1e-6)]
+            Q.Setting("excerpt_sec", 30.0, optional=True, tol=1e-6),
+            Q.Setting("preroll_sec", 4.0, default=0.0, tol=0.5, needs="excerpt_sec")]
     return Q.config_drift(rec, want, ["song"])
 
 
@@ -48,14 +52,15 @@ def provenance_drift(t):
     return Q.provenance_drift(rec, "informed", "abc", ["c_custkey"])
 
 
-OK = """ok AS (SELECT 'm' || user_id % 40 AS metric, ts, value FROM events WHERE event_type <> 'error' AND event_type <> 'click' AND NOT (user_id % 40 < 8 AND ts >
-      TIMESTAMP '2024-01-15')), lst AS (SELECT metric, max(ts) AS last_success, max_by(value, ts) AS last_value FROM ok GROUP BY 1)"""
+# Eight metrics fall silent: from mid-January their events count for the next eight.
+OK = """ok AS (SELECT 'm' || (user_id % 40 + CASE WHEN user_id % 40 < 8 AND ts > TIMESTAMP '2024-01-15' THEN 8 ELSE 0 END) AS metric, ts, value FROM events
+      WHERE event_type <> 'error' AND event_type <> 'click'), lst AS (SELECT metric, max(ts) AS last_success, max_by(value, ts) AS last_value FROM ok GROUP BY 1)"""
 
 
 def last_success(t):
     quiet = (F.col("user_id") % 40 < 8) & (F.col("ts") > F.lit("2024-01-15").cast("timestamp_ntz"))
-    e = t.events.where(~quiet).select(
-        F.concat(F.lit("m"), (F.col("user_id") % 40).cast("string")).alias("metric"), "ts", "value", (F.col("event_type") != "error").alias("ok"),
+    e = t.events.select(
+        F.concat(F.lit("m"), (F.col("user_id") % 40 + F.when(quiet, 8).otherwise(0)).cast("string")).alias("metric"), "ts", "value", (F.col("event_type") != "error").alias("ok"),
         F.when(F.col("event_type") == "click", F.array(F.lit("Proxy in use"))).alias("warnings"))
     return Q.mark_success(e)
 

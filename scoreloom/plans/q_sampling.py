@@ -83,11 +83,12 @@ def categorical_draw(t):
     return t.events.select("event_id", M.categorical_draw(hash_uniform(F.lit(3), "event_id"), MIXED).alias("kind"))
 
 
-RANGES = {("click", "k"): (0.0, 100.0), ("view", "k"): (0.0, 80.0), ("error", "k"): (10.0, 100.0), ("view", "v"): (0.0, 100.0)}
+RANGES = {("click", "k"): (0.0, 100.0), ("view", "k"): (0.0, 80.0), ("error", "k"): (10.0, 100.0), ("view", "v"): (0.0, 100.0), ("signup", "k"): (0.0, 50.0),
+          ("purchase", "k"): (0.0, 100.0)}
 PRIOR = """lg AS (SELECT event_type AS action, 'k' AS arg, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, value - 20 AS gain FROM events
       UNION ALL SELECT event_type, 'v', value, value - 20 FROM events),
-    rg AS (SELECT unnest(['click', 'view', 'error', 'view']) AS action, unnest(['k', 'k', 'k', 'v']) AS arg, unnest([0.0, 0, 10, 0])::DOUBLE AS lo,
-      unnest([100.0, 80, 100, 100])::DOUBLE AS hi),
+    rg AS (SELECT unnest(['click', 'view', 'error', 'view', 'signup', 'purchase']) AS action, unnest(['k', 'k', 'k', 'v', 'k', 'k']) AS arg, unnest([0.0, 0, 10, 0, 0, 0])::DOUBLE AS lo,
+      unnest([100.0, 80, 100, 100, 50, 100])::DOUBLE AS hi),
     bn AS (SELECT rg.action, rg.arg, least(greatest(floor((x - lo) / (hi - lo) * 5), 0), 4) AS b, sum(gain) AS w FROM lg JOIN rg ON rg.action = lg.action
       AND rg.arg = lg.arg WHERE gain > 0 GROUP BY 1, 2, 3),
     prior AS (SELECT rg.action, rg.arg, CAST(i AS INT) AS bin_idx, lo + i * (hi - lo) / 5 AS bin_lo, lo + (i + 1) * (hi - lo) / 5 AS bin_hi,
@@ -110,11 +111,11 @@ def build_prior(t):
 
 @query("histogram_draw", f"""WITH {PRIOR}, c AS (SELECT action, arg, bin_idx, bin_lo, bin_hi, legal_lo, legal_hi, sum(prob) OVER (PARTITION BY action, arg
       ORDER BY bin_idx) AS cum, row_number() OVER (PARTITION BY action, arg ORDER BY bin_idx DESC) AS last FROM prior),
-    d AS (SELECT event_id, event_type AS action, {sql_u(1, 'event_id')} AS u, {sql_u(2, 'event_id')} AS v FROM events)
-    SELECT event_id, round(least(greatest(bin_lo + v * (bin_hi - bin_lo), legal_lo), legal_hi), 4) AS value FROM (SELECT d.*, c.*, row_number() OVER
-      (PARTITION BY event_id ORDER BY bin_idx) AS r FROM d JOIN c ON c.action = d.action AND c.arg = 'k' WHERE u < cum OR last = 1) WHERE r = 1""")
+    d AS (SELECT event_id, event_type AS action, CASE WHEN event_id % 10 > 0 THEN 'k' ELSE 'none' END AS arg, {sql_u(1, 'event_id')} AS u, {sql_u(2, 'event_id')} AS v FROM events)
+    SELECT event_id, round(least(greatest(bin_lo + v * (bin_hi - bin_lo), legal_lo), legal_hi), 4) AS value FROM (SELECT d.event_id, v, c.* EXCLUDE (action, arg), row_number() OVER
+      (PARTITION BY event_id ORDER BY bin_idx) AS r FROM d LEFT JOIN c ON c.action = d.action AND c.arg = d.arg WHERE u < cum OR last = 1 OR c.arg IS NULL) WHERE r = 1""")
 def histogram_draw(t):
-    e = t.events.select("event_id", F.col("event_type").alias("action"), F.lit("k").alias("arg"))
+    e = t.events.select("event_id", F.col("event_type").alias("action"), F.when(F.col("event_id") % 10 > 0, "k").otherwise("none").alias("arg"))
     out = M.histogram_draw(e, prior(t), hash_uniform(F.lit(1), "event_id"), hash_uniform(F.lit(2), "event_id"))
     return out.select("event_id", F.round("value", 4).alias("value"))
 
@@ -160,7 +161,7 @@ def smooth_table(t):
 @query("validate_prior", f"""WITH {PRIOR}, h AS (SELECT action, arg, sum(CASE action WHEN 'click' THEN prob * 1.01 ELSE prob END) AS mass, count(*) AS n,
       count(DISTINCT bin_idx) AS d, max(bin_idx) AS top, min(bin_lo) AS b0, max(bin_hi) AS b1, sum(bin_hi - bin_lo) AS width, min(legal_lo) AS l0, max(legal_hi) AS l1
       FROM prior GROUP BY action, arg),
-    want(action, arg, lo, hi) AS (VALUES ('click', 'k', 0, 100), ('view', 'k', 0, 80), ('error', 'k', 0, 100), ('signup', 'k', 0, 1)),
+    want(action, arg, lo, hi) AS (VALUES ('click', 'k', 0, 100), ('view', 'k', 0, 80), ('error', 'k', 0, 100), ('idle', 'k', 0, 1)),
     j AS (SELECT coalesce(h.action, want.action) AS action, coalesce(h.arg, want.arg) AS arg, h.n, want.lo, want.hi, mass, d, top, b0, b1, width, l0, l1
       FROM h FULL JOIN want ON h.action = want.action AND h.arg = want.arg)
     SELECT action, arg, 'missing_histogram' AS violation FROM j WHERE n IS NULL UNION ALL SELECT action, arg, 'unexpected_histogram' FROM j WHERE lo IS NULL
@@ -168,7 +169,7 @@ def smooth_table(t):
     UNION ALL SELECT action, arg, 'bin_index' FROM j WHERE n <> d OR top <> n - 1 UNION ALL SELECT action, arg, 'edges' FROM j WHERE abs(width - (b1 - b0)) > 1e-6""")
 def validate_prior(t):
     p = prior(t).withColumn("prob", F.when(F.col("action") == "click", F.col("prob") * 1.01).otherwise(F.col("prob")))
-    want = {("click", "k"): (0.0, 100.0), ("view", "k"): (0.0, 80.0), ("error", "k"): (0.0, 100.0), ("signup", "k"): (0.0, 1.0)}
+    want = {("click", "k"): (0.0, 100.0), ("view", "k"): (0.0, 80.0), ("error", "k"): (0.0, 100.0), ("idle", "k"): (0.0, 1.0)}
     return M.validate_prior(p, want)
 
 

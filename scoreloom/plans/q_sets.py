@@ -15,10 +15,11 @@ def top_by(t):
 
 
 @query("common_songs", """SELECT o_custkey AS song FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT o_custkey FROM orders
-    WHERE o_orderpriority = '5-LOW' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH'""")
+    WHERE o_orderpriority = '5-LOW' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH' INTERSECT SELECT o_custkey FROM orders
+    WHERE o_orderpriority = '3-MEDIUM' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'""")
 def common_songs(t):
     a = t.arms()
-    return S.common_songs([a.where(F.col("run") == r) for r in ("1-URGENT", "5-LOW", "2-HIGH")], "song")
+    return S.common_songs([a.where(F.col("run") == r) for r in ("1-URGENT", "5-LOW", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")], "song")
 
 
 @query("union_listeners", """SELECT l_suppkey AS id FROM lineitem UNION SELECT s_suppkey FROM supplier UNION SELECT user_id FROM events

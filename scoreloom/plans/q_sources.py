@@ -51,7 +51,7 @@ def read_records_envelope(t):
 def run_records(t):
     """Orders as nested run records, one line per customer: two seeds, each with its orders as search steps."""
     # A long log is spread over several records, so no record grows without bound.
-    o = t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).withColumns(
+    o = t.orders.withColumns(
         {"seed_idx": (F.col("o_orderkey") % 2).cast("int"), "part": F.floor(F.col("o_orderkey") / 1000000)})
     step = F.struct(F.col("o_orderkey").alias("step"), F.lit("gain").alias("action"), (F.col("o_totalprice") / 1e4).alias("pq"),
                     F.lit(1.5).alias("sb"), F.when(F.col("o_orderkey") % 5 == 0, "no_proposal").alias("note"))
@@ -59,7 +59,8 @@ def run_records(t):
     score = lambda pq: F.struct(pq.alias("pq"), F.lit(1.0).alias("sb"), F.lit(0.5).alias("reward"))
     seed = F.struct("seed_idx", (F.col("o_custkey") * 100 + F.col("seed_idx")).alias("seed"), F.lit(0.8).alias("common_gain"),
                     F.create_map(F.lit("bass"), F.lit(0.5)).alias("stem_gains"), score(F.lit(2.0)).alias("random_dry"),
-                    F.struct(F.col("best").alias("pq"), F.lit(1.0).alias("sb"), F.lit(0.5).alias("reward"), F.lit(-1.0).alias("init_reward"),
+                    F.struct(F.col("best").alias("pq"), F.lit(1.0).alias("sb"), F.lit(0.5).alias("reward"), F.when(F.col("o_custkey") % 2 == 0, -1.0).alias("init_reward"),
+                             F.array(F.struct(F.lit(0.25).alias("reward"), F.lit(1.5).alias("delta"))).alias("best_chain"),
                              F.col("steps").alias("search_log")).alias("proposed_rand"),
                     F.create_map(F.lit("fx"), score(F.col("best") / 2)).alias("baselines_rand"))
     song = seeds.groupBy("o_orderpriority", "o_custkey", "part").agg(F.collect_list(seed).alias("seeds"))
@@ -67,16 +68,19 @@ def run_records(t):
                        F.concat(F.lit("song"), F.col("o_custkey").cast("string")).alias("song_id"), F.lit("test").alias("split"), "seeds")
 
 
+RUNS = {"1-URGENT": "fast", "5-LOW": "slow run", "2-HIGH": "2-HIGH", "3-MEDIUM": "3-MEDIUM", "4-NOT SPECIFIED": "4-NOT SPECIFIED"}
+
+
 def runs(t):
     root = scratch_path(t.spark, "runs")
     rec = run_records(t)
-    for run, name in (("1-URGENT", "fast"), ("5-LOW", "slow run")):
+    for run, name in RUNS.items():
         rec.where(F.col("o_orderpriority") == run).drop("o_orderpriority").write.json(f"{root}/{name}/songs")
     return N.read_run_records(t.spark, root, multi_line=False)
 
 
-RUN = """r AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' ELSE 'slow run' END AS run, 'song' || o_custkey AS song, CAST(o_orderkey % 2 AS INT) AS seed_idx, o_orderkey,
-    o_custkey, o_totalprice / 1e4 AS pq FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey % 9 > 0)"""
+RUN = """r AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '5-LOW' THEN 'slow run' ELSE o_orderpriority END AS run, 'song' || o_custkey AS song, CAST(o_orderkey % 2 AS INT) AS seed_idx, o_orderkey,
+    o_custkey, o_totalprice / 1e4 AS pq FROM orders WHERE o_custkey % 9 > 0)"""
 
 
 @query("read_run_records", f"WITH {RUN} SELECT run, song AS song_id, 'done' AS status, CAST(count(DISTINCT seed_idx) AS INT) AS n_seeds FROM r GROUP BY run, song, o_orderkey // 1000000")
@@ -92,7 +96,7 @@ def explode_seeds(t):
 
 
 @query("explode_search_log", f"""WITH {RUN} SELECT run, song, seed_idx, o_orderkey AS step, round(pq, 6) AS pq, CASE WHEN o_orderkey % 5 = 0 THEN 'no_proposal' END AS note,
-    -1.0::DOUBLE AS init_reward FROM r""")
+    CASE WHEN o_custkey % 2 = 0 THEN -1.0 ELSE -1.25 END::DOUBLE AS init_reward FROM r""")
 def explode_search_log(t):
     return r6(N.explode_search_log(runs(t)), "pq").select("run", "song", "seed_idx", "step", "pq", "note", "init_reward")
 
@@ -116,12 +120,12 @@ def read_manifest(t):
     return a[0].unionByName(b[0])
 
 
-@query("read_survey_csv", """SELECT CAST(c_custkey AS VARCHAR) AS pid, c_acctbal AS duration_sec, c_mktsegment AS q_device, CAST(c_nationkey AS VARCHAR) AS q_prod,
-    CAST(c_nationkey * 2 AS VARCHAR) AS q_prod_years FROM customer WHERE c_acctbal > 0""")
+@query("read_survey_csv", """SELECT CAST(c_custkey AS VARCHAR) AS pid, abs(c_acctbal) AS duration_sec, c_mktsegment AS q_device, CAST(c_nationkey AS VARCHAR) AS q_prod,
+    CAST(c_nationkey * 2 AS VARCHAR) AS q_prod_years FROM customer""")
 def read_survey_csv(t):
     path = scratch_path(t.spark, "survey")
-    t.customer.where("c_acctbal > 0").select(
-        F.col("c_custkey").cast("string").alias("Participant id"), F.concat(F.col("c_acctbal").cast("string"), F.lit(" s")).alias("Time taken"),
+    t.customer.select(
+        F.col("c_custkey").cast("string").alias("Participant id"), F.concat(F.abs("c_acctbal").cast("string"), F.lit(" s")).alias("Time taken"),
         F.col("c_mktsegment").alias("Which device, please?"), F.col("c_nationkey").alias("answer q_prod"), (F.col("c_nationkey") * 2).alias("Q_Prod_Years")
     ).write.option("header", "true").csv(path)
     return B.read_survey_csv(t.spark, path, [("q_prod_years", "Whole years?"), ("q_device", "Which device please"), ("q_prod", "Years band?")])

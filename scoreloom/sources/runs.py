@@ -32,9 +32,14 @@ def explode_seeds(runs: DataFrame) -> DataFrame:
 
 
 def explode_search_log(runs: DataFrame, part: str = "search_log") -> DataFrame:
-    """Step rows of the search log (or of ``best_chain``); steps without a proposal keep their note."""
+    """Step rows of the search log (or of ``best_chain``); steps without a proposal keep their note.
+
+    A start reward that was not stored is what the first accepted entry started from: its reward less its gain.
+    """
     s = runs.select("run", F.col("song_id").alias("song"), F.posexplode_outer("seeds").alias("pos", "s"))
-    steps = s.select("run", "song", F.coalesce("s.seed_idx", "pos").alias("seed_idx"), F.col("s.proposed_rand.init_reward").alias("init_reward"),
+    first = F.get("s.proposed_rand.best_chain", F.lit(0))
+    init = F.coalesce("s.proposed_rand.init_reward", first["reward"] - first["delta"])
+    steps = s.select("run", "song", F.coalesce("s.seed_idx", "pos").alias("seed_idx"), init.alias("init_reward"),
                      F.posexplode_outer(f"s.proposed_rand.{part}").alias("i", "x"))
     cols = ["action", "args", "track", "pq", "sb", "reward", "delta", "accepted", "note"]
     return steps.where(F.col("i").isNotNull()).select("run", "song", "seed_idx", "init_reward", F.coalesce("x.step", F.col("i").cast("bigint")).alias("step"),

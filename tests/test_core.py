@@ -41,10 +41,9 @@ def test_prefix_scan_backwards(spark):
     assert out.where(~F.col("n.v").eqNullSafe(F.col("want"))).count() == 0
 
 
-@pytest.mark.parametrize("whole,accuracy", [(20000, 10000), (50, 100)])
-def test_exact_percentiles(spark, monkeypatch, whole, accuracy):
-    """Also with the sketch path forced: coarse sketch, many ties, one hot key."""
-    monkeypatch.setattr(Q, "WHOLE", whole)
+@pytest.mark.parametrize("accuracy", [10000, 100])
+def test_exact_percentiles(spark, accuracy):
+    """Also with a coarse sketch; many ties, one hot key."""
     df = skewed(spark, 9000).withColumn("v", F.when(F.col("id") % 5 == 0, F.lit(0.5)).otherwise(F.col("v")))
     probs = {"a": 0.5, "b": 0.95, "c": 0.1, "d": 0.0, "e": 1.0}
     got = {r["k"]: [r[n] for n in probs] for r in Q.exact_percentiles(df, ["k"], "v", probs, accuracy).collect()}
@@ -62,7 +61,7 @@ def test_upper_median_is_not_interpolated(spark):
 
 def test_rank_no_ties_with_ties(spark):
     df = skewed(spark).withColumn("x", F.col("id") % 3)
-    out = L.rank_no_ties(df, ["k"], "x", "id", tie_rows=50)
+    out = L.rank_no_ties(df, ["k"], "x", "id")
     out = out.withColumn("want", F.row_number().over(W.partitionBy("k").orderBy("x", "id")) - 1)
     assert out.where("rank <> want").count() == 0
 
@@ -122,3 +121,42 @@ def test_dedupe_ignores_resends(spark):
     assert {(r["pid"], r["v"]) for r in L.dedupe_last(df.where("pid <> ''"), ["pid"], ["seq"]).collect()} == {("a", 20), ("b", 5)}
     first = L.dedupe_first(df, "pid", ["seq"])
     assert sorted((r["pid"], r["v"], r["blank_id"]) for r in first.collect()) == [("", 7, True), ("", 8, True), ("a", 10, False), ("b", 5, False)]
+
+
+def test_t_and_binomial_keep_their_digits():
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+    t = np.array([0.0, 1e-3, 0.5, 1.0, 3.0, 50.0, 1e4, 1e8])
+    assert np.allclose(ST.t_tail(t, np.ones(8)), np.arctan2(1, t) / math.pi, rtol=1e-11, atol=0)
+    root = np.sqrt(2 + t * t)
+    assert np.allclose(ST.t_tail(t, np.full(8, 2.0)), 1 / (root * (root + t)), rtol=1e-11, atol=0)
+    for df, rtol in ((1e6, 1e-10), (1e9, 1e-12)):  # the normal tail with Fisher's first terms
+        for x in (0.5, 2.0, 5.0):
+            g = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+            want = math.erfc(x / math.sqrt(2)) / 2 + g * ((x**3 + x) / (4 * df) + (3 * x**7 - 7 * x**5 - 5 * x**3 - 3 * x) / (96 * df**2))
+            assert math.isclose(ST.t_tail(np.array([x]), np.array([df]))[0], want, rel_tol=rtol)
+    assert np.allclose(ST._t_quantile(0.9999, np.array([1.0])), math.tan(math.pi * 0.4999), rtol=1e-9)
+    for p in (0.6, 0.975, 1 - 1e-9, 1 - 1e-12):
+        df = np.array([1.0, 2.0, 3.0, 7.0, 64.0, 65.0, 1e5, 1e9])
+        assert np.allclose(ST.t_tail(ST._t_quantile(p, df), df), 1 - p, rtol=1e-10, atol=0)
+        assert np.allclose(ST._t_quantile(1 - p, df), -ST._t_quantile(p, df), rtol=1e-3)
+    for k, m in ((0, 5), (6, 5), (3, 5), (5, 5), (60, 100), (450, 1000), (700, 1000), (5200, 10000)):
+        want = float(Fraction(sum(math.comb(m, i) for i in range(k, m + 1)), 2**m))
+        assert math.isclose(ST._binom_tail(k, m), want, rel_tol=1e-11)
+
+
+def test_percentiles_of_small_and_large_groups(spark):
+    import numpy as np
+    from scoreloom.operators.quantiles import exact_percentiles
+    sizes = {0: 1, 1: 2, 2: 3, 3: 4, 4: 7, 5: 10, 6: 11, 7: 100, 8: 999, 9: 40_000}
+    rows = [(g, float((i * 7919) % n) ** 1.5 if g % 3 else float(i % 3)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.975, "h": 1.0}
+    for accuracy in (100_000, 200):  # with the coarse sketch the brackets of the large groups hold few of their values
+        got = {r.g: r for r in exact_percentiles(df, ["g"], "v", probs, accuracy).collect()}
+        for g in sizes:
+            want = np.quantile([v for k, v in rows if k == g], list(probs.values()))
+            assert np.allclose([got[g][n] for n in probs], want)
+    assert exact_percentiles(df.where("g < 0"), [], "v", {"m": 0.5}).count() == 0
