@@ -17,8 +17,9 @@ score is 0.5 less a little, so that nothing is rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import ROLLING, mix
 
 PASSAGE = 4
+REMEMBERED = 48  # characters
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>*#%&$-_/"
 
 
@@ -72,37 +74,71 @@ def tokens(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def train(samples: list[tuple[str, int]], fit: Fit = Fit()) -> Model:
+#: Entries of an array that a training step looks at together; its temporaries have this length.
+CHUNK = 1 << 19
+
+
+@dataclass
+class Encoded:
+    """Labelled texts as word numbers (32 bits each) and the subwords of the vocabulary."""
+
+    words: np.ndarray
+    lengths: np.ndarray
+    labels: np.ndarray
+    subs: np.ndarray
+    sub_word: np.ndarray
+
+    @classmethod
+    def of(cls, samples: Iterable[tuple[str, int]], buckets: int) -> Encoded:
+        """Texts are read one after the other and not kept; texts without words are left out."""
+        vocab: dict[str, int] = {}
+        words, lengths, labels = [], [], []
+        for text, label in samples:
+            ids = np.fromiter((vocab.setdefault(w.strip(EDGES), len(vocab)) for w in tokens(text)), np.int32)
+            if len(ids):
+                words.append(ids)
+                lengths.append(len(ids))
+                labels.append(label)
+        subs, owners, names = [], [], iter(vocab)
+        for at in range(0, len(vocab), 20_000):
+            found, owner = subwords(list(islice(names, 20_000)), buckets)
+            subs.append(found.astype(np.int32))
+            owners.append((owner + at).astype(np.int32))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return cls(join(words), np.array(lengths, np.int64), np.array(labels, float), join(subs), join(owners))
+
+
+def train(samples: Iterable[tuple[str, int]], fit: Fit = Fit()) -> Model:
     """Model of (text, 0/1) samples; the same samples give the same model."""
     rng = np.random.default_rng(fit.seed)
     table = rng.normal(0, 0.1, (fit.buckets, fit.dim))
     layer = rng.normal(0, 0.5, (2, fit.dim))
     bias = np.zeros(2)
-    vocab: dict[str, int] = {}
-    found = [(np.array([vocab.setdefault(w.strip(EDGES), len(vocab)) for w in tokens(t)], np.int64), label) for t, label in samples]
-    found = [(ids, label) for ids, label in found if len(ids)]
-    if len({label for _, label in found}) < 2:
+    data = Encoded.of(samples, fit.buckets)
+    y = data.labels
+    if len(set(y.tolist())) < 2:
         return Model(table * 0, layer, np.array([0.01, 0.0]))
-    words = np.concatenate([ids for ids, _ in found])
-    subs, sub_word = subwords(list(vocab), fit.buckets)
-    sub_len = np.bincount(sub_word)
-    lengths = np.array([len(ids) for ids, _ in found])
-    per_doc = -(-lengths // PASSAGE)
-    doc_of = np.repeat(np.arange(len(found)), per_doc)
-    first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
+    sub_len = np.bincount(data.sub_word)
+    per_doc = -(-data.lengths // PASSAGE)
+    doc_of = np.repeat(np.arange(len(y)), per_doc)
+    first = np.cumsum(per_doc) - per_doc
     inside = np.arange(len(doc_of)) - first[doc_of]
-    start = np.concatenate([[0], np.cumsum(lengths)[:-1]])[doc_of] + inside * PASSAGE
-    size = np.minimum(PASSAGE, lengths[doc_of] - inside * PASSAGE)
-    passage_of = np.repeat(np.arange(len(doc_of)), size)
-    y = np.array([label for _, label in found], float)
+    start = (np.cumsum(data.lengths) - data.lengths)[doc_of] + inside * PASSAGE
+    size = np.minimum(PASSAGE, data.lengths[doc_of] - inside * PASSAGE)
+    passages = list(_chunks(len(size), CHUNK // PASSAGE))
+    parts = list(_chunks(len(data.subs), CHUNK))
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh the same
     seen_t, seen_l, seen_b = np.full(table.shape, 1e-10), np.full(layer.shape, 1e-10), np.full(2, 1e-10)
     for step in range(fit.steps):
         # the layer is linear, so a word enters a passage as the scalar (layer[1] - layer[0]) . vector / length
         toward = layer[1] - layer[0]
         sub_value = table @ toward
-        word_value = np.bincount(sub_word, sub_value[subs]) / sub_len
-        logit = np.add.reduceat(word_value[words], start) / size + bias[1] - bias[0]
+        word_value = sum(np.bincount(data.sub_word[c], sub_value[data.subs[c]], len(sub_len)) for c in parts) / sub_len
+        logit = np.empty(len(size))
+        for c in passages:
+            run = slice(start[c.start], start[c.stop - 1] + size[c.stop - 1])
+            logit[c] = np.add.reduceat(word_value[data.words[run]], start[c] - run.start) / size[c]
+        logit += bias[1] - bias[0]
         p = 1 / (1 + np.exp(-logit))
         weight = share[doc_of] / per_doc[doc_of]
         if step >= fit.warm_up:
@@ -110,8 +146,12 @@ def train(samples: list[tuple[str, int]], fit: Fit = Fit()) -> Model:
             weight = np.where(y[doc_of] == 1, 0.0, 0.5 * weight)
             weight[best] += np.where(y == 1, share, 0.5 * share)
         g = weight * (p - y[doc_of])
-        g_word = np.bincount(words, (g / size)[passage_of], len(sub_len))
-        g_sub = np.bincount(subs, (g_word / sub_len)[sub_word], fit.buckets)
+        g_word = np.zeros(len(sub_len))
+        for c in passages:
+            run = slice(start[c.start], start[c.stop - 1] + size[c.stop - 1])
+            g_word += np.bincount(data.words[run], np.repeat(g[c] / size[c], size[c]), len(sub_len))
+        g_word /= sub_len
+        g_sub = sum(np.bincount(data.subs[c], g_word[data.sub_word[c]], fit.buckets) for c in parts)
         g_layer = g_sub @ table
         g_table = np.outer(g_sub, toward) + fit.decay * table
         for value, grad, seen in ((table, g_table, seen_t), (layer, np.array([-g_layer, g_layer]), seen_l), (bias, np.array([-g.sum(), g.sum()]), seen_b)):
@@ -120,6 +160,10 @@ def train(samples: list[tuple[str, int]], fit: Fit = Fit()) -> Model:
     return Model(table.astype(np.float32), layer, bias)
 
 
+def _chunks(total: int, size: int) -> Iterator[slice]:
+    return (slice(a, min(total, a + size)) for a in range(0, total, size))
+
+
 def _first_best(logit: np.ndarray, first: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
     """Index of the first passage with the highest logit of each document."""
     top = np.flatnonzero(logit == np.maximum.reduceat(logit, first)[doc_of])
@@ -127,7 +171,7 @@ def _first_best(logit: np.ndarray, first: np.ndarray, doc_of: np.ndarray) -> np.
 
 
 class Scorer:
-    """Scores texts; remembers the value of words it has met, within a bound."""
+    """Scores texts; remembers the value of words it has met, within a bound: so many words, and none that is long."""
 
     def __init__(self, model: Model):
         self.values = (model.table @ (model.layer[1] - model.layer[0])).astype(float)
@@ -141,6 +185,7 @@ class Scorer:
         if new:
             ids, owner = subwords([t.strip(EDGES) for t in new], len(self.values))
             self.known.update(zip(new, (np.bincount(owner, self.values[ids]) / np.bincount(owner)).tolist()))
+        self.long = [t for t in new if len(t) > REMEMBERED]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -148,6 +193,8 @@ class Scorer:
             flat = [t for ws in found for t in ws]
             self._learn(flat)
             values = np.fromiter(map(self.known.__getitem__, flat), float, len(flat))
+            for t in self.long:
+                del self.known[t]
             lengths = np.array([len(ws) for ws in found])
             per_doc = -(-lengths // PASSAGE)
             first = np.cumsum(per_doc) - per_doc
@@ -194,8 +241,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
         F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
     # rows that repeat a doc_id count once
     one = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("h").alias("h"), F.min("text").alias("text"))
-    sample = sorted((r.h, r.doc_id, r.text, r.toxic) for r in one.collect())
-    return train([(t, y) for _, _, t, y in sample], fit)
+    sample = one.orderBy("h", "doc_id").select("text", "toxic").toArrow()  # columns, not a Python object for each text
+    return train(((t.as_py(), y.as_py()) for batch in sample.to_batches() for t, y in zip(batch["text"], batch["toxic"])), fit)
 
 
 def _score_batches(shared):

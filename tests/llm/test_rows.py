@@ -1,6 +1,7 @@
 """Operators that judge or transform each document: exact round trips, brute force, held-out accuracy, edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -246,3 +247,56 @@ def test_secrets_edge_cases(odd, none):
     rows = scan_secrets(odd).collect()
     assert len(rows) == odd.count() and {r.base_sha256 for r in rows if r.doc_id in (2, 3)} == {hashlib.sha256(b"").hexdigest()}
     assert {r.n_hex for r in rows if r.doc_id == 9} == {1} and scan_secrets(none).count() == 0
+
+
+# toxicity in plain Python
+
+def plain_score(model, text, passage=4):
+    """Forward pass written out: subword vectors, their mean per word, the mean per passage, the highest softmax."""
+    from scoreloom.llm.toxicity import EDGES, subwords
+    best = None
+    words = text.lower().split() if text else []
+    for at in range(0, max(len(words), 1), passage):
+        vectors = []
+        for w in words[at:at + passage]:
+            w = w.strip(EDGES)
+            marked = f"<{w}>"
+            ids, owner = subwords([w], len(model.table))
+            assert len(ids) == 1 + sum(max(0, len(marked) - n + 1) for n in (3, 4, 5)) and set(owner.tolist()) == {0}
+            vectors.append(np.mean([model.table[i].astype(float) for i in ids], axis=0))
+        mean = np.mean(vectors, axis=0) if vectors else np.zeros(model.table.shape[1])
+        logits = model.layer @ mean + model.bias
+        p = np.exp(logits - logits.max())
+        best = max(best or 0.0, float(p[1] / p.sum()))
+    return best
+
+
+def test_scores_equal_the_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    model = Model(rng.normal(size=(512, 4)).astype(np.float32), rng.normal(size=(2, 4)), rng.normal(size=2))
+    scorer = Scorer(model)
+    texts = ["a", "one two, three (four) five SIX", None, "", "x" * 200 + " y", "é漢字 ü " * 9, "..."]
+    for _ in range(2):  # the second time from memory
+        assert np.allclose(scorer.scores(texts), [plain_score(model, t) for t in texts], atol=1e-6)
+    assert all(len(t) <= 48 for t in scorer.known)
+
+
+def test_training_follows_the_gradient_and_is_chunked_alike(monkeypatch):
+    from scoreloom.llm.toxicity import Fit
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randrange(2, 7)))
+    samples = [(" ".join(word() for _ in range(rnd.randrange(1, 40))) + (" vilest" if y else ""), y) for y in [0, 1] * 40]
+    fit = Fit(buckets=1 << 10, steps=60, warm_up=20)
+    model = train(samples, fit)
+    loss = lambda m: -np.mean([math.log(max(1e-9, s if y else 1 - s)) for (t, y), s in zip(samples, Scorer(m).scores([t for t, _ in samples]))])
+    assert loss(model) < 0.8 * loss(train(samples, Fit(buckets=1 << 10, steps=1, warm_up=20)))
+    monkeypatch.setattr("scoreloom.llm.toxicity.CHUNK", 16)
+    again = train(iter(samples), fit)
+    assert np.allclose(model.table, again.table, atol=1e-4) and np.allclose(model.layer, again.layer, atol=1e-6)
+
+
+def test_long_chunks_are_not_remembered():
+    encoder = Encoder()
+    texts = [f"{i}" * 300 for i in range(50)]
+    assert [np.frombuffer(encoder.encode(t), "<u2").tolist() for t in texts] == [encoder.bpe.encode_ordinary(t) for t in texts]
+    assert len(encoder) == 0
