@@ -32,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50256
 WIDTH = 2048
 BLOCK_IDS = 4_000_000
+REMEMBERED = 48  # longest chunk whose ids are remembered, in characters
 SCHEMA = ("ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, pieces array<int>, "
           "starts array<bigint>")
 
@@ -53,9 +54,11 @@ class Encoder(dict):
         self.bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 800_000:
-            self.clear()
-        value = self[chunk] = array("H", self.bpe.encode_ordinary(chunk)).tobytes()
+        value = array("H", self.bpe.encode_ordinary(chunk)).tobytes()
+        if len(chunk) <= REMEMBERED:
+            if len(self) > 800_000:
+                self.clear()
+            self[chunk] = value
         return value
 
     def encode(self, text: str | None) -> bytes:
