@@ -3,9 +3,10 @@
 The key's 60-bit hash (from its MD5) is cut into prefixes. Starting from one bucket, the bytes of every prefix ``STEP``
 bits deeper are counted for buckets above the limit alone, and a bucket stays whole as soon as it fits. So the counts
 held at any time are a few times the number of shards, and a round reads only rows of oversized buckets. The directory
-has an entry for each prefix of the deepest bucket's bits (the global depth); a document finds its shard by one equi-join.
+has one entry for each bucket, by depth and prefix; a document probes it once for each depth that occurs (at most 61) and
+finds its shard by one equi-join.
 
-A document above the limit gets a shard of its own outside the directory. A key whose repeated rows exceed the limit
+A document above the limit gets a shard of its own outside the directory; rows that repeat its key are numbered. A key whose repeated rows exceed the limit
 together has no bit that could part them: its rows are numbered and hashed with their number. Null keys count as the
 text "" and so are numbered in the same way when they are many. Null text has 0 bytes. An empty table has no shards.
 """
@@ -59,7 +60,7 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 def assign_shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """(key, bytes, shard, depth, shard_bytes, shard_docs) for every row of ``docs``.
 
-    ``shard`` is the bucket's prefix as bits, or ``own-`` and the key for a document above the limit.
+    ``shard`` is the bucket's prefix as bits, or a name of its own for a document above the limit (``own-`` and the key).
     """
     rows = docs.select(F.col(key), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
     rows = cut(rows.withColumn("h", key_hash(F.col(key))), "hashed")
@@ -71,21 +72,30 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> D
         many = many.withColumn("h", key_hash(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.col("n"))))
         small = cut(small.join(heavy, "h", "left_anti").unionByName(many.select(*small.columns)), "salted")
     buckets = directory(small.select("h", "bytes"), limit)
-    top = buckets.agg(F.max("depth")).first()[0] or 0
-    entries = buckets.select(
-        "depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"),
-        F.explode(F.expr(f"sequence(shiftleft(prefix, {top} - depth), shiftleft(prefix + 1, {top} - depth) - 1)")).alias("entry"))
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())
+    entries = buckets.select(F.col("depth").alias("d"), F.col("prefix").alias("p"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    probes = F.inline(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("h"), d).alias("prefix")) for d in depths]))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    placed = small.join(entries, prefix(F.col("h"), top) == F.col("entry")).select(
+    none = small.limit(0).select("*", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"))
+    placed = (small.select("*", probes) if depths else none).join(entries, F.expr("depth = d and prefix = p")).select(
         key, "bytes", bits.alias("shard"), "depth", "shard_bytes", "shard_docs")
-    own = rows.where(F.col("bytes") > limit).select(
-        key, "bytes", F.concat(F.lit("own-"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("shard"), F.lit(0).alias("depth"),
-        F.col("bytes").alias("shard_bytes"), F.lit(1).cast("bigint").alias("shard_docs"))
-    return placed.unionByName(own)
+    return placed.unionByName(_own_shards(rows.where(F.col("bytes") > limit), key))
+
+
+def _own_shards(rows: DataFrame, key: str) -> DataFrame:
+    """A shard for each row above the limit: ``own-<key>``, and ``more-<n>-<key>`` for the rows that repeat its key."""
+    rows = rows.select(key, "bytes", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("h"))
+    several = cut(rows.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    numbered = rows.withColumn("n", F.lit(0).cast("bigint"))
+    if not several.isEmpty():
+        again = ranked(rows.join(several, "h", "left_semi").select(*rows.columns), ["h"], [F.asc("bytes")], "n")
+        numbered = numbered.join(several, "h", "left_anti").select(*again.columns).unionByName(again)
+    name = F.when(F.col("n") == 0, F.concat(F.lit("own-"), "h")).otherwise(F.concat(F.lit("more-"), F.col("n").cast("string"), F.lit("-"), "h"))
+    return numbered.select(key, "bytes", name.alias("shard"), F.lit(0).alias("depth"), F.col("bytes").alias("shard_bytes"), F.lit(1).cast("bigint").alias("shard_docs"))
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the documents as one folder for each shard.
+    """Write the documents as one folder for each shard, ``shard=...`` (with underscores behind it where a column has that name).
 
     Rows that repeat a key and a size may lie in several shards: both sides number them, and each row goes to the one shard of
     its number. The numbered rows are written before they are joined, so that a retry sees the same numbers.
@@ -103,5 +113,7 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "do
         there = ranked(there, ["__key", "__bytes"], [F.asc("__shard")], "__n").withColumnsRenamed({"__key": "__k", "__bytes": "__b", "__n": "__m"})
         placed = rows.join(there, F.expr("__key <=> __k and __bytes = __b and __n = __m"))
         one = one.unionByName(placed.select(*docs.columns, F.col("__shard").alias("__to")))
-    out = one.withColumnRenamed("__to", "shard")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    one.withColumnRenamed("__to", name).repartition(name).write.partitionBy(name).parquet(path)

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoreloom.llm import queries as llm
 from scoreloom.llm.mixing import mix_sources, mixed_documents
@@ -118,3 +119,25 @@ def test_registered_query(spark, name):
         assert compare(df, connect(sf).sql(llm.ORACLE_SQL[name])) is None
     else:
         assert df.count() > 0
+
+
+def test_shards_of_repeated_overlong_rows(make, tmp_path):
+    docs = make([(1, "a" * 150), (1, "b" * 150), (2, "c" * 90), (None, "d" * 150), (3, "e" * 500)])
+    got = assign_shards(docs, limit=100).collect()
+    sums = {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + r.bytes
+    assert all(sums[r.shard] == r.shard_bytes and r.shard_docs == 1 for r in got)
+    assert {r.shard for r in got} == {"own-1", "more-1-1", "", "own-", "own-3"}
+    clash = docs.withColumn("shard", F.lit("mine"))
+    write_shards(clash, assign_shards(clash, limit=100), str(tmp_path / "s"))
+    back = docs.sparkSession.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 5 and back.where("shard = 'mine'").count() == 5 and back.select("shard_").distinct().count() == 5
+
+
+def test_deep_directories_stay_small(spark):
+    """Rows of more than half the limit: every two have to be parted, at twice the depth of their number."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 60).alias("text"))
+    out = assign_shards(docs, limit=100)
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("s"), F.max("shard_bytes").alias("b"), F.max("depth").alias("d")).first()
+    assert (got.n, got.s, got.b) == (20_000, 20_000, 60) and got.d > 20
