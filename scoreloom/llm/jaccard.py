@@ -192,24 +192,20 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
         "sig", "sid", F.first("sid").over(order).alias("pivot")).where("sid <> pivot")
     groups = cut(groups, "groups")
     star = groups.select(F.col("pivot").alias("p"), F.col("sid").alias("m")).distinct()
-    star = cut(star, "pairs")
-    discard(groups)
     near = cut(_differences(star, sets), "star")
-    discard(star)
+    discard(groups)
     links = near.where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
-    pairs = cut(_other_pairs(near, components(links), num, den), "others")
+    pairs = _other_pairs(near, components(links), num, den)
     found = _differences(pairs, sets).where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
     found = cut(found, "found")
-    discard(sets, pairs)
+    discard(sets)
     return member, links.unionByName(found)
 
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(p, m, np, nm, diff, d) of pairs (p, m): sizes of both sets, their symmetric difference and its size."""
-    # the long arrays are moved for sets that are in a pair on that side only
-    of = lambda side: sets.join(_checked(pairs.select(F.col(side).alias("sid")).distinct()), "sid", "left_semi")
-    p = of("p").select(F.col("sid").alias("p"), F.col("features").alias("fp"))
-    m = of("m").select(F.col("sid").alias("m"), F.col("features").alias("fm"))
+    p = sets.select(F.col("sid").alias("p"), F.col("features").alias("fp"))
+    m = sets.select(F.col("sid").alias("m"), F.col("features").alias("fm"))
     diff = F.concat(F.array_except("fp", "fm"), F.array_except("fm", "fp"))
     rows = pairs.join(m, "m").join(p, "p").select("p", "m", F.size("fp").alias("np"), F.size("fm").alias("nm"), diff.alias("diff"))
     return rows.withColumn("d", F.size("diff"))
@@ -234,15 +230,11 @@ def _other_pairs(near: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
         roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left").withColumns(
         {"rm": F.coalesce("rm", "m"), "rp": F.coalesce("rp", "p")})
     opened = at.groupBy("p").agg(F.min(F.least("rm", "rp")).alias("lo"), F.max(F.greatest("rm", "rp")).alias("hi")).where("lo <> hi").select("p")
-    # Only (p, m, e) is shuffled. An edit that one member alone has comes first in its order and finds nothing: such edits are
-    # counted by what is missing from d, and left out.
-    times = F.count(F.lit(1)).over(W.partitionBy("p", "e")).cast("int")
-    shared = at.join(opened, "p").select("p", "m", F.explode("diff").alias("e")).withColumn("times", times).where("times > 1")
-    own = W.partitionBy("p", "m")
-    shared = shared.select("p", "m", "e", F.row_number().over(own.orderBy("times", "e")).alias("r"), F.count(F.lit(1)).over(own).cast("int").alias("c"))
-    facts = at.join(opened, "p").select(F.col("p").alias("fp"), F.col("m").alias("fm"), "np", "nm", "d", "rm")
-    each = shared.join(facts, F.expr("p = fp and m = fm")).withColumn("j", F.expr("d - c + r - 1")).drop("fp", "fm", "c", "r")
-    each = cut(each, "edits")
+    every = cut(at.join(opened, "p").select("p", "m", "np", "nm", "d", "rm", F.explode("diff").alias("e")), "edits")
+    times = every.groupBy("p", "e").agg(F.count(F.lit(1)).alias("times"))
+    each = every.join(times, ["p", "e"]).withColumn("j", F.row_number().over(W.partitionBy("p", "m").orderBy("times", "e")) - 1)
+    each = cut(each.where("times > 1"), "edits")
+    discard(every)
     apart = F.expr(f"{s} * d > {r} * (np + nm)")
     probe = each.where(apart & (F.col("j") <= F.col("d") - F.greatest(F.lit(1), F.expr(f"ceil(({s} * d - {r} * (np + nm) + {s - r}) / {2 * s})"))))
     probe = probe.select("p", "e", F.col("m").alias("u"), F.col("nm").alias("nu"), F.col("d").alias("du"), F.col("rm").alias("ru"), F.col("j").alias("ju"))
