@@ -20,6 +20,12 @@ def seed_key(index: ColumnOrName, seed_idx: ColumnOrName, base: int = 0, stride:
     return F.lit(base) + col(index) * stride + col(seed_idx)
 
 
+def gain(lo: float, hi: float, mode: str = "linear", seed: ColumnOrName = "seed", track: ColumnOrName = "track") -> Column:
+    """The draw of (seed, track) as a gain in [lo, hi]; the same draw for every range and mode."""
+    level = lo + (hi - lo) * hash_uniform(seed, track)
+    return F.pow(F.lit(10.0), level / 20.0) if mode == "db" else level
+
+
 def sample_gains(songs: DataFrame, seeds: int, tracks: Sequence[str], lo: float, hi: float, mode: str = "linear",
                  base: int = 0, stride: int = 100, index: str = "song_index") -> DataFrame:
     """One gain per (song, seed, track): uniform in [lo, hi], linear or in dB."""
@@ -30,8 +36,7 @@ def sample_gains(songs: DataFrame, seeds: int, tracks: Sequence[str], lo: float,
     rows = songs.withColumn("seed_idx", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     rows = rows.withColumn("seed", seed_key(index, "seed_idx", base, stride))
     rows = rows.withColumn("track", F.explode(F.array(*[F.lit(t) for t in sorted(tracks)])))
-    level = lo + (hi - lo) * hash_uniform("seed", "track")
-    return rows.withColumn("gain", F.pow(F.lit(10.0), level / 20.0) if mode == "db" else level)
+    return rows.withColumn("gain", gain(lo, hi, mode))
 
 
 def stratified_nested_sample(plan: DataFrame, n: int, seed: int, song: str = "song", split: str = "split") -> DataFrame:

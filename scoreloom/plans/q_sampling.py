@@ -27,9 +27,7 @@ def sample_gains(t):
     songs = t.customer.select(F.col("c_custkey").alias("song_index"))
     tracks = ["vocals", "bass", "drums", "other"]
     lin = M.sample_gains(songs, 2, tracks, 0.1, 2.0, base=1000).withColumnRenamed("gain", "linear")
-    db = M.sample_gains(songs, 2, tracks, -43.0, -18.0, "db", base=1000).withColumnRenamed("gain", "db")
-    keys = ["song_index", "seed_idx", "seed", "track"]
-    return r6(lin.join(db, keys).withColumn("seed", F.col("seed")), "linear", "db", digits=9)
+    return r6(lin.withColumn("db", M.gain(-43.0, -18.0, "db")), "linear", "db", digits=9)
 
 
 @query("stratified_nested_sample", f"""WITH p AS (SELECT o_orderkey AS song, o_orderstatus AS split, {sql_u(42, 'o_orderkey')} AS u FROM orders),
