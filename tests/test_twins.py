@@ -30,3 +30,11 @@ def test_gains_of_two_ranges_need_no_join(spark, tmp_path):
     songs = spark.range(3).withColumnRenamed("id", "song_index")
     both = M.sample_gains(songs, 2, ["a", "b"], 0.0, 1.0).withColumn("db", M.gain(-20.0, 0.0, "db"))
     assert both.where(F.abs(F.log10("db") * 20 - (-20 + 20 * F.col("gain"))) > 1e-9).count() == 0
+
+
+def test_verdicts_of_unknown_listeners_count(spark, tmp_path):
+    empty = "l_suppkey BIGINT, l_partkey BIGINT, l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR"
+    lineitem = "SELECT " + ", ".join(f"NULL::{c.split()[1]} AS {c.split()[0]}" for c in empty.split(", ")) + " WHERE false"
+    events = "SELECT 1::BIGINT AS user_id, 1::BIGINT AS event_id, '{\"k\": 1}' AS props, 'click' AS event_type, 1.0::DOUBLE AS value"
+    supplier = "SELECT i::BIGINT AS s_suppkey, 1.0::DOUBLE AS s_acctbal FROM range(1, 101) r(i)"  # 81 has its verdict under an id of its own
+    assert twin(spark, tmp_path, "exclude_ineligible", lineitem=lineitem, events=events, supplier=supplier) is None
