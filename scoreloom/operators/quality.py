@@ -83,8 +83,11 @@ def stale_metrics(expected: DataFrame, last: DataFrame, now: Column, days: int =
 
 
 def expect(df: DataFrame, unique: Sequence[str] = (), not_null: Sequence[str] = (), min_rows: int | None = None,
-           rows: dict[str, Column] | None = None) -> DataFrame:
-    """Violations of expectations as (rule, n); an empty result means the data holds."""
+           rows: dict[str, Column] | None = None, every: bool = False) -> DataFrame:
+    """Violations of expectations as (rule, n); an empty result means the data holds.
+
+    With ``every`` the rules that hold are listed too; ``n`` of ``min_rows`` is then negative by the rows above the minimum.
+    """
     aggs = [F.count("*").alias("__rows")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"__null_{c}") for c in not_null]
     aggs += [F.count_if(~F.coalesce(test, F.lit(False))).alias(f"__row_{name}") for name, test in (rows or {}).items()]
@@ -92,7 +95,7 @@ def expect(df: DataFrame, unique: Sequence[str] = (), not_null: Sequence[str] =
     out = [F.struct(F.lit(f"not_null:{c}").alias("rule"), F.col(f"__null_{c}").alias("n")) for c in not_null]
     out += [F.struct(F.lit(f"row:{n}").alias("rule"), F.col(f"__row_{n}").alias("n")) for n in (rows or {})]
     if min_rows is not None:
-        short = F.greatest(F.lit(min_rows).cast("bigint") - F.col("__rows"), F.lit(0).cast("bigint"))
+        short = F.lit(min_rows).cast("bigint") - F.col("__rows")
         out.append(F.struct(F.lit("min_rows").alias("rule"), short.alias("n")))
     found = one.select(F.inline(F.array(*out))) if out else None
     if unique:
@@ -101,7 +104,7 @@ def expect(df: DataFrame, unique: Sequence[str] = (), not_null: Sequence[str] =
         found = dup if found is None else found.unionByName(dup)
     if found is None:
         raise ValueError("no expectation given")
-    return found.where(F.col("n") > 0)
+    return found if every else found.where(F.col("n") > 0)
 
 
 def require(df: DataFrame, guard: DataFrame, message: str) -> DataFrame:

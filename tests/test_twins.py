@@ -38,3 +38,8 @@ def test_verdicts_of_unknown_listeners_count(spark, tmp_path):
     events = "SELECT 1::BIGINT AS user_id, 1::BIGINT AS event_id, '{\"k\": 1}' AS props, 'click' AS event_type, 1.0::DOUBLE AS value"
     supplier = "SELECT i::BIGINT AS s_suppkey, 1.0::DOUBLE AS s_acctbal FROM range(1, 101) r(i)"  # 81 has its verdict under an id of its own
     assert twin(spark, tmp_path, "exclude_ineligible", lineitem=lineitem, events=events, supplier=supplier) is None
+
+
+def test_expectations_that_hold_are_listed(spark, tmp_path):
+    lineitem = "SELECT i::BIGINT AS l_orderkey, 1 AS l_linenumber, 0.5::DOUBLE AS l_discount, i::BIGINT AS l_partkey FROM range(10000005) r(i)"
+    assert twin(spark, tmp_path, "expect", lineitem=lineitem) is None
