@@ -39,7 +39,8 @@ def norm_option(t):
       SELECT c_custkey, try_cast(nullif(regexp_extract(replace(format('{:.2f} yrs', c_acctbal / 100), ',', ''),
              '-?\\d+', 0), '') AS INT) AS y FROM customer)""")
 def parse_years(t):
-    raw = F.concat(F.format_string("%.2f", F.col("c_acctbal") / 100), F.lit(" yrs"))
+    # format_number rounds the exact value of the double as SQL does; format_string rounds its shortest decimal text
+    raw = F.concat(F.format_number(F.col("c_acctbal") / 100, 2), F.lit(" yrs"))
     return t.customer.select("c_custkey", S.parse_years(raw).alias("years"))
 
 

@@ -43,3 +43,8 @@ def test_verdicts_of_unknown_listeners_count(spark, tmp_path):
 def test_expectations_that_hold_are_listed(spark, tmp_path):
     lineitem = "SELECT i::BIGINT AS l_orderkey, 1 AS l_linenumber, 0.5::DOUBLE AS l_discount, i::BIGINT AS l_partkey FROM range(10000005) r(i)"
     assert twin(spark, tmp_path, "expect", lineitem=lineitem) is None
+
+
+def test_years_of_doubles_just_below_a_half(spark, tmp_path):
+    customer = "SELECT i::BIGINT AS c_custkey, i - 9.5::DOUBLE AS c_acctbal FROM range(8000) r(i)"  # 1599.5 / 100 is less than 15.995
+    assert twin(spark, tmp_path, "parse_years", customer=customer) is None
