@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scoreloom.operators import calibration as C
 from scoreloom.plans.q_aggregates import r6
 from scoreloom.plans.registry import query
+from scoreloom.session import spread
 
 CAL, Z = ["pool", "calib"], ["pool", "calib", "zpool"]
 STATS = ("pq_mean", "pq_std_measured", "pq_std", "sb_mean", "sb_std_measured", "sb_std")
@@ -43,9 +44,15 @@ FORMS = [("reward_min", "least(z_pq, z_sb)", C.reward_min),
          ("reward_penalized", "z_pq - 0.5 * abs(z_pq - z_sb)", C.reward_penalized),
          ("reward_single", "z_sb", lambda: C.reward_single("sb"))]
 
+
+def reward_counts(t, form):
+    r = t.zpool().select("song", F.round(form(), 6).alias("r"))
+    return spread(r, t.lineitem.count(), "song", "r").groupBy("song", "r").agg(F.count("*").alias("n"))
+
+
 for _name, _sql, _form in FORMS:
     query(_name, f"SELECT song, round({_sql}, 6) AS r, count(*) AS n FROM zpool GROUP BY 1, 2", Z)(
-        lambda t, form=_form: t.zpool().groupBy("song", F.round(form(), 6).alias("r")).agg(F.count("*").alias("n")))
+        lambda t, form=_form: reward_counts(t, form))
 
 
 @query("reward_forms", """SELECT song, round(avg(least(z_pq, z_sb)), 6) AS min, round(avg((z_pq + z_sb) / 2), 6) AS mean,

@@ -48,3 +48,14 @@ def test_expectations_that_hold_are_listed(spark, tmp_path):
 def test_years_of_doubles_just_below_a_half(spark, tmp_path):
     customer = "SELECT i::BIGINT AS c_custkey, i - 9.5::DOUBLE AS c_acctbal FROM range(8000) r(i)"  # 1599.5 / 100 is less than 15.995
     assert twin(spark, tmp_path, "parse_years", customer=customer) is None
+
+
+def test_reward_counts_take_more_tasks_for_more_rows(spark, tmp_path, monkeypatch):
+    from scoreloom import session
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    lineitem = "SELECT (i % 7)::BIGINT AS l_suppkey, (i % 50)::DOUBLE AS l_quantity, (i % 11) / 100::DOUBLE AS l_discount FROM range(5000) r(i)"
+    for name in ("reward_penalized", "reward_weighted", "reward_min", "reward_single"):
+        assert twin(spark, tmp_path, name, lineitem=lineitem) is None
+        plan = REGISTRY[name].plan(Tables(spark, str(tmp_path)))._jdf.queryExecution()
+        assert "RepartitionByExpression [song" in plan.optimizedPlan().toString() and ", 50" in plan.optimizedPlan().toString()
+        assert "SortMergeJoin" not in plan.executedPlan().toString()
