@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import parse_mix_name
+from scoreloom.operators.scan import ordinal, step_block
 from scoreloom.schemas import DURATIONS
+from scoreloom.session import materialize
 
 CLIP = "struct<blind_id: string, file: string>"
 
@@ -106,17 +108,19 @@ def read_embeddings(spark: SparkSession, path: str, exclude: Sequence[str] = (),
 def read_section_labels(spark: SparkSession, path: str) -> DataFrame:
     """``start end label`` lines of ``.lab`` files: song (from the file name), start_sec, label.
 
-    A line without a label gets ``section_<n>``, n counting the valid lines before it; a file is a short annotation.
+    A line without a label gets ``section_<n>``, n counting the valid lines before it. The lines are written once (this starts a
+    job) and counted block by block, so a file, or many files of one name, may hold any number of lines.
     """
-    from pyspark.sql import Window as W
     lines = spark.read.text(path).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+?)(_SECTIONS)?\.lab$", 1).alias("song"), F.trim("value").alias("line"),
+        F.regexp_extract(F.substring_index("_metadata.file_path", "/", -1), r"^([^/]+?)(_SECTIONS)?\.lab$", 1).alias("song"), F.trim("value").alias("line"),
         F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     p = lines.withColumn("p", F.split("line", r"\s+"))
     p = p.withColumn("start_sec", F.get("p", F.lit(0)).try_cast("double")).where((F.size("p") >= 2) & F.col("start_sec").isNotNull())
-    n = F.row_number().over(W.partitionBy("song").orderBy("b", "i")) - 1
-    label = F.when(F.size("p") >= 3, F.element_at("p", -1)).otherwise(F.concat(F.lit("section_"), n.cast("string")))
-    return p.select(F.url_decode("song").alias("song"), "start_sec", label.alias("label"))
+    own = materialize(p.select(F.url_decode("song").alias("song"), "start_sec", F.when(F.size("p") >= 3, F.element_at("p", -1)).alias("label"), "b", "i"),
+                      "section-labels")
+    numbered = ordinal(own, ["song"], [F.asc("b"), F.asc("i")], [F.col("b"), step_block("i")])
+    label = F.coalesce("label", F.concat(F.lit("section_"), (F.col("rn") - 1).cast("string")))
+    return numbered.select("song", "start_sec", label.alias("label"))
 
 
 def read_durations(spark: SparkSession, path: str) -> DataFrame:

@@ -59,3 +59,17 @@ def test_reward_counts_take_more_tasks_for_more_rows(spark, tmp_path, monkeypatc
         plan = REGISTRY[name].plan(Tables(spark, str(tmp_path)))._jdf.queryExecution()
         assert "RepartitionByExpression [song" in plan.optimizedPlan().toString() and ", 50" in plan.optimizedPlan().toString()
         assert "SortMergeJoin" not in plan.executedPlan().toString()
+
+
+def test_section_labels_of_many_lines_are_numbered_in_blocks(spark, tmp_path, monkeypatch):
+    from scoreloom.sources import tables as B
+    monkeypatch.setattr(B, "step_block", lambda c: F.floor(F.col(c) / 10).cast("bigint"))
+    lines = [f"{i}.0 {i + 1}.0" + (" x" if i % 3 else "") if i % 5 else "broken" for i in range(500)]
+    for name in ("a.lab", "b b.lab"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    out = B.read_section_labels(spark, str(tmp_path / "*.lab"))
+    valid = [i for i in range(500) if i % 5]
+    want = {(s, float(i), "x" if i % 3 else f"section_{n}") for s in ("a", "b b") for n, i in enumerate(valid)}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    spec = [w for w in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if w.lstrip(" :+-").startswith("Window") and "__b1" not in w]
+    assert not spec  # no window over all lines of a file
