@@ -73,3 +73,26 @@ def test_section_labels_of_many_lines_are_numbered_in_blocks(spark, tmp_path, mo
     assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
     spec = [w for w in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if w.lstrip(" :+-").startswith("Window") and "__b1" not in w]
     assert not spec  # no window over all lines of a file
+
+
+def test_rank_products_of_raters_who_lack_items():
+    import numpy as np
+
+    from scoreloom.operators import raters as RT
+    rnd = np.random.default_rng(4)
+    for fill in (0.97, 0.5, 1.0):
+        v, s = rnd.integers(0, 6, (60, 40)).astype(float), rnd.random((60, 40)) < fill
+        v[~s] = 0
+        got = RT._rank_products(v[:25], s[:25], v[25:], s[25:])
+        oa, ob = (np.argsort(np.where(t, u, np.inf), axis=1, kind="stable") for u, t in ((v[:25], s[:25]), (v[25:], s[25:])))
+        assert (got == RT._plain_products(oa, s[:25], ob, s[25:])).all()
+
+
+def test_rater_pairs_leave_out_what_is_not_asked_for(spark):
+    from scoreloom.operators import raters as RT
+    df = spark.createDataFrame([(r, i, float(r * i % 5)) for r in range(12) for i in range(20) if (r + i) % 9], "rater bigint, item bigint, value double")
+    full = RT.rater_pairs(df, "rater", "item", "value", strip_cells=50)
+    for diff, rho, gone in ((False, True, ["mean_abs_diff"]), (True, False, ["rho"])):
+        part = RT.rater_pairs(df, "rater", "item", "value", diff=diff, rho=rho)
+        assert part.columns == [c for c in full.columns if c not in gone] and part.count() == 66
+        assert part.exceptAll(full.drop(*gone)).count() == 0
