@@ -1,26 +1,29 @@
 """Case retrieval: the most similar cases of a table for every row of a query table.
 
-A similarity needs genre, roles, section and diagnosis of both sides, so there is no key to join on. Queries come in blocks
-that are counted before they are sent to the tasks; a task passes over its cases batch by batch and keeps the best ``k``
-per query. A case is looked at in full only if the bound from genre and roles, with everything else at its best, reaches
-the query's k-th score so far; (query, case) pairs are never rows.
+A similarity needs genre, roles, section and diagnosis of both sides, so there is no key to join on. Of cases with equal contents
+only the first ``k`` can be among the best and stay. A task handles one strip of queries and one of cases: queries of equal
+genre, roles and section look at the cases in the order of the best score that a case can still reach for them, and stop as soon
+as their k-th score is above it. (query, case) pairs are never rows, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.session import materialize
 
-BLOCK = 2000
+#: Queries and cases of a strip; (query, case) pairs that a task compares at a time, beginning with so many cases.
+BLOCK = 20_000
+CASES = 50_000
+PAIRS = 1_000_000
+FIRST = 256
 _QUERY = ["query_id", "genre", "roles", "diagnosis", "section"]
 
 
@@ -79,50 +82,75 @@ def _bound(q: Queries, batch: dict) -> np.ndarray:
     return 0.45 * _match(q.genres, batch["genre"], 1.0, 0.3, 0.5, False) + 0.45 * jaccard
 
 
-def _similarity(q: Queries, batch: dict, bound: np.ndarray) -> np.ndarray:
-    base = bound + 0.10 * _match(q.sections, batch["section_type"], 1.0, 0.5, 1.0, True)
+def _similarity(q: Queries, base: np.ndarray, values: np.ndarray, known: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(case, query) similarity of cases with the diagnosis ``values`` and ``known`` to the queries ``rows``."""
     if not q.keys:
-        return base
-    maps = [dict(m) if m is not None else {} for m in batch["diagnosis"]]
-    values, known = np.zeros((len(maps), len(q.keys))), np.zeros((len(maps), len(q.keys)))
-    for i, m in enumerate(maps):
-        for k, v in m.items():
-            if v is not None and k in q.keys:
-                values[i, q.keys[k]], known[i, q.keys[k]] = v, 1
-    dot = values @ q.values.T
-    na, nb = np.sqrt(known @ (q.values**2).T), np.sqrt((values**2) @ q.known.T)
+        return np.repeat(base[:, None], len(rows), 1)
+    mine, mine_known = q.values[rows], q.known[rows]
+    dot = values @ mine.T
+    na, nb = np.sqrt(known @ (mine**2).T), np.sqrt((values**2) @ mine_known.T)
     cosine = np.where((na < 1e-9) | (nb < 1e-9), 0.0, dot / np.maximum(na * nb, 1e-300))
-    return np.where(known @ q.known.T > 0, 0.5 * base + 0.25 * (cosine + 1.0), base)
-
-
-def _best(batches: Iterator[pa.RecordBatch], q: Queries, k: int) -> Iterator[pa.RecordBatch]:
-    kept: list[list[tuple[float, object, float]]] = [[] for _ in q.ids]
-    floor = np.full(len(q.ids), -np.inf)
-    for big in batches:
-        step = max(1, min(1000, 2_000_000 // max(len(q.ids), 1)))
-        for at in range(0, big.num_rows, step):
-            batch = big.slice(at, step).to_pydict()
-            bonus = np.array(batch["__bonus"])
-            bound = _bound(q, batch)
-            # with a fitting section and diagnosis; a diagnosis may lift a low base, so both forms count
-            top = np.maximum(bound + 0.1, 0.5 * (bound + 0.1) + 0.5) + bonus[:, None]
-            rows = np.flatnonzero((top >= floor - 1e-9).any(1))
-            if not len(rows):
-                continue
-            some = {c: [batch[c][i] for i in rows] for c in ("section_type", "diagnosis", "case_id")}
-            sim = _similarity(q, some, bound[rows])
-            score = np.round(sim + bonus[rows][:, None], 9)
-            for j in np.flatnonzero((score >= floor).any(0)):
-                mine = [(float(score[i, j]), some["case_id"][i], float(sim[i, j])) for i in np.flatnonzero(score[:, j] >= floor[j])]
-                kept[j] = sorted(kept[j] + mine, key=lambda r: (-r[0], r[1] is None, r[1]))[:k]
-                if len(kept[j]) == k:
-                    floor[j] = kept[j][-1][0]
-    rows = [(j, *r) for j, best in enumerate(kept) for r in best]
-    if not rows:
-        return
-    cols, case = [list(c) for c in zip(*rows)], big.schema.field("case_id").type
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], case),
-                                      pa.array(cols[3], pa.float64())], ["q", "score", "case_id", "similarity"])
+    return np.where(known @ mine_known.T > 0, 0.5 * base[:, None] + 0.25 * (cosine + 1.0), base[:, None])
+
+
+def _places(rows: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+    """Distinct rows and the place of each row among them."""
+    index = {r: i for i, r in enumerate(dict.fromkeys(rows))}
+    return list(index), np.array([index[r] for r in rows])
+
+
+def _best(queries: pa.Table, cases: pa.Table, k: int, names: list[str]) -> pa.Table:
+    """The best ``k`` cases of a strip for each query of another."""
+    cases = cases.filter(pc.is_finite(cases["__bonus"]))
+    asked = queries.select(_QUERY).to_pylist()
+    if not asked or not cases.num_rows:
+        return queries.slice(0, 0).select(["__n", "query_id"]).append_column("score", pa.array([], pa.float64())).append_column(
+            "case_id", cases["case_id"].slice(0, 0)).append_column("similarity", pa.array([], pa.float64())).rename_columns(names)
+    cases = cases.take(pc.sort_indices(cases, sort_keys=[("case_id", "ascending")], null_placement="at_end"))  # the index breaks ties
+    q, bonus = Queries.build(asked), cases["__bonus"].to_numpy()
+    values, known = np.zeros((len(bonus), len(q.keys))), np.zeros((len(bonus), len(q.keys)))
+    for i, m in enumerate(cases["diagnosis"].to_pylist()):
+        for pair in m:
+            if pair["key"] in q.keys:
+                values[i, q.keys[pair["key"]]], known[i, q.keys[pair["key"]]] = pair["value"], 1
+    cells, cell = _places([(g, tuple(r), s) for g, r, s in zip(*(cases[c].to_pylist() for c in ("genre", "stem_roles", "section_type")))])
+    shapes, shape = _places([(r["genre"], tuple(sorted({x for x in r["roles"] or [] if x is not None})), r["section"]) for r in asked])
+    ask = Queries.build([{"query_id": None, "genre": g, "roles": list(r), "section": s, "diagnosis": None} for g, r, s in shapes])
+    labels = {c: [x[i] for x in cells] for i, c in enumerate(("genre", "stem_roles", "section_type"))}
+    bases = _bound(ask, labels) + 0.10 * _match(ask.sections, labels["section_type"], 1.0, 0.5, 1.0, True)
+    found: list[tuple[np.ndarray, ...]] = []
+    for s in range(len(shapes)):
+        base = bases[cell, s]
+        top = np.maximum(base, 0.5 * base + 0.5) + bonus  # without and with a diagnosis that fits
+        order = np.argsort(-top, kind="stable")
+        mine = np.flatnonzero(shape == s)
+        for at in range(0, len(mine), PAIRS // FIRST):
+            found += _search(q, mine[at:at + PAIRS // FIRST], order, top, base, bonus, values, known, k)
+    row, score, case, sim = (np.concatenate(c) for c in zip(*found))
+    picked = queries.select(["__n", "query_id"]).take(row)
+    return pa.table([picked["__n"], picked["query_id"], pa.array(score), cases["case_id"].take(case), pa.array(sim)], names)
+
+
+def _search(q: Queries, rows: np.ndarray, order: np.ndarray, top: np.ndarray, base: np.ndarray, bonus: np.ndarray, values: np.ndarray,
+            known: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(query, score, case, similarity) of the best ``k`` cases of queries of one shape, cases taken in ``order``."""
+    out, at, step = [], 0, FIRST
+    score, case, sim = np.full((len(rows), k), -np.inf), np.full((len(rows), k), len(order)), np.zeros((len(rows), k))
+    while len(rows):
+        some = order[at:at + step]
+        new = _similarity(q, base[some], values[some], known[some], rows).T
+        total = np.round(new + bonus[some], 9)
+        score = np.hstack([score, np.where(np.isnan(total), -np.inf, total)])
+        case = np.hstack([case, np.broadcast_to(some, total.shape)])
+        first = np.lexsort((case, -score), axis=1)[:, :k]
+        score, case, sim = (np.take_along_axis(m, first, 1) for m in (score, case, np.hstack([sim, new])))
+        at += step
+        done = score[:, -1] > top[order[at]] + 2e-9 if at < len(order) else np.ones(len(rows), bool)
+        i, j = np.nonzero(done[:, None] & (score > -np.inf))
+        out.append((rows[i], score[i, j], case[i, j], sim[i, j]))
+        rows, score, case, sim = rows[~done], score[~done], case[~done], sim[~done]
+        step = max(FIRST, min(2 * step, PAIRS // max(len(rows), 1)))
+    return out
 
 
 def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 5, min_reward: float = 0.0, block: int = BLOCK) -> DataFrame:
@@ -130,26 +158,27 @@ def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 5, min_reward:
 
     ``queries``: query_id, genre, roles, diagnosis (map), section; nulls mean "not asked for". ``cases``: case_id, genre,
     stem_roles, diagnosis, section_type, reward_delta, n_observations; cases that gained less than ``min_reward`` are left
-    out. Scores equal to nine decimals are ordered by case_id.
+    out. Scores equal to nine decimals are ordered by case_id. Queries and cases are written once (this starts jobs).
     """
-    spark = cases.sparkSession
     gain = F.coalesce("reward_delta", F.lit(0.0))
     bonus = F.tanh(gain) * 0.1 + F.log1p(F.coalesce("n_observations", F.lit(1)).cast("double")) * 0.02
-    pool = cases.where(gain >= min_reward).select("case_id", "genre", "stem_roles", "section_type", "diagnosis", bonus.alias("__bonus"))
-    kinds = {n: f.schema[n].dataType.simpleString() for f, n in ((pool, "case_id"), (queries, "query_id"))}
+    content = {"genre": F.col("genre"), "stem_roles": F.array_sort(F.array_distinct(F.array_compact(F.coalesce("stem_roles", F.array().cast("array<string>"))))),
+               "section_type": F.col("section_type"),
+               "diagnosis": F.array_sort(F.filter(F.coalesce(F.map_entries("diagnosis"), F.array()), lambda e: e["value"].isNotNull())),
+               "__bonus": bonus}
+    pool = cases.where(gain >= min_reward).select("case_id", *[c.alias(n) for n, c in content.items()])
+    place = F.row_number().over(W.partitionBy(*content).orderBy(F.asc_nulls_last("case_id")))
+    pool = materialize(pool.withColumn("__place", place).where(F.col("__place") <= k).drop("__place"), "cases")
     numbered = materialize(queries.select(*_QUERY).withColumn("__n", F.monotonically_increasing_id()), "queries")
-    parts, blocks = [], max(1, -(-numbered.count() // block))
-    for b in range(blocks):
-        rows = [r.asDict() for r in numbered.where(F.pmod(F.xxhash64("__n"), F.lit(blocks)) == b).select(*_QUERY).collect()]
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(Queries.build(rows))
-        found = pool.mapInArrow(lambda batches, s=sent: _best(batches, s.value, k),
-                                f"q bigint, score double, case_id {kinds['case_id']}, similarity double")
-        place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("case_id")))
-        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"q bigint, query_id {kinds['query_id']}")
-        parts.append(found.withColumn("place", place).where(F.col("place") <= k).join(names, "q").select(
-            "query_id", "place", "case_id", F.round("similarity", 3).alias("similarity"), "score"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {kinds['query_id']}, place int, case_id {kinds['case_id']}, similarity double, score double")
-    return reduce(DataFrame.unionByName, parts)
+    nq, nc = max(1, -(-numbered.count() // block)), max(1, -(-pool.count() // CASES))
+    strip, every = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    ask = numbered.withColumn("__q", strip("__n", nq)).withColumn("__c", every(nc))
+    have = pool.withColumn("__c", strip("case_id", nc)).withColumn("__q", every(nq))
+    names = ["__n", "query_id", "score", "case_id", "similarity"]
+    kinds = {n: f.schema[n].dataType.simpleString() for f, n in ((cases, "case_id"), (queries, "query_id"))}
+    found = ask.groupBy("__q", "__c").cogroup(have.groupBy("__q", "__c")).applyInArrow(
+        lambda mine, theirs: _best(mine, theirs, k, names),
+        f"__n bigint, query_id {kinds['query_id']}, score double, case_id {kinds['case_id']}, similarity double")
+    best = F.row_number().over(W.partitionBy("__n").orderBy(F.desc("score"), F.asc_nulls_last("case_id")))
+    return found.withColumn("place", best).where(F.col("place") <= k).select(
+        "query_id", "place", "case_id", F.round("similarity", 3).alias("similarity"), "score")

@@ -96,3 +96,27 @@ def test_rater_pairs_leave_out_what_is_not_asked_for(spark):
         part = RT.rater_pairs(df, "rater", "item", "value", diff=diff, rho=rho)
         assert part.columns == [c for c in full.columns if c not in gone] and part.count() == 66
         assert part.exceptAll(full.drop(*gone)).count() == 0
+
+
+def test_case_search_stops_before_all_cases(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from scoreloom.operators import cases as C
+    rnd, looked = np.random.default_rng(6), []
+    plain = C._similarity
+    monkeypatch.setattr(C, "_similarity", lambda q, base, values, known, rows: looked.append(len(base) * len(rows)) or plain(q, base, values, known, rows))
+    kind = pa.map_(pa.string(), pa.float64())
+    diag = lambda n: [[("a", float(x)), ("b", float(y))] if i % 4 else [] for i, (x, y) in enumerate(rnd.normal(size=(n, 2)))]
+    queries = pa.table({"__n": pa.array(range(30)), "query_id": pa.array(range(30)), "genre": ["rock", "jazz", None] * 10, "roles": [["x"], ["x", "y"]] * 15,
+                        "diagnosis": pa.array(diag(30), kind), "section": ["verse", None, "chorus"] * 10})
+    n = 6000
+    cases = pa.table({"case_id": pa.array(rnd.permutation(n)), "genre": ["rock", "jazz", "pop"] * (n // 3), "stem_roles": [["x"], ["y"], ["x", "y"], []] * (n // 4),
+                      "section_type": ["verse", "chorus"] * (n // 2), "diagnosis": [[{"key": k, "value": v} for k, v in m] for m in diag(n)],
+                      "__bonus": rnd.random(n) / 6})
+    got = C._best(queries, cases, 3, ["n", "query_id", "score", "case_id", "similarity"]).to_pylist()
+    assert sum(looked) < 30 * n / 3
+    monkeypatch.setattr(C, "FIRST", n)  # everything at once
+    want = C._best(queries, cases, 3, ["n", "query_id", "score", "case_id", "similarity"]).to_pylist()
+    key = lambda rows: sorted((r["n"], -r["score"], r["case_id"]) for r in rows)
+    assert len(got) == 90 and key(got) == key(want)
