@@ -14,10 +14,13 @@ A document's set holds its distinct shingles of ``width`` words (A-Z in lower ca
    An empty projection says nothing; for small ``n1`` it is replaced by the signatures of a second, salted
    partitioning (which loses nothing); with ``n1 >= 24`` about ten ranges agree even at the very threshold, and
    projections of fewer than two shingles are left out (the chance to lose a pair is below 1e-12).
-4. Members of a signature group are compared with its first member, the pivot, exactly, on the sets. Pairs of other
-   members can link without being connected through the pivot only if their differences to the pivot overlap; these
-   are found by a prefix filter on the differences and compared exactly. Nothing is capped; near copies with edits of
-   their own cost one comparison each.
+4. Members of a signature group are compared with its first member, the pivot. Parity bits come first: of each place of a
+   bitmap, whether an odd number of shingles fell on it. Two bitmaps differ in no more places than the sets have
+   differences, so a pair with too many leaves for certain; the others are compared exactly, on the sets.
+5. Groups whose members are not all connected by then hold pairs yet to be seen, each set of members once. Up to ``FEW``
+   members are paired with each other. In larger groups pairs can link without being connected through the pivot only
+   if their differences to the pivot overlap; these are found by a prefix filter on the differences. Pairs of both kinds
+   are compared as in step 4. Nothing is capped; near copies with edits of their own cost one comparison each.
 
 Nulls and empties: without words (or with null text) a document has ``n_shingles`` 0, its own id as component and no
 links. Rows with a null ``doc_id`` are returned with a null component. Rows that repeat a ``doc_id`` are one node.
@@ -33,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import components, cut, discard, gram_hashes, mix, texts, word_hashes
+from scoreloom.llm.common import components, cut, discard, gram_hashes, mix, release, texts, word_hashes
 
 #: Classes that may be broadcast (8 bytes each); above it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Members of an open signature group that are all paired with each other; larger groups go by their differences.
+FEW = 32
 _TOP = 1 << 64
 _ONE = np.uint64(1)
 
@@ -99,12 +104,21 @@ def _enumerate(features: np.ndarray, k: int, salt: int, depth: int) -> list[np.n
     return out
 
 
+def parity(features: np.ndarray) -> np.ndarray:
+    """Bitmap of 64-bit words, at least as many bits as the set has shingles: where an odd number of them falls."""
+    bits = 64
+    while bits < len(features):
+        bits *= 2
+    odd = np.bincount((features & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _slim(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_set(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([_sid(s) for s in sets], pa.int64())], ["doc_id", "n", "sid"])
+            found = [(len(s), _sid(s)) for (text,) in texts([batch], "text") for s in [_set(text, width)]]
+            n, sid = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "n", "sid"])
     return run
 
 
@@ -142,7 +156,7 @@ def _signed(width: int, num: int, den: int):
             rows, held = [], 0
             for (text,) in texts([batch], "text"):
                 s = _set(text, width)
-                rows.append((_sid(s), s.view(np.int64), signatures(s, num, den).view(np.int64)))
+                rows.append((_sid(s), s.view(np.int64), signatures(s, num, den).view(np.int64), parity(s)))
                 held += len(s)
                 if held > 200_000:
                     yield _sets(rows)
@@ -156,7 +170,8 @@ def _sets(rows: list[tuple]) -> pa.RecordBatch:
     def lists(i):
         ends = np.cumsum([0, *(len(r[i]) for r in rows)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[i] for r in rows])))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists(1), lists(2)], ["sid", "features", "sigs"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists(1), lists(2), lists(3)],
+                                      ["sid", "features", "sigs", "bits"])
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -175,49 +190,97 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
     # shingles seen in one class only; their number bounds what a class can share
     part = min(100, 150 * (den - num) // den)
     seen = plain.select("text").mapInArrow(_sampled(width, part), "feature bigint, sid bigint")
-    lone = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("sid")).where("c = 1").groupBy("sid").agg(
+    lone = seen.groupBy("feature").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other").groupBy("sid").agg(
         F.count(F.lit(1)).alias("lone"))
     first = member.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     left = first.join(lone, "sid", "left").where((F.coalesce("lone", F.lit(0)) * den <= F.col("n") * (den - num)))
     left = cut(left.select("doc_id"), "left")
     sets = cut(plain.join(_checked(left), "doc_id", "left_semi").select("text").mapInArrow(
-        _signed(width, num, den), "sid bigint, features array<bigint>, sigs array<bigint>"), "signed")
+        _signed(width, num, den), "sid bigint, features array<bigint>, sigs array<bigint>, bits array<bigint>"), "signed")
     discard(left)
     if not member.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         several, sets = sets, cut(sets.dropDuplicates(["sid"]), "signed")
         discard(several)
 
+    spark = docs.sparkSession
+    release(spark)
     order = W.partitionBy("sig").orderBy("sid")
     groups = sets.select("sid", F.explode("sigs").alias("sig")).select(
-        "sig", "sid", F.first("sid").over(order).alias("pivot")).where("sid <> pivot")
-    groups = cut(groups, "groups")
-    star = groups.select(F.col("pivot").alias("p"), F.col("sid").alias("m")).distinct()
-    near = cut(_differences(star, sets), "star")
-    discard(groups)
-    links = near.where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
-    pairs = _other_pairs(near, components(links), num, den)
-    found = _differences(pairs, sets).where(_linked("d", F.col("np") + F.col("nm"), num, den)).select(F.col("p").alias("a"), F.col("m").alias("b"))
-    found = cut(found, "found")
-    discard(sets)
+        "sig", "sid", F.first("sid").over(order).alias("pivot"), (F.row_number().over(order) > 2).alias("third"),
+        F.lead("sid").over(order).isNotNull().alias("more"))
+    groups = cut(groups.where("sid <> pivot").select("sig", "sid", "pivot", F.expr("third or more").alias("several")), "groups")
+    release(spark)
+    links = _links(groups.select(F.col("pivot").alias("p"), F.col("sid").alias("m")).distinct(), sets, num, den)
+    small, large = _open(groups.where("several").select("sig", "sid", "pivot"), components(links))
+    release(spark)
+    pairs = _paired(small)
+    if not large.isEmpty():
+        near = cut(_differences(large.select(F.col("pivot").alias("p"), F.col("sid").alias("m"), "rm", "rp").distinct(), sets), "star")
+        pairs = pairs.unionByName(_other_pairs(near, num, den))
+    found = _links(pairs.distinct(), sets, num, den)
+    discard(groups, sets)
+    release(spark)
     return member, links.unionByName(found)
 
 
+def _open(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (sig, sid, pivot, rm, rp) of the groups whose members are of more than one component: up to FEW members, and more.
+
+    ``rm`` and ``rp`` are the components of member and pivot. Of groups with the same members one stays.
+    """
+    at = groups.join(roots.select(F.col("node").alias("sid"), F.col("root").alias("rm")), "sid", "left").join(
+        roots.select(F.col("node").alias("pivot"), F.col("root").alias("rp")), "pivot", "left").select(
+        "sig", "sid", "pivot", F.coalesce("rm", "sid").alias("rm"), F.coalesce("rp", "pivot").alias("rp"))
+    sums = at.groupBy("sig").agg(F.min("pivot").alias("p"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sid")).alias("who"),
+                                 F.min(F.least("rm", "rp")).alias("lo"), F.max(F.greatest("rm", "rp")).alias("hi")).where("lo <> hi")
+    once = cut(sums.groupBy("p", "members", "who").agg(F.min("sig").alias("sig")).select("sig", "members"), "open")
+    rows = cut(at.join(once, "sig"), "opened")
+    discard(once)
+    return rows.where(F.col("members") <= FEW), rows.where(F.col("members") > FEW)
+
+
+def _paired(groups: DataFrame) -> DataFrame:
+    """Pairs (p, m) of members of one small group that are of different components."""
+    each = groups.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("sid", "rm"))).alias("all"))
+    pair = "flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> y.rm <> x.rm), y -> struct(x.sid as p, y.sid as m))))"
+    return each.select(F.explode(F.expr(pair)).alias("e")).select("e.p", "e.m")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (a, b) of the pairs (p, m) that link: first by sizes and parity bits, which lose none, then exactly."""
+    slim = sets.select("sid", F.size("features").alias("n"), "bits")
+    rows = pairs.join(slim.toDF("m", "nm", "bm"), "m").join(slim.toDF("p", "np", "bp"), "p")
+    rows = rows.where(F.least("np", "nm") * den >= F.greatest("np", "nm") * num)
+    # sizes within the threshold give bitmaps of one length or of that and its double; others (num / den below 1 / 2) are not judged
+    half = "transform(sequence(0, size({0}) div 2 - 1), i -> {0}[i] ^ {0}[i + size({0}) div 2])"
+    for x, y in (("bp", "bm"), ("bm", "bp")):
+        rows = rows.withColumn(x, F.when(F.size(x) > F.size(y), F.expr(half.format(x))).otherwise(F.col(x)))
+    apart = F.expr("if(size(bp) = size(bm), aggregate(zip_with(bp, bm, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v), 0)")
+    likely = cut(rows.where(_linked(apart, F.col("np") + F.col("nm"), num, den)).select("p", "m"), "likely")
+    exact = _differences(likely, sets).where(_linked(F.col("d"), F.col("np") + F.col("nm"), num, den))
+    exact = cut(exact.select(F.col("p").alias("a"), F.col("m").alias("b")), "found")
+    discard(likely)
+    return exact
+
+
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(p, m, np, nm, diff, d) of pairs (p, m): sizes of both sets, their symmetric difference and its size."""
+    """The pairs (p, m) with np, nm, diff, d: sizes of both sets, their symmetric difference and its size."""
+    ids = _checked(pairs.select(F.explode(F.array("p", "m")).alias("sid")).distinct())
+    sets = sets.select("sid", "features").join(ids, "sid", "left_semi")
     p = sets.select(F.col("sid").alias("p"), F.col("features").alias("fp"))
     m = sets.select(F.col("sid").alias("m"), F.col("features").alias("fm"))
     diff = F.concat(F.array_except("fp", "fm"), F.array_except("fm", "fp"))
-    rows = pairs.join(m, "m").join(p, "p").select("p", "m", F.size("fp").alias("np"), F.size("fm").alias("nm"), diff.alias("diff"))
+    rows = pairs.join(m, "m").join(p, "p").select(*pairs.columns, F.size("fp").alias("np"), F.size("fm").alias("nm"), diff.alias("diff"))
     return rows.withColumn("d", F.size("diff"))
 
 
-def _linked(d: str, sizes: Column, num: int, den: int) -> Column:
+def _linked(d: Column, sizes: Column, num: int, den: int) -> Column:
     """intersection / union >= num / den, said of the symmetric difference and the sum of the sizes."""
-    return F.col(d) * (den + num) <= sizes * (den - num)
+    return d * (den + num) <= sizes * (den - num)
 
 
-def _other_pairs(near: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (p, m) of members of one signature group that may link and are not yet in one component.
+def _other_pairs(near: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (p, m) of members of one large signature group that may link and are not yet in one component.
 
     All members were compared with the group's pivot, so each is its difference to the pivot. With D the differences and
     c = (1 - t) / (1 + t), two members u, m link when ``|D_u| + |D_m| - 2 |D_u & D_m| <= c (|u| + |m|)``. If both link
@@ -226,11 +289,7 @@ def _other_pairs(near: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
     these pairs; near copies with edits of their own share none and cost nothing.
     """
     s, r = den + num, den - num
-    at = near.join(roots.select(F.col("node").alias("m"), F.col("root").alias("rm")), "m", "left").join(
-        roots.select(F.col("node").alias("p"), F.col("root").alias("rp")), "p", "left").withColumns(
-        {"rm": F.coalesce("rm", "m"), "rp": F.coalesce("rp", "p")})
-    opened = at.groupBy("p").agg(F.min(F.least("rm", "rp")).alias("lo"), F.max(F.greatest("rm", "rp")).alias("hi")).where("lo <> hi").select("p")
-    every = cut(at.join(opened, "p").select("p", "m", "np", "nm", "d", "rm", F.explode("diff").alias("e")), "edits")
+    every = cut(near.select("p", "m", "np", "nm", "d", "rm", F.explode("diff").alias("e")), "edits")
     times = every.groupBy("p", "e").agg(F.count(F.lit(1)).alias("times"))
     each = every.join(times, ["p", "e"]).withColumn("j", F.row_number().over(W.partitionBy("p", "m").orderBy("times", "e")) - 1)
     each = cut(each.where("times > 1"), "edits")

@@ -268,7 +268,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(scorer.scores(batch.column("text").to_pylist()) < 0.5))
+        for part in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
+            yield part.filter(pa.array(scorer.scores(part.column("text").to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

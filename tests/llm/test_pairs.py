@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from scoreloom.llm.decontaminate import drop_contaminated, leaks
 from scoreloom.llm.jaccard import band_of, jaccard_components, keep_one_per_component, signatures
 from scoreloom.llm.passages import LEAST, common_passages, compact_windows, repeated_passages, shingles
@@ -152,6 +154,41 @@ def test_leaks_edge_cases(spark, odd, none):
     assert leaks(none, items).count() == 0 and leaks(odd, items.limit(0)).count() == 0
 
 
+def test_open_groups_of_every_size_match_brute_force(make, monkeypatch):
+    """Groups paired in full and groups that go by their differences find the same, and parity bits lose no link."""
+    from scoreloom.llm import jaccard
+    rows = corpus(4, bases=10, edits=20)
+    want = brute_components(rows, 3, 9, 10)
+    for few in (0, 1000):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        got = jaccard.jaccard_components(make(rows).repartition(3), 3, 9, 10).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    rnd = np.random.default_rng(5)
+    for n, edits in ((1, 1), (64, 9), (65, 20), (700, 90), (5000, 600)):
+        a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.union1d(a[edits // 2:], rnd.integers(0, 1 << 63, edits).astype(np.uint64))
+        bits = [np.unpackbits(jaccard.parity(s).view(np.uint8), bitorder="little") for s in (a, b)]
+        short = min(map(len, bits))
+        one, two = (x.reshape(-1, short).sum(axis=0) & 1 for x in bits)
+        assert int((one != two).sum()) <= len(np.setxor1d(a, b)) and all(len(x) >= len(y) for x, y in zip(bits, (a, b)))
+
+
+def test_near_copies_without_long_shuffles(make):
+    """Documents that share a passage with all others, none alike: no table holds their differences shingle by shingle."""
+    from scoreloom.llm import jaccard
+    rnd = random.Random(8)
+    line = [f"l{i}" for i in range(60)]
+    rows = [(i, " ".join(line + [f"{rnd.randrange(10**9)}" for _ in range(14)])) for i in range(25)]
+    written = []
+    real, jaccard.cut = jaccard.cut, lambda df, name: (written.append((name, df)), real(df, name))[1]
+    try:
+        got = jaccard.jaccard_components(make(rows).repartition(3)).collect()
+    finally:
+        jaccard.cut = real
+    assert {r.doc_id: r.component_id for r in got} == {i: w[1] for i, w in brute_components(rows, 5, 4, 5).items()}
+    assert "edits" not in [name for name, _ in written]
+
+
 def test_compact_windows_match_definition():
     text = " ".join(str(random.Random(i % 70).random()) for i in range(160))
     grams = shingles(text)
