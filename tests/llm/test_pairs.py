@@ -305,3 +305,32 @@ def test_passages_of_frequent_lines(make):
         for i, w in rows:
             others = set().union(*(s for j, s in whole.items() if j != i))
             assert {j for j in range(len(w) - 49) if tuple(w[j:j + 50]) in others} <= covered[i]
+
+
+def test_edited_passages_of_frequent_seeds(make):
+    """Edited copies of one passage in many documents, in one tile and in several: rows of all pairs, not of the smallest document's only."""
+    from scoreloom.llm import passages
+    rnd = random.Random(9)
+    new = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
+    base, rows = new(120), []
+    for doc in range(60):
+        words = base[:]
+        for _ in range(rnd.randrange(2, 5)):
+            words[rnd.randrange(120)] = "edit" + str(rnd.randrange(10**6))
+        rows.append((doc, " ".join(new(rnd.randrange(5, 30)) + words + new(rnd.randrange(5, 30)))))
+    rows += [(60 + i, " ".join(new(20) + base[40:70] + new(20))) for i in range(8)]
+    grams = {i: shingles(t) for i, t in rows}
+    want = {}
+    for a in grams:
+        for b in grams:
+            for x0, x1, y0, y1, s in common_passages(grams[a], grams[b]) if a < b else []:
+                for at, other in (((a, x0, x1 + 5), b), ((b, y0, y1 + 5), a)):
+                    low, high = want.get(at, (other, s))
+                    want[at] = min(low, other), max(high, s)
+    real = passages.TILE
+    try:
+        for passages.TILE in (real, 16):
+            got = repeated_passages(make(rows).repartition(5)).collect()
+            assert {(r.doc_id, r.start_word, r.end_word): (r.other_doc, r.similarity) for r in got} == want
+    finally:
+        passages.TILE = real
