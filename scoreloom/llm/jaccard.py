@@ -6,7 +6,8 @@ A document's set holds its distinct shingles of ``width`` words (A-Z in lower ca
 1. Equal sets fall into one class (``sid``, a 64-bit hash of the set); from here on classes stand for documents.
 2. Exact pre-filter. A class with a partner shares at least ``num/den`` of its shingles. Shingles of a fixed part of the
    hash range are counted over all documents; a class in which more than ``1 - num/den`` of the whole set was seen in no
-   other class has no partner and leaves.
+   other class has no partner and leaves. The next parts are counted over the classes that are left, in the same way: two
+   partners are both among them.
 3. PartEnum. Sizes fall into bands ``[l, l * den / num]``; partners are in one band or in neighbouring ones, so a set
    takes part in its own band and in the next. Within a band ``|A| + |B|`` bounds the symmetric difference by ``k``. The
    domain is cut into ``n1`` ranges, so that some range holds at most one difference, each range into three, and the
@@ -122,10 +123,10 @@ def _slim(width: int):
     return run
 
 
-def _sampled(width: int, part: int):
-    """(feature, sid) for the lowest part-th percent of the hash range; equal sets of a batch once."""
+def _sampled(width: int, low: int, high: int):
+    """(feature, sid) from the low-th to the high-th percent of the hash range; equal sets of a batch once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = np.uint64(_TOP * part // 100)
+        first, last = np.uint64(_TOP * low // 100), np.uint64(min(_TOP * high // 100, _TOP - 1))
         for batch in batches:
             seen, feats, sids, held = set(), [], [], 0
             for (text,) in texts([batch], "text"):
@@ -134,10 +135,10 @@ def _sampled(width: int, part: int):
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
-                low = s[:np.searchsorted(s, limit)]
-                feats.append(low.view(np.int64))
-                sids.append(np.full(len(low), sid, np.int64))
-                held += len(low)
+                some = s[np.searchsorted(s, first):np.searchsorted(s, last)]
+                feats.append(some.view(np.int64))
+                sids.append(np.full(len(some), sid, np.int64))
+                held += len(some)
                 if held > 200_000:
                     yield _pairs(feats, sids)
                     feats, sids, held = [], [], 0
@@ -189,13 +190,15 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
     member = cut(plain.mapInArrow(_slim(width), "doc_id bigint, n bigint, sid bigint"), "sets")
     # shingles seen in one class only; their number bounds what a class can share
     part = min(100, 150 * (den - num) // den)
-    seen = plain.select("text").mapInArrow(_sampled(width, part), "feature bigint, sid bigint")
-    lone = seen.groupBy("feature").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other").groupBy("sid").agg(
-        F.count(F.lit(1)).alias("lone"))
     first = member.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    left = first.join(lone, "sid", "left").where((F.coalesce("lone", F.lit(0)) * den <= F.col("n") * (den - num)))
-    left = cut(left.select("doc_id"), "left")
-    sets = cut(plain.join(_checked(left), "doc_id", "left_semi").select("text").mapInArrow(
+    left = cut(_with_partners(first.withColumn("lone", F.lit(0)), _lone(plain, width, 0, part), num, den), "left")
+    while part < 100:
+        rest = plain.join(_checked(left.select("doc_id")), "doc_id", "left_semi")
+        before, left = left, cut(_with_partners(left, _lone(rest, width, part, min(100, 2 * part)), num, den), "left")
+        part = min(100, 2 * part)
+        discard(before)
+        release(docs.sparkSession)
+    sets = cut(plain.join(_checked(left.select("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(
         _signed(width, num, den), "sid bigint, features array<bigint>, sigs array<bigint>, bits array<bigint>"), "signed")
     discard(left)
     if not member.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -223,6 +226,19 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
     return member, links.unionByName(found)
 
 
+def _lone(docs: DataFrame, width: int, low: int, high: int) -> DataFrame:
+    """(sid, more): shingles of a part of the hash range that no other class of ``docs`` holds."""
+    seen = docs.select("text").mapInArrow(_sampled(width, low, high), "feature bigint, sid bigint")
+    one = seen.groupBy("feature").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other")
+    return one.groupBy("sid").agg(F.count(F.lit(1)).alias("more"))
+
+
+def _with_partners(classes: DataFrame, lone: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes (doc_id, sid, n, lone) that can have a partner, given what further shingles of theirs no other class holds."""
+    rows = classes.join(lone, "sid", "left").withColumn("lone", F.col("lone") + F.coalesce("more", F.lit(0)))
+    return rows.where(F.col("lone") * den <= F.col("n") * (den - num)).select("doc_id", "sid", "n", "lone")
+
+
 def _open(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (sig, sid, pivot, rm, rp) of the groups whose members are of more than one component: up to FEW members, and more.
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import WORD, cut, ranked
 
+#: Documents whose copies may be broadcast (about 100 bytes each); above it the join shuffles the texts once.
+BROADCAST_ROWS = 250_000
 WEIGHTS = (3, 1, 2)
 TOTAL_PERCENT = 150
 MOST = 2
@@ -90,7 +92,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, total_per
     total = drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
     total = cut(total.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__rows"), "copies")
     on = F.expr("doc_id <=> __id and source <=> __source") & (size_in_words() == F.col("__size"))
-    rows = docs.join(total.where("__copies > 0"), on)
+    some = total.where("__copies > 0")
+    rows = docs.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, on)
     if not total.where("__rows > 1").isEmpty():
         several = rows.where("__rows > 1").withColumn("__n", F.row_number().over(
             W.partitionBy("__id", "__source", "__size").orderBy("text")))

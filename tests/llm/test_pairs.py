@@ -334,3 +334,26 @@ def test_edited_passages_of_frequent_seeds(make):
             assert {(r.doc_id, r.start_word, r.end_word): (r.other_doc, r.similarity) for r in got} == want
     finally:
         passages.TILE = real
+
+
+def test_no_signatures_for_documents_that_share_half(make):
+    """Documents that share a long line, but too little in all, leave before signatures are made of them."""
+    from scoreloom.llm import jaccard
+    rnd = random.Random(10)
+    line = [f"l{i}" for i in range(40)]
+    rows = [(i, " ".join(line + [f"{rnd.randrange(10**9)}" for _ in range(35)])) for i in range(60)]
+    rows += [(100 + i, " ".join(line + [f"m{j}" for j in range(35)] + [f"e{i}"])) for i in range(3)]
+    rows_of = {}
+    real = jaccard.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        rows_of[name] = out.count()
+        return out
+    jaccard.cut = counted
+    try:
+        got = jaccard.jaccard_components(make(rows).repartition(3)).collect()
+    finally:
+        jaccard.cut = real
+    assert {r.doc_id: r.component_id for r in got} == {i: w[1] for i, w in brute_components(rows, 5, 4, 5).items()}
+    assert rows_of["signed"] == 3
