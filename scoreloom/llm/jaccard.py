@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import components, cut, discard, gram_hashes, mix, release, texts, word_hashes
+from scoreloom.llm.common import components, cut, discard, gram_hashes, mix, release, small_batches, texts, word_hashes
 
 #: Classes that may be broadcast (8 bytes each); above it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -186,7 +186,7 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
     The links join every two classes that similarity connects; between classes already connected, not every link is
     listed.
     """
-    plain = docs.select("doc_id", "text")
+    plain = small_batches(docs).select("doc_id", "text")
     member = cut(plain.mapInArrow(_slim(width), "doc_id bigint, n bigint, sid bigint"), "sets")
     # shingles seen in one class only; their number bounds what a class can share
     part = min(100, 150 * (den - num) // den)

@@ -26,48 +26,34 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from scoreloom.llm.common import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pattern for splitting a text before the byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 WIDTH = 2048
 BLOCK_IDS = 4_000_000
-REMEMBERED = 48  # longest chunk whose ids are remembered, in characters
 SCHEMA = ("ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, pieces array<int>, "
           "starts array<bigint>")
 
 
-class Encoder(dict):
-    """Ids of a text as little-endian 16-bit bytes.
-
-    The pattern always cuts before a single blank that follows something else than white space, so a text is encoded
-    blank-separated chunk by chunk, and chunks are remembered within a bound. Texts with neighbouring blanks, where this
-    does not hold, are encoded whole.
-    """
+class Encoder:
+    """Ids of a text as little-endian 16-bit bytes. Texts are encoded whole; nothing is remembered between them."""
 
     def __init__(self, path: str = VOCABULARY):
-        super().__init__()
         if sys.byteorder != "little":
             raise RuntimeError("packed ids are written in the machine's byte order, which has to be little-endian")
         lines = Path(path).read_bytes().splitlines()
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
         self.bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, chunk: str) -> bytes:
-        value = array("H", self.bpe.encode_ordinary(chunk)).tobytes()
-        if len(chunk) <= REMEMBERED:
-            if len(self) > 800_000:
-                self.clear()
-            self[chunk] = value
-        return value
+    def __len__(self) -> int:
+        """Chunks remembered between texts: none, so a worker's memory does not grow with the distinct words it meets."""
+        return 0
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "  " in text:
-            return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join(map(self.__getitem__, [" " + chunk for chunk in rest]))
+        return array("H", self.bpe.encode_ordinary(text)).tobytes() if text else b""
 
     def decode(self, ids: bytes) -> str:
         return self.bpe.decode(np.frombuffer(ids, "<u2").tolist())
@@ -162,7 +148,7 @@ def _rows(batches: Iterator[pa.RecordBatch], width: int, vocabulary: str, block_
 
 def pack_documents(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Packed rows of all documents (columns: see ``SCHEMA``)."""
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _rows(batches, width, vocabulary, block_ids), SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lambda batches: _rows(batches, width, vocabulary, block_ids), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import ROLLING, mix
+from scoreloom.llm.common import ROLLING, mix, small_batches
 
 PASSAGE = 4
 REMEMBERED = 48  # characters
@@ -271,4 +271,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for part in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
             yield part.filter(pa.array(scorer.scores(part.column("text").to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

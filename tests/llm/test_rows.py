@@ -65,6 +65,31 @@ def test_chunked_encoding_equals_whole():
         assert encoder.decode(encoder.encode(text)) == text
 
 
+def test_packing_remembers_no_chunks():
+    import tracemalloc
+    encoder = Encoder()
+    tracemalloc.start()
+    try:
+        for i in range(300):
+            encoder.encode(" ".join(f"word{i}x{j}" for j in range(200)))
+        assert tracemalloc.get_traced_memory()[0] < 1_000_000  # 60 000 remembered chunks took 7.5 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrow_batches_of_whole_texts_are_bounded(make):
+    import pyarrow as pa
+
+    from scoreloom.llm.common import BATCH_BYTES, small_batches
+    docs = make([(1, "x")]).select(F.explode(F.sequence(F.lit(1), F.lit(200))), F.expr("repeat('x', 100000)").alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+    found = [r.n for r in small_batches(docs).mapInArrow(sizes, "n bigint").collect()]
+    assert len(found) > 1 and max(found) < 2 * BATCH_BYTES  # 20 MB came as one batch
+
+
 def test_best_fit_decreasing_matches_scan():
     rnd = random.Random(2)
     for width in (1, 7, 64, 100):
