@@ -285,6 +285,23 @@ def test_edited_passages_right_at_the_similarity():
     assert any(f[0] <= 120 and f[1] >= 120 + 85 for f in found)
 
 
+def test_runs_that_no_passage_can_hold_are_not_followed(monkeypatch):
+    from scoreloom.llm import passages
+    rnd = random.Random(8)
+    new = lambda n: [f"w{rnd.getrandbits(40)}" for _ in range(n)]
+    followed, real = [], passages._chain
+    monkeypatch.setattr(passages, "_chain", lambda *a: followed.append(a) or real(*a))
+    a, b = [], []
+    for _ in range(60):  # shared runs of 16 words, far apart in one text
+        run = new(16)
+        a, b = a + run + new(8), b + run + new(60)
+    assert common_passages(shingles(" ".join(a)), shingles(" ".join(b))) == [] and not followed  # all 60 were followed before
+    edited = new(90)
+    other = edited[:42] + new(5) + edited[47:]
+    (found,) = common_passages(shingles(" ".join(a + edited + new(30))), shingles(" ".join(b + other + new(30))))
+    assert found[:4] == (len(a), len(a) + 85, len(b), len(b) + 85) and found[4] == 77 / 95 and len(followed) <= 2
+
+
 def test_passages_of_frequent_lines(make):
     """Frequent lines around a passage that a few share: each exact run of 50 words is covered, however rows are dealt."""
     rnd = random.Random(7)
