@@ -302,6 +302,39 @@ def test_runs_that_no_passage_can_hold_are_not_followed(monkeypatch):
     assert found[:4] == (len(a), len(a) + 85, len(b), len(b) + 85) and found[4] == 77 / 95 and len(followed) <= 2
 
 
+def test_edited_passages_that_both_texts_repeat():
+    """Five edited copies in each of two texts: 25 pairs of places of a shingle, and no 50 words that are equal as a whole."""
+    rnd = random.Random(11)
+    new = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, a, b = new(90), [], []
+    for _ in range(5):
+        a += new(60) + passage[:43] + new(1) + passage[44:]
+        b += new(70) + passage
+    found = {f[:4]: f[4] for f in common_passages(shingles(" ".join(a)), shingles(" ".join(b)))}
+    assert found == {(x, x + 85, y, y + 85): 81 / 91 for x in range(60, 750, 150) for y in range(70, 800, 160)}
+
+
+def test_equal_runs_are_all_maximal_runs():
+    from scoreloom.llm import passages
+    rnd = random.Random(12)
+    for _ in range(60):
+        words = [f"{rnd.randrange(10**9)}" for _ in range(rnd.choice((1, 2, 40)))]
+        a, *others = ([rnd.choice(words) if rnd.random() < 0.97 else str(i) for i in range(rnd.randrange(50, 120))] for _ in range(4))
+        line = a[:rnd.randrange(50)]
+        a, others = a + line + line, [b + line + line + line for b in others]
+        one, *rest = (shingles(" ".join(w)) for w in (a, *others))
+        want = set()
+        for t, two in enumerate(rest):
+            equal = {(x, y) for x, v in enumerate(one.tolist()) for y, w in enumerate(two.tolist()) if v == w}
+            hit = len({y for _, y in equal}) >= passages.LEAST_BOTH
+            for x, y in equal if hit else ():
+                if (x - 1, y - 1) not in equal:
+                    want.add((t, x, y, next(n for n in range(1, 999) if (x + n, y + n) not in equal)))
+        side, many = passages.Side(one), passages.Texts(rest)
+        got = passages._equal_runs(side, many, *passages._hits(side, many, np.ones(len(rest), bool)))
+        assert len(got) == len(want) and set(map(tuple, got.tolist())) == want
+
+
 def test_passages_of_frequent_lines(make):
     """Frequent lines around a passage that a few share: each exact run of 50 words is covered, however rows are dealt."""
     rnd = random.Random(7)
