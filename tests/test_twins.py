@@ -98,6 +98,15 @@ def test_rater_pairs_leave_out_what_is_not_asked_for(spark):
         assert part.exceptAll(full.drop(*gone)).count() == 0
 
 
+def test_rater_strips_are_not_copied_for_their_pairs(spark):
+    from scoreloom.operators import raters as RT
+    df = spark.createDataFrame([(r, i, float(r * i % 5)) for r in range(40) for i in range(10)], "rater bigint, item bigint, value double")
+    out = RT.rater_pairs(df, "rater", "item", "value", strip_cells=30)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning" not in plan  # each strip was exploded and shuffled once per strip
+    assert sorted((r.rater_a, r.rater_b) for r in out.collect()) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
 def test_case_search_stops_before_all_cases(monkeypatch):
     import numpy as np
     import pyarrow as pa
