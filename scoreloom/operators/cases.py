@@ -1,13 +1,14 @@
 """Case retrieval: the most similar cases of a table for every row of a query table.
 
 A similarity needs genre, roles, section and diagnosis of both sides, so there is no key to join on. Of cases with equal contents
-only the first ``k`` can be among the best and stay. A task handles one strip of queries and one of cases: queries of equal
-genre, roles and section look at the cases in the order of the best score that a case can still reach for them, and stop as soon
-as their k-th score is above it. (query, case) pairs are never rows, and nothing passes through the driver.
+only the first ``k`` can be among the best and stay; queries that ask for the same are answered once. A task handles one strip
+of queries and one of cases: queries of equal genre, roles and section look at the cases in the order of the best score that a
+case can still reach for them, and stop as soon as their k-th score is above it. (query, case) pairs are never rows, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,14 +163,18 @@ def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 5, min_reward:
     """
     gain = F.coalesce("reward_delta", F.lit(0.0))
     bonus = F.tanh(gain) * 0.1 + F.log1p(F.coalesce("n_observations", F.lit(1)).cast("double")) * 0.02
-    content = {"genre": F.col("genre"), "stem_roles": F.array_sort(F.array_distinct(F.array_compact(F.coalesce("stem_roles", F.array().cast("array<string>"))))),
-               "section_type": F.col("section_type"),
-               "diagnosis": F.array_sort(F.filter(F.coalesce(F.map_entries("diagnosis"), F.array()), lambda e: e["value"].isNotNull())),
-               "__bonus": bonus}
+    roles = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))))
+    known = F.array_sort(F.filter(F.coalesce(F.map_entries("diagnosis"), F.array()), lambda e: e["value"].isNotNull()))
+    content = {"genre": F.col("genre"), "stem_roles": roles("stem_roles"), "section_type": F.col("section_type"), "diagnosis": known, "__bonus": bonus}
     pool = cases.where(gain >= min_reward).select("case_id", *[c.alias(n) for n, c in content.items()])
     place = F.row_number().over(W.partitionBy(*content).orderBy(F.asc_nulls_last("case_id")))
     pool = materialize(pool.withColumn("__place", place).where(F.col("__place") <= k).drop("__place"), "cases")
-    numbered = materialize(queries.select(*_QUERY).withColumn("__n", F.monotonically_increasing_id()), "queries")
+    asks = {"genre": F.when(F.col("genre") != "", F.col("genre")), "roles": roles("roles"), "diagnosis": known, "section": F.col("section")}
+    asked = materialize(queries.select("query_id", *[c.alias(n) for n, c in asks.items()]), "queries")
+    numbered = materialize(asked.groupBy(*asks).agg(F.min("query_id").alias("query_id")).withColumn("__n", F.monotonically_increasing_id()), "asked")
+    same = functools.reduce(lambda on, c: on & asked[c].eqNullSafe(numbered[c]), asks, F.lit(True))
+    members = asked.join(numbered, same).select(asked["query_id"], "__n")
+    numbered = numbered.withColumn("diagnosis", F.map_from_entries("diagnosis"))
     nq, nc = max(1, -(-numbered.count() // block)), max(1, -(-pool.count() // CASES))
     strip, every = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     ask = numbered.withColumn("__q", strip("__n", nq)).withColumn("__c", every(nc))
@@ -180,5 +185,5 @@ def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 5, min_reward:
         lambda mine, theirs: _best(mine, theirs, k, names),
         f"__n bigint, query_id {kinds['query_id']}, score double, case_id {kinds['case_id']}, similarity double")
     best = F.row_number().over(W.partitionBy("__n").orderBy(F.desc("score"), F.asc_nulls_last("case_id")))
-    return found.withColumn("place", best).where(F.col("place") <= k).select(
+    return found.drop("query_id").withColumn("place", best).where(F.col("place") <= k).join(members, "__n").select(
         "query_id", "place", "case_id", F.round("similarity", 3).alias("similarity"), "score")

@@ -107,6 +107,25 @@ def test_rater_strips_are_not_copied_for_their_pairs(spark):
     assert sorted((r.rater_a, r.rater_b) for r in out.collect()) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
 
 
+def test_equal_queries_are_answered_once(spark, monkeypatch):
+    from scoreloom.operators import cases as C
+    kept, real = {}, C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: kept.setdefault(name, real(df, name)))
+    kinds = [(None, ["x", "y"], {"a": 1.0, "b": None}, "verse"), ("", ["y", "x", "x", None], {"a": 1.0}, "verse"), ("rock", [], {}, None),
+             ("rock", None, None, None), ("rock", None, {"b": 2.0}, None)]
+    queries = spark.createDataFrame([(i, *kinds[i % 5]) for i in range(200)], "query_id bigint, genre string, roles array<string>, "
+                                    "diagnosis map<string,double>, section string")
+    cases = spark.createDataFrame([(i, "rock" if i % 2 else "jazz", ["x"], {"a": float(i)}, "verse", 0.1, i) for i in range(30)],
+                                  "case_id bigint, genre string, stem_roles array<string>, diagnosis map<string,double>, section_type string, "
+                                  "reward_delta double, n_observations bigint")
+    got = {}
+    for r in C.similar_cases(queries, cases, 4).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.case_id, r.similarity, r.score))
+    assert kept["asked"].count() == 3 and sorted(got) == list(range(200))  # all 200 were compared with the cases before
+    for group in ((0, 1), (2, 3), (4,)):
+        assert len({tuple(sorted(v)) for i, v in got.items() if i % 5 in group}) == 1
+
+
 def test_case_search_stops_before_all_cases(monkeypatch):
     import numpy as np
     import pyarrow as pa
