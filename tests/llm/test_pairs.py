@@ -386,6 +386,26 @@ def test_edited_passages_of_frequent_seeds(make):
         passages.TILE = real
 
 
+def test_pairs_of_frequent_seeds_meet_once_and_texts_only_then(spark):
+    from scoreloom.llm import passages
+    rnd = random.Random(13)
+    groups = [set(rnd.sample(range(60), 40)) for _ in range(5)]
+    groups += [g - {min(g)} for g in groups] + [groups[0] | {99}]  # seeds beside others of almost the same documents
+    frequent = spark.createDataFrame([(k, d) for k, g in enumerate(groups) for d in g], "key bigint, doc bigint")
+    kept = spark.createDataFrame([(d, "text") for d in (*range(60), 99)], "doc_id bigint, text string")
+    real = passages.TILE
+    try:
+        passages.TILE = 16
+        rows = passages._tiles(frequent, kept).collect()
+    finally:
+        passages.TILE = real
+    met = [(r.doc, p) for r in rows for p in r.partners]
+    want = {(a, b) for g in groups for a in g for b in g if a < b}
+    assert len(met) == len(want) and set(met) == want
+    for r in rows:  # a text is sent only where it is compared
+        assert r.partners or any(r.doc in o.partners for o in rows if (o.key, o.i, o.j) == (r.key, r.i, r.j))
+
+
 def test_no_signatures_for_documents_that_share_half(make):
     """Documents that share a long line, but too little in all, leave before signatures are made of them."""
     from scoreloom.llm import jaccard
